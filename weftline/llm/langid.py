@@ -70,7 +70,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
     names = docs.columns
     mine = [n for n in ("lang_pred", "lang_score", "lang_rejected") if n in names]
     kept = [n for n in names if n not in mine]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_lid_text")) if text_col in kept else docs
+    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_lid_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, lang_score double, lang_rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, langid, sharding, simhash, topk
+from weftline.llm import bpe, decontaminate, html, langid, lines, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_sharding": sharding.op3_sharding,
         "op4_exact_topk": topk.op4_exact_topk,
         "op5_language_id": langid.op5_language_id,
+        "op6_decontamination": decontaminate.op6_decontamination,
         "op7_simhash": simhash.op7_simhash,
+        "op8_html_text": html.op8_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.OP4_SQL}
+    return {"op1_line_dedup": lines.OP1_SQL, "op4_exact_topk": topk.OP4_SQL}
