@@ -117,3 +117,32 @@ def shingles(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
         s = s * _P + h[j : j + n]
     at = np.flatnonzero(row[:n] == row[k - 1 :])
     return mix(s[at]), at
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about that many rows or more in which every group of equal keys is whole; the input is sorted by key."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        k = np.asarray(batch.column(key))
+        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on in the next batch
+        if cut == 0 and np.asarray(held[0].column(key))[0] == k[-1]:
+            continue
+        ready = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+        if cut == 0:
+            k = np.asarray(ready.column(key))
+            first = int(np.searchsorted(k, batch.column(key)[-1].as_py()))
+            yield ready.slice(0, first)
+            held = [*ready.slice(first).to_batches(), batch]
+        else:
+            yield ready
+            held = [batch.slice(cut)]
+        n = sum(b.num_rows for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
