@@ -1,27 +1,63 @@
-"""Corpus pipeline: the llm operators as stages over the documents table."""
+"""Corpus pipeline: the llm operators as stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import langid
-from weftline.llm.common import crc_bucket, reliable, table
+from weftline.llm import bpe, decontaminate, langid, lines, simhash
+from weftline.llm.common import crc_bucket, reliable, table, text_or_empty
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is told with a margin; lang becomes the told language."""
     model = langid.fit(docs.filter(crc_bucket("doc_id", 4) != 2))
     told = langid.identify(docs, model)
-    return told.filter("NOT lang_rejected").withColumn("lang", told["lang_pred"]).select(docs.columns)
+    return told.filter("NOT lang_rejected").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines of recurring templates outside the first document that has them; n_chars follows the text."""
+    out = lines.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold four fifths or more of a benchmark passage."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """documents' columns + n_tokens BIGINT, ids BINARY, round_trip BOOLEAN: whether decoding gives the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.decode(bpe.encode(docs, path, keep=tuple(docs.columns)), path)
+    same = F.col("decoded") == text_or_empty().cast("binary")
+    return both.select(*docs.columns, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
-STAGES = [("language_id", language_id)]
-#: No stage's decisions can be written in SQL as a whole; tests hold run() against brute force.
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("byte_bpe", tokens),
+]
+#: Compression sizes and fingerprints can't be written in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = reliable(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, decontaminate, html, langid, lines, sharding, simhash, topk
+from weftline.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_simhash": simhash.op7_simhash,
         "op8_html_text": html.op8_html_text,
+        "op9_lm_score": lm.op9_lm_score,
+        "op10_suffix_dedup": substrings.op10_suffix_dedup,
     }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weftline.llm.common import LOWER, reliable, text_or_empty, texts
+from weftline.llm.common import LOWER, reliable, shingles, text_or_empty, texts, words_of
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -146,7 +146,9 @@ def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     fingerprints that agree in m bands and differ elsewhere.
     """
     n = fps.count()
-    m = 2 if n < 1 << 24 else 3 if n < 1 << 32 else 4
+    m = 2
+    while n > 64 << (64 * m // (radius + m)) and m < 5:
+        m += 1
     bands = _bands(radius + m)
     keys = []
     for i, chosen in enumerate(combinations(range(len(bands)), m)):
@@ -210,6 +212,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
+def _shingle_set(text: bytes, k: int) -> set[int]:
+    h, row, _, _ = words_of([text])
+    k = max(1, min(k, len(h)))
+    return set(shingles(h, row, k)[0].tolist())
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group the row of smallest id stays; all columns as they are.
+
+    Groups are components of near_duplicates. A row goes only if its word k-shingles have a Jaccard similarity of at least
+    similarity with those of the row that stays, so unlike texts that fingerprints chain together are kept; texts without
+    words are alike. Equal texts go whatever their length. Of rows equal in id and text one stays; a null id comes last;
+    null and empty texts are one group. An empty table gives an empty result.
+    """
+    rows = docs.withColumn("_n", F.monotonically_increasing_id())
+    rows = reliable(rows)  # row numbers must not change
+    groups = near_duplicates(rows.select("_n", text_col), "_n", text_col, k, radius).select("_n", F.col("component_id").alias("_group"))
+    of = reliable(groups.join(rows.select("_n", id_col), "_n"))
+    lead = of.groupBy("_group").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_n")))["_n"].alias("_lead"), F.count("*").alias("_size")).filter("_size > 1").select("_group", "_lead")
+    members = of.join(lead, "_group").filter("_n <> _lead").select("_n", "_lead")
+    leads = lead.join(rows.select(F.col("_n").alias("_lead"), text_or_empty(text_col).alias("_first")), "_lead").select("_lead", "_first")
+    pairs = members.join(rows.select("_n", text_or_empty(text_col).alias("_text")), "_n").join(leads, "_lead")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, set[int]] = {}
+        for batch in batches:
+            gone = []
+            for n, a, b in zip(batch.column("_n").to_pylist(), texts(batch, "_text")[0], texts(batch, "_first")[0]):
+                if b not in held:
+                    held = {b: _shingle_set(b, k)}
+                x, y = held[b], set() if a == b else _shingle_set(a, k)
+                if a == b or not (x or y) or len(x & y) >= similarity * len(x | y):
+                    gone.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["_n"])
+
+    gone = pairs.select("_n", "_text", "_first").mapInArrow(alike, "_n long")
+    return rows.join(gone, "_n", "left_anti").select(docs.columns)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     from weftline.llm.common import table
 
