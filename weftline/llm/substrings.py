@@ -25,8 +25,8 @@ GRAM = 16
 #: Slots of the sieve, two bits each: a size that doesn't grow with the corpus. A collision only sends more to the shards.
 SIEVE_BITS = 27
 BUCKET_BITS = 8
-#: Different surroundings in one anchor from which its strings are dealt out singly.
-HOT = 256
+#: Different surroundings in one anchor from which its strings are dealt out singly; below it they fit in one task easily.
+HOT = 16_384
 #: Rows of shards that are ranked at once.
 SHARD_ROWS = 20_000
 SHIP_BYTES = 4 << 20
@@ -139,7 +139,7 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     word = np.zeros(n + length, np.uint64)
     for j in range(8):
         word = word << np.uint64(8) | padded[j : j + n + length]
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     change = np.append(True, word[order[1:]] != word[order[:-1]])
     place = np.maximum.accumulate(np.where(change, np.arange(len(order)), 0))
     rank = np.empty(len(order), np.int64)
@@ -150,7 +150,7 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         step = min(depth, length - depth)
         active = active[active + step < len(rank)]
         own, then = rank[active], rank[active + step]
-        by = np.lexsort((then, own))
+        by = np.argsort(own << 32 | then)  # ranks stay far below 2 ** 31
         active, own, then = active[by], own[by], then[by]
         old = np.append(True, own[1:] != own[:-1])
         new = old | np.append(True, then[1:] != then[:-1])
@@ -219,6 +219,15 @@ def _settle(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         rows = np.flatnonzero(spelt & ~done)
         if len(rows):
             rows = rows[np.lexsort((start[rows], keys[rows], ids[rows]))]
+            same = group.column("around").take(pa.array(rows)).combine_chunks().dictionary_encode().indices
+            lead = np.zeros(len(rows), bool)
+            lead[np.unique(np.asarray(same), return_index=True)[1]] = True  # of equal surroundings only the earliest is ranked
+            later = rows[~lead]
+            out.append((ids[later], keys[later], start[later], start[later] + n[later] - 1))
+            rows = rows[lead]
+            _, back, many = np.unique(shard[rows], return_inverse=True, return_counts=True)
+            rows = rows[many[back] > 1]
+        if len(rows):
             data = group.column("around").take(pa.array(rows)).to_pylist()
             text = np.frombuffer(b"".join(data), np.uint8)
             size = n[rows] + length - 1
