@@ -36,6 +36,8 @@ SMOOTH = 0.1
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 _BLOCK = 64
+#: Packed ids that a training task works on at a time.
+RUN_BYTES = 8 << 20
 
 
 @dataclass
@@ -81,18 +83,22 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _streams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], n_head: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(token ids, last ids, ids before the last) of runs of texts; each text ends with the end token."""
-    tail, end, start = n_head, n_head + 1, n_head + 2
-    get = ids.get
+def _coded(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as packed int32 word ids with the end's id last, so that later passes split no text."""
+    words = shared.value
+    ids = {w: i for i, w in enumerate(words)}
+    get, tail, end = ids.get, len(words), len(words) + 1
     for batch in batches:
-        rows, sizes = texts(batch, "_text")
-        for a, b in slices(sizes, 1 << 20):
-            flat: list[int] = []
-            for t in rows[a:b]:
-                flat += [get(w, tail) for w in t.translate(LOWER).split()]
-                flat.append(end)
-            yield _contexts(np.array(flat, np.int64), end, start)
+        coded = [np.array([*[get(w, tail) for w in t.translate(LOWER).split()], end], np.int32).tobytes() for t in texts(batch, "_text")[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], ["ids"])
+
+
+def _streams(batches: Iterator[pa.RecordBatch], n_head: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(token ids, last ids, ids before the last) of runs of coded texts; each text ends with the end token."""
+    for batch in batches:
+        rows, sizes = texts(batch, "ids")
+        for a, b in slices(sizes, RUN_BYTES):
+            yield _contexts(np.frombuffer(b"".join(rows[a:b]), np.int32).astype(np.int64), n_head + 1, n_head + 2)
 
 
 def _contexts(w: np.ndarray, end: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +136,9 @@ def _blocks_out(total: np.ndarray) -> pa.RecordBatch:
 
 def _seen(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's share of the class counts of every bucket."""
-    words, class_of = shared.value
-    ids = {w: i for i, w in enumerate(words)}
+    n_head, class_of = shared.value
     total = np.zeros(BUCKETS * CLASSES)
-    for w, one, two in _streams(batches, ids, len(words)):
+    for w, one, two in _streams(batches, n_head):
         c = class_of[w]
         for f in _features(one, two):
             total += np.bincount(f * CLASSES + c, minlength=len(total))
@@ -142,18 +147,21 @@ def _seen(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _expected(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's share of the class counts that the model expects in every bucket."""
-    words, bias, weights = shared.value
-    ids = {w: i for i, w in enumerate(words)}
+    n_head, bias, weights = shared.value
     total = np.zeros((BUCKETS, CLASSES))
-    for w, one, two in _streams(batches, ids, len(words)):
-        feats = _features(one, two)
-        for a in range(0, len(w), 1 << 15):
-            part = [f[a : a + (1 << 15)] for f in feats]
+    for _, one, two in _streams(batches, n_head):
+        history = np.sort(one * (n_head + 3) + two)  # equal histories are worked out once
+        first = np.flatnonzero(np.append(True, history[1:] != history[:-1]))
+        times = np.diff(np.append(first, len(history))).astype(np.float32)
+        feats = _features(*np.divmod(history[first], n_head + 3))
+        for a in range(0, len(first), 1 << 13):
+            part = [f[a : a + (1 << 13)] for f in feats]
             p = _class_probabilities(bias, weights, part)
-            for f in part:
-                order = np.argsort(f, kind="stable")
+            p *= times[a : a + (1 << 13), None]
+            for i, f in enumerate(part):
+                order = np.argsort(f) if i else slice(None)  # histories are sorted by the last word, so its buckets are runs
                 at = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
-                total[f[order[at]]] += np.add.reduceat(p[order], at, axis=0)
+                np.add.at(total, f[order][at], np.add.reduceat(p[order], at, axis=0))  # two words can share a bucket
     yield _blocks_out(total)
 
 
@@ -176,12 +184,11 @@ def _gather(rows: DataFrame, task, shared) -> np.ndarray:
 
 def _companions(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word * CLASSES + seed, n): how often each seed word is the last one before a head word."""
-    words, seeds = shared.value
-    ids = {w: i for i, w in enumerate(words)}
-    for w, _, _ in _streams(batches, ids, len(words)):
+    n_head, seeds = shared.value
+    for w, _, _ in _streams(batches, n_head):
         at = np.where(w < seeds, np.arange(len(w)), -1)
         last = np.append(-1, np.maximum.accumulate(at)[:-1])
-        ok = (last >= 0) & (w < len(words)) & (w >= seeds)
+        ok = (last >= 0) & (w < n_head) & (w >= seeds)
         pair, n = np.unique(w[ok] * CLASSES + w[last[ok]], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
@@ -196,12 +203,13 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     top = vocab.filter((F.octet_length("word") <= HEAD_BYTES) & (F.col("c") >= HEAD_COUNT)).orderBy(F.desc("c"), "word").limit(HEAD).collect()
     words, counts = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.float64)
     n, seeds = len(words), min(len(words), CLASSES - 2)
+    coded = reliable(rows.mapInArrow(partial(_coded, spark.sparkContext.broadcast(words)), "ids binary"))
     # classes: 0 the end, 1..seeds the seed words with their companions, the last the tail
     class_of = np.full(n + 3, CLASSES - 1, np.int64)
     class_of[n + 1] = 0
     class_of[:seeds] = np.arange(seeds) + 1
     if n > seeds:
-        pairs = rows.mapInArrow(partial(_companions, spark.sparkContext.broadcast((words, seeds))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        pairs = coded.mapInArrow(partial(_companions, spark.sparkContext.broadcast((n, seeds))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         share = counts[:seeds] / counts[:seeds].sum()
         weight = F.create_map(*[x for s in range(seeds) for x in (F.lit(s), F.lit(float(share[s])))])
         by_word = pairs.select(F.floor(F.col("pair") / CLASSES).alias("w"), (F.col("pair") % CLASSES).cast("int").alias("s"), "n")
@@ -222,12 +230,12 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     bias = np.log((prior + SMOOTH) / (prior + SMOOTH).sum())
     model = Model(words, counts, total, distinct, n_docs, class_of, in_class, float(tail + SMOOTH * (distinct - (n_docs > 0) - n + 1)), bias, np.zeros((BUCKETS, CLASSES)))
     if n_docs:
-        seen = _gather(rows, _seen, spark.sparkContext.broadcast((words, class_of)))
+        seen = _gather(coded, _seen, spark.sparkContext.broadcast((n, class_of)))
         expected = seen.sum(axis=1, keepdims=True) * np.exp(bias)
         for _ in range(ROUNDS):
             model.weights += _step(seen, expected, bias)
-            shared = spark.sparkContext.broadcast((words, bias.astype(np.float32), model.weights.astype(np.float32)))
-            expected = _gather(rows, _expected, shared)
+            shared = spark.sparkContext.broadcast((n, bias.astype(np.float32), model.weights.astype(np.float32)))
+            expected = _gather(coded, _expected, shared)
         model.weights += _step(seen, expected, bias)
     return model, vocab
 
