@@ -154,14 +154,14 @@ def _expected(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         first = np.flatnonzero(np.append(True, history[1:] != history[:-1]))
         times = np.diff(np.append(first, len(history))).astype(np.float32)
         feats = _features(*np.divmod(history[first], n_head + 3))
-        for a in range(0, len(first), 1 << 13):
-            part = [f[a : a + (1 << 13)] for f in feats]
+        for a in range(0, len(first), 1 << 15):
+            part = [f[a : a + (1 << 15)] for f in feats]
             p = _class_probabilities(bias, weights, part)
-            p *= times[a : a + (1 << 13), None]
-            for i, f in enumerate(part):
-                order = np.argsort(f) if i else slice(None)  # histories are sorted by the last word, so its buckets are runs
+            p *= times[a : a + (1 << 15), None]
+            for f in part:
+                order = np.argsort(f)
                 at = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
-                np.add.at(total, f[order][at], np.add.reduceat(p[order], at, axis=0))  # two words can share a bucket
+                total[f[order][at]] += np.add.reduceat(p[order], at, axis=0)  # each bucket once
     yield _blocks_out(total)
 
 
@@ -259,7 +259,7 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         rows, sizes = texts(batch, "_text")
         keys = batch.column("_row")
-        for a, b in slices(sizes, 1 << 20):
+        for a, b in slices(sizes, 4 << 20):
             flat: list[int] = []
             tails: list[list[bytes]] = []
             stops = []
@@ -271,10 +271,18 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 flat.append(n + 1)
                 stops.append(len(flat))
             w, one, two = _contexts(np.array(flat, np.int64), n + 1, n + 2)
-            feats, log_c = _features(one, two), np.empty(len(w))
-            for i in range(0, len(w), 1 << 15):
-                p = _class_probabilities(bias, weights, [f[i : i + (1 << 15)] for f in feats])
-                log_c[i : i + (1 << 15)] = np.log10(np.maximum(p[np.arange(len(p)), m.class_of[w[i : i + (1 << 15)]]], 1e-30))
+            log_c = np.empty(len(w))
+            history = one * (n + 3) + two
+            order = np.argsort(history)  # equal histories are worked out once
+            first = np.flatnonzero(np.append(True, np.diff(history[order]) != 0))
+            stop = np.append(first[1:], len(w))
+            feats = _features(*np.divmod(history[order[first]], n + 3))
+            for i in range(0, len(first), 1 << 15):
+                part = slice(i, i + (1 << 15))
+                p = _class_probabilities(bias, weights, [f[part] for f in feats])
+                tokens = order[first[i] : stop[part][-1]]
+                of = np.repeat(np.arange(len(p)), stop[part] - first[part])
+                log_c[tokens] = np.log10(np.maximum(p[of, m.class_of[w[tokens]]], 1e-30))
             starts = np.append(0, stops[:-1]).astype(np.int64)
             base, score = np.add.reduceat(base_of[w], starts), np.add.reduceat(log_c + word_of[w], starts)
             known = np.add.reduceat((w < n) | ((w == n + 1) & (m.end_count > 0)), starts, dtype=np.int64)
