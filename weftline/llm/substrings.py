@@ -1,6 +1,6 @@
 """Exact substring dedup: removes every byte under a fixed-length string that also starts earlier.
 
-Winnowing picks, in each string of LENGTH bytes, the GRAM-byte gram of least hash; the string belongs to that anchor. Equal
+Winnowing picks, in each string of the length sought, the GRAM-byte gram of least hash; the string belongs to that anchor. Equal
 strings have equal anchors, so strings with the same anchor hash form a shard's material and no pair is ever sought across
 shards. A fixed-size sieve of anchor hashes, made in a first pass, says which anchors occur more than once, which have
 different surroundings, and which are hot. Where all surroundings agree their hash stands for all strings of the anchor.
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 from weftline.llm.common import mix, slices, table, text_or_empty, texts, whole_groups
 
-GRAM = 16
+#: Longer grams repeat by chance less often, at the cost of more anchors; half the length at most.
+GRAM = 32
 #: Slots of the sieve, two bits each: a size that doesn't grow with the corpus. A collision only sends more to the shards.
 SIEVE_BITS = 27
 BUCKET_BITS = 8
@@ -62,8 +63,9 @@ class Anchors:
         self.prefix[0] = 0
         np.cumsum((np.frombuffer(self.data, np.uint8).astype(np.uint64) + np.uint64(1)) * power[:n], out=self.prefix[1:])
         self.inverse = inverse
-        grams = mix((self.prefix[GRAM:] - self.prefix[:-GRAM]) * inverse[: n - GRAM + 1])
-        least = _sliding_min(grams & ~_POS | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
+        gram = min(GRAM, (length + 1) // 2)
+        grams = mix((self.prefix[gram:] - self.prefix[:-gram]) * inverse[: n - gram + 1])
+        least = _sliding_min(grams & ~_POS | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
         ok = np.ones(len(least) + 1, bool)
         for end, size in zip(self.ends.tolist(), sizes.tolist()):
             ok[max(end - min(size, length - 1), 0) : end] = False  # strings never cross documents
