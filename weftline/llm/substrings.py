@@ -25,7 +25,7 @@ from weftline.llm.common import mix, slices, table, text_or_empty, texts, whole_
 GRAM = 32
 #: Slots of the sieve, two bits each: a size that doesn't grow with the corpus. A collision only sends more to the shards.
 SIEVE_BITS = 27
-BUCKET_BITS = 8
+BUCKET_BITS = 12
 #: Different surroundings in one anchor from which its strings are dealt out singly; below it they fit in one task easily.
 HOT = 16_384
 #: Rows of shards that are ranked at once.
