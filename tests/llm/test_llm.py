@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,40 @@ def test_pipeline(spark, docs):
     got = out.toPandas()
     assert 0.5 * len(docs) < len(got) < len(docs) and got.round_trip.all() and got.doc_id.is_unique
     assert decontaminate.matches(out.select("doc_id", "text"), spark.read.parquet(f"{SMALL}/benchmark.parquet")).count() == 0
+
+
+def test_near_copies_of_the_similarity_go(spark):
+    rnd = random.Random(5)
+    texts, group = [], []
+    for g in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        for c in range(rnd.randrange(1, 5)):
+            copy = list(words)
+            for at in rnd.sample(range(120), 0 if c == 0 else rnd.randrange(1, 3)):
+                copy[at] = f"x{rnd.randrange(9999)}"
+            texts.append(" ".join(copy))
+            group.append(g)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert all(group[i] == group[j] for i, j in alike)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = {(r["a"], r["b"]) for r in simhash.similar_links(df, "doc_id", "text").collect()}
+    assert links <= alike
+    lead = list(range(len(texts)))
+    for i, j in sorted(alike):
+        lead = [min(lead[i], lead[j]) if x in (lead[i], lead[j]) else x for x in lead]
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    want = set(lead)
+    assert want <= kept and len(kept - want) <= 0.05 * (len(texts) - len(want))
+
+
+def test_absorbing_forest_and_wide_fingerprints():
+    rnd = np.random.default_rng(3)
+    fp = rnd.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
+    fp[100:200] = fp[0] ^ (np.uint64(1) << rnd.integers(0, 63, (100, 2)).astype(np.uint64))
+    forest = simhash.Forest(np.repeat([1, 2], 150), fp, absorb=-1)
+    far = lambda a, b: int(np.bitwise_count(fp[a] ^ fp[b]).sum())
+    got = {(int(a), int(b)) for q, n in forest.near(np.arange(300), 6) for a, b in zip(q, n)}
+    assert got == {(a, b) for a in range(300) for b in range(300) if a // 150 == b // 150 and far(a, b) <= 6}
+    assert len(simhash.Forest(np.repeat([1, 2], 150), fp, absorb=6).nodes) < len(forest.nodes)
+    assert not simhash.wide_fingerprint(b" ").any() and (simhash.wide_fingerprint(b"A b c") == simhash.wide_fingerprint(b"a B\tc")).all()

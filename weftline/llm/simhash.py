@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weftline.llm.common import LOWER, reliable, shingles, text_or_empty, texts, words_of
+from weftline.llm.common import LOWER, mix, reliable, shingles, text_or_empty, texts, whole_groups, words_of
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -20,6 +21,10 @@ SEED = 42
 FRONTIER = 2_000_000
 #: Shards' rows that are built into one forest at a time.
 FOREST = 500_000
+#: 64-bit words of the fingerprints by which near copies of a given similarity are sought.
+WORDS = 2
+#: Unrelated fingerprints that a shard of those holds on average, and the share of pairs that may share no shard.
+SHARD, MISS = 32, 0.01
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -63,22 +68,31 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     return rows.mapInArrow(run, schema)
 
 
+def _distance(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows a and b; fp has one 64-bit word a row, or several in columns."""
+    d = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+    return d if d.ndim == 1 else d.sum(axis=1)
+
+
 class Forest:
     """BK-trees of many shards at once: each node's children are keyed by their integer Hamming distance to it.
 
-    All rows descend together, one level a step: the first row to reach a (node, distance) edge becomes its child.
+    All rows descend together, one level a step: the first row to reach a (node, distance) edge becomes its child. A row
+    that meets a node within absorb bits on its way down stops there and does not enter the tree, so a group of near
+    copies takes a few nodes.
     """
 
-    def __init__(self, shard: np.ndarray, fp: np.ndarray) -> None:
-        self.fp = fp
+    def __init__(self, shard: np.ndarray, fp: np.ndarray, absorb: int = -1) -> None:
+        self.fp, self.span = fp, 64 * (fp.size // max(1, len(fp))) + 1
         first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))  # shards are contiguous
         self.root = np.repeat(first, np.diff(np.append(first, len(fp))))
         rows = np.setdiff1d(np.arange(len(fp)), first, assume_unique=True)
         at = self.root[rows]
         keys, nodes = [], []
         while len(rows):
-            key = at * 65 + np.bitwise_count(fp[rows] ^ fp[at])
-            edge, lead, back = np.unique(key, return_index=True, return_inverse=True)
+            d = _distance(fp, rows, at)
+            rows, at, d = rows[d > absorb], at[d > absorb], d[d > absorb]
+            edge, lead, back = np.unique(at * self.span + d, return_index=True, return_inverse=True)
             keys.append(edge)
             nodes.append(rows[lead])
             rest = np.ones(len(rows), bool)
@@ -97,11 +111,11 @@ class Forest:
                 half = len(q) // 2
                 todo += [(q[:half], node[:half]), (q[half:], node[half:])]
                 continue
-            d = np.bitwise_count(self.fp[q] ^ self.fp[node]).astype(np.int64)
+            d = _distance(self.fp, q, node)
             hit = d <= radius
             yield q[hit], node[hit]
-            lo = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right")
+            lo = np.searchsorted(self.keys, node * self.span + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.keys, node * self.span + np.minimum(d + radius, self.span - 1), side="right")
             n = hi - lo
             if n.any():
                 ends = np.cumsum(n)
@@ -212,43 +226,116 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def _shingle_set(text: bytes, k: int) -> set[int]:
+def _shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The sorted distinct hashes of the text's word k-shingles; a text of fewer words has one, a text of none none."""
     h, row, _, _ = words_of([text])
-    k = max(1, min(k, len(h)))
-    return set(shingles(h, row, k)[0].tolist())
+    return np.unique(shingles(h, row, max(1, min(k, len(h))))[0])
+
+
+def wide_fingerprint(text: bytes, k: int = 5, words: int = WORDS) -> np.ndarray:
+    """A SimHash of 64 * words bits over the set of word k-shingles; each 64-bit word hashes the shingles anew."""
+    h = _shingle_set(text, k)
+    if not len(h):
+        return np.zeros(words, np.uint64)
+    with np.errstate(over="ignore"):
+        bits = [_bit_counts(mix(h * np.uint64(2 * w + 1) + np.uint64(w * 0x632BE59BD9B4E019 & (1 << 64) - 1))) * 2 > len(h) for w in range(words)]
+    return np.concatenate([np.packbits(b, bitorder="little").view("<u8") for b in bits])
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group the row of smallest id stays; all columns as they are.
+def _sampling(n: int, similarity: float) -> tuple[int, int, int]:
+    """(bits a shard key samples, number of keys, radius) for n fingerprints and a Jaccard similarity.
 
-    Groups are components of near_duplicates. A row goes only if its word k-shingles have a Jaccard similarity of at least
-    similarity with those of the row that stays, so unlike texts that fingerprints chain together are kept; texts without
-    words are alike. Equal texts go whatever their length. Of rows equal in id and text one stays; a null id comes last;
-    null and empty texts are one group. An empty table gives an empty result.
+    Two sets of that similarity differ in a share p of their bits, the angle between them over pi. Keys sample so many
+    bits that about SHARD unrelated fingerprints agree in one, and there are so many keys that a pair at p shares one
+    but for MISS. The radius is two standard deviations above the expected distance.
     """
-    rows = docs.withColumn("_n", F.monotonically_increasing_id())
-    rows = reliable(rows)  # row numbers must not change
-    groups = near_duplicates(rows.select("_n", text_col), "_n", text_col, k, radius).select("_n", F.col("component_id").alias("_group"))
-    of = reliable(groups.join(rows.select("_n", id_col), "_n"))
-    lead = of.groupBy("_group").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_n")))["_n"].alias("_lead"), F.count("*").alias("_size")).filter("_size > 1").select("_group", "_lead")
-    members = of.join(lead, "_group").filter("_n <> _lead").select("_n", "_lead")
-    leads = lead.join(rows.select(F.col("_n").alias("_lead"), text_or_empty(text_col).alias("_first")), "_lead").select("_lead", "_first")
-    pairs = members.join(rows.select("_n", text_or_empty(text_col).alias("_text")), "_n").join(leads, "_lead")
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = 64 * WORDS
+    sampled = min(48, max(8, math.ceil(math.log2(max(n, 1) / SHARD))))
+    tables = math.ceil(math.log(MISS) / math.log1p(-((1 - p) ** sampled)))
+    return sampled, tables, math.ceil(total * p + 2 * math.sqrt(total * p * (1 - p)))
+
+
+def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): pairs of ids (BIGINT, distinct) whose texts have a Jaccard similarity of at least similarity in word k-shingles.
+
+    Candidates come from the BK-trees of shards; a shard holds the fingerprints that agree in a sample of bits. A row
+    takes the earliest tree node within the radius of each of its shards, so a group of near copies makes at most one
+    candidate a row and shard and never all pairs; shards put their rows in four different orders, so a row whose
+    earliest node is unlike it meets others elsewhere. Every candidate is then held to the exact similarity of the whole
+    texts. A pair at the similarity itself is missed with a chance of some hundredths, a closer one more rarely.
+    """
+    rows = docs.select(F.col(id_col).alias("n"), text_or_empty(text_col).alias("text"))
+    cols = [f"w{i}" for i in range(WORDS)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([wide_fingerprint(t, k) for t in texts(batch, "text")[0]], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["n", *cols])
+
+    fps = reliable(rows.mapInArrow(hashed, "n long, " + ", ".join(f"{c} long" for c in cols)))
+    sampled, tables, radius = _sampling(fps.count(), similarity)
+    rng = np.random.default_rng(SEED)
+    keys = []
+    for i in range(tables):
+        on = np.zeros(64 * WORDS, bool)
+        on[rng.choice(64 * WORDS, sampled, replace=False)] = True
+        masks = np.packbits(on, bitorder="little").view("<i8").tolist()
+        key = F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(cols, masks)])
+        keys.append(key.bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(i % 4)))  # the low bits name the order of the shard's rows
+    order = F.expr("IF(shard & 3 = 0, n, xxhash64(n, shard & 3))")
+    sharded = fps.select("n", *cols, F.explode(F.array(*keys)).alias("shard")).repartition("shard").withColumn("place", order).sortWithinPartitions("shard", "place").drop("place")
+
+    def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_groups(batches, "shard", FOREST):
+            n, shard = np.asarray(held.column("n")), np.asarray(held.column("shard"))
+            fp = np.stack([np.asarray(held.column(c)) for c in cols], axis=1).view(np.uint64)
+            forest, best = Forest(shard, fp, radius), np.arange(len(n))
+            for i in range(0, len(n), 4_096):
+                for q, node in forest.near(np.arange(i, min(i + 4_096, len(n))), radius):
+                    np.minimum.at(best, q, node)
+            at = np.flatnonzero(best != np.arange(len(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(n[at], n[best[at]])), pa.array(np.minimum(n[at], n[best[at]]))], ["a", "b"])
+
+    pairs = reliable(sharded.mapInArrow(earliest, "a long, b long").distinct())
+    firsts = rows.join(pairs.select(F.col("b").alias("n")).distinct(), "n", "left_semi").select(F.col("n").alias("b"), F.col("text").alias("first"))
+    both = pairs.join(rows.withColumnRenamed("n", "a"), "a").join(firsts, "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, set[int]] = {}
+        known, first = b"", _shingle_set(b"", k)
         for batch in batches:
-            gone = []
-            for n, a, b in zip(batch.column("_n").to_pylist(), texts(batch, "_text")[0], texts(batch, "_first")[0]):
-                if b not in held:
-                    held = {b: _shingle_set(b, k)}
-                x, y = held[b], set() if a == b else _shingle_set(a, k)
-                if a == b or not (x or y) or len(x & y) >= similarity * len(x | y):
-                    gone.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["_n"])
-
-    gone = pairs.select("_n", "_text", "_first").mapInArrow(alike, "_n long")
-    return rows.join(gone, "_n", "left_anti").select(docs.columns)
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(texts(batch, "text")[0], texts(batch, "first")[0])):
+                if y != known:
+                    known, first = y, _shingle_set(y, k)
+                one = _shingle_set(x, k)
+                shared = len(np.intersect1d(one, first, assume_unique=True))
+                keep[i] = shared >= similarity * (len(one) + len(first) - shared)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "text", "first").mapInArrow(alike, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without copies and near copies: of each group the row of smallest id stays; all columns as they are.
+
+    Equal texts are one group whatever their length. Groups of different texts are components of similar_links: pairs
+    whose word k-shingles have a Jaccard similarity of at least similarity; texts without words are alike. Of rows equal
+    in id and text one stays; a null id comes last; null and empty texts are one group. An empty table gives an empty
+    result. Copies are set aside first by a 256-bit hash of the text, pre-aggregated, so only different texts are
+    compared.
+    """
+    rows = reliable(docs.withColumn("_n", F.monotonically_increasing_id()))  # row numbers must not change
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_n").alias("n"))
+    texts_of = rows.select(F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("key"), rank.alias("rank"))
+    reps = reliable(texts_of.groupBy("key").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.n").alias("_rep")))
+    different = rows.join(reps.select(F.col("_rep").alias("_n")), "_n", "left_semi").select("_n", text_col)
+    roots = reliable(connected_components(similar_links(different, "_n", text_col, k, similarity)))
+    grouped = reps.join(roots, reps["_rep"] == roots["node"]).select("rank", "_rep", "root")
+    first = grouped.groupBy("root").agg(F.min("rank").alias("least")).select("root", F.col("least.n").alias("_first"))
+    gone = grouped.join(first, "root").filter("_rep <> _first").select("_rep")
+    kept = reps.select("_rep").join(gone, "_rep", "left_anti").select(F.col("_rep").alias("_n"))
+    return rows.join(kept, "_n", "left_semi").select(docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
