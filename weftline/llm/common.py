@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+#: Rows whose texts are Python objects at one time.
+ROWS_AT_ONCE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,14 @@ def texts(batch: pa.RecordBatch, col: str) -> tuple[list, np.ndarray]:
     return got, np.fromiter(map(len, got), np.int64, len(got))
 
 
+def each_text(batch: pa.RecordBatch, col: str) -> Iterator[bytes]:
+    """The column's values as bytes (null: empty), a few rows at a time."""
+    values = batch.column(col)
+    for i in range(0, len(values), ROWS_AT_ONCE):
+        for v in values.slice(i, ROWS_AT_ONCE).cast(pa.binary()).to_pylist():
+            yield b"" if v is None else v
+
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: 1 where a byte belongs to a word: everything but space and 09-0D.
 _WORD = np.ones(256, np.uint8)
@@ -67,7 +77,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("p", ())) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("p", _P), ("i", _P_INV)):
             t = np.full(size, base, np.uint64)
             t[0] = 1

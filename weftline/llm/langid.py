@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_bucket, table, text_or_empty
+from weftline.llm.common import crc_bucket, each_text, table, text_or_empty
 
 #: The bounded sample of labelled rows that fits the dictionaries: about ROWS rows a language, SNIPPETS pieces of
 #: SNIPPET_CHARS characters spread over the whole of each, and DICT_BYTES of them a dictionary.
@@ -78,7 +78,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
         compressors = _compressors(shared.value)
         for batch in batches:
             pred, score, rejected = [], [], []
-            for text in batch.column("_lid_text").to_pylist():
+            for text in map(bytes.decode, each_text(batch, "_lid_text")):
                 if not compressors or not any(map(str.isalpha, text)):
                     pred.append("und"), score.append(0.0), rejected.append(True)
                     continue

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weftline.llm.common import LOWER, mix, reliable, shingles, text_or_empty, texts, whole_groups, words_of
+from weftline.llm.common import LOWER, each_text, mix, reliable, shingles, text_or_empty, whole_groups, words_of
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -61,8 +61,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got, _ = texts(batch, "_text")
-            fp = np.array([fingerprint(t, k) for t in got], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, k) for t in each_text(batch, "_text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(fp)], [*keep, "fp"])
 
     return rows.mapInArrow(run, schema)
@@ -270,7 +269,7 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, simil
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([wide_fingerprint(t, k) for t in texts(batch, "text")[0]], np.uint64).reshape(-1, WORDS).view(np.int64)
+            fp = np.array([wide_fingerprint(t, k) for t in each_text(batch, "text")], np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["n", *cols])
 
     fps = reliable(rows.mapInArrow(hashed, "n long, " + ", ".join(f"{c} long" for c in cols)))
@@ -305,7 +304,7 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, simil
         known, first = b"", _shingle_set(b"", k)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(texts(batch, "text")[0], texts(batch, "first")[0])):
+            for i, (x, y) in enumerate(zip(each_text(batch, "text"), each_text(batch, "first"))):
                 if y != known:
                     known, first = y, _shingle_set(y, k)
                 one = _shingle_set(x, k)
