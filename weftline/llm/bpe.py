@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices, text_or_empty
+from weftline.llm.common import slices, small_batches, text_or_empty
 
 SEP, LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE_RUN, WHITE_LAST, WHITE_RUN = range(10)
 FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, PENDING, IN_WHITE, TWO_LEFT, ONE_LEFT = range(8)
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))  # a fixed vocabulary, about 50,000 entries
-    rows = docs.select(*keep, text_or_empty(text_col).alias("_bpe_text"))
+    rows = small_batches(docs).select(*keep, text_or_empty(text_col).alias("_bpe_text"))
     extra = ", piece_ends binary" if offsets else ""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", ids binary" + extra
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 512 << 10
 #: Rows whose texts are Python objects at one time.
 ROWS_AT_ONCE = 256
+#: Rows of an Arrow batch between the JVM and Python; whole texts ride in them, so Spark's 10,000 take much memory twice.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,15 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches set to BATCH_ROWS at most: their memory is held in the JVM and in Python."""
+    conf = df.sparkSession.conf
+    held = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if held <= 0 or held > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

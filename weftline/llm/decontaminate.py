@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from weftline.llm.common import shingles, slices, table, text_or_empty, words_of
+from weftline.llm.common import shingles, slices, small_batches, table, text_or_empty, words_of
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.8
 #: Bytes of benchmark texts that are broadcast at once; a larger benchmark goes in several blocks.
@@ -119,7 +119,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     their pairs; an empty side gives an empty result. Whole texts are read where they lie: nothing is shuffled, and the
     benchmark is broadcast in blocks of BLOCK_BYTES.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     item_type = benchmark.schema[item_col].dataType
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
     schema = StructType([rows.schema.fields[0], StructField(item_col, item_type), StructField("n_tiles", IntegerType()), StructField("n_tokens", IntegerType()), StructField("coverage", DoubleType())])
@@ -146,7 +146,7 @@ def _arrow(kind) -> pa.DataType:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, item_col: str = "item_id") -> DataFrame:
     """docs without the rows that hold min_coverage of an item; all columns as they are. See matches."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     out = docs
     for block in _blocks(benchmark, item_col, text_col):
         shared = spark.sparkContext.broadcast(Benchmark([t for _, t in block], min_match))

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_bucket, each_text, table, text_or_empty
+from weftline.llm.common import crc_bucket, each_text, small_batches, table, text_or_empty
 
 #: The bounded sample of labelled rows that fits the dictionaries: about ROWS rows a language, SNIPPETS pieces of
 #: SNIPPET_CHARS characters spread over the whole of each, and DICT_BYTES of them a dictionary.
@@ -70,7 +70,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
     names = docs.columns
     mine = [n for n in ("lang_pred", "lang_score", "lang_rejected") if n in names]
     kept = [n for n in names if n not in mine]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_lid_text"))
+    rows = small_batches(docs).select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_lid_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, lang_score double, lang_rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weftline.llm.common import LOWER, each_text, mix, reliable, shingles, text_or_empty, whole_groups, words_of
+from weftline.llm.common import LOWER, each_text, mix, reliable, shingles, small_batches, text_or_empty, whole_groups, words_of
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprint(text: bytes, k: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), k: int = 4) -> DataFrame:
     """keep columns + fp BIGINT (the bits as a signed number). A null text counts as empty: fingerprint zero. No shuffle."""
-    rows = docs.select(*keep, text_or_empty(text_col).alias("_text"))
+    rows = small_batches(docs).select(*keep, text_or_empty(text_col).alias("_text"))
     schema = StructType([*rows.schema.fields[:-1], StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +264,7 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, simil
     earliest node is unlike it meets others elsewhere. Every candidate is then held to the exact similarity of the whole
     texts. A pair at the similarity itself is missed with a chance of some hundredths, a closer one more rarely.
     """
-    rows = docs.select(F.col(id_col).alias("n"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("n"), text_or_empty(text_col).alias("text"))
     cols = [f"w{i}" for i in range(WORDS)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
