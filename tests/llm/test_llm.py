@@ -262,3 +262,31 @@ def test_absorbing_forest_and_wide_fingerprints():
     assert got == {(a, b) for a in range(300) for b in range(300) if a // 150 == b // 150 and far(a, b) <= 6}
     assert len(simhash.Forest(np.repeat([1, 2], 150), fp, absorb=6).nodes) < len(forest.nodes)
     assert not simhash.wide_fingerprint(b" ").any() and (simhash.wide_fingerprint(b"A b c") == simhash.wide_fingerprint(b"a B\tc")).all()
+
+
+def test_near_copies_inside_a_template_cluster_go(spark, monkeypatch):
+    rnd = random.Random(11)
+    template = [f"t{i}" for i in range(160)]
+    texts = []
+    for g in range(200):
+        own = [*template, *(f"o{rnd.randrange(10**6)}" for _ in range(25))]
+        copy = list(own)
+        copy[rnd.randrange(165, 180)] = "other"
+        texts += [" ".join(own), " ".join(copy)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(181)} for t in texts]
+    similar = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    alike = {(j, i) for i in range(len(texts)) for j in range(i + 1, len(texts)) if similar(i, j) >= 0.8}
+    assert alike == {(2 * g + 1, 2 * g) for g in range(200)} and similar(0, 2) > 0.7
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for side in (simhash.SIDE, 16):  # one cell a shard, and shards dealt over many
+        monkeypatch.setattr(simhash, "SIDE", side)
+        links = {(r["a"], r["b"]) for r in simhash.similar_links(df, "doc_id", "text").collect()}
+        assert links <= alike and len(links) >= 0.99 * len(alike)
+
+
+def test_cells_of_a_large_shard_hold_every_pair_once():
+    root = np.array([7] * 50 + [1, 1, 2, 3, 4] * 8 + [7] * 20)
+    got = collections.Counter()
+    for r, side, _ in simhash._dealt(np.arange(len(root)), root, 16):
+        got.update((int(x), int(y)) for i, x in enumerate(r) for j, y in enumerate(r) if x < y and root[x] != root[y] and (side[i] == 2 or side[i] != side[j]))
+    assert got == {(x, y): 1 for x in range(110) for y in range(x + 1, 110) if root[x] != root[y]}

@@ -25,6 +25,8 @@ FOREST = 500_000
 WORDS = 2
 #: Unrelated fingerprints that a shard of those holds on average, and the share of pairs that may share no shard.
 SHARD, MISS = 32, 0.01
+#: Rows of one side of a cell; a shard of more than two sides is dealt over cells.
+SIDE = 256
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -233,7 +235,10 @@ def _shingle_set(text: bytes, k: int) -> np.ndarray:
 
 def wide_fingerprint(text: bytes, k: int = 5, words: int = WORDS) -> np.ndarray:
     """A SimHash of 64 * words bits over the set of word k-shingles; each 64-bit word hashes the shingles anew."""
-    h = _shingle_set(text, k)
+    return _of_shingles(_shingle_set(text, k), words)
+
+
+def _of_shingles(h: np.ndarray, words: int) -> np.ndarray:
     if not len(h):
         return np.zeros(words, np.uint64)
     with np.errstate(over="ignore"):
@@ -255,31 +260,175 @@ def _sampling(n: int, similarity: float) -> tuple[int, int, int]:
     return sampled, tables, math.ceil(total * p + 2 * math.sqrt(total * p * (1 - p)))
 
 
+def _unlinked(cols: dict[str, np.ndarray], masks: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, later row) pairs of a cell that may still be alike: roots differ, and sizes and fingerprints allow the similarity.
+
+    Rows of a cell are contiguous. Of a cell's two sides only pairs across count, on side 2 all. A pair that meets under
+    several keys comes only under the first of them, so each pair comes once.
+    """
+    cell, side, root, size, key, fp = (cols[c] for c in ("cell", "side", "root", "size", "key", "fp"))
+    at = np.arange(len(cell))
+    ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
+    n = ends[np.searchsorted(ends, at, side="right")] - at - 1
+    total = np.concatenate([[0], np.cumsum(n)])
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + FRONTIER, side="right")) - 1)
+        a = np.repeat(at[i:j], n[i:j])
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - total[i], n[i:j])
+        fits = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
+        a, b = a[fits], b[fits]
+        fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+        a, b = a[fits], b[fits]
+        fits = _distance(fp, a, b) <= radius
+        a, b = a[fits], b[fits]
+        for k, mask in enumerate(masks):
+            first = (key[a] <= k) | ((fp[a] ^ fp[b]) & mask).any(axis=1)
+            a, b = a[first], b[first]
+        yield a, b
+        i = j
+
+
+def _dealt(rows: np.ndarray, root: np.ndarray, block: int = SIDE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, sides, cell numbers) of a large shard: every two rows of different roots meet in a cell of at most two sides.
+
+    Rows of the shard's most frequent root never meet each other, so a large group of known near copies with few others
+    gives about one copy of each row.
+    """
+    _, back, counts = np.unique(root, return_inverse=True, return_counts=True)
+    most = back == counts.argmax()
+    blocks = [np.array_split(x, -(-len(x) // block)) if len(x) else [] for x in (rows[~most], rows[most])]
+    every = [*blocks[0], *blocks[1]]
+    for i, left in enumerate(blocks[0]):
+        yield left, np.full(len(left), 2, np.int8), np.full(len(left), i * len(every) + i)
+        for j in range(i + 1, len(every)):
+            both = np.concatenate([left, every[j]])
+            yield both, np.repeat(np.array([0, 1], np.int8), [len(left), len(every[j])]), np.full(len(both), i * len(every) + j)
+
+
+def _links_of_cell(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Of the row pairs (a ascending) those that are alike; pairs that links have joined already are left out."""
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.split(ids.astype(np.int32), np.cumsum([len(x) for x in sets])[:-1])
+    root, held = root.copy(), np.zeros(len(ids), bool)
+    for x in np.unique(a).tolist():
+        others = b[a == x]
+        others = others[root[others] != root[x]]
+        if not len(others):
+            continue
+        held[of[x]] = True
+        ends = np.cumsum([len(of[y]) for y in others])
+        hits = np.concatenate([[0], np.cumsum(held[np.concatenate([of[y] for y in others])])])
+        held[of[x]] = False
+        sizes = np.diff(ends, prepend=0)
+        shared = hits[ends] - hits[ends - sizes]
+        for y in others[shared >= similarity * (sizes + len(of[x]) - shared)].tolist():
+            if root[x] != root[y]:
+                root[root == root[y]] = root[x]
+                yield x, y
+
+
+def _other_links(fps: DataFrame, rows: DataFrame, links: DataFrame, keys: list, masks: np.ndarray, radius: int, k: int, similarity: float) -> DataFrame:
+    """(a, b): links between components of links, so that every pair of a shard within the radius is either joined or known to be unlike.
+
+    Shards are dealt again, now with each row's component; a shard of one component has nothing left. Rows with a pair
+    to try go with their texts to the pair's cell (a small shard, or two sides of a large one), where the pairs are held
+    to the exact similarity. No pair is ever a row: what leaves a cell is at most a link a row.
+    """
+    words, block = [f"w{i}" for i in range(WORDS)], SIDE
+    roots = connected_components(links).withColumnRenamed("node", "n")
+    known = reliable(fps.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")))
+    sharded = known.select("n", *words, "size", "root", F.posexplode(F.array(*keys)).alias("key", "shard"))
+    out = ["cell", "side", "n", "size", "root", "key", *words]
+    schema = "cell long, side byte, n long, size long, root long, key int, " + ", ".join(f"{c} long" for c in words)
+
+    def columns(held: pa.Table, cell: str) -> dict[str, np.ndarray]:
+        cols = {c: np.asarray(held.column(c)) for c in held.column_names if c != "text"}
+        cols["cell"] = cols[cell]
+        cols.setdefault("side", np.full(held.num_rows, 2, np.int8))
+        cols["fp"] = np.stack([cols[c] for c in words], axis=1).view(np.uint64)
+        return cols
+
+    def batch_of(cols: dict[str, np.ndarray], at: np.ndarray, **changed: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(changed.get(c, cols[c][at] if c not in changed else None)) for c in out], out)
+
+    def to_try(cols: dict[str, np.ndarray]) -> np.ndarray:
+        tried = np.zeros(len(cols["cell"]), bool)
+        for a, b in _unlinked(cols, masks, radius, similarity):
+            tried[a] = tried[b] = True
+        return np.flatnonzero(tried)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*out, "large"]
+        for held in whole_groups(batches, "shard", FOREST):
+            cols = columns(held, "shard")
+            starts = np.flatnonzero(np.concatenate([[True], cols["cell"][1:] != cols["cell"][:-1]]))
+            sizes = np.diff(np.append(starts, held.num_rows))
+            small = np.flatnonzero(np.repeat(sizes <= 2 * block, sizes))
+            few = {c: x[small] for c, x in cols.items()}
+            batch = batch_of(few, to_try(few))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.zeros(batch.num_rows, bool))], names)
+            for at, size in zip(starts[sizes > 2 * block].tolist(), sizes[sizes > 2 * block].tolist()):
+                for r, side, number in _dealt(np.arange(at, at + size), cols["root"][at : at + size], block):
+                    with np.errstate(over="ignore"):
+                        cell = mix(cols["cell"][r].view(np.uint64) + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    batch = batch_of(cols, r, cell=cell, side=side)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(len(r), bool))], names)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_groups(batches, "cell", FOREST):
+            cols = columns(held, "cell")
+            yield batch_of(cols, to_try(cols))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_groups(batches, "cell", 1):
+            cols = columns(held, "cell")
+            found = []
+            for a, b in _unlinked(cols, masks, radius, similarity):
+                cuts = np.flatnonzero(np.diff(cols["cell"][a])) + 1
+                for x, y in zip(np.split(a, cuts), np.split(b, cuts)):
+                    if len(x):
+                        used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+                        sets = [_shingle_set(t.encode(), k) for t in held.column("text").take(pa.array(used)).to_pylist()]
+                        found += [(used[i], used[j]) for i, j in _links_of_cell(sets, back[: len(x)], back[len(x) :], cols["root"][used], similarity)]
+            at = np.array(found, np.int64).reshape(-1, 2)
+            ends = cols["n"][at]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], ["a", "b"])
+
+    dealt = reliable(sharded.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(deal, schema + ", large boolean"))
+    large = dealt.filter("large").drop("large").repartition("cell").sortWithinPartitions("cell").mapInArrow(thin, schema)
+    cells = reliable(dealt.filter("NOT large").drop("large").unionByName(large))
+    return cells.join(rows, "n").select(*out, "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long")
+
+
 def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): pairs of ids (BIGINT, distinct) whose texts have a Jaccard similarity of at least similarity in word k-shingles.
 
-    Candidates come from the BK-trees of shards; a shard holds the fingerprints that agree in a sample of bits. A row
-    takes the earliest tree node within the radius of each of its shards, so a group of near copies makes at most one
-    candidate a row and shard and never all pairs; shards put their rows in four different orders, so a row whose
-    earliest node is unlike it meets others elsewhere. Every candidate is then held to the exact similarity of the whole
-    texts. A pair at the similarity itself is missed with a chance of some hundredths, a closer one more rarely.
+    The links keep every component whole; pairs that others join need not be among them. Candidates come first from the
+    BK-trees of shards; a shard holds the fingerprints that agree in a sample of bits. A row takes the earliest tree node
+    within the radius of each of its shards, so a group of near copies makes at most one candidate a row and shard and
+    never all pairs. Every candidate is held to the exact similarity of the whole texts. That joins most near copies;
+    then _other_links tries all pairs within the radius that are not joined yet. What is missed is a pair that shares no
+    shard or lies outside the radius: at the similarity itself a chance of some hundredths, closer more rarely.
     """
     rows = small_batches(docs).select(F.col(id_col).alias("n"), text_or_empty(text_col).alias("text"))
     cols = [f"w{i}" for i in range(WORDS)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([wide_fingerprint(t, k) for t in each_text(batch, "text")], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["n", *cols])
+            both = [(len(h), _of_shingles(h, WORDS)) for h in (_shingle_set(t, k) for t in each_text(batch, "text"))]
+            size, fp = np.array([x for x, _ in both], np.int64), np.array([x for _, x in both], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["n", "size", *cols])
 
-    fps = reliable(rows.mapInArrow(hashed, "n long, " + ", ".join(f"{c} long" for c in cols)))
+    fps = reliable(rows.mapInArrow(hashed, "n long, size long, " + ", ".join(f"{c} long" for c in cols)))
     sampled, tables, radius = _sampling(fps.count(), similarity)
     rng = np.random.default_rng(SEED)
-    keys = []
+    keys, all_masks = [], []
     for i in range(tables):
         on = np.zeros(64 * WORDS, bool)
         on[rng.choice(64 * WORDS, sampled, replace=False)] = True
         masks = np.packbits(on, bitorder="little").view("<i8").tolist()
+        all_masks.append(masks)
         key = F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(cols, masks)])
         keys.append(key.bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(i % 4)))  # the low bits name the order of the shard's rows
     order = F.expr("IF(shard & 3 = 0, n, xxhash64(n, shard & 3))")
@@ -312,7 +461,8 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, simil
                 keep[i] = shared >= similarity * (len(one) + len(first) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "text", "first").mapInArrow(alike, "a long, b long")
+    links = reliable(both.select("a", "b", "text", "first").mapInArrow(alike, "a long, b long"))
+    return links.unionByName(_other_links(fps, rows, links, keys, np.array(all_masks, np.int64).view(np.uint64), radius, k, similarity))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
