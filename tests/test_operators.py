@@ -77,3 +77,16 @@ def test_depths_and_ring(spark):
     ring = temporal.to_undirected(spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)], "src long, dst long"))
     assert {round(r["x"][0], 9) for r in graph.gcn(nodes, ring).collect()} == {1.0}
     assert {round(r["x"][0], 9) for r in graph.gcn(nodes, ring, "paper").collect()} == {1.5}
+
+
+def test_attribute_groups_above_the_bound_become_rings(spark):
+    import hashlib
+
+    rows = [(i, "party", "big", 0) for i in range(500)] + [(i, "party", "wide", 0) for i in range(600, 621)] + [(i, "party", "few", 0) for i in range(700, 705)]
+    got = {(r["src"], r["dst"]) for r in graph.attribute_pairs(spark.createDataFrame(rows, "item_id long, attr string, value string, x int").drop("x"), max_group=20).collect()}
+    want = {(a, b) for a in range(700, 705) for b in range(700, 705) if a != b}
+    for value, ids in (("big", range(500)), ("wide", range(600, 621))):
+        for k in range(20):
+            ring = sorted(ids, key=lambda i: (hashlib.md5(f"party|{value}|{k}|{i}|0".encode()).hexdigest()[:16], i))
+            want |= {p for a, b in zip(ring, ring[1:] + ring[:1]) for p in ((a, b), (b, a))}
+    assert got == want

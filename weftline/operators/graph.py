@@ -136,12 +136,37 @@ def readout(nodes: DataFrame, how: str = "mean") -> DataFrame:
     return _mean(nodes, ["graph_id"], F.lit(1.0), how == "sum")
 
 
-def attribute_pairs(attributes: DataFrame, max_group: int = 200) -> DataFrame:
-    """[src, dst] between items with a common attribute value; values held by more than max_group items are left to sampling."""
-    size = attributes.groupBy("attr", "value").agg(F.count("*").alias("n")).filter(F.col("n") <= max_group).select("attr", "value")
-    a = attributes.join(size, ["attr", "value"])
+def attribute_pairs(attributes: DataFrame, max_group: int = 200, seed: int = 0) -> DataFrame:
+    """[src, dst] between items with a common attribute value, both ways; values held by more than max_group items are joined by max_group random rings."""
+    size = written(attributes.groupBy("attr", "value").agg(F.count("*").alias("n")))
+    a = attributes.join(size.filter(F.col("n") <= max_group).select("attr", "value"), ["attr", "value"])
     b = a.select("attr", "value", F.col("item_id").alias("dst"))
-    return a.join(b, ["attr", "value"]).filter("item_id <> dst").select(F.col("item_id").alias("src"), "dst").distinct()
+    pairs = a.join(b, ["attr", "value"]).select(F.col("item_id").alias("src"), "dst")
+    large = attributes.join(size.filter(F.col("n") > max_group).select("attr", "value"), ["attr", "value"])
+    rings = random_rings(large, max_group, seed)
+    both = rings.unionByName(rings.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return pairs.unionByName(both).filter("src <> dst").distinct()
+
+
+def random_rings(members: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
+    """[src, dst]: in each round the members [attr, value, item_id] of a group in an md5 order, each to the next, the last to the first.
+
+    The order is a range sort of all groups and rounds, so a large group is spread over tasks.
+    """
+    digest = F.md5(F.concat_ws("|", "attr", "value", F.col("round").cast("string"), F.col("item_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    dealt = members.select("attr", "value", "item_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("h", F.substring(digest, 1, 16))
+    ring, order = ["attr", "value", "round"], ["attr", "value", "round", "h", "item_id"]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = written(dealt.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    row = F.struct(*order)
+    heads = parts.groupBy("_p").agg(F.min(row).alias("head"))
+    heads = heads.select("_p", F.lead("head").over(Window.orderBy("_p")).alias("head"))  # one row a partition
+    following = F.coalesce(F.lead(row).over(Window.partitionBy("_p").orderBy(*order)), F.col("head"))
+    steps = written(parts.join(F.broadcast(heads), "_p").select(*ring, F.col("item_id").alias("src"), following.alias("to")))
+    same = F.coalesce((F.col("to.attr") == F.col("attr")) & (F.col("to.value") == F.col("value")) & (F.col("to.round") == F.col("round")), F.lit(False))
+    firsts = parts.groupBy(*ring).agg(F.min_by("item_id", F.struct("h", "item_id")).alias("dst"))
+    ends = steps.filter(~same).join(firsts, ring).select("src", "dst")
+    return steps.filter(same).select("src", F.col("to.item_id").alias("dst")).unionByName(ends)
 
 
 def nearest(vectors: DataFrame, k: int = 4, queries: Column | None = None) -> DataFrame:
