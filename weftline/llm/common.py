@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +23,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Eagerly written to the shared checkpoint folder, so lineage is cut and lost executors cost nothing.
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a local folder is set only where none is (tests)."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
 
-    The folder is the session's spark.checkpoint.dir; a local one is set only where none is (tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Eagerly checkpointed in the shared folder, so lineage is cut and lost executors cost nothing."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As reliable, but as a Parquet table: compressed, and later readers take only the columns they need."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Name of the struct that carries a caller's columns through an operator, so that no name of theirs meets one of its own.
+BOX = "_in"
+
+
+def boxed(docs: DataFrame, *without: str) -> Column:
+    """The caller's columns, but those named, as one struct column BOX."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in without]
+    return F.struct(*kept or [F.lit(True).alias("_")]).alias(BOX)
+
+
+def unboxed(df: DataFrame, docs: DataFrame, outputs: dict[str, Column], *without: str) -> DataFrame:
+    """docs' columns but those named, out of their box, and the outputs; an input column named like an output gives way to it."""
+    kept = [F.col(BOX).getField(c).alias(c) for c in docs.columns if c not in without and c not in outputs]
+    return df.select(*kept, *[col.alias(name) for name, col in outputs.items()])
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches set to BATCH_ROWS at most: their memory is held in the JVM and in Python."""
     conf = df.sparkSession.conf

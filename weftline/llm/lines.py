@@ -1,79 +1,118 @@
-"""Line dedup by a log-template tree."""
+"""Line dedup by a fixed-depth log-template tree.
+
+A line's path in the tree is its token count, then its DEPTH leading tokens; tokens with a digit are variable from the
+start, and one leading token is too where the path with it has few documents and the one without it has enough. In the
+leaf below the path the tokens at each further place are counted over all documents: a token that few documents have there
+is a variable field and becomes <*>. So a leaf's templates are its lines with their variable fields generalised, in
+whatever order the rows come, and a line whose template recurs across documents is dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import reliable, table, text_or_empty
+from weftline.llm.common import boxed, stored, table, text_or_empty, unboxed
 
 #: Leading tokens that the tree branches on below the token count.
 DEPTH = 3
-#: Documents in which a template must occur to count as recurring.
-MIN_DOCS = 20
-
-
-def _blank_folded(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
+#: Documents in which a template must occur to count as recurring; a long line needs fewer.
+MIN_DOCS, LONG_TOKENS, LONG_DOCS = 20, 50, 5
+#: Share of a template's tokens that must be constant, and that may be words found to vary (tokens with digits aside): a
+#: template of fields alone says nothing.
+MIN_CONSTANT, MAX_FIELDS = 0.5, 0.2
+#: Rows into which the other side of a join on a hot line is multiplied.
+SALT = 16
+FIELD = "<*>"
 
 
 def _masked(line: Column) -> Column:
-    return F.regexp_replace(_blank_folded(line), r"[^ ]*[0-9][^ ]*", "<*>")
-
+    """The line with single blanks and every token that has a digit as a field; empty for a blank line."""
+    folded = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
+    return F.regexp_replace(folded, r"[^ ]*[0-9][^ ]*", FIELD)
 
-def template_path(line: Column, depth: int = DEPTH) -> Column:
-    """STRUCT<n_tokens, lead, rest> of a line, or null if it has no token.
 
-    The tree: token count, then the leading tokens, then the leaf's template. A token with a digit is a variable field
-    and becomes <*>, in the path as in the leaf.
-    """
-    masked = _masked(line)
-    tokens = F.split(masked, " ")
-    path = F.struct(F.size(tokens).alias("n_tokens"), F.slice(tokens, 1, depth).alias("lead"), F.slice(tokens, depth + 1, 1 << 30).alias("rest"))
-    return F.when(masked != "", path)
+def _key(*cols: Column) -> Column:
+    """A 128-bit key, so that no two of a corpus's lines meet by chance."""
+    return F.md5(F.concat_ws("\n", *cols).cast("binary"))
 
 
 def _lines(text_col: str) -> Column:
     return F.split(text_or_empty(text_col), "\n", -1)
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """[n_tokens, lead, rest, n_docs, first_doc]: the tree's recurring leaves; first_doc is the smallest id with the leaf."""
-    paths = F.array_distinct(F.filter(F.transform(_lines(text_col), template_path), lambda p: p.isNotNull()))
-    one = docs.select(F.col(id_col).alias("_id"), F.explode(paths).alias("p"))
-    return one.groupBy("p").agg(F.count("*").alias("n_docs"), F.min("_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs).select("p.*", "n_docs", "first_doc")
+def _needed(n_tokens: Column, min_docs: int, long_docs: int) -> Column:
+    return F.when(n_tokens >= LONG_TOKENS, F.lit(min(min_docs, long_docs))).otherwise(F.lit(min_docs))
+
 
+def _paths() -> Column:
+    """ARRAY<STRUCT<field, leaf>> of a line's tokens: its path as it stands (field 0), and with one leading token as a field."""
+    lead = lambda j: F.array_join(F.transform(F.slice("tokens", 1, DEPTH), lambda x, i: F.when(i == j - 1, FIELD).otherwise(x)), " ")
+    path = lambda j: F.struct(F.lit(j).alias("field"), F.xxhash64("n", F.lit(j), lead(j)).alias("leaf"))
+    usual = lambda p: (p["field"] == 0) | (F.try_element_at("tokens", p["field"]) != FIELD) & (F.col("n") * MAX_FIELDS >= 1)
+    return F.filter(F.array(*[path(j) for j in range(DEPTH + 1)]), usual)
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns with text_col replaced by its kept lines, + _n_lines BIGINT, _n_dropped BIGINT.
 
-    A line is dropped if its template occurs in min_docs or more documents and this is not the first of them (the
-    smallest id; rows that share that id all keep it, and with null ids alone none does). Blank lines stay. A null text
-    counts as empty, one blank line. Repeated rows each count as a document. An empty table gives an empty result.
+def templates(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """[line, template, n_tokens, n_docs, first]: the lines of recurring templates, from [id, line, masked] rows.
 
-    Templates are hashed once and written in narrow form; counts are pre-aggregated, one row a document and template at
-    most; the join with the recurring ones has one row a template on its other side, so Spark can split a hot one; texts
-    are shuffled once, to meet their dropped line numbers.
+    lines has one row a document and distinct masked line; line is the masked line's key. Lines are pre-aggregated by key;
+    only leaves with enough documents go on, and their tokens are counted once a distinct line, weighted by its documents.
+    Paths and tokens are counted under 64-bit hashes: two that meet can only keep a template from being generalised.
+    n_docs counts the template's documents, first is the smallest id (null if none has one).
+    """
+    tokens = F.split("masked", " ")
+    known = stored(lines.groupBy("line").agg(F.count("*").alias("docs"), F.min("masked").alias("masked")).withColumn("n", F.size(tokens)).withColumn("line_no", F.monotonically_increasing_id()))
+    enough = _needed(F.col("n"), min_docs, long_docs)
+    paths = known.withColumn("tokens", tokens).select("line_no", "n", "docs", F.inline(_paths()))
+    full = paths.groupBy("leaf", "n").agg(F.sum("docs").alias("leaf_docs")).filter(F.col("leaf_docs") >= enough).select("leaf", "leaf_docs")
+    chosen = paths.join(full, "leaf").groupBy("line_no").agg(F.max_by(F.struct("field", "leaf"), F.struct(F.col("field") == 0, "leaf_docs", -F.col("field"))).alias("at"))
+    grown = stored(known.join(chosen.select("line_no", "at.*"), "line_no"))
+    each = grown.select("line_no", "n", "docs", "leaf", F.posexplode(tokens).alias("pos", "token")).filter((F.col("pos") >= DEPTH) & (F.col("token") != FIELD))
+    own = each.select("line_no", "n", "docs", "pos", F.xxhash64("leaf", "pos", "token").alias("place"))
+    frequent = own.groupBy("place", "n").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= enough).select("place")
+    held = own.join(frequent, "place").groupBy("line_no").agg(F.collect_set("pos").alias("held"))
+    constant = lambda i: (i < DEPTH) & (i != F.col("field") - 1) | F.array_contains(F.coalesce("held", F.array().cast("array<int>")), i)
+    named = grown.join(held, "line_no", "left").withColumn("tokens", F.transform(tokens, lambda x, i: F.when(constant(i), x).otherwise(FIELD)))
+    digits, fields = F.size(F.filter(tokens, lambda x: x == FIELD)), F.size(F.filter("tokens", lambda x: x == FIELD))
+    fits = (F.col("n") - fields >= MIN_CONSTANT * F.col("n")) & (fields - digits <= MAX_FIELDS * F.col("n"))
+    named = stored(named.filter(fits).select("line", "n", F.array_join("tokens", " ").alias("template")))
+    # a document counts once a template: of its lines with the template one row is left before the documents are counted
+    salted = named.select("line", "n", _key(F.col("template")).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")).alias("salt"))
+    of_docs = lines.select("id", "line", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt")).join(salted, ["line", "salt"]).select("t", "n", "id").distinct()
+    counts = of_docs.groupBy("t", "n").agg((F.count("id") + F.max(F.col("id").isNull().cast("int"))).alias("n_docs"), F.min("id").alias("first")).filter(F.col("n_docs") >= enough)
+    return named.withColumn("t", _key(F.col("template"))).join(counts.drop("n"), "t").select("line", "template", F.col("n").alias("n_tokens"), "n_docs", "first")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """All columns with text_col replaced by its kept lines, + n_lines BIGINT, n_dropped BIGINT.
+
+    A line is dropped if its template occurs in min_docs or more documents (long_docs for lines of LONG_TOKENS tokens) and
+    this is not the first of them (the smallest id; rows that share that id all keep it, and if all ids are null none
+    does). Documents are told apart by id; all rows with a null id count as one. Blank lines stay. A null text counts as
+    empty, one blank line. Very long texts and lines are read whole. Input columns named like an output are replaced, other
+    names never clash. An empty table gives an empty result.
+
+    Masked lines are written once in narrow form; lines are pre-aggregated, and joins on a line are salted, so a line in
+    a third of all documents is spread; texts are shuffled once, to meet their dropped line numbers.
     """
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.lit("/"), text_or_empty(text_col)))
-    # a masked line spells its whole path, so its hash is the leaf's; masked first, so that no line is masked twice
-    hashed = F.transform(F.transform(_lines(text_col), _masked), lambda m: F.when(m != "", F.xxhash64(m)))
-    narrow = reliable(rows.select("_key", F.col(id_col).alias("_id"), hashed.alias("_leaf")))
-    one = narrow.select("_id", F.explode(F.array_distinct("_leaf")).alias("leaf")).filter("leaf IS NOT NULL")
-    recurring = one.groupBy("leaf").agg(F.count("*").alias("n"), F.min("_id").alias("first")).filter(F.col("n") >= min_docs).select("leaf", "first")
-    spots = narrow.select("_key", "_id", F.posexplode("_leaf").alias("at", "leaf")).filter("leaf IS NOT NULL")
-    hit = spots.join(recurring, "leaf").filter(~F.col("_id").eqNullSafe(F.col("first")) | F.col("first").isNull())
-    dropped = hit.groupBy("_key").agg(F.collect_set("at").alias("_dropped"))
-    joined = rows.join(dropped, "_key", "left")
-    lines = _lines(text_col)
-    none = F.coalesce("_dropped", F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(none, i))
-    return joined.withColumn("_n_lines", F.size(lines).cast("long")).withColumn("_n_dropped", F.size(none).cast("long")).withColumn(text_col, F.array_join(kept, "\n")).select(*docs.columns, "_n_lines", "_n_dropped")
+    rows = docs.select(boxed(docs, text_col), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_or_empty(text_col)).cast("binary")).alias("key"))
+    masked = F.transform(_lines("text"), _masked)
+    spots = stored(rows.select("key", "id", F.posexplode(masked).alias("at", "masked")).filter("masked <> ''").withColumn("line", _key(F.col("masked"))))
+    found = templates(spots.select("id", "line", "masked").groupBy("id", "line").agg(F.min("masked").alias("masked")), min_docs, long_docs)
+    salted = found.select("line", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")).alias("salt"))
+    hit = spots.select("key", "id", "at", "line", F.pmod(F.xxhash64("key"), F.lit(SALT)).alias("salt")).join(salted, ["line", "salt"])
+    later = ~F.col("id").eqNullSafe(F.col("first")) | F.col("first").isNull()
+    dropped = hit.filter(later).groupBy("key").agg(F.collect_set("at").alias("dropped"))
+    joined = rows.join(dropped, "key", "left")
+    none = F.coalesce("dropped", F.array().cast("array<int>"))
+    kept = F.filter(_lines("text"), lambda x, i: ~F.array_contains(none, i))
+    return unboxed(joined, docs, {"n_lines": F.size(_lines("text")).cast("long"), "n_dropped": F.size(none).cast("long"), text_col: F.array_join(kept, "\n")}, text_col)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return docs.select("doc_id", "n_lines", "n_dropped", "text")
 
 
 OP1_SQL = r"""
@@ -82,13 +121,35 @@ WITH l AS (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), m AS (
-  SELECT *, regexp_replace(trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS leaf FROM l
-), r AS (
-  SELECT leaf, min(doc_id) AS first FROM m WHERE leaf <> '' GROUP BY leaf HAVING count(DISTINCT doc_id) >= 20
+  SELECT *, regexp_replace(trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l
+), d AS (
+  SELECT DISTINCT doc_id, masked FROM m WHERE masked <> ''
 ), k AS (
-  SELECT m.*, r.leaf IS NOT NULL AND m.doc_id <> r.first AS gone FROM m LEFT JOIN r ON m.leaf = r.leaf
+  SELECT masked, count(*) AS docs, string_split(masked, ' ') AS tokens FROM d GROUP BY masked
+), p AS (
+  SELECT *, len(tokens) AS n, CASE WHEN len(tokens) >= 50 THEN 5 ELSE 20 END AS need FROM k
+), f AS (
+  SELECT p.*, j AS field, CASE j WHEN 0 THEN tokens[1:3] WHEN 1 THEN ['<*>'] || tokens[2:3] WHEN 2 THEN [tokens[1], '<*>'] || tokens[3:3] ELSE tokens[1:2] || ['<*>'] END AS lead
+  FROM p, range(4) r(j) WHERE j = 0 OR n >= 5 AND tokens[j] <> '<*>'
+), s AS (
+  SELECT *, sum(docs) OVER (PARTITION BY n, field, lead) AS leaf_docs FROM f
+), g AS (
+  SELECT * FROM s WHERE leaf_docs >= need QUALIFY row_number() OVER (PARTITION BY masked ORDER BY field > 0, leaf_docs DESC, field) = 1
+), t AS (
+  SELECT masked, n, need, field, lead, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM g
+), w AS (
+  SELECT masked, n, need, place, token, token <> '<*>' AND (place = field OR place > 3 AND sum(docs) OVER (PARTITION BY n, field, lead, place, token) < need) AS varies FROM t
+), x AS (
+  SELECT masked, n, need, string_agg(CASE WHEN varies THEN '<*>' ELSE token END, ' ' ORDER BY place) AS template,
+         count(*) FILTER (WHERE NOT varies AND token <> '<*>') AS constants, count(*) FILTER (WHERE varies) AS fields FROM w GROUP BY masked, n, need
+), v AS (
+  SELECT * FROM x WHERE constants >= 0.5 * n AND fields <= 0.2 * n
+), r AS (
+  SELECT template, need, min(doc_id) AS first FROM v JOIN d USING (masked) GROUP BY template, need HAVING count(DISTINCT doc_id) >= need
+), y AS (
+  SELECT m.*, z.first IS NOT NULL AND m.doc_id <> z.first AS gone FROM m LEFT JOIN (SELECT v.masked, r.first FROM v JOIN r USING (template)) z ON m.masked = z.masked
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
-FROM k GROUP BY doc_id
+FROM y GROUP BY doc_id
 """
