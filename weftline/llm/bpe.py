@@ -10,15 +10,16 @@ The slices between boundaries go through a bounded cache to greedy lowest-rank p
 from __future__ import annotations
 
 import base64
-import unicodedata
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from weftline.llm.common import slices, small_batches, text_or_empty
+from weftline.llm.common import BOX, boxed, slices, small_batches, text_or_empty, unboxed
 
 SEP, LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE_RUN, WHITE_LAST, WHITE_RUN = range(10)
 FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, PENDING, IN_WHITE, TWO_LEFT, ONE_LEFT = range(8)
@@ -28,6 +29,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 BLOCK = 256
 CACHE_ENTRIES = 250_000
+#: Bytes of a pre-token from which pairs are kept in a heap, and up to which it is worth a place in the cache.
+LONG_PIECE = 128
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -91,9 +94,19 @@ class Automaton:
 
 
 def _classes() -> np.ndarray:
-    """L, N, other or white space (SPACE_LAST for U+0020, else WHITE_LAST) of each codepoint."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    t = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
+    """L, N, other or white space (SPACE_LAST for U+0020, else WHITE_LAST) of each codepoint; surrogates are other.
+
+    Letters and numbers are asked once of the engine that reads the split pattern elsewhere, as Unicode versions differ
+    between engines; a driver asks, and tasks get the array.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    t = np.full(0x110000, OTHER, np.uint8)
+    for kind, name in ((LETTER, "L"), (NUMBER, "N")):
+        engine = tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}+", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = bytes(engine.encode_ordinary(every)).decode()  # what the pattern doesn't match is left out
+        t[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     t[WHITE] = WHITE_LAST
     t[0x20] = SPACE_LAST
     return t
@@ -102,9 +115,9 @@ def _classes() -> np.ndarray:
 _state: dict[str, object] = {}
 
 
-def _tables() -> tuple[Automaton, np.ndarray]:
+def _tables(classes: np.ndarray | None = None) -> tuple[Automaton, np.ndarray]:
     if "tables" not in _state:
-        _state["tables"] = Automaton(), _classes()
+        _state["tables"] = Automaton(), _classes() if classes is None else classes
     return _state["tables"]
 
 
@@ -139,9 +152,15 @@ def boundaries(texts: list[str]) -> tuple[bytes, np.ndarray]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: repeatedly joins the adjacent pair of lowest rank, the leftmost on ties."""
+    """Ids of one pre-token: repeatedly joins the adjacent pair of lowest rank, the leftmost on ties.
+
+    A short one by a list of its pairs; a long one by a heap of pairs over linked parts, so that a run of letters without
+    end takes n log n steps.
+    """
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) > LONG_PIECE:
+        return _merge_long(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
     far = 1 << 60
     pairs = [ranks.get(a + b, far) for a, b in zip(parts, parts[1:])]
@@ -159,6 +178,30 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    n = len(piece)
+    stop = list(range(1, n + 1))  # of the part that starts here
+    before = list(range(-1, n - 1))
+    alive = bytearray(b"\1") * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        mid = stop[i]
+        if not alive[i] or mid >= n or stop[mid] != end:
+            continue  # one of the two has been joined to another since
+        stop[i] = end
+        alive[mid] = 0
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(piece[i : stop[end]])) is not None:
+                heapq.heappush(heap, (r, i, stop[end]))
+        left = before[i]
+        if left >= 0 and (r := ranks.get(piece[left:end])) is not None:
+            heapq.heappush(heap, (r, left, end))
+    return [ranks[piece[i : stop[i]]] for i in range(n) if alive[i]]
+
+
 class _Cache(dict):
     """Pre-token to its packed ids; emptied when full, so memory is bounded whatever the vocabulary."""
 
@@ -166,9 +209,11 @@ class _Cache(dict):
         self.ranks = ranks
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[piece] = got = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        got = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = got
         return got
 
 
@@ -177,30 +222,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-
 def _encoder(shared, key: str) -> _Cache:
     if _state.get("key") != key:
-        _state["key"], _state["cache"] = key, _Cache(shared.value)
+        _state["key"], _state["cache"] = key, _Cache(shared.value[0])
+        _tables(shared.value[1])
     return _state["cache"]
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
-    """keep columns + ids (BINARY, little-endian uint32), as ordinary text without special tokens.
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """All columns + ids (BINARY, little-endian uint32), as ordinary text without special tokens.
 
     offsets adds piece_ends (BINARY, little-endian uint32): byte offsets at which the pre-tokens end.
-    A null or empty text gives no ids. Rows are independent: copies, ties and extra columns change nothing; an empty
-    table gives an empty result. No shuffle; memory is one batch and a bounded cache.
+    A null or empty text gives no ids; a very long text is encoded whole, in one pass over its classes, and a very long
+    pre-token in n log n steps. Rows are independent: copies and ties change nothing; an input column named like an output
+    is replaced, other names never clash; an empty table gives an empty result. No shuffle; memory is one batch and a
+    bounded cache.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_ranks(ranks_path))  # a fixed vocabulary, about 50,000 entries
-    rows = small_batches(docs).select(*keep, text_or_empty(text_col).alias("_bpe_text"))
-    extra = ", piece_ends binary" if offsets else ""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", ids binary" + extra
+    shared = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), _tables()[1]))  # a fixed vocabulary, and a byte a codepoint
+    rows = small_batches(docs).select(boxed(docs), text_or_empty(text_col).alias("_text"))
+    made = ["ids", *["piece_ends"] * offsets]
+    schema = StructType([rows.schema[BOX], *(StructField(c, BinaryType()) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _encoder(shared, ranks_path)
         for batch in batches:
-            col = batch.column("_bpe_text")
+            col = batch.column("_text")
             sizes = np.asarray(pa.compute.binary_length(col))
             for i, j in slices(sizes):
                 texts = col.slice(i, j - i).to_pylist()
@@ -209,34 +255,34 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple
                 pieces = [buf[a:b] for a, b in zip(bounds, bounds[1:])]
                 row_start = np.concatenate([[0], np.cumsum(sizes[i:j] + 1)])
                 first = np.searchsorted(at, row_start)
-                ids = [b"".join(map(cache.__getitem__, pieces[a : b - 1])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                out = [batch.column(c).slice(i, j - i) for c in keep] + [pa.array(ids, pa.binary())]
+                out = [batch.column(BOX).slice(i, j - i), pa.array([b"".join(map(cache.__getitem__, pieces[a : b - 1])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())]
                 if offsets:
                     out.append(pa.array([(at[a + 1 : b] - s).astype("<u4").tobytes() for a, b, s in zip(first[:-1], first[1:], row_start)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, [*keep, "ids", *["piece_ends"] * offsets])
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return unboxed(rows.mapInArrow(run, schema), docs, {c: F.col(c) for c in made})
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns + out_col (BINARY): the bytes that the packed ids stand for. Null ids give an empty value.
 
-    The vocabulary is one buffer with offsets; a batch of ids is decoded by gathering its byte ranges at once.
+    The vocabulary is one buffer with offsets; a batch of ids is decoded by gathering its byte ranges at once. Columns,
+    copies and empty tables as in encode.
     """
     vocab = sorted((r, t) for t, r in load_ranks(ranks_path).items())
     table = [b""] * (vocab[-1][0] + 1)
     for r, t in vocab:
         table[r] = t
     shared = encoded.sparkSession.sparkContext.broadcast(table)
-    names = encoded.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + f", `{out_col}` binary"
+    rows = small_batches(encoded).select(boxed(encoded), F.col(ids_col).alias("_ids"))
+    schema = StructType([rows.schema[BOX], StructField("_bytes", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.fromiter(map(len, shared.value), np.int64, len(shared.value))
         offset = np.cumsum(width) - width
         vocab_bytes = np.frombuffer(b"".join(shared.value), np.uint8)
         for batch in batches:
-            packed = [x or b"" for x in batch.column(ids_col).to_pylist()]
+            packed = [x or b"" for x in batch.column("_ids").to_pylist()]
             for i, j in slices(np.fromiter(map(len, packed), np.int64, len(packed))):
                 ids = np.frombuffer(b"".join(packed[i:j]), "<u4")
                 w = width[ids]
@@ -245,10 +291,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
                 data = vocab_bytes[np.arange(total) + np.repeat(offset[ids] - (ends - w), w)].tobytes()
                 stops = np.cumsum([len(p) // 4 for p in packed[i:j]])
                 cuts = np.concatenate([[0], ends])[np.concatenate([[0], stops])].tolist()
-                out = [batch.column(c).slice(i, j - i) for c in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*out, pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], [*names, out_col])
+                yield pa.RecordBatch.from_arrays([batch.column(BOX).slice(i, j - i), pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return unboxed(rows.mapInArrow(run, schema), encoded, {out_col: F.col("_bytes")})
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
@@ -257,7 +302,8 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from weftline.llm.common import table
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = decode(encode(docs, path).drop("text"), path)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
