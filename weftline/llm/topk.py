@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from weftline.llm.common import reliable, table
 
 #: Queries of one block; their vectors and score bounds are all that is ever broadcast.
-QUERY_BLOCK = 4_096
-#: Bins into which each round splits the range that holds a query's kth score.
-BINS = 1_024
+QUERY_BLOCK = 65_536
+#: Bins into which each round splits the range that holds a query's kth score: so many of all queries, each some.
+ALL_BINS, LEAST_BINS, MOST_BINS = 4_000_000, 64, 1_024
+#: Scores are 64-bit; the histograms' range ends here, and what lies beyond counts in its outermost bins.
+FAR = 1 << 61
 #: Scores computed at a time in a task.
 CELLS = 4_000_000
 
@@ -45,7 +47,7 @@ def _scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndar
     most_q = int(np.abs(queries).max(initial=0))
     for batch in batches:
         vec_id, q = np.asarray(batch.column("vec_id")), _matrix(batch.column("q"), queries.shape[1])
-        bound = most_q * int(np.abs(q).max(initial=0)) * max(1, queries.shape[1])
+        bound = most_q * int(np.abs(q).max(initial=0)) * max(1, queries.shape[1])  # a Python number: it can pass 64 bits
         kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64  # exact in each case
         right = queries.T.astype(kind)
         step = max(1, CELLS // max(1, len(ids)))
@@ -53,28 +55,29 @@ def _scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndar
             yield vec_id[i : i + step], (q[i : i + step].astype(kind) @ right).astype(np.int64), vec_id[i : i + step, None] == ids[None, :]
 
 
-def _top_bins(low: np.ndarray, high: np.ndarray, width: np.ndarray, need: np.ndarray, ids: np.ndarray, queries: np.ndarray):
+def _top_bins(low: np.ndarray, high: np.ndarray, width: np.ndarray, need: np.ndarray, bins: int, ids: np.ndarray, queries: np.ndarray):
     """A task's share of the histograms: for each query the bins from the top down to its own need-th score.
 
     Lower bins can't hold the global kth score, so leaving them out changes nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros((len(ids), BINS), np.int64)
+        hist = np.zeros((len(ids), bins), np.int64)
         floor = low.copy()
         for _, s, own in _scores(batches, ids, queries):
+            np.clip(s, -FAR, FAR, out=s)
             ok = (s >= floor[None, :]) & ~own
             c, j = np.nonzero(ok)
             if not len(c):
                 continue
             b = (s[c, j] - low[j]) // width[j]
-            inside = (b < BINS) & (s[c, j] < high[j])
+            inside = (b < bins) & (s[c, j] < high[j])
             np.add.at(hist, (j[inside], b[inside]), 1)
             touched = np.unique(j)
             tail = np.cumsum(hist[touched, ::-1], axis=1) >= need[touched, None]
-            kth = np.where(tail.any(axis=1), BINS - 1 - tail.argmax(axis=1), 0)
+            kth = np.where(tail.any(axis=1), bins - 1 - tail.argmax(axis=1), 0)
             floor[touched] = np.maximum(floor[touched], low[touched] + kth * width[touched])
-        keep = hist * (low[:, None] + np.arange(BINS) * width[:, None] >= floor[:, None])
+        keep = hist * (low[:, None] + np.arange(bins) * width[:, None] >= floor[:, None])
         j, b = np.nonzero(keep)
         yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(keep[j, b])], ["j", "bin", "n"])
 
@@ -83,11 +86,12 @@ def _top_bins(low: np.ndarray, high: np.ndarray, width: np.ndarray, need: np.nda
 
 def _block(cands: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, span: tuple[int, int]) -> DataFrame:
     n = len(ids)
+    bins = min(MOST_BINS, max(LEAST_BINS, ALL_BINS // n))
     low, need = np.full(n, span[0], np.int64), np.full(n, k, np.int64)
-    width = np.full(n, max(1, -(-(span[1] - span[0] + 1) // BINS)), np.int64)
-    high = low + width * BINS
+    width = np.full(n, max(1, -(-(span[1] - span[0] + 1) // bins)), np.int64)
+    high = low + width * bins
     while True:
-        part = cands.mapInArrow(_top_bins(low, high, width, need, ids, queries), "j int, bin int, n long")
+        part = cands.mapInArrow(_top_bins(low, high, width, need, bins, ids, queries), "j int, bin int, n long")
         w = Window.partitionBy("j").orderBy(F.desc("bin"))
         bounds = F.broadcast(cands.sparkSession.createDataFrame([(int(j), int(x)) for j, x in enumerate(need)], "j int, need long"))  # QUERY_BLOCK rows
         totals = part.groupBy("j", "bin").agg(F.sum("n").alias("n")).withColumn("above", F.sum("n").over(w) - F.col("n")).join(bounds, "j")
@@ -98,7 +102,7 @@ def _block(cands: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, span:
         high = low + width
         if (width == 1).all():
             break
-        width = np.maximum(1, -(-width // BINS))
+        width = np.maximum(1, -(-width // bins))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All scores above the kth; of those equal to it the k smallest ids of this task, which hold the global ones."""
@@ -119,8 +123,8 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both frames hold vec_id BIGINT and q ARRAY<BIGINT> (see quantised). A candidate with the query's id is left out.
     Queries go in blocks of QUERY_BLOCK; each block is broadcast, scores all candidates once a round, and narrows the
-    range of every query's kth score BINS-fold from global histograms until it is one integer. Only rows at or above it
-    leave the tasks. Equal query ids count once (the smallest vector). Empty inputs give an empty result.
+    range of every query's kth score many-fold from global histograms until it is one integer. Only rows at or above it
+    leave the tasks. Scores must fit 64 bits. Equal query ids count once (the smallest vector). Empty inputs give an empty result.
     """
     spark = candidates.sparkSession
     top = candidates.select(F.max(F.array_max(F.transform("q", lambda x: F.abs(x)))), F.max(F.size("q"))).first()
@@ -128,12 +132,12 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if top[0] is None:
         return spark.createDataFrame([], schema)
     one = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    n_blocks = -(-one.count() // QUERY_BLOCK)
+    n = one.count()
+    n_blocks = -(-n * 5 // (4 * QUERY_BLOCK)) if n > QUERY_BLOCK else min(n, 1)  # hashed, so filled to four fifths
     parts = []
     if n_blocks:
-        block_of = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, round(n_blocks * 1.2) if n_blocks > 1 else 1)))
-        blocks = one.withColumn("_block", block_of)
-        for b in range(1 if n_blocks == 1 else max(1, round(n_blocks * 1.2))):
+        blocks = reliable(one.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))))
+        for b in range(n_blocks):
             rows = sorted((r["vec_id"], r["q"]) for r in blocks.filter(F.col("_block") == b).select("vec_id", "q").collect())
             if not rows:
                 continue
@@ -141,7 +145,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             ids = np.array([v for v, _ in rows], np.int64)
             q = np.array([x + [0] * (width - len(x)) for _, x in rows], np.int64).reshape(len(rows), width)
             most = int(top[0]) * int(np.abs(q).max(initial=0)) * width
-            part = _block(candidates, ids, q, k, (-most, most))
+            part = _block(candidates, ids, q, k, (-min(most, FAR), min(most, FAR)))
             parts.append(reliable(part) if n_blocks > 1 else part)
     if not parts:
         return spark.createDataFrame([], schema)
