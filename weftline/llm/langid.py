@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from weftline.llm.common import crc_bucket, each_text, small_batches, table, text_or_empty
+from weftline.llm.common import BOX, boxed, crc_bucket, each_text, small_batches, table, text_or_empty, unboxed
 
 #: The bounded sample of labelled rows that fits the dictionaries: about ROWS rows a language, SNIPPETS pieces of
 #: SNIPPET_CHARS characters spread over the whole of each, and DICT_BYTES of them a dictionary.
@@ -21,25 +22,26 @@ MIN_MARGIN = 0.002
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 7) -> list[tuple[str, bytes]]:
-    """(language, dictionary) pairs, the most frequent language first.
+    """(language, dictionary) pairs, the language with the most different texts first.
 
-    Rows with a null text or language are left out. The sample is the rows whose content hash lies below a threshold set
-    from each language's count, so it doesn't grow with the table.
+    Rows with a null text or language are left out, and a text's copies count once. The sample is the texts whose hash
+    lies below a threshold set from each language's count of different texts, so it doesn't grow with the table; the
+    bound on its pieces holds for each language by itself.
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = sorted(((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("h"))
+    counts = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()), key=lambda x: (-x[1], x[0]))
     if not counts:
         return []
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, ROWS / n)))])
-    drawn = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    drawn = rows.filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).dropDuplicates(["lang", "h"])
     step = F.greatest(F.lit(SNIPPET_CHARS), F.floor(F.length("text") / SNIPPETS))
     starts = F.sequence(F.lit(0), F.least(F.lit(SNIPPETS - 1), F.floor(F.length("text") / step)))
     pieces = drawn.select("lang", "h", F.explode(F.transform(starts, lambda i: F.substr("text", (i * step + 1).cast("int"), F.lit(SNIPPET_CHARS)))).alias("piece"))
-    held: dict[str, list[str]] = {lang: [] for lang, _ in counts}
-    order = pieces.orderBy(F.xxhash64("piece", "h"), "piece").limit(2 * ROWS * SNIPPETS * len(counts))
-    for r in order.collect():
-        held[r["lang"]].append(r["piece"].lower())
-    return [(lang, "".join(v).encode()[:DICT_BYTES]) for lang, v in held.items() if v]
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("piece", "h"), "piece"))
+    held: dict[str, list[tuple[int, str]]] = {lang: [] for lang, _ in counts}
+    for r in pieces.withColumn("at", order).filter(F.col("at") <= 2 * ROWS * SNIPPETS).select("lang", "at", "piece").collect():
+        held[r["lang"]].append((r["at"], r["piece"].lower()))
+    return [(lang, "".join(p for _, p in sorted(v)).encode()[:DICT_BYTES]) for lang, v in held.items() if v]
 
 
 def _compressors(dictionaries: list[tuple[str, bytes]]) -> list[zstandard.ZstdCompressor]:
@@ -64,21 +66,20 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
     The language with the smallest size wins; on equal sizes the one more frequent in training. The score is the best
     size's share of lead: with sizes b <= s of the best two, b's weight under a Gibbs distribution over sizes relative
     to the text. Rejected: a margin (s - b) / s under min_margin. A text that is null or has no letter is `und` with
-    score 0 and rejected; without dictionaries every text is. No shuffle; rows are independent.
+    score 0 and rejected; without dictionaries every text is. Very long texts are read whole, in blocks. Rows are
+    independent, so ties and repeated rows change nothing; input columns named like an output are replaced, other names
+    never clash; an empty table gives an empty result. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # languages * DICT_BYTES
-    names = docs.columns
-    mine = [n for n in ("lang_pred", "lang_score", "lang_rejected") if n in names]
-    kept = [n for n in names if n not in mine]
-    rows = small_batches(docs).select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_lid_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, lang_score double, lang_rejected boolean"
+    rows = small_batches(docs).select(boxed(docs), text_or_empty(text_col).alias("_text"))
+    schema = StructType([rows.schema[BOX], StructField("pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = [x for x, _ in shared.value]
         compressors = _compressors(shared.value)
         for batch in batches:
             pred, score, rejected = [], [], []
-            for text in map(bytes.decode, each_text(batch, "_lid_text")):
+            for text in map(bytes.decode, each_text(batch, "_text")):
                 if not compressors or not any(map(str.isalpha, text)):
                     pred.append("und"), score.append(0.0), rejected.append(True)
                     continue
@@ -90,10 +91,9 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
                 pred.append(langs[best])
                 score.append(float(1.0 / np.exp(-50.0 * rel).sum()))
                 rejected.append(margin < min_margin)
-            out = [batch.column(c) for c in range(len(kept))] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(out, [*kept, "lang_pred", "lang_score", "lang_rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(BOX), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return unboxed(rows.mapInArrow(run, schema), docs, {"lang_pred": F.col("pred"), "lang_score": F.col("score"), "lang_rejected": F.col("rejected")})
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
