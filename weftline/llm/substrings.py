@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegralType, LongType, StructField, StructType
 
+from weftline.functions.lineage import ordered_index
 from weftline.llm import common
-from weftline.llm.common import mix, slices, table, text_or_empty, texts, whole_groups
+from weftline.llm.common import BOX, ROWS_AT_ONCE, boxed, mix, slices, small_batches, table, text_or_empty, texts, unboxed, whole_groups
 
 #: Longer grams repeat by chance less often, at the cost of more anchors; half the length at most.
 GRAM = 32
@@ -249,50 +251,60 @@ def _settle(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _cut(length: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, spans = [], []
-        for text, runs in zip(batch.column("_bytes").to_pylist(), batch.column("_runs").to_pylist()):
-            merged: list[list[int]] = []
-            for r in sorted((r["first"], r["last"] + length) for r in runs or ()):
-                if merged and r[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], r[1])
-                else:
-                    merged.append(list(r))
-            at, parts = 0, []
-            for a, b in merged:
-                parts.append(text[at:a])
-                at = b
-            parts.append(text[at:])
-            kept.append(b"".join(parts))
-            spans.append([{"first": a, "last": b} for a, b in merged])
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), pa.array(spans, kind)], [*names, "kept", "removed"])
+    for whole in batches:
+        for at_row in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at_row, ROWS_AT_ONCE)
+            kept, spans = [], []
+            for text, runs in zip(batch.column("_bytes").to_pylist(), batch.column("_runs").to_pylist()):
+                merged: list[list[int]] = []
+                for r in sorted((r["first"], r["last"] + length) for r in runs or ()):
+                    if merged and r[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], r[1])
+                    else:
+                        merged.append(list(r))
+                at, parts = 0, []
+                for a, b in merged:
+                    parts.append(text[at:a])
+                    at = b
+                parts.append(text[at:])
+                kept.append(b"".join(parts))
+                spans.append([{"first": a, "last": b} for a, b in merged])
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), pa.array(spans, kind)], [*names, "kept", "removed"])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """[id_col, n_bytes BIGINT, kept BINARY, removed ARRAY<STRUCT<first, last>>]: each text without the removed byte spans
-    [first, last).
+    """All columns but text_col + n_bytes BIGINT, kept BINARY, removed ARRAY<STRUCT<first, last>>: each text without the
+    removed byte spans [first, last).
 
     A byte goes if a string of length bytes over it also starts earlier: in a document of smaller id, or earlier in its
-    own. Null ids come last; among texts with one id a content hash decides, and rows equal in id and text count as one
-    document, so each gets the same result. Null and short texts keep all. An empty table gives an empty result.
-    Anchors that occur once are never shuffled; of equal surroundings one goes out of each run of documents; texts are
-    shuffled once, to meet their spans.
+    own. Ids can be of any type that has an order. Null ids come last; among texts with one id a content hash decides, and
+    rows equal in id and text count as one document, so each gets the same result. Null and short texts keep all; very
+    long ones are read whole. Input columns named like an output are replaced, other names never clash. An empty table
+    gives an empty result. Anchors that occur once are never shuffled; of equal surroundings one goes out of each run of
+    documents; texts are shuffled once, to meet their spans.
     """
-    rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
-    rows = rows.withColumn("_key", F.xxhash64(F.col(id_col), F.lit("/"), "_text")).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
+    box = docs.select(boxed(docs, text_col), F.col(id_col).alias("_own"), text_or_empty(text_col).alias("_text"))
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        rows = box.withColumn("_id", F.coalesce(F.col("_own").cast("long"), F.lit(_LAST)))
+    else:  # their rank stands for them
+        ranks = ordered_index(docs.select(F.col(id_col).alias("_own")).filter("_own IS NOT NULL").distinct(), F.col("_own"), name="_id")
+        rows = box.join(ranks, "_own", "left").withColumn("_id", F.coalesce("_id", F.lit(_LAST)))
+    rows = small_batches(rows).withColumn("_key", F.xxhash64("_own", F.lit("/"), "_text"))
     read = rows.select("_id", "_key", "_text")
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(read.select("_text"), length))  # 2 ** SIEVE_BITS / 4 bytes
     shipped = read.mapInArrow(partial(_ship, sieve, length), "shard long, doc_id long, key long, start long, n long, around binary")
     later = shipped.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(_settle, length), "doc_id long, key long, first long, last long")
     runs = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("_runs")).withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
-    joined = rows.join(runs, ["_id", "_key"], "left").select(id_col, F.octet_length("_text").cast("long").alias("n_bytes"), F.col("_text").cast("binary").alias("_bytes"), "_runs")
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, kept binary, removed array<struct<first:bigint,last:bigint>>"
-    return joined.mapInArrow(partial(_cut, length, [id_col, "n_bytes"]), schema)
+    joined = rows.join(runs, ["_id", "_key"], "left").select(BOX, F.octet_length("_text").cast("long").alias("n_bytes"), F.col("_text").cast("binary").alias("_bytes"), "_runs")
+    span = ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())]))
+    schema = StructType([*joined.schema.fields[:2], StructField("kept", BinaryType()), StructField("removed", span)])
+    out = joined.mapInArrow(partial(_cut, length, [BOX, "n_bytes"]), schema)
+    return unboxed(out, docs, {c: F.col(c) for c in ("n_bytes", "kept", "removed")}, text_col)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
         "n_bytes",
