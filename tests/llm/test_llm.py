@@ -52,10 +52,30 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs, odd):
         assert bytes(r["decoded"]) == text.encode()
         ends = [int.from_bytes(r["piece_ends"][i : i + 4], "little") for i in range(0, len(r["piece_ends"]), 4)]
         assert not text or ends[-1] == len(text.encode())
+    every = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000)]]
+    for at in range(0, len(every), 8000):  # every codepoint beside letters and digits
+        text = "".join(f"a{c}a1{c}1 " for c in every[at : at + 8000])
+        buf, cuts = bpe.boundaries([text])
+        ids = [x for a, b in zip(cuts[:-2].tolist(), cuts[1:-1].tolist()) for x in bpe.merge(buf[a:b], theirs._mergeable_ranks)]
+        assert ids == theirs.encode_ordinary(text)
+    for n in (129, 700):
+        piece = "".join(rng.choice("etaoinshr") for _ in range(n))
+        assert bpe.merge(piece.encode(), theirs._mergeable_ranks) == theirs.encode_ordinary(piece)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    assert bytes(bpe.decode(bpe.encode(spark.createDataFrame([(long, "x")], "text string, ids string"), path), path).first()["decoded"]) == long.encode()
     assert bpe.encode(odd.filter("false"), path).count() == 0 and bpe.encode(odd, path).count() == len(ODD)
 
 
 def test_best_fit_decreasing():
+    tree, plain, rng = sharding.RemainingTree(), {}, random.Random(2)
+    for _ in range(3000):
+        b, new = rng.randrange(60), rng.randrange(40)
+        tree.move(b, plain.get(b), new)
+        plain[b] = new
+        size = rng.randrange(45)
+        assert tree.tightest(size) == min(((r, x) for x, r in plain.items() if r >= size), default=(0, None))[1]
+        assert tree.emptiest() == min((-r, x) for x, r in plain.items())[1]
+    assert tree.root.height <= 9
     got = sharding.best_fit_decreasing([("a", 5), ("b", 4), ("c", 3), ("d", 2), ("e", 2)], 8)
     assert sorted(got.loads) == [8, 8] and got.bin_of["a"] == got.bin_of["c"]
 
@@ -72,6 +92,9 @@ def test_sharding(spark, docs, odd):
     assert (by["size"] == by.text.str.encode("utf-8").str.len() + 1).all() and (by.text_crc32 == [zlib.crc32(t.encode()) for t in by.text]).all()
     few = sharding.shard_by_size(odd, F.octet_length(F.coalesce("text", F.lit(""))) + 1, F.col("text"), [F.col("doc_id"), F.col("text")], capacity=4000).collect()
     assert len(few) == len(ODD) and {r["shard"] for r in few} <= {0, 1, 2}
+    many = spark.range(30_000).select(F.col("id").alias("shard"), (F.col("id") % 9 + 2).alias("n"))
+    loads = sharding.shard_by_size(many, F.col("n"), F.col("shard"), [F.col("shard")], capacity=20).groupBy("shard").agg(F.sum("n").alias("n")).toPandas().n
+    assert loads.max() <= 20 and len(loads) <= 1.01 * 30_000 * 6 / 20
     assert sharding.shard_by_size(odd.filter("false"), F.lit(1), F.col("text"), [F.col("doc_id")], n_shards=2).count() == 0
 
 
@@ -82,6 +105,23 @@ def test_top_k_ties_nulls_and_few(spark):
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (50, 1, 0, 32768), (50, 2, 1, 32768)]
     assert topk.exact_top_k(c.filter("false"), c, 2).count() == 0 and topk.exact_top_k(c, c.filter("false"), 2).count() == 0
     assert topk.exact_top_k(c, c.filter("vec_id = 0"), 9).count() == 4
+    wide = topk.quantised(spark.createDataFrame([(0, [1e8]), (1, [1.0]), (2, [-1e8]), (3, [0.5])], "vec_id long, v array<double>"), "vec_id", "v")
+    assert [tuple(r)[2:] for r in topk.exact_top_k(wide, wide.filter("vec_id = 1"), 3).orderBy("rank").collect()] == [(0, 256 * 25_600_000_000), (3, 256 * 128), (2, -256 * 25_600_000_000)]
+
+
+@pytest.mark.parametrize("scale", [256, 1 << 20, 1 << 28])  # scores in float32, float64 and int64
+def test_top_k_in_many_blocks(spark, scale, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(scale)
+    v = rng.integers(-3, 4, (200, 5)) / 4
+    c = topk.quantised(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>"), "vec_id", "v", scale)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(c, c.filter("vec_id % 3 = 0"), 4).collect()}
+    q = np.floor(v * scale).astype(np.int64)
+    want = {}
+    for i in range(0, 200, 3):
+        best = sorted((-int(q[i] @ q[j]), j) for j in range(200) if j != i)[:4]
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(best)}
+    assert got == want
 
 
 def test_language_accuracy(spark, docs, odd):
@@ -98,7 +138,9 @@ def test_line_dedup_rows(spark, odd):
     rows = [(i, f"Page {i} of 9\nown text {'abcdefghijklmnopqrstuvwxyz'[i]} here") for i in range(25)]
     got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0]["text"].startswith("Page") and all(got[i]["text"] == rows[i][1].split("\n")[1] for i in range(1, 25))
-    assert lines.templates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
+    words = [(i, f"hello and also {'abcdefghijklmnopqrstuvwxyz'[i]}x world common text\nits own {i % 3}") for i in range(26)]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(words, "doc_id long, text string").repartition(4)).collect()}
+    assert got[0]["n_dropped"] == 0 and all(got[i]["n_dropped"] == 2 for i in range(1, 26))  # one differing word is a field
     few = lines.dedup_lines(odd, min_docs=2).collect()
     assert len(few) == len(ODD) and lines.dedup_lines(odd.filter("false")).count() == 0
 
@@ -158,6 +200,9 @@ def test_main_text():
     page = """<html><head><title>T</title><script>var a="</p><article>x";</script></head><body><div class="cookie-notice">We use cookies</div><nav><a href=x>Home</a></nav>
     <article><h1>Head &amp; line</h1><p>One   two<b>three</b><br>four<p>five &lt;six&gt;<div class="ad">Buy!</div><p>seven</p><form><input>mail</form><section id="comments"><p>Nice!</p></section></article><aside>side</aside><footer>&copy;</footer></body></html>"""
     assert html.main_text(page) == "Head & line\nOne twothree\nfour\nfive <six>\nseven"
+    assert html.main_text('<article><p class="ad">Buy<p>Body stays</article>') == "Body stays" and html.main_text("<ul><li class=ad>x<li>Body of a list item</ul>") == "Body of a list item"
+    assert html.main_text('<div class="page no-sidebar"><article><p class="share-price">Short<p>lines</article></div><div class=sidebar>no</div>') == "lines"
+    assert html.main_text('<main><h1>Head</h1><article class="comment">no</article><p>a' + " very" * 200_000 + "</main>").count("very") == 200_000
     plain = "<div><a href=a>Menu one</a> <a href=b>Menu two</a></div><div>" + "Body text of some length here. " * 5 + "</div><div>tail line</div><hr><div><a href=c>more</a></div>"
     assert html.main_text(plain).startswith("Body text") and "Menu" not in html.main_text(plain)
     assert html.main_text("") == "" and html.main_text("<p></p>") == "" and html.main_text("a < b") == "a < b"
@@ -190,6 +235,33 @@ def test_lm_base_and_gain(spark, docs, odd):
     assert all(r["base_score"] == pytest.approx(0) for r in lm.score(odd.filter("doc_id = 1"), model, vocab).collect())
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
+    model, vocab = lm.fit(df)
+    n = len(model.words)
+    assert n > 100 and np.abs(model.class_weights).max() > 0.1 and np.abs(model.group_weights).max() > 0.1
+    w = np.arange(n + 2)  # every head word, the tail as a whole, the end
+    for one, two in ((n + 2, n + 2), (0, n + 2), (3, 17), (n, 2)):
+        log_p = model.log_probabilities(w, np.full(n + 2, one), np.full(n + 2, two))
+        assert (10**log_p).sum() == pytest.approx(1, abs=1e-4)
+    rare = vocab.filter(F.col("c") < lm.HEAD_COUNT).count()
+    tail = vocab.filter(F.col("c") < lm.HEAD_COUNT).agg(F.sum("c")).first()[0]
+    assert tail + lm.SMOOTH * (rare + 1) == pytest.approx(model.tail_total)  # known tail words and one unknown share the tail
+
+
+def test_lm_scores_by_hand(spark):
+    df = spark.createDataFrame([(i, f"a b{i % 4} c{i % 7} a a") for i in range(60)] + [(99, "z" * 100), (98, None)], "doc_id long, text string")
+    model, vocab = lm.fit(df)
+    got = {r["doc_id"]: r for r in lm.score(df, model, vocab).collect()}
+    ids = {w: i for i, w in enumerate(model.words)}
+    n = len(ids)
+    w = np.array([*[ids[x] for x in b"a b1 c1 a a".split()], n + 1])
+    one, two = lm.contexts(w, n + 1, n + 2)
+    assert list(one) == [n + 2, *w[:5]] and list(two) == [n + 2, n + 2, *w[:4]]
+    assert got[1]["score"] == pytest.approx(model.log_probabilities(w, one, two).sum(), rel=1e-6) and got[1]["n_known"] == 6
+    assert got[99]["n_known"] == 2 and got[98]["n_tokens"] == 1
+
+
 def brute_substrings(rows, k=100):
     seen, out = set(), {}
     for i, t in sorted(rows):
