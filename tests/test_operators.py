@@ -30,7 +30,7 @@ def test_empty_window_counts_as_a_step(spark):
     edges = spark.createDataFrame([(1, 2, 0), (2, 3, 5), (1, 2, 25)], "src long, dst long, ts long")
     got = sorted(temporal.weighted_series(temporal.global_entropy(temporal.snapshots(edges, 10))).collect())
     assert [r["w"] for r in got] == [0, 1, 2] and got[1]["h"] == 0
-    assert got[2]["dtwre"] == pytest.approx(got[0]["h"] * 2.718281828459045 ** -2.4)
+    assert got[2]["weighted_h"] == pytest.approx(got[0]["h"] * 2.718281828459045 ** -2.4)
 
 
 def test_bursts(spark):

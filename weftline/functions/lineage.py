@@ -24,3 +24,15 @@ def ordered_index(df: DataFrame, *order: Column, name: str = "idx") -> DataFrame
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")  # one row a partition
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return parts.withColumn("_r", rank).join(before, "_p").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_p", "_r", "_before")
+
+
+def running_before(df: DataFrame, values: dict[str, Column], *order: Column) -> DataFrame:
+    """df + for each name the sum of its value over all rows before in the order: a range sort, sums in each partition, and offsets."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.withColumns({f"_v_{k}": v for k, v in values.items()})
+    parts = written(own.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = parts.groupBy("_p").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values]).select("_p", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in values])
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({k: F.coalesce(F.sum(f"_v_{k}").over(w), F.lit(0)) for k in values}).join(F.broadcast(starts), "_p")
+    return out.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in values}).drop("_p", *[f"_{x}_{k}" for x in "vb" for k in values])

@@ -35,14 +35,34 @@ def post_type(text: Column) -> Column:
     )
 
 
-def cleaned_words(text: Column, stop_words: list[str]) -> Column:
-    """Lower case; without links, www, mentions and tags, non-ASCII and non-letters; without stop words; single spaces."""
-    steps = [(r"http\S+", ""), (r"www\.\S+", ""), (r"(?U)[@#]\w+", ""), (r"[^\x00-\x7F]", ""), (r"[^a-z\s]", " ")]
-    bare = reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.lower(text))
+#: English stop words of the cleaning step (fixed values); those with an apostrophe can't occur after it.
+STOP_WORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she
+she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these
+those am is are was were be been being have has had having do does did doing a an the and but if or because as until while
+of at by for with about against between into through during before after above below to from up down in out on off over
+under again further then once here there when where why how all any both each few more most other some such no nor not
+only own same so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn
+couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn
+needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+""".split()
+
+
+def cleaned_words(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+    """Lower case; links, www, mentions, tags, non-ASCII and non-letters each become a blank; no stop words; single blanks."""
+    steps = [r"http\S+|www\.\S+", r"(?U)[@#]\w+", r"[^\x00-\x7F]+", r"[^a-z\s]"]
+    bare = reduce(lambda c, s: F.regexp_replace(c, s, " "), steps, F.lower(F.coalesce(text, F.lit(""))))
     words = F.filter(F.split(F.trim(F.regexp_replace(bare, r"\s+", " ")), " "), lambda w: (w != "") & ~w.isin(stop_words))
     return F.array_join(words, " ")
 
 
+def parsed_time(text: Column) -> Column:
+    """TIMESTAMP (UTC) of `Wed Oct 05 20:19:24 +0000 2011`, the same without zone, or `2011-10-05 20:19:24`; null otherwise."""
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3} ", "")
+    forms = ["MMM dd HH:mm:ss xx yyyy", "MMM dd HH:mm:ss yyyy", "yyyy-MM-dd HH:mm:ss"]
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
+
+
 def days_since(created: Column, reference: str) -> Column:
     """Whole days from created to the reference date, 0 if later, missing or unreadable."""
     seconds = F.unix_seconds(F.lit(reference).cast("timestamp")) - F.unix_seconds(created)

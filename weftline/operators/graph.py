@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("others"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """[node, rank] after a fixed number of iterations on directed simple edges; dangling mass spreads evenly."""
+def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """[node, rank, residual] on directed simple edges; dangling mass spreads evenly.
+
+    Iterates until the ranks' total change, the residual, is under tolerance times the number of nodes, or so many times.
+    """
     e = written(edges.select("src", "dst").distinct())
     nodes = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     n = nodes.count()
@@ -22,36 +27,43 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> D
     links = written(e.join(out, "src"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     heads = written(out.select(F.col("src").alias("node")))
+    residual = 0.0
     for _ in range(iterations):
         loose = ranks.join(heads, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         got = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        step = nodes.join(got, nodes["node"] == got["dst"], "left").join(F.broadcast(loose), how="cross")  # one row
-        ranks = written(step.select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")))
-    return ranks
+        step = ranks.join(got, ranks["node"] == got["dst"], "left").join(F.broadcast(loose), how="cross")  # one row
+        ranks = written(step.select("node", F.col("rank").alias("old"), ((1 - damping) / max(n, 1) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(n, 1))).alias("rank")))
+        residual = ranks.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()[0]
+        ranks = ranks.drop("old")
+        if residual < tolerance * n:
+            break
+    return ranks.withColumn("residual", F.lit(residual))
 
 
-def common_neighbours(edges: DataFrame) -> DataFrame:
+def common_neighbours(edges: DataFrame, max_degree: int | None = None, parts: int = 32) -> DataFrame:
     """[u, v, n, adamic_adar] of node pairs with a shared neighbour of degree over 1, on a symmetric simple graph.
 
-    The work is the sum of squared degrees, as the definition asks; hubs can be left out of edges beforehand.
+    The work is the sum of squared degrees, as the definition asks. A neighbour's links are dealt over parts on one side
+    and copied to them on the other, so a hub's pairs come from many tasks; max_degree leaves out larger hubs.
     """
-    deg = edges.groupBy("dst").agg(F.count("*").alias("d")).filter("d > 1")
-    a = edges.join(deg, "dst").select(F.col("src").alias("u"), F.col("dst").alias("m"), "d")
-    b = edges.select(F.col("src").alias("v"), F.col("dst").alias("m"))
-    return a.join(b, "m").filter("u < v").groupBy("u", "v").agg(F.count("*").alias("n"), F.sum(1 / F.ln("d")).alias("adamic_adar"))
+    deg = edges.groupBy("dst").agg(F.count("*").alias("d")).filter("d > 1" if max_degree is None else f"d > 1 AND d <= {max_degree}")
+    split = F.when(F.col("d") > 1_000, F.lit(parts)).otherwise(1)
+    linked = written(edges.join(deg, "dst").select(F.col("src").alias("n"), F.col("dst").alias("m"), "d", split.alias("split")))
+    a = linked.select(F.col("n").alias("u"), "m", "d", F.pmod(F.xxhash64("n"), F.col("split")).alias("part"))
+    b = linked.select(F.col("n").alias("v"), "m", F.explode(F.sequence(F.lit(0), F.col("split") - 1).cast("array<bigint>")).alias("part"))
+    return a.join(b, ["m", "part"]).filter("u < v").groupBy("u", "v").agg(F.count("*").alias("n"), F.sum(1 / F.ln("d")).alias("adamic_adar"))
 
 
 def cascade_depths(edges: DataFrame) -> DataFrame:
     """[item_id, node, depth] of nodes reachable from node 0: frontier joins; a node seen before isn't visited again."""
-    frontier = written(edges.select("item_id").distinct().select("item_id", F.lit(0).alias("node"), F.lit(0).alias("depth")))
-    seen, level = frontier, 0
-    while True:
-        level += 1
-        step = edges.join(frontier.select("item_id", F.col("node").alias("parent")), ["item_id", "parent"]).select("item_id", F.col("child").alias("node")).distinct()
-        frontier = written(step.join(seen, ["item_id", "node"], "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
-            return seen
-        seen = written(seen.unionByName(frontier))
+    edges = written(edges)
+    levels = [written(edges.select("item_id").distinct().select("item_id", F.lit(0).alias("node"), F.lit(0).alias("depth")))]
+    while not levels[-1].isEmpty():
+        last = levels[-1].select("item_id", F.col("node").alias("parent"))
+        step = edges.join(last, ["item_id", "parent"]).select("item_id", F.col("child").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, levels).select("item_id", "node")
+        levels.append(written(step.join(seen, ["item_id", "node"], "left_anti").withColumn("depth", F.lit(len(levels)))))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def _mean(rows: DataFrame, keys: list[str], weight: Column, total: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import running_before, written
 from weftline.functions.scalars import draw, ratio
 
 
@@ -38,8 +39,9 @@ def auc(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """[keys, auc]: exact area by the rank formula after grouping by score, ties counted half; null with one class."""
     keys = keys or []
     by = scores.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = by.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    below = running_before(by, {"below": F.col("n")}, *[F.col(k) for k in keys], F.col("score"))
+    if keys:
+        below = below.join(below.groupBy(*keys).agg(F.min("below").alias("_start")), keys).withColumn("below", F.col("below") - F.col("_start"))
     area = F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double"))
     return below.groupBy(*keys).agg(area.alias("auc")) if keys else below.agg(area.alias("auc"))
 
@@ -54,29 +56,32 @@ def binary(scores: DataFrame, threshold: float = 0.5, keys: list[str] | None = N
 
 def threshold_sweep(scores: DataFrame, steps: int = 91) -> DataFrame:
     """[t, f1, best]: F1 at 0.05 .. 0.95 and whether it is the first maximum."""
-    t = F.explode(F.sequence(F.lit(5), F.lit(4 + steps))).alias("t")
-    x = scores.groupBy("score", "label").agg(F.count("*").alias("n")).select("score", "label", "n", t)
-    hit, pos = F.col("score") >= F.col("t") / 100, F.col("label") == 1
-    c = x.groupBy("t").agg(*[F.sum(F.when(a, F.col("n")).otherwise(0)).alias(k) for k, a in (("tp", hit & pos), ("fp", hit & ~pos), ("fn", ~hit & pos))])
+    # every score falls in the bin of the highest threshold it reaches; running sums of so many bins give the counts
+    edges = F.array(*[F.lit(t / 100) for t in range(5, 5 + steps)])
+    reached = F.size(F.filter(edges, lambda e: e <= F.col("score")))
+    bins = scores.groupBy(reached.alias("bin"), "label").agg(F.count("*").alias("n"))
+    t = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("i")
+    x = bins.select("bin", "label", "n", t)  # at most 2 * (steps + 1) rows, each for steps thresholds
+    hit, pos = F.col("bin") >= F.col("i"), F.col("label") == 1
+    c = x.groupBy((F.col("i") + 4).alias("t")).agg(*[F.sum(F.when(a, F.col("n")).otherwise(0)).alias(k) for k, a in (("tp", hit & pos), ("fp", hit & ~pos), ("fn", ~hit & pos))])
     f = c.select("t", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
     first = f.agg(F.min_by("t", F.struct(-F.round("f1", 9), F.col("t"))).alias("b"))
     return f.join(F.broadcast(first), how="cross").select((F.col("t") / 100).alias("t"), "f1", (F.col("t") == F.col("b")).alias("best"))  # one row
 
 
 def roc(scores: DataFrame) -> DataFrame:
-    """[score, fpr, tpr] in falling score; one row a distinct score."""
+    """[score, fpr, tpr, fpr_before, tpr_before] in falling score; one row a distinct score, and the point before it."""
     by = scores.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    w = Window.orderBy(F.desc("score"))
     total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return by.join(F.broadcast(total), how="cross").select("score", (F.sum("n").over(w) / F.col("all_n")).alias("fpr"), (F.sum("p").over(w) / F.col("all_p")).alias("tpr"))
+    x = running_before(by, {"np": F.col("p"), "nn": F.col("n")}, F.desc("score")).join(F.broadcast(total), how="cross")  # one row
+    return x.select("score", ratio(F.col("nn") + F.col("n"), F.col("all_n")).alias("fpr"), ratio(F.col("np") + F.col("p"), F.col("all_p")).alias("tpr"), ratio(F.col("nn"), F.col("all_n")).alias("fpr_before"), ratio(F.col("np"), F.col("all_p")).alias("tpr_before"))
 
 
 def tpr_at(scores: DataFrame, fpr: float = 0.01) -> DataFrame:
     """[tpr]: linear interpolation on the ROC curve, from (0, 0)."""
-    w = Window.orderBy(F.desc("score"))
-    r = roc(scores).withColumn("f0", F.lag("fpr", 1, 0.0).over(w)).withColumn("t0", F.lag("tpr", 1, 0.0).over(w))
-    at = F.col("t0") + (F.col("tpr") - F.col("t0")) * ratio(fpr - F.col("f0"), F.col("fpr") - F.col("f0"))
-    return r.filter((F.col("fpr") > fpr) & (F.col("f0") <= fpr)).agg(F.max(at).alias("tpr"))
+    f0, t0 = F.col("fpr_before"), F.col("tpr_before")
+    at = t0 + (F.col("tpr") - t0) * ratio(fpr - f0, F.col("fpr") - f0)
+    return roc(scores).filter((F.col("fpr") > fpr) & (f0 <= fpr)).agg(F.max(at).alias("tpr"))
 
 
 def paired(diffs: DataFrame, floor: float = 0.02) -> DataFrame:
@@ -84,15 +89,16 @@ def paired(diffs: DataFrame, floor: float = 0.02) -> DataFrame:
     differences, else the normal approximation; all zero gives p = 1. Zero differences are dropped from the test."""
     base = diffs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count_if(F.col("d") > 0).alias("wins"))
     by = diffs.filter("d <> 0").groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
-    ranked = by.withColumn("rank", F.sum("k").over(Window.orderBy("a")) - (F.col("k") - 1) / 2)
-    s = ranked.agg(F.sum("k").alias("m"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * F.col("k")).alias("all"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"), F.flatten(F.collect_list(F.array_repeat("rank", F.col("k").cast("int")))).alias("ranks"))
-    got = s.select("m", "wp", "all", "ties", "ranks").first()
+    ranked = written(running_before(by, {"lower": F.col("k")}, F.col("a")).withColumn("rank", F.col("lower") + (F.col("k") + 1) / 2))
+    s = ranked.agg(F.sum("k").alias("m"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * F.col("k")).alias("all"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
+    got = s.first()
     if not got["m"]:
         p = 1.0
     elif got["m"] <= 20:
         low = min(got["wp"], got["all"] - got["wp"])
+        ranks = [r["rank"] for r in ranked.select("rank", "k").collect() for _ in range(r["k"])]  # 20 at most
         signs = diffs.sparkSession.range(1 << got["m"])
-        w = sum((F.shiftright("id", i).bitwiseAND(1) * r for i, r in enumerate(got["ranks"])), F.lit(0.0))
+        w = sum((F.shiftright("id", i).bitwiseAND(1) * r for i, r in enumerate(ranks)), F.lit(0.0))
         p = min(1.0, 2 * signs.filter(w <= low + 1e-9).count() / (1 << got["m"]))
     else:
         from math import erfc, sqrt
@@ -103,6 +109,21 @@ def paired(diffs: DataFrame, floor: float = 0.02) -> DataFrame:
     return base.withColumns({"p": F.lit(p), "significant": F.lit(p < 0.05), "clears": F.abs("mean") >= floor})
 
 
+def multiclass(rows: DataFrame, y: str, predicted: str) -> DataFrame:
+    """[n, accuracy, macro_f1, micro_f1, majority]: macro over the labels that are seen or predicted; majority is the largest label's share."""
+    c = classification(rows, y, predicted)
+    hits = rows.agg(F.count("*").alias("all"), F.count_if(F.col(y) == F.col(predicted)).alias("right"))
+    by = c.agg(F.avg("f1").alias("macro_f1"), F.max("n").alias("top"))
+    x = hits.join(by, how="cross")  # one row each
+    return x.select(F.col("all").alias("n"), ratio(F.col("right"), F.col("all")).alias("accuracy"), "macro_f1", ratio(F.col("right"), F.col("all")).alias("micro_f1"), ratio(F.col("top"), F.col("all")).alias("majority"))
+
+
+def one_vs_rest_auc(scores: DataFrame) -> DataFrame:
+    """[auc]: the mean over labels of each label's area, from [label, class, score] rows; null if a class has no row of its own."""
+    one = scores.select("class", (F.col("label") == F.col("class")).cast("int").alias("label"), "score")
+    return auc(one, ["class"]).agg(F.when(F.count_if(F.col("auc").isNull()) == 0, F.avg("auc")).alias("auc"))
+
+
 def confusion(rows: DataFrame, y: str, predicted: str) -> DataFrame:
     """[y, predicted, n, share]: all cells of the seen labels, zero ones too, and each cell's share of its row."""
     labels = rows.select(F.col(y).alias("l")).union(rows.select(predicted)).distinct()

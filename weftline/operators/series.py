@@ -119,3 +119,48 @@ def hour_profile(posts: DataFrame) -> DataFrame:
     total = h.agg(F.sum("n").alias("all"))
     p = h.join(F.broadcast(total), how="cross")  # 24 rows by one
     return p.agg((0.5 * F.sum(F.abs(F.col("n") / F.col("all") - 1 / 24))).alias("tv"), F.try_divide(F.max("n").cast("double"), F.min("n")).alias("peak_trough"))
+
+
+def cascade_times(nodes: DataFrame) -> DataFrame:
+    """[item_id, log_span, log_median, rate, log_p90, first_hour] of [item_id, delay_min]; zeros with under two finite times.
+
+    The rate is of all nodes, those without a time too, by the hours of the span.
+    """
+    finite = F.when(~F.isnan("delay_min") & (F.abs("delay_min") != float("inf")), F.col("delay_min"))
+    span = F.max("t") - F.min("t")
+    log = lambda x: F.log1p(F.greatest(x, F.lit(0.0)))
+    made = {"log_span": log(span), "log_median": log(F.percentile("t", 0.5)), "rate": F.count("*") / (span / 60 + 1), "log_p90": log(F.percentile("t", 0.9)), "first_hour": F.count_if(F.col("t") <= 60) / F.nullif(F.count("t"), F.lit(0))}
+    x = nodes.select("item_id", finite.alias("t")).groupBy("item_id").agg(F.count("t").alias("timed"), *[v.alias(k) for k, v in made.items()])
+    return x.select("item_id", *[F.when(F.col("timed") >= 2, F.col(k)).otherwise(0.0).alias(k) for k in made])
+
+
+def log_bins_own(values: DataFrame, key: str, n_bins: int = 24, lo: float = 1.0, col: str = "dt") -> DataFrame:
+    """log_bins with each key's own upper end: its largest value, ten times lo at least."""
+    hi = values.groupBy(key).agg(F.greatest(F.max(col).cast("double"), F.lit(10 * lo)).alias("_hi"))
+    x = F.col(col).cast("double")
+    edges = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: lo * F.pow(F.col("_hi") / lo, i / n_bins))
+    at = F.when(x <= 0, 0).when((x >= lo) & (x <= F.col("_hi")), F.size(F.filter(edges, lambda e: e <= x)))
+    return values.join(hi, key).select(key, at.alias("bin")).filter("bin IS NOT NULL").groupBy(key, "bin").agg(F.count("*").alias("n"))
+
+
+def probabilities(counts: DataFrame, key: str) -> DataFrame:
+    """[key, bin, p] of counts [key, bin, n]: shares without the empty bins."""
+    full = counts.filter("n > 0")
+    total = full.groupBy(key).agg(F.sum("n").alias("all"))
+    return full.join(total, key).select(key, "bin", (F.col("n") / F.col("all")).alias("p"))
+
+
+def gap_pairs(gap: DataFrame) -> DataFrame:
+    """[account_id, post_id, a, b]: each gap and the account's next one."""
+    w = Window.partitionBy("account_id").orderBy("ts_ms", "post_id")
+    return gap.select("account_id", "post_id", F.col("dt").alias("a"), F.lead("dt").over(w).alias("b")).filter("b IS NOT NULL")
+
+
+def gate(posts: DataFrame, accounts: DataFrame, t_max: int = 4_102_444_800_000, most_early: float = 0.01, min_events: int = 32, least_kept: float = 0.5) -> DataFrame:
+    """[range_ok, order_ok, ages_ok, retention_ok, passes], one row: whether a set of posts is fit for the analysis."""
+    span = posts.agg(((F.min("ts_ms") >= 0) & (F.max("ts_ms") < t_max)).alias("range_ok"))
+    order = gaps(posts).agg((F.min("dt") >= 0).alias("order_ok"))
+    ages = age_violations(posts, accounts).select((F.col("fraction") <= most_early).alias("ages_ok"))
+    kept = posts.groupBy("account_id").agg(F.count("*").alias("n")).agg((F.avg((F.col("n") >= min_events).cast("double")) >= least_kept).alias("retention_ok"))
+    out = span.join(order, how="cross").join(ages, how="cross").join(kept, how="cross")  # one row each
+    return out.withColumn("passes", F.col("range_ok") & F.col("order_ok") & F.col("ages_ok") & F.col("retention_ok"))

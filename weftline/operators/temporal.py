@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import ordered_index, written
 from weftline.functions.scalars import draw
 
 
@@ -53,34 +56,53 @@ def node_probabilities(snaps: DataFrame) -> DataFrame:
 def local_entropy(snaps: DataFrame, alpha: float = 0.6, normalisation: str = "local") -> DataFrame:
     """[w, node, h]: order-alpha entropy over the neighbours' degrees; nodes without neighbours have no row (0).
 
-    local: shares within the neighbourhood; global: shares of the snapshot, not renormalised.
+    local: shares within the neighbourhood; global: shares of the snapshot, not renormalised. The neighbour table is
+    written once and gives the degrees too; window totals are only worked out for global.
     """
-    score = "deg" if normalisation == "local" else "p"
-    p = node_probabilities(snaps).select("w", F.col("node").alias("other"), F.col(score).alias("x"))
-    near = neighbours(snaps).join(p, ["w", "other"]).groupBy("w", "node")
+    near = written(neighbours(snaps))
+    x = near.groupBy("w", F.col("node").alias("other")).agg(F.sum(F.when(F.col("node") == F.col("other"), 2).otherwise(1)).alias("x"))
+    if normalisation != "local":
+        total = x.groupBy("w").agg(F.sum("x").alias("all"))
+        x = x.join(total, "w").select("w", "other", (F.col("x") / F.col("all")).alias("x"))
+    by = near.join(x, ["w", "other"]).groupBy("w", "node")
     if abs(alpha - 1) < 1e-8:
-        sums = near.agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.ln("x")).alias("a"))
+        sums = by.agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.ln("x")).alias("a"))
         return sums.select("w", "node", shannon(F.col("a"), F.col("s")).alias("h"))
-    sums = near.agg(F.sum("x").alias("s"), F.sum(F.pow("x", F.lit(alpha))).alias("a"))
+    sums = by.agg(F.sum("x").alias("s"), F.sum(F.pow("x", F.lit(alpha))).alias("a"))
     h = renyi(F.col("a"), F.col("s"), alpha) if normalisation == "local" else F.ln("a") / (1 - alpha)
     return sums.select("w", "node", h.alias("h"))
 
 
 def global_entropy(snaps: DataFrame, alpha: float = 0.6) -> DataFrame:
     """[w, h]: the sum over nodes, 0 in empty windows."""
+    snaps = written(snaps)
     h = local_entropy(snaps, alpha).groupBy("w").agg(F.sum("h").alias("h"))
     return window_spine(snaps).join(h, "w", "left").select("w", F.coalesce("h", F.lit(0.0)).alias("h"))
 
 
+def memory_length(lam: float, least: float = 0.05) -> int:
+    """The first step at which the time weight falls under least."""
+    return math.floor(-math.log(least) / lam) + 1
+
+
 def weighted_series(series: DataFrame, lam: float = 1.2) -> DataFrame:
-    """[w, h, dtwre]: exponentially weighted sum over strictly earlier windows, by steps."""
-    past = series.select(F.col("w").alias("k"), F.col("h").alias("hk"))
-    out = series.join(F.broadcast(past), F.col("k") < F.col("w"), "left")  # one row a window
-    return out.groupBy("w", "h").agg(F.coalesce(F.sum(F.exp(-lam * (F.col("w") - F.col("k"))) * F.col("hk")), F.lit(0.0)).alias("dtwre"))
+    """[w, h, weighted_h]: exponentially weighted sum over strictly earlier windows, by steps.
+
+    Each window adds to the later ones as long as its weight is a number above zero, a fixed number of steps, so the work
+    grows with the windows and not with their square.
+    """
+    reach = max(1, math.ceil(745 / lam))
+    series = written(series)
+    ends = series.agg(F.max("w").alias("top"))
+    given = series.filter("h <> 0").join(F.broadcast(ends), how="cross")  # one row
+    later = given.filter("w < top").select("w", "h", F.explode(F.sequence(F.col("w") + 1, F.least(F.col("top"), F.col("w") + reach))).alias("to"))
+    got = later.groupBy(F.col("to").alias("w")).agg(F.sum(F.exp(-lam * (F.col("to") - F.col("w"))) * F.col("h")).alias("g"))
+    return series.join(got, "w", "left").select("w", "h", F.coalesce("g", F.lit(0.0)).alias("weighted_h"))
 
 
 def entropy_features(snaps: DataFrame, alpha: float = 0.6, lam: float = 1.2) -> DataFrame:
     """[node, lne_last, lne_tw]: entropy in the last window, and the weighted sum over all windows, the last included."""
+    snaps = written(snaps)
     last = snaps.agg(F.max("w").alias("top"))
     h = local_entropy(snaps, alpha).join(F.broadcast(last), how="cross")  # one row
     return h.groupBy("node").agg(
@@ -103,12 +125,20 @@ def to_undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
 
 
-def chronological_split(edges: DataFrame, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """edges + split by share of the duration; a cut belongs to the earlier part."""
-    span = edges.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    dur = F.col("t1") - F.col("t0")
-    at = F.when(F.col("ts") <= F.col("t0") + train * dur, "train").when(F.col("ts") <= F.col("t0") + (train + val) * dur, "val").otherwise("test")
-    return edges.join(F.broadcast(span), how="cross").withColumn("split", at).drop("t0", "t1")  # one row
+def cuts(edges: DataFrame, train: float = 0.8, val: float = 0.1, by: str = "duration") -> DataFrame:
+    """[cut1, cut2], one row: the times up to which an edge is train and val, by share of the duration or of the edges."""
+    if by == "duration":
+        dur = F.max("ts") - F.min("ts")
+        return edges.agg((F.min("ts") + train * dur).alias("cut1"), (F.min("ts") + (train + val) * dur).alias("cut2"))
+    n = edges.count()
+    at = ordered_index(edges.select("ts"), F.col("ts")).filter(F.col("idx").isin(int(train * n), int((train + val) * n)))
+    return at.agg(F.min("ts").cast("double").alias("cut1"), F.max("ts").cast("double").alias("cut2"))
+
+
+def chronological_split(edges: DataFrame, train: float = 0.8, val: float = 0.1, by: str = "duration") -> DataFrame:
+    """edges + split; a cut belongs to the earlier part, so tied times stay together."""
+    at = F.when(F.col("ts") <= F.col("cut1"), "train").when(F.col("ts") <= F.col("cut2"), "val").otherwise("test")
+    return edges.join(F.broadcast(cuts(edges, train, val, by)), how="cross").withColumn("split", at).drop("cut1", "cut2")  # one row
 
 
 def new_links(split: DataFrame) -> DataFrame:
@@ -118,14 +148,60 @@ def new_links(split: DataFrame) -> DataFrame:
     return pair.filter("split <> 'train'").join(seen, ["u", "v"], "left_anti").select("split", "u", "v")
 
 
-def sample_negatives(positives: DataFrame, nodes: int, forbidden: DataFrame, n: int, seed: int, oversample: int = 3) -> DataFrame:
-    """[i, u, v]: n pairs drawn by hash over node numbers, not loops, not forbidden; repeats may occur."""
-    spark = positives.sparkSession
-    c = spark.range(oversample * n).withColumnRenamed("id", "i")
-    a = F.floor(draw("i", F.lit("a"), seed=seed) * nodes).cast("long")
-    b = F.floor(draw("i", F.lit("b"), seed=seed) * nodes).cast("long")
-    drawn = c.select("i", F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v")
-    return drawn.join(forbidden, ["u", "v"], "left_anti").orderBy("i").limit(n).select("i", "u", "v")
+def sample_negatives(nodes: DataFrame, forbidden: DataFrame, n: int, seed: int, rounds: int = 200) -> DataFrame:
+    """[i, u, v]: the n first drawn pairs of nodes that are no loops and not forbidden; repeats may occur.
+
+    Draw i takes two of the table's own nodes by hash. As many draws as pairs are made a round, at most so many rounds,
+    until n remain; the rounds that are needed are guessed from the share that the rounds so far have left.
+    """
+    numbered = written(ordered_index(nodes.select("node").distinct(), F.col("node")))
+    size = numbered.count()
+    spark = nodes.sparkSession
+    kept, made = None, 0
+    while n and size and made < rounds:
+        have = kept.count() if kept is not None else 0
+        if have >= n:
+            break
+        share = max(have / (made * n), 1 / rounds) if made else 0.7
+        more = min(rounds - made, max(1, math.ceil(1.1 * (n - have) / (share * n))))
+        i = spark.range(made * n, (made + more) * n).withColumnRenamed("id", "i")
+        drawn = i.select("i", *[F.floor(draw("i", F.lit(x), seed=seed) * size).cast("long").alias(x) for x in "ab"]).filter("a <> b")
+        one, two = (numbered.select(F.col("node").alias(to), F.col("idx").alias(x)) for x, to in (("a", "n1"), ("b", "n2")))
+        pairs = drawn.join(one, "a").join(two, "b").select("i", F.least("n1", "n2").alias("u"), F.greatest("n1", "n2").alias("v"))
+        left = pairs.join(forbidden.select("u", "v"), ["u", "v"], "left_anti").select("i", "u", "v")
+        kept = written(left if kept is None else kept.unionByName(left))
+        made += more
+    if kept is None:
+        node = nodes.schema["node"].dataType.simpleString()
+        return spark.createDataFrame([], f"i long, u {node}, v {node}")
+    return ordered_index(kept, F.col("i")).filter(F.col("idx") < n).select("i", "u", "v")
+
+
+def link_samples(edges: DataFrame, train: float = 0.8, val: float = 0.1, mp_share: float = 0.8, new_only: bool = True, ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """[split, u, v, label]: supervision, val and test pairs with as many sampled negatives (times ratio).
+
+    Training edges up to mp_share of the training time pass messages; later ones are the train split's pairs. With
+    new_only a split holds pairs that no earlier edge has (train: message passing; val and test: all of training; val and
+    test are not held against each other). Negatives avoid all pairs of the table.
+    """
+    split = written(chronological_split(edges.filter("src <> dst"), train, val))
+    span = split.filter("split = 'train'").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    part = F.when((F.col("split") == "train") & (F.col("ts") <= F.col("a") + mp_share * (F.col("b") - F.col("a"))), "messages").otherwise(F.col("split"))
+    pairs = written(split.join(F.broadcast(span), how="cross").select(part.alias("split"), F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())  # one row
+    seen = pairs.filter("split = 'messages'").select("u", "v")
+    before = pairs.filter("split IN ('messages', 'train')").select("u", "v").distinct()
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    taken = pairs.select("u", "v").distinct()
+    out = None
+    for i, name in enumerate(("train", "val", "test")):
+        pos = pairs.filter(F.col("split") == name).select("split", "u", "v")
+        if new_only:
+            pos = pos.join(seen if name == "train" else before, ["u", "v"], "left_anti").select("split", "u", "v")
+        pos = written(pos)
+        neg = sample_negatives(nodes, taken, round(ratio * pos.count()), seed + i)
+        both = pos.withColumn("label", F.lit(1)).unionByName(neg.select(F.lit(name).alias("split"), "u", "v", F.lit(0).alias("label")))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def fan_out(edges: DataFrame, k: int, seed: int) -> DataFrame:

@@ -2,41 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import ratio
 
 #: Pronouns that are counted (fixed values).
 FIRST_PERSON = ["i", "me", "my", "mine", "we", "us", "our", "ours"]
-THIRD_PERSON = ["he", "him", "his", "she", "her", "hers", "they", "them", "their", "theirs"]
+THIRD_PERSON = ["he", "him", "his", "she", "her", "hers", "they", "them", "their"]
 
 
 def style(items: DataFrame, text: str = "text") -> DataFrame:
     """items + words, mean word length, shares of marks, capitals and digits of all characters, pronoun rates."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    lower = F.transform(words, F.lower)
     n, chars = F.size(words), F.length(t)
+    mark = lambda c: ratio(chars - F.length(F.translate(t, c, "")), chars)
     of = lambda pattern: ratio(F.regexp_count(t, F.lit(pattern)), chars)
-    rate = lambda people: ratio(F.size(F.filter(lower, lambda w: w.isin(people))), n)
+    rate = lambda people: ratio(F.regexp_count(t, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?i:{'|'.join(people)})(?![\p{{L}}\p{{N}}_])")), n)
     return items.withColumns({
-        "n_words": n, "mean_word": ratio(F.length(F.array_join(words, "")), n), "dots": of(r"\."), "questions": of(r"\?"), "shouts": of("!"), "commas": of(","),
+        "n_words": n, "mean_word": ratio(F.length(F.array_join(words, "")), n), "dots": mark("."), "questions": mark("?"), "shouts": mark("!"), "commas": mark(","),
         "capitals": of(r"\p{Lu}"), "digits": of(r"\p{Nd}"), "first_person": rate(FIRST_PERSON), "third_person": rate(THIRD_PERSON),
     })
 
 
+def is_cjk(items: DataFrame, order: str, text: str = "text", sample: int = 200, share: float = 0.1) -> DataFrame:
+    """[cjk]: whether over a tenth of the characters of the first 200 texts, joined by blanks, lie in U+4E00 to U+9FFF."""
+    first = items.orderBy(order).limit(sample).agg(F.sum(F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[一-鿿]"))).alias("k"), (F.sum(F.length(F.coalesce(text, F.lit("")))) + F.count("*") - 1).alias("n"))
+    return first.select((ratio(F.col("k"), F.col("n")) > share).alias("cjk"))
+
+
 def cjk_share(items: DataFrame, text: str = "text") -> DataFrame:
     """[share]: of all characters those in U+4E00 to U+9FFF."""
     return items.agg(ratio(F.sum(F.regexp_count(text, F.lit("[一-鿿]"))), F.sum(F.length(text))).alias("share"))
 
 
-def tf_idf(items: DataFrame, train: DataFrame, max_features: int = 1000, min_df: int = 2, key: str = "item_id", text: str = "text") -> DataFrame:
-    """[key, term, weight]: terms of two or more word characters; the vocabulary is train's max_features most frequent with
-    document frequency min_df or more; (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), rows of unit length."""
+def _plain_letters() -> tuple[str, str]:
+    """Accented letters and what is left of each without its marks, for translate."""
+    pairs = []
+    for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x386, 0x3D0), *range(0x400, 0x480)]:
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare != chr(i):
+            pairs.append((chr(i), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def word_grams(text: Column, most: int = 2) -> Column:
+    """ARRAY: lower-cased, accent-free runs of two or more word characters, and runs of up to `most` of them joined by a blank."""
+    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_plain_letters())
+    one = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    grams = [one]
+    for n in range(2, most + 1):
+        starts = F.when(F.size(one) >= n, F.sequence(F.lit(1), F.size(one) - n + 1)).otherwise(F.array().cast("array<int>"))
+        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(one, i, n), " ")))
+    return F.concat(*grams)
+
+
+def char_grams(text: Column, least: int = 2, most: int = 3) -> Column:
+    """ARRAY: runs of 2 to 3 characters inside words padded by one blank on each side; a padded word shorter than that is one."""
+    words = F.filter(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_plain_letters()), r"\s+"), lambda w: w != "")
+
+    def cut(word: Column) -> Column:
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.concat(*[F.when(F.lit(n == least) | (F.length(padded) >= n), runs(n)).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)])
+
+    return F.flatten(F.transform(words, cut))
+
+
+def tf_idf(items: DataFrame, train: DataFrame, max_features: int = 5000, min_df: int = 2, key: str = "item_id", text: str = "text", grams=word_grams) -> DataFrame:
+    """[key, term, weight]: the vocabulary is train's max_features most frequent terms (word_grams, or char_grams for Chinese)
+    with document frequency min_df or more; (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), rows of unit length."""
 
     def terms(d: DataFrame) -> DataFrame:
-        return d.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        return d.select(key, F.explode(grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
     n = train.count()
     vocab = terms(train).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)

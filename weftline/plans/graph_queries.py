@@ -32,9 +32,9 @@ def sym(spark, d):
     return temporal.to_undirected(c.reply_edges(spark, d))
 
 
-@query("entropy_timeline", "w:i h:f dtwre:f", "interactions", INTER + """,
+@query("entropy_timeline", "w:i h:f weighted_h:f", "interactions", INTER + """,
 s AS (SELECT x.w, coalesce(g.h, 0) AS h FROM range((SELECT max(w) + 1 FROM snaps)) x(w) LEFT JOIN (SELECT w, sum(h) AS h FROM lne GROUP BY w) g ON g.w = x.w)
-SELECT a.w, a.h, coalesce(sum(exp(-1.2 * (a.w - b.w)) * b.h), 0) AS dtwre FROM s a LEFT JOIN s b ON b.w < a.w GROUP BY a.w, a.h""")
+SELECT a.w, a.h, coalesce(sum(exp(-1.2 * (a.w - b.w)) * b.h), 0) AS weighted_h FROM s a LEFT JOIN s b ON b.w < a.w GROUP BY a.w, a.h""")
 def _(spark, d):
     return temporal.weighted_series(temporal.global_entropy(inter(spark, d)))
 
@@ -92,13 +92,18 @@ def _(spark, d):
     return temporal.new_links(temporal.chronological_split(c.reply_edges(spark, d)))
 
 
-@query("r1_negatives", "i:i u:i v:i", "reply_edges", SIMPLE + """,
-n AS (SELECT count(DISTINCT least(src, dst) * 1000000 + greatest(src, dst)) AS k FROM sym),
-dr AS (SELECT i, floor(('0x' || substr(md5(i || '|a|5'), 1, 8))::UBIGINT / 4294967296.0 * 5000)::BIGINT AS a, floor(('0x' || substr(md5(i || '|b|5'), 1, 8))::UBIGINT / 4294967296.0 * 5000)::BIGINT AS b FROM range(3 * (SELECT k FROM n)) r(i))
-SELECT i, least(a, b) AS u, greatest(a, b) AS v FROM dr WHERE a <> b AND NOT EXISTS (SELECT 1 FROM sym WHERE src = least(a, b) AND dst = greatest(a, b)) ORDER BY i LIMIT (SELECT k FROM n)""")
+PAIRS = """pairs AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM reply_edges WHERE src <> dst),
+nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM reply_edges UNION SELECT dst FROM reply_edges))"""
+
+
+@query("r1_negatives", "i:i u:i v:i", "reply_edges", PAIRS + """, n AS (SELECT count(*) AS k, (SELECT count(*) FROM nodes) AS size FROM pairs),
+dr AS (SELECT i, floor(('0x' || substr(md5(i || '|a|5'), 1, 8))::UBIGINT / 4294967296.0 * size)::BIGINT AS a, floor(('0x' || substr(md5(i || '|b|5'), 1, 8))::UBIGINT / 4294967296.0 * size)::BIGINT AS b FROM n, range(200 * (SELECT k FROM n)) r(i)),
+p AS (SELECT i, least(x.node, y.node) AS u, greatest(x.node, y.node) AS v FROM dr JOIN nodes x ON a = x.idx JOIN nodes y ON b = y.idx WHERE a <> b)
+SELECT i, u, v FROM p WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.u = p.u AND pairs.v = p.v) ORDER BY i LIMIT (SELECT k FROM n)""")
 def _(spark, d):
-    pairs = temporal.undirected_pairs(c.reply_edges(spark, d))
-    return temporal.sample_negatives(pairs, 5_000, pairs, pairs.count(), seed=5)
+    e = c.reply_edges(spark, d)
+    pairs = temporal.undirected_pairs(e)
+    return temporal.sample_negatives(e.select(F.col("src").alias("node")).union(e.select("dst")), pairs, pairs.count(), seed=5)
 
 
 @query("r3_fan_out", "src:i dst:i", "reply_edges", SIMPLE + """
@@ -141,9 +146,9 @@ FROM n, nodes LEFT JOIN (SELECT e.dst, sum(r.rank / o.k) AS got FROM e JOIN r{i}
     return head + f" SELECT node, 1000 * rank AS rank_milli FROM r{n}"
 
 
-@query("g4_pagerank", "node:i rank_milli:f", "reply_edges", _pagerank_sql(5))
+@query("g4_pagerank", "node:i rank_milli:f", "reply_edges", _pagerank_sql(20))
 def _(spark, d):
-    return graph.pagerank(c.reply_edges(spark, d), 5).select("node", (1000 * F.col("rank")).alias("rank_milli"))
+    return graph.pagerank(c.reply_edges(spark, d), tolerance=1e-14).select("node", (1000 * F.col("rank")).alias("rank_milli"))
 
 
 @query("g12_adamic_adar", "u:i v:i n:i adamic_adar:f", "reply_edges", SIMPLE + """,
@@ -159,12 +164,12 @@ def _(spark, d):
     return graph.cascade_depths(c.cascade_edges(spark, d))
 
 
-FEATS = """f AS (SELECT account_id AS node, [avg(value), count(*) / 100.0, min(value)] AS x FROM posts GROUP BY account_id),
+FEATS = """f AS (SELECT account_id AS node, [avg(value), count(*) / 97.3, min(value) / 7.7] AS x FROM posts GROUP BY account_id),
 fl AS (SELECT node, unnest([1, 2, 3]) AS pos, unnest(x) AS v FROM f), """ + SIMPLE
 
 
 def feats(spark, d):
-    return c.posts(spark, d).groupBy(F.col("account_id").alias("node")).agg(F.array(F.avg("value"), F.count("*") / 100.0, F.min("value")).alias("x"))
+    return c.posts(spark, d).groupBy(F.col("account_id").alias("node")).agg(F.array(F.avg("value"), F.count("*") / 97.3, F.min("value") / 7.7).alias("x"))
 
 
 def long(df):

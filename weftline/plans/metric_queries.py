@@ -84,13 +84,36 @@ def _(spark, d):
     return metrics.auc(u, ["feature"]).select("feature", F.abs(2 * F.col("auc") - 1).alias("separation"))
 
 
-@query("m14_paired_test", "n:i mean:f sd:f wins:i p:f significant:b clears:b")
+@query("m14_paired_test", "n:i mean:f sd:f wins:i p:f significant:b clears:b", "posts", """g AS (SELECT avg(value) FILTER (WHERE post_id % 2 = 0) - avg(value) FILTER (WHERE post_id % 2 = 1) AS d FROM posts GROUP BY item_id % 16),
+df AS (SELECT d FROM g WHERE d IS NOT NULL), k AS (SELECT d, (rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2) AS r FROM df WHERE d <> 0),
+s AS (SELECT list(r) AS rs, sum(r) FILTER (WHERE d > 0) AS wp, sum(r) AS al, count(*) AS m FROM k),
+t AS (SELECT least(1, 2 * count(*) / (1 << any_value(m))) AS p FROM s, range(1 << 16) z(id) WHERE id < (1 << m) AND list_sum(list_transform(rs, lambda x, i: ((id >> (i - 1)) & 1) * x)) <= least(wp, al - wp) + 1e-9)
+SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, count(*) FILTER (WHERE d > 0) AS wins, any_value(p) AS p, any_value(p) < 0.05 AS significant, abs(avg(d)) >= 0.02 AS clears FROM df, t""")
 def _(spark, d):
-    """Difference of mean event values between odd and even hours, by event type and item group: up to 20 pairs."""
+    """Difference of mean event values between even and odd posts, by item group: 16 pairs at most."""
     p = c.posts(spark, d).groupBy((F.col("item_id") % 16).alias("g")).agg(F.avg(F.when(F.col("post_id") % 2 == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("post_id") % 2 == 1, F.col("value"))).alias("b"))
     return metrics.paired(p.select((F.col("a") - F.col("b")).alias("d")).filter("d IS NOT NULL"))
 
 
+@query("m9_averages", "n:i accuracy:f macro_f1:f micro_f1:f majority:f", "", """p AS (SELECT lang AS y, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END AS q FROM documents), l AS (SELECT y AS l FROM p UNION SELECT q FROM p),
+f AS (SELECT l, 2 * count(*) FILTER (WHERE y = l AND q = l) / (count(*) FILTER (WHERE y = l) + count(*) FILTER (WHERE q = l)) AS f1, count(*) FILTER (WHERE y = l) AS n FROM p, l GROUP BY l)
+SELECT (SELECT count(*) FROM p) AS n, (SELECT avg((y = q)::INTEGER) FROM p) AS accuracy, avg(f1) AS macro_f1, (SELECT avg((y = q)::INTEGER) FROM p) AS micro_f1, max(n) / sum(n) AS majority FROM f""")
+def _(spark, d):
+    x = c.table(spark, d, "documents").select(F.col("lang").alias("y"), F.when(F.col("doc_id") % 7 == 0, "en").otherwise(F.col("lang")).alias("q"))
+    return metrics.multiclass(x, "y", "q")
+
+
+@query("m9_one_vs_rest", "auc:f", "", """s AS (SELECT doc_id, lang AS label, c.lang AS class, (doc_id * 31 + ascii(c.lang) * 7) % 97 / 97.0 + CASE WHEN d.lang = c.lang THEN 0.3 ELSE 0 END AS score FROM documents d, (SELECT DISTINCT lang FROM documents) c),
+g AS (SELECT class, score, sum((label = class)::INTEGER) AS p, sum((label <> class)::INTEGER) AS n FROM s GROUP BY 1, 2),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT avg(a) AS auc FROM (SELECT class, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS a FROM b GROUP BY class)""".replace("doc_id, lang AS label", "doc_id, d.lang AS label"))
+def _(spark, d):
+    docs = c.table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"))
+    classes = docs.select(F.col("label").alias("class")).distinct()
+    score = (F.col("doc_id") * 31 + F.ascii("class") * 7) % 97 / 97.0 + F.when(F.col("label") == F.col("class"), 0.3).otherwise(0.0)
+    return metrics.one_vs_rest_auc(docs.join(F.broadcast(classes), how="cross").select("label", "class", score.alias("score")))  # a row a language
+
+
 @query("m1_min_max", "c_custkey:i c_acctbal:f", "", "SELECT c_custkey, (c_acctbal - lo) / (hi - lo) AS c_acctbal FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)")
 def _(spark, d):
     return metrics.min_max(c.table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"])

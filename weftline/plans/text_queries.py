@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.scalars import cleaned_words, post_type
+from weftline.functions.scalars import STOP_WORDS, cleaned_words, post_type
 from weftline.operators import text
 from weftline.plans.base import query
 from weftline.sources import canonical as c
 
-STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "de", "la", "der", "die", "und", "les", "el", "en"]
 TEXTS = "tx AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'RT @a: ' || text WHEN 1 THEN '@b ' || text WHEN 2 THEN text || ' https://t.co/x1 ' ELSE text END AS text FROM conversations)"
 
 
@@ -25,14 +24,14 @@ def _(spark, d):
     return tweets(spark, d).select("conv_id", "turn", post_type(F.col("text")).alias("kind"))
 
 
-@query("f8_clean_text", "conv_id:i turn:i cleaned:s", "", TEXTS + r""" SELECT conv_id, turn, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
-'http[^ \t\n\r\f\x0B]+', '', 'g'), 'www\.[^ \t\n\r\f\x0B]+', '', 'g'), '[@#][\p{L}\p{N}_]+', '', 'g'), '[^\x00-\x7F]', '', 'g'), '[^a-z \t\n\r\f\x0B]', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), ' '),
-lambda w: w <> '' AND NOT list_contains([""" + ", ".join(f"'{w}'" for w in STOP) + "], w)), ' ') AS cleaned FROM tx")
+@query("f8_clean_text", "conv_id:i turn:i cleaned:s", "", TEXTS + r""" SELECT conv_id, turn, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
+'http[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+', ' ', 'g'), '[@#][\p{L}\p{N}_]+', ' ', 'g'), '[^\x00-\x7F]+', ' ', 'g'), '[^a-z \t\n\r\f\x0B]', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), ' '),
+lambda w: w <> '' AND NOT list_contains([""" + ", ".join(f"'{w}'" for w in STOP_WORDS if "'" not in w) + "], w)), ' ') AS cleaned FROM tx")
 def _(spark, d):
-    return tweets(spark, d).select("conv_id", "turn", cleaned_words(F.col("text"), STOP).alias("cleaned"))
+    return tweets(spark, d).select("conv_id", "turn", cleaned_words(F.col("text")).alias("cleaned"))
 
 
-PRONOUNS = "list_contains([{}], lower(w))"
+PRONOUNS = "len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains([{}], lower(w)))) / n"
 
 
 @query("f10_style", "item_id:i n_words:i mean_word:f dots:f questions:f shouts:f commas:f capitals:f digits:f first_person:f third_person:f", "items", r"""
@@ -40,7 +39,7 @@ w AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\
 n AS (SELECT *, len(ws) AS n, length(text)::DOUBLE AS ch FROM w)
 SELECT item_id, n AS n_words, coalesce(length(array_to_string(ws, '')) / nullif(n, 0), 0) AS mean_word, (length(text) - length(replace(text, '.', ''))) / ch AS dots, (length(text) - length(replace(text, '?', ''))) / ch AS questions,
 (length(text) - length(replace(text, '!', ''))) / ch AS shouts, (length(text) - length(replace(text, ',', ''))) / ch AS commas, len(regexp_extract_all(text, '\p{Lu}')) / ch AS capitals, len(regexp_extract_all(text, '\p{Nd}')) / ch AS digits,
-len(list_filter(ws, lambda w: """ + PRONOUNS.format(", ".join(f"'{p}'" for p in text.FIRST_PERSON)) + ")) / n AS first_person, len(list_filter(ws, lambda w: " + PRONOUNS.format(", ".join(f"'{p}'" for p in text.THIRD_PERSON)) + ")) / n AS third_person FROM n")
+""" + PRONOUNS.format(", ".join(f"'{p}'" for p in text.FIRST_PERSON)) + " AS first_person, " + PRONOUNS.format(", ".join(f"'{p}'" for p in text.THIRD_PERSON)) + " AS third_person FROM n")
 def _(spark, d):
     return text.style(c.items(spark, d))
 
@@ -50,14 +49,31 @@ def _(spark, d):
     return text.cjk_share(c.items(spark, d))
 
 
-@query("x1_tf_idf", "item_id:i term:s weight:f", "", """t AS (SELECT conv_id * 100 + turn AS item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM conversations),
-tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM conversations WHERE conv_id % 5 <> 0),
-v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf WHERE item_id // 100 % 5 <> 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 1000),
+TF_IDF = """tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM conversations WHERE conv_id % 5 <> 0),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf WHERE item_id // 100 % 5 <> 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 5000),
 r AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term), n)
-SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM r""")
+SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM r"""
+
+
+def turns(spark, d):
+    return c.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), "text", "conv_id")
+
+
+@query("x1_tf_idf", "item_id:i term:s weight:f", "", r"""w AS (SELECT conv_id * 100 + turn AS item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS ws FROM conversations),
+t AS (SELECT item_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), """ + TF_IDF)
+def _(spark, d):
+    return text.tf_idf(turns(spark, d), turns(spark, d).filter("conv_id % 5 <> 0"))
+
+
+@query("x1_char_grams", "item_id:i term:s weight:f", "", r"""w AS (SELECT conv_id * 100 + turn AS item_id, ' ' || unnest(regexp_extract_all(strip_accents(lower(text)), '[^ \t\n\r\f\x0B]+')) || ' ' AS p FROM conversations),
+t AS (SELECT item_id, unnest(list_concat(list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) AS term FROM w), """ + TF_IDF)
+def _(spark, d):
+    return text.tf_idf(turns(spark, d), turns(spark, d).filter("conv_id % 5 <> 0"), grams=text.char_grams)
+
+
+@query("f9_is_cjk", "cjk:b", "", "SELECT sum(len(regexp_extract_all(text, '[一-鿿]'))) / (sum(length(text)) + count(*) - 1) > 0.1 AS cjk FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200)")
 def _(spark, d):
-    t = c.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), "text", "conv_id")
-    return text.tf_idf(t, t.filter("conv_id % 5 <> 0"))
+    return text.is_cjk(c.table(spark, d, "documents"), "doc_id")
 
 
 @query("x4_vector_means", "label:i pos:i mean:f", "", "SELECT label, pos - 1 AS pos, avg(x) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2")
