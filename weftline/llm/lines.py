@@ -23,6 +23,8 @@ MIN_DOCS, LONG_TOKENS, LONG_DOCS = 20, 50, 5
 MIN_CONSTANT, MAX_FIELDS = 0.5, 0.2
 #: Rows into which the other side of a join on a hot line is multiplied.
 SALT = 16
+#: Full leaves, 16 bytes each, that are broadcast to the second reading.
+BROADCAST_LEAVES = 1_000_000
 FIELD = "<*>"
 
 
@@ -78,7 +80,8 @@ def _in_full_leaves(rows: DataFrame, min_docs: int, long_docs: int) -> DataFrame
     """
     full = _with_paths(rows).groupBy("leaf", "n").agg(F.count("*").alias("lines"))
     full = stored(full.filter(F.col("lines") >= _needed(F.col("n"), min_docs, long_docs)).select("leaf", "lines"))
-    on_full = _with_paths(rows).join(full, "leaf")
+    small = full.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES  # else Spark joins by shuffle
+    on_full = _with_paths(rows).join(F.broadcast(full) if small else full, "leaf")
     best = F.max_by(F.struct("folded", "n", "field", "leaf"), F.struct(F.col("field") == 0, "lines", -F.col("field"))).alias("b")
     one = stored(on_full.groupBy("key", "id", "at").agg(best)).select("key", "id", "at", "b.*")
     return stored(one.select("key", "id", "at", _masked(F.col("folded")).alias("masked"), "n", "field", "leaf").withColumn("line", _key(F.col("masked"))))
