@@ -90,15 +90,17 @@ def knn_graph(vectors: DataFrame, k: int = 4, undirected: bool = True) -> DataFr
 def propagation_graph(nodes: DataFrame, edges: DataFrame, features: DataFrame, root_edges: bool = True, undirected: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of one graph an item, from its repost tree.
 
-    A node has the item's features, its own profile, log(1 + delay) with unknown or negative delays as 0, and its number
-    over the item's nodes. An item without a cascade is one node without edges. root_edges joins the root to all others.
+    A node has the item's features, its own profile (zeros if missing), log(1 + delay) with unknown or negative delays as
+    0, and its number over the item's nodes. An item without a cascade is one node without edges. root_edges joins the root to all others.
     """
     size = nodes.groupBy("item_id").agg(F.count("*").alias("n"))
     own = nodes.join(size, "item_id")
     delay = F.when(F.isnan("delay_min") | (F.abs("delay_min") == float("inf")), None).otherwise(F.col("delay_min"))
     place = F.array(F.log1p(F.greatest(F.coalesce(delay, F.lit(0.0)), F.lit(0.0))), F.col("node") / F.col("n"))
-    full = features.join(own.select("item_id", "node", F.concat(F.coalesce("profile", F.array().cast("array<double>")), place).alias("p")), "item_id", "left")
-    alone = F.array(F.lit(0.0), F.lit(0.0))
+    width = nodes.agg(F.coalesce(F.max(F.size("profile")), F.lit(0))).first()[0]
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    full = features.join(own.select("item_id", "node", F.concat(F.coalesce("profile", zeros(max(width, 0))), place).alias("p")), "item_id", "left")
+    alone = zeros(max(width, 0) + 2)
     made = full.select(F.col("item_id").alias("graph_id"), F.coalesce("node", F.lit(0)).alias("node"), F.concat("x", F.coalesce("p", alone)).alias("x"), F.lit(0).alias("node_type"))
     e = edges.select(F.col("item_id").alias("graph_id"), F.col("parent").alias("src"), F.col("child").alias("dst"))
     if root_edges:

@@ -49,7 +49,7 @@ TREE = """cn AS (SELECT item_id, node, uid, CASE WHEN node % 9 = 4 THEN NULL ELS
 ce AS (SELECT * FROM cascade_edges WHERE item_id % 10 <> 3),
 fx AS (SELECT item_id, [avg(value), count(*) / 50.0] AS x FROM cascade_nodes GROUP BY 1),
 sz AS (SELECT item_id, count(*) AS n FROM cn GROUP BY 1),
-pn AS (SELECT fx.item_id AS graph_id, coalesce(cn.node, 0) AS node, fx.x || CASE WHEN cn.node IS NULL THEN [0.0::DOUBLE, 0.0] ELSE [cn.value, ln(1 + greatest(coalesce(cn.delay_min, 0), 0)), cn.node / n] END AS x
+pn AS (SELECT fx.item_id AS graph_id, coalesce(cn.node, 0) AS node, fx.x || CASE WHEN cn.node IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [cn.value, ln(1 + greatest(coalesce(cn.delay_min, 0), 0)), cn.node / n] END AS x
   FROM fx LEFT JOIN cn ON fx.item_id = cn.item_id LEFT JOIN sz ON sz.item_id = fx.item_id),
 pe0 AS (SELECT item_id AS graph_id, parent AS src, child AS dst FROM ce UNION SELECT item_id, 0, node FROM cn WHERE node > 0),
 pe AS (SELECT graph_id, src, dst FROM pe0 WHERE src <> dst UNION SELECT graph_id, dst, src FROM pe0 WHERE src <> dst)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import base, building_queries, graph_queries, literature_queries, metric_queries, sampling_queries, series_queries, source_queries, summary_queries, text_queries  # noqa: F401
+from weftline.plans import base, building_queries, graph_queries, literature_queries, metric_queries, model_queries, sampling_queries, series_queries, source_queries, summary_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
