@@ -53,10 +53,10 @@ def word_grams(text: Column, most: int = 2) -> Column:
     """ARRAY: lower-cased, accent-free runs of two or more word characters, and runs of up to `most` of them joined by a blank."""
     bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_plain_letters())
     one = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    grams = [one]
+    grams, joined = [one], lambda n: lambda i: F.array_join(F.slice(one, i, n), " ")
     for n in range(2, most + 1):
         starts = F.when(F.size(one) >= n, F.sequence(F.lit(1), F.size(one) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(one, i, n), " ")))
+        grams.append(F.transform(starts, joined(n)))
     return F.concat(*grams)
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import new_path, written
 from weftline.operators import builders, graph, passing
 from weftline.plans.base import query
 from weftline.plans.graph_queries import FEATS, W, feats, long, sym
 from weftline.sources import canonical as c
+from weftline.streaming.arrivals import score_arrivals
 
 UNIT = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT id, list_transform(e, lambda x: x / (sqrt(list_inner_product(e, e)) + 1e-12)) AS e FROM v),
@@ -245,18 +247,37 @@ def _(spark, d):
     return passing.pair_features(pairs, feats(spark, d)).select("u", "v", F.posexplode("x").alias("p", "value"), "score").withColumn("pos", F.col("p") + 1)
 
 
-@query("g28_inductive", "node:i pos:i v:f", "posts reply_edges", FEATS + ", " + matrix("wt", W) + """, st AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS s FROM fl WHERE node % 10 <> 0 GROUP BY pos),
+INDUCTIVE = FEATS + ", " + matrix("wt", W) + """, st AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS s FROM fl WHERE node % 10 <> 0 GROUP BY pos),
 sc AS (SELECT node, pos, coalesce((v - m) / nullif(s, 0), 0) AS v FROM fl JOIN st USING (pos)),
 mn AS (SELECT dst AS node, pos, avg(v) AS v FROM sym JOIN sc ON src = node WHERE src % 10 <> 0 AND dst % 10 = 0 GROUP BY 1, 2),
 ef AS (SELECT node, pos, v FROM sc WHERE node % 10 = 0 UNION ALL SELECT a.node, a.pos + 3, coalesce(mn.v, 0) FROM sc a LEFT JOIN mn ON mn.node = a.node AND mn.pos = a.pos WHERE a.node % 10 = 0)
-SELECT node, j AS pos, sum(v * w) AS v FROM ef JOIN wt ON i = pos GROUP BY 1, 2""")
-def _(spark, d):
-    """Every tenth node arrives late: it is scored from the statistics and vectors of the others."""
+SELECT node, j AS pos, sum(v * w) AS v FROM ef JOIN wt ON i = pos GROUP BY 1, 2"""
+
+
+def arrivals(spark, d):
     f = feats(spark, d)
     old, new = f.filter("node % 10 <> 0"), f.filter("node % 10 = 0")
     stats = passing.scaler(old)
-    stored = passing.apply_scaler(old, stats)
-    return long(passing.inductive(new, sym(spark, d).filter("src % 10 <> 0 AND dst % 10 = 0"), stored, stats, W))
+    return new, sym(spark, d).filter("src % 10 <> 0 AND dst % 10 = 0"), passing.apply_scaler(old, stats), stats
+
+
+@query("g28_inductive", "node:i pos:i v:f", "posts reply_edges", INDUCTIVE)
+def _(spark, d):
+    """Every tenth node arrives late: it is scored from the statistics and vectors of the others."""
+    new, edges, stored, stats = arrivals(spark, d)
+    return long(passing.inductive(new, edges, stored, stats, W))
+
+
+@query("g28_stream", "node:i pos:i v:f", "posts reply_edges", INDUCTIVE)
+def _(spark, d):
+    """The same, from a stream of files that holds the late nodes with their neighbours."""
+    new, edges, stored, stats = arrivals(spark, d)
+    near = edges.groupBy(F.col("dst").alias("node")).agg(F.collect_list("src").alias("near"))
+    source, out = new_path(spark), new_path(spark)
+    new.join(near, "node", "left").repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("node long, x array<double>, near array<bigint>").option("maxFilesPerTrigger", 1).parquet(source)
+    score_arrivals(stream, written(stored), written(stats), W, out, new_path(spark), once=True).awaitTermination()
+    return long(spark.read.schema("node long, x array<double>").parquet(out))
 
 
 @query("g30_change", "node:i change:f", "posts reply_edges", FEATS + """, e1 AS (SELECT src, dst FROM sym WHERE src % 10 <> 0 AND dst % 10 <> 0), n1 AS (SELECT node FROM f WHERE node % 10 <> 0),

@@ -235,8 +235,10 @@ def _(spark, d):
     return out
 
 
-@query("g7_attribute_graph", "src:i dst:i", "items", """a AS (SELECT item_id, "group" AS value, count(*) OVER (PARTITION BY "group") AS n FROM items)
-SELECT DISTINCT x.item_id AS src, y.item_id AS dst FROM a x JOIN a y ON x.value = y.value AND x.item_id <> y.item_id WHERE x.n <= 200""")
+@query("g7_attribute_graph", "src:i dst:i", "items", """a AS (SELECT item_id, "group" AS value, count(*) OVER (PARTITION BY "group") AS n FROM items),
+h AS (SELECT item_id, value, round, substr(md5('group|' || value || '|' || round || '|' || item_id || '|0'), 1, 16) AS h FROM a, range(200) z(round) WHERE n > 200),
+g AS (SELECT item_id AS src, coalesce(lead(item_id) OVER w, first(item_id) OVER w) AS dst FROM h WINDOW w AS (PARTITION BY value, round ORDER BY h, item_id))
+SELECT x.item_id AS src, y.item_id AS dst FROM a x JOIN a y ON x.value = y.value AND x.item_id <> y.item_id WHERE x.n <= 200 UNION SELECT src, dst FROM g WHERE src <> dst UNION SELECT dst, src FROM g WHERE src <> dst""")
 def _(spark, d):
     a = c.items(spark, d).select("item_id", F.lit("group").alias("attr"), F.col("group").alias("value"))
     return graph.attribute_pairs(a)

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Scoring arrivals as they come."""
