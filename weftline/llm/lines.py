@@ -9,6 +9,8 @@ whatever order the rows come, and a line whose template recurs across documents
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ FIELD = "<*>"
 
 def _folded(line: Column) -> Column:
     """The line with single blanks, and none at its ends."""
-    return F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
+    plain = F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")
+    uneven = reduce(Column.__or__, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
+    return F.trim(F.when(uneven, plain).otherwise(line))  # most lines have single blanks already
 
 
 def _masked(folded: Column) -> Column:
@@ -56,9 +60,9 @@ def _with_paths(rows: DataFrame) -> DataFrame:
 
     A line has its path as it stands (field 0), and with five tokens or more one for each leading token as a field.
     """
-    lines = rows.select("key", "id", F.posexplode(_lines("text")).alias("at", "line")).withColumn("folded", _folded(F.col("line"))).filter("folded <> ''")
-    n = F.length("folded") - F.length(F.translate("folded", " ", "")) + 1
-    split = lines.select("key", "id", "at", "folded", n.alias("n"), F.split("folded", " ", DEPTH + 1).alias("t"))
+    lines = rows.select("key", "id", F.posexplode(_lines("text")).alias("at", "line")).filter(F.col("line").rlike(r"[^ \t\r\f\x0B]")).withColumn("folded", _folded(F.col("line")))
+    n = F.octet_length("folded") - F.octet_length(F.replace("folded", F.lit(" "), F.lit(""))) + 1
+    split = lines.select("key", "id", "at", "folded", n.alias("n"), F.split(F.substring_index("folded", " ", DEPTH), " ").alias("t"))
     lead = [f"t{i}" for i in range(1, DEPTH + 1)]
     token = lambda i: F.try_element_at("t", F.lit(i))
     led = split.select("key", "id", "at", "folded", "n", *[F.when(token(i).rlike("[0-9]"), FIELD).otherwise(token(i)).alias(f"t{i}") for i in range(1, DEPTH + 1)])
