@@ -53,14 +53,43 @@ def node_probabilities(snaps: DataFrame) -> DataFrame:
     return d.join(total, "w").select("w", "node", "deg", (F.col("deg") / F.col("all")).alias("p"))
 
 
-def local_entropy(snaps: DataFrame, alpha: float = 0.6, normalisation: str = "local") -> DataFrame:
-    """[w, node, h]: order-alpha entropy over the neighbours' degrees; nodes without neighbours have no row (0).
+def snapshot_pagerank(snaps: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, iterations: int = 100) -> DataFrame:
+    """[w, node, rank] of every snapshot over all nodes of the table; a node without links in a window has no row.
+
+    Such nodes all have one rank, which is worked out at once: their mass spreads evenly, so it only adds a constant a
+    window to the others. Iterates until no window changes by more than tolerance times the number of nodes.
+    """
+    near = written(neighbours(snaps))
+    total = near.select("node").distinct().count()
+    deg = near.groupBy("w", "node").agg(F.count("*").alias("d"))
+    links = written(near.join(deg, ["w", "node"]))
+    alone = (total - F.count("*")) / total
+    base = written(deg.groupBy("w").agg(((1 - damping) / total / (1 - damping * alone)).alias("c")))
+    ranks = written(deg.select("w", "node", F.lit(1.0 / max(total, 1)).alias("rank")))
+    for _ in range(iterations):
+        got = links.join(ranks, ["w", "node"]).groupBy("w", F.col("other").alias("node")).agg(F.sum(F.col("rank") / F.col("d")).alias("g"))
+        step = ranks.join(got, ["w", "node"], "left").join(F.broadcast(base), "w")  # a row a window
+        ranks = written(step.select("w", "node", F.col("rank").alias("old"), (F.col("c") + damping * F.coalesce("g", F.lit(0.0))).alias("rank")))
+        worst = ranks.groupBy("w").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("x")).agg(F.max("x")).first()[0]
+        ranks = ranks.drop("old")
+        if worst is None or worst < tolerance * total:
+            break
+    return ranks
+
+
+def local_entropy(snaps: DataFrame, alpha: float = 0.6, normalisation: str = "local", metric: str = "degree", **ranking) -> DataFrame:
+    """[w, node, h]: order-alpha entropy over the neighbours' degrees or PageRanks; nodes without neighbours have no row (0).
 
     local: shares within the neighbourhood; global: shares of the snapshot, not renormalised. The neighbour table is
     written once and gives the degrees too; window totals are only worked out for global.
     """
     near = written(neighbours(snaps))
-    x = near.groupBy("w", F.col("node").alias("other")).agg(F.sum(F.when(F.col("node") == F.col("other"), 2).otherwise(1)).alias("x"))
+    if metric == "degree":
+        x = near.groupBy("w", F.col("node").alias("other")).agg(F.sum(F.when(F.col("node") == F.col("other"), 2).otherwise(1)).alias("x"))
+    elif metric == "pagerank":
+        x = snapshot_pagerank(snaps, **ranking).select("w", F.col("node").alias("other"), F.col("rank").alias("x"))
+    else:
+        raise ValueError(f"unknown metric {metric!r}; degree or pagerank")
     if normalisation != "local":
         total = x.groupBy("w").agg(F.sum("x").alias("all"))
         x = x.join(total, "w").select("w", "other", (F.col("x") / F.col("all")).alias("x"))

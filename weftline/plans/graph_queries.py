@@ -54,6 +54,20 @@ def _(spark, d):
     return temporal.local_entropy(daily(spark, d))
 
 
+def _ranks_sql(steps: int) -> str:
+    sql = REPLY + """, od AS MATERIALIZED (SELECT w, node, count(*) AS d FROM nb GROUP BY 1, 2), tn AS (SELECT count(DISTINCT node) AS n FROM nb),
+bs AS MATERIALIZED (SELECT w, 0.15 / n / (1 - 0.85 * (n - count(*)) / n) AS c FROM od, tn GROUP BY w, n), q0 AS (SELECT w, node, 1.0::DOUBLE / n AS r FROM od, tn)"""
+    for i in range(steps):
+        sql += f", q{i + 1} AS MATERIALIZED (SELECT q.w, q.node, c + 0.85 * g.g AS r FROM q{i} q JOIN bs ON bs.w = q.w JOIN (SELECT nb.w, nb.other AS node, sum(r / d) AS g FROM nb JOIN q{i} p ON p.w = nb.w AND p.node = nb.node JOIN od ON od.w = nb.w AND od.node = nb.node GROUP BY 1, 2) g ON g.w = q.w AND g.node = q.node)"
+    return sql + f", qr AS (SELECT * FROM q{steps})"
+
+
+@query("e7_pagerank_entropy", "w:i node:i h:f", "reply_edges", _ranks_sql(8) + " SELECT nb.w, nb.node, (ln(sum(pow(r, 0.6))) - 0.6 * ln(sum(r))) / 0.4 AS h FROM nb JOIN qr ON qr.w = nb.w AND qr.node = nb.other GROUP BY 1, 2")
+def _(spark, d):
+    """Eight steps on both sides, so that they agree to the last place; the operator's default runs to a tolerance."""
+    return temporal.local_entropy(daily(spark, d), metric="pagerank", tolerance=0.0, iterations=8)
+
+
 @query("e8_global_normalisation", "w:i node:i h:f", "reply_edges", REPLY + " SELECT w, node, h_global AS h FROM lne")
 def _(spark, d):
     return temporal.local_entropy(daily(spark, d), normalisation="global")

@@ -85,9 +85,9 @@ def tree_files(spark, d, path):
     x = cascades(spark, d)
     tid = lambda n: F.concat(F.col("item_id") * 100_000 + n)
     triple = lambda u, n, t: F.concat(F.lit("['"), u, F.lit("', '"), tid(n).cast("string"), F.lit("', '"), t, F.lit("']"))
-    up = c.cascade_nodes(spark, d).select("item_id", F.col("node").alias("parent"), F.col("uid").alias("up_uid"), F.round("delay_min", 2).alias("up_delay"))
+    up = c.cascade_nodes(spark, d).select("item_id", F.col("node").alias("parent"), F.col("uid").alias("up_uid"), (F.floor(F.col("delay_min") * 100) / 100).alias("up_delay"))
     y = x.join(up, ["item_id", "parent"], "left")
-    line = F.concat(F.when(F.col("node") == 0, F.lit("['ROOT', 'ROOT', '0.0']")).otherwise(triple(F.col("up_uid"), F.col("parent"), F.col("up_delay"))), F.lit("->"), triple(F.col("uid"), F.col("node"), F.round("delay_min", 2)))
+    line = F.concat(F.when(F.col("node") == 0, F.lit("['ROOT', 'ROOT', '0.0']")).otherwise(triple(F.col("up_uid"), F.col("parent"), F.col("up_delay"))), F.lit("->"), triple(F.col("uid"), F.col("node"), F.floor(F.col("delay_min") * 100) / 100))
     rows = y.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", line.alias("l")))), lambda r: r["l"]), "\n").alias("value"))  # one file an item, as the format has it
     rows = rows.withColumn("value", F.concat("value", F.lit("\nnot a line\nbroken->")))
     lines(rows.filter("item_id % 20 <> 7"), F.col("value"), f"{path}/tree", name=F.concat((F.col("item_id") * 100_000).cast("string"), F.lit(".txt")))
@@ -103,7 +103,7 @@ def _(spark, d):
     return readers.tweet_trees(spark, tree_files(spark, d, new_path(spark)))[0]
 
 
-@query("s5_tree_nodes", "item_id:s node:i uid:s tid:s delay_min:f parent:i", "cascade_nodes cascade_edges", "SELECT n.item_id * 100000 AS item_id, n.node, n.uid, n.item_id * 100000 + n.node AS tid, round(n.delay_min, 2) AS delay_min, e.parent FROM cascade_nodes n LEFT JOIN cascade_edges e ON e.item_id = n.item_id AND e.child = n.node WHERE n.item_id % 20 <> 7")
+@query("s5_tree_nodes", "item_id:s node:i uid:s tid:s delay_min:f parent:i", "cascade_nodes cascade_edges", "SELECT n.item_id * 100000 AS item_id, n.node, n.uid, n.item_id * 100000 + n.node AS tid, floor(n.delay_min * 100) / 100 AS delay_min, e.parent FROM cascade_nodes n LEFT JOIN cascade_edges e ON e.item_id = n.item_id AND e.child = n.node WHERE n.item_id % 20 <> 7")
 def _(spark, d):
     _, nodes, edges = readers.tweet_trees(spark, tree_files(spark, d, new_path(spark)))
     return nodes.join(edges.withColumnRenamed("child", "node"), ["item_id", "node"], "left")
