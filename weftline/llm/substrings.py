@@ -1,11 +1,12 @@
 """Exact substring dedup: removes every byte under a fixed-length string that also starts earlier.
 
-Winnowing picks, in each string of the length sought, the GRAM-byte gram of least hash; the string belongs to that anchor. Equal
-strings have equal anchors, so strings with the same anchor hash form a shard's material and no pair is ever sought across
-shards. A fixed-size sieve of anchor hashes, made in a first pass, says which anchors occur more than once, which have
-different surroundings, and which are hot. Where all surroundings agree their hash stands for all strings of the anchor.
-Where they differ the surrounding bytes go to the anchor's shard, whose suffixes are ranked by Larsson-Sadakane
-refinement in numpy; a hot anchor's strings go to shards of their own hash instead. The first start of each class stays.
+Winnowing picks, in each string of the length sought, the GRAM-byte gram of least hash; the string belongs to that
+anchor. Equal strings have equal anchors, so strings with the same anchor hash form a shard's material and no pair is ever
+sought across shards. A fixed-size sieve of anchor hashes, made in a first pass, says which anchors occur more than once,
+which have different surroundings, and which are hot. Where all surroundings agree, their hash and the anchor's, 128 bits
+together, stand for all strings of the anchor. Where they differ the surrounding bytes go to the anchor's shard, whose
+suffixes are ranked by Larsson-Sadakane refinement in numpy; a hot anchor's strings go to shards of their own hash
+instead. The first start of each class stays.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _ship(sieve, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows for the shards. Of strings alike in one run of documents only the first goes; the others are settled here."""
-    names = ["shard", "doc_id", "key", "start", "n", "around"]
+    names = ["shard", "anchor", "doc_id", "key", "start", "n", "around"]
     slots = sieve.value
     for batch in batches:
         keys, ids = np.asarray(batch.column("_key")), np.asarray(batch.column("_id"))
@@ -193,32 +194,32 @@ def _ship(sieve, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             row = np.searchsorted(x.ends, first, side="right")
             offset = np.append(0, x.ends)[row]
             shard = np.where(level == 2, anchor, around).view(np.int64)
-            order = np.lexsort((first, keys[a + row], ids[a + row], around))
-            fresh = np.append(True, around[order][1:] != around[order][:-1])
+            order = np.lexsort((first, keys[a + row], ids[a + row], anchor, around))
+            fresh = np.append(True, (around[order][1:] != around[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))
             lead = np.sort(order[fresh]) if len(order) else order
             rest = np.sort(order[~fresh]) if len(order) else order
             if len(lead):
                 bytes_ = [x.data[s : s + n - 1 + length] if lv == 2 else None for s, n, lv in zip(first[lead].tolist(), count[lead].tolist(), level[lead].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[lead]), pa.array(ids[a + row[lead]]), pa.array(keys[a + row[lead]]), pa.array(first[lead] - offset[lead]), pa.array(count[lead]), pa.array(bytes_, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[lead]), pa.array(anchor[lead].view(np.int64)), pa.array(ids[a + row[lead]]), pa.array(keys[a + row[lead]]), pa.array(first[lead] - offset[lead]), pa.array(count[lead]), pa.array(bytes_, pa.binary())], names)
             if len(rest):  # settled: n is negative and the shard says nothing
                 each = count[rest]
                 starts = np.unique(np.repeat(first[rest] - (np.cumsum(each) - each), each) + np.arange(each.sum()))
                 s, e = _runs(starts)
                 r = np.searchsorted(x.ends, s, side="right")
                 off = np.append(0, x.ends)[r]
-                yield pa.RecordBatch.from_arrays([pa.array(mix(keys[a + r].view(np.uint64) + s.astype(np.uint64)).view(np.int64)), pa.array(ids[a + r]), pa.array(keys[a + r]), pa.array(s - off), pa.array(s - e - 1), pa.nulls(len(s), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(keys[a + r].view(np.uint64) + s.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(s), np.int64)), pa.array(ids[a + r]), pa.array(keys[a + r]), pa.array(s - off), pa.array(s - e - 1), pa.nulls(len(s), pa.binary())], names)
 
 
 def _settle(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, first, last): runs of starts whose string also starts earlier."""
     for group in whole_groups(batches, "shard", SHARD_ROWS):
-        shard, ids, keys, start, n = (np.asarray(group.column(c)) for c in ("shard", "doc_id", "key", "start", "n"))
+        shard, anchor, ids, keys, start, n = (np.asarray(group.column(c)) for c in ("shard", "anchor", "doc_id", "key", "start", "n"))
         done = n < 0
         out = [(ids[done], keys[done], start[done], start[done] - n[done] - 1)]
         spelt = np.asarray(group.column("around").is_valid())
         plain = np.flatnonzero(~done & ~spelt)
-        plain = plain[np.lexsort((start[plain], keys[plain], ids[plain], shard[plain]))]
-        later = plain[np.append(False, shard[plain][1:] == shard[plain][:-1])] if len(plain) else plain
+        plain = plain[np.lexsort((start[plain], keys[plain], ids[plain], anchor[plain], shard[plain]))]
+        later = plain[np.append(False, (shard[plain][1:] == shard[plain][:-1]) & (anchor[plain][1:] == anchor[plain][:-1]))] if len(plain) else plain
         out.append((ids[later], keys[later], start[later], start[later] + n[later] - 1))
         rows = np.flatnonzero(spelt & ~done)
         if len(rows):
@@ -293,7 +294,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = small_batches(rows).withColumn("_key", F.xxhash64("_own", F.lit("/"), "_text"))
     read = rows.select("_id", "_key", "_text")
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(read.select("_text"), length))  # 2 ** SIEVE_BITS / 4 bytes
-    shipped = read.mapInArrow(partial(_ship, sieve, length), "shard long, doc_id long, key long, start long, n long, around binary")
+    shipped = read.mapInArrow(partial(_ship, sieve, length), "shard long, anchor long, doc_id long, key long, start long, n long, around binary")
     later = shipped.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(_settle, length), "doc_id long, key long, first long, last long")
     runs = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("_runs")).withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
     joined = rows.join(runs, ["_id", "_key"], "left").select(BOX, F.octet_length("_text").cast("long").alias("n_bytes"), F.col("_text").cast("binary").alias("_bytes"), "_runs")
