@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from weftline.llm.common import BOX, boxed, slices, small_batches, text_or_empty, unboxed
+from weftline.llm.common import BOX, boxed, slices, small_batches, unboxed
 
 SEP, LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE_RUN, WHITE_LAST, WHITE_RUN = range(10)
 FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, PENDING, IN_WHITE, TWO_LEFT, ONE_LEFT = range(8)
@@ -229,69 +229,83 @@ def _encoder(shared, key: str) -> _Cache:
     return _state["cache"]
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
+class Decoder:
+    """The vocabulary as one buffer with offsets; ids are decoded by gathering their byte ranges at once."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, r in ranks.items():
+            table[r] = token
+        self.width = np.fromiter(map(len, table), np.int64, len(table))
+        self.offset = np.cumsum(self.width) - self.width
+        self.vocab = np.frombuffer(b"".join(table), np.uint8)
+
+    def texts(self, packed: list[bytes]) -> list[bytes]:
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        w = self.width[ids]
+        ends = np.cumsum(w)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.vocab[np.arange(total) + np.repeat(self.offset[ids] - (ends - w), w)].tobytes()
+        stops = np.cumsum([len(p) // 4 for p in packed])
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], stops])].tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """All columns + ids (BINARY, little-endian uint32), as ordinary text without special tokens.
 
-    offsets adds piece_ends (BINARY, little-endian uint32): byte offsets at which the pre-tokens end.
+    offsets adds piece_ends (BINARY, little-endian uint32): byte offsets at which the pre-tokens end. decoded adds decoded
+    (BINARY): the bytes that the ids stand for, decoded where they were made, so that no second Python worker is needed.
     A null or empty text gives no ids; a very long text is encoded whole, in one pass over its classes, and a very long
     pre-token in n log n steps. Rows are independent: copies and ties change nothing; an input column named like an output
     is replaced, other names never clash; an empty table gives an empty result. No shuffle; memory is one batch and a
     bounded cache.
     """
     shared = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), _tables()[1]))  # a fixed vocabulary, and a byte a codepoint
-    rows = small_batches(docs).select(boxed(docs), text_or_empty(text_col).alias("_text"))
-    made = ["ids", *["piece_ends"] * offsets]
-    schema = StructType([rows.schema[BOX], *(StructField(c, BinaryType()) for c in made)])
+    rows = small_batches(docs).select(boxed(docs, text_col), F.col(text_col).alias("_text"))
+    made = ["ids", *["piece_ends"] * offsets, *["decoded"] * decoded]
+    schema = StructType([*rows.schema.fields, *(StructField(c, BinaryType()) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _encoder(shared, ranks_path)
+        decoder = Decoder(shared.value[0]) if decoded else None
         for batch in batches:
             col = batch.column("_text")
-            sizes = np.asarray(pa.compute.binary_length(col))
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0))
             for i, j in slices(sizes):
-                texts = col.slice(i, j - i).to_pylist()
+                texts = [t or "" for t in col.slice(i, j - i).to_pylist()]
                 buf, at = boundaries(texts)
                 bounds = at.tolist()
                 pieces = [buf[a:b] for a, b in zip(bounds, bounds[1:])]
                 row_start = np.concatenate([[0], np.cumsum(sizes[i:j] + 1)])
                 first = np.searchsorted(at, row_start)
-                out = [batch.column(BOX).slice(i, j - i), pa.array([b"".join(map(cache.__getitem__, pieces[a : b - 1])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())]
+                ids = [b"".join(map(cache.__getitem__, pieces[a : b - 1])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                out = [batch.column(BOX).slice(i, j - i), col.slice(i, j - i), pa.array(ids, pa.binary())]
                 if offsets:
                     out.append(pa.array([(at[a + 1 : b] - s).astype("<u4").tobytes() for a, b, s in zip(first[:-1], first[1:], row_start)], pa.binary()))
+                if decoder:
+                    out.append(pa.array(decoder.texts(ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return unboxed(rows.mapInArrow(run, schema), docs, {c: F.col(c) for c in made})
+    out = unboxed(rows.mapInArrow(run, schema), docs, {text_col: F.col("_text")} | {c: F.col(c) for c in made}, text_col)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], *made)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns + out_col (BINARY): the bytes that the packed ids stand for. Null ids give an empty value.
 
-    The vocabulary is one buffer with offsets; a batch of ids is decoded by gathering its byte ranges at once. Columns,
-    copies and empty tables as in encode.
+    Columns, copies and empty tables as in encode.
     """
-    vocab = sorted((r, t) for t, r in load_ranks(ranks_path).items())
-    table = [b""] * (vocab[-1][0] + 1)
-    for r, t in vocab:
-        table[r] = t
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     rows = small_batches(encoded).select(boxed(encoded), F.col(ids_col).alias("_ids"))
     schema = StructType([rows.schema[BOX], StructField("_bytes", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.fromiter(map(len, shared.value), np.int64, len(shared.value))
-        offset = np.cumsum(width) - width
-        vocab_bytes = np.frombuffer(b"".join(shared.value), np.uint8)
+        decoder = Decoder(shared.value)
         for batch in batches:
             packed = [x or b"" for x in batch.column("_ids").to_pylist()]
             for i, j in slices(np.fromiter(map(len, packed), np.int64, len(packed))):
-                ids = np.frombuffer(b"".join(packed[i:j]), "<u4")
-                w = width[ids]
-                ends = np.cumsum(w)
-                total = int(ends[-1]) if len(ends) else 0
-                data = vocab_bytes[np.arange(total) + np.repeat(offset[ids] - (ends - w), w)].tobytes()
-                stops = np.cumsum([len(p) // 4 for p in packed[i:j]])
-                cuts = np.concatenate([[0], ends])[np.concatenate([[0], stops])].tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(BOX).slice(i, j - i), pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(BOX).slice(i, j - i), pa.array(decoder.texts(packed[i:j]), pa.binary())], schema.names)
 
     return unboxed(rows.mapInArrow(run, schema), encoded, {out_col: F.col("_bytes")})
 
@@ -303,7 +317,7 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path).drop("text"), path)
+    both = encode(docs, path, decoded=True)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
