@@ -241,9 +241,9 @@ def _(spark, d):
 
 
 @query("g27_pair_features", "u:i v:i pos:i value:f score:f", "posts reply_edges", FEATS + """ SELECT s.src AS u, s.dst AS v, a.pos, a.v * b.v AS value, sum(a.v * b.v) OVER (PARTITION BY s.src, s.dst) AS score
-FROM sym s JOIN fl a ON a.node = s.src JOIN fl b ON b.node = s.dst AND b.pos = a.pos WHERE s.src < s.dst AND s.src % 7 = 0""")
+FROM sym s JOIN fl a ON a.node = s.src JOIN fl b ON b.node = s.dst AND b.pos = a.pos WHERE s.src < s.dst""")
 def _(spark, d):
-    pairs = sym(spark, d).filter("src < dst AND src % 7 = 0").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    pairs = sym(spark, d).filter("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
     return passing.pair_features(pairs, feats(spark, d)).select("u", "v", F.posexplode("x").alias("p", "value"), "score").withColumn("pos", F.col("p") + 1)
 
 

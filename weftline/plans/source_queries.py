@@ -110,7 +110,10 @@ def _(spark, d):
 
 
 def thread_files(spark, d, path):
-    """event/kind/thread folders of the first 8 nodes of each item; every fourth structure is empty, so replied-to ids count."""
+    """event/kind/thread folders of every item; every fourth structure is empty, so replied-to ids count.
+
+    The format has a file a tweet, so a thread is given its item's first eight nodes.
+    """
     k, n = F.col("item_id"), F.col("node")
     x = cascades(spark, d).filter("node < 8")
     tid = lambda v: (k * 1000 + v).cast("string")
