@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from weftline.llm.common import LOWER, each_text, mix, reliable, shingles, small_batches, text_or_empty, whole_groups, words_of
+from weftline.llm.common import LOWER, boxed, each_text, mix, reliable, shingles, small_batches, stored, table, text_or_empty, unboxed, whole_groups, words_of
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -25,6 +25,8 @@ FOREST = 500_000
 WORDS = 2
 #: Unrelated fingerprints that a shard of those holds on average, and the share of pairs that may share no shard.
 SHARD, MISS = 32, 0.01
+#: Row numbers, eight bytes each, that are broadcast at most to pick or leave out texts where they lie.
+BROADCAST_ROWS = 4_000_000
 #: Rows of one side of a cell; a shard of more than two sides is dealt over cells.
 SIDE = 256
 
@@ -172,31 +174,8 @@ def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     sharded = fps.select("fp", F.explode(F.array(*keys)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_s, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
-        ended = False
-        batches = iter(batches)
-        while not ended:
-            parts = [(held_s, held_f)]
-            size = len(held_s)
-            while size < FOREST:
-                batch = next(batches, None)
-                if batch is None:
-                    ended = True
-                    break
-                parts.append((np.asarray(batch.column("shard")), np.asarray(batch.column("fp"))))
-                size += batch.num_rows
-            s, f = (np.concatenate(x) for x in zip(*parts))
-            cut = len(s) if ended else int(np.searchsorted(s, s[-1]))  # the last shard may go on in the next batch
-            if not ended and cut == 0:
-                held_s, held_f = s, f
-                more = next(batches, None)
-                if more is None:
-                    ended, cut = True, len(s)
-                else:
-                    held_s, held_f = np.append(s, np.asarray(more.column("shard"))), np.append(f, np.asarray(more.column("fp")))
-                    continue
-            held_s, held_f = s[cut:], f[cut:]
-            s, f = s[:cut], f[:cut]
+        for held in whole_groups(batches, "shard", FOREST):
+            s, f = np.asarray(held.column("shard")), np.asarray(held.column("fp"))
             same = s[1:] == s[:-1]
             shared = np.append(same, False) | np.append(False, same)
             s, f = s[shared], f[shared]
@@ -214,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id of the component. Equal fingerprints always link, so repeated rows and ties fall in
     one component; null ids are ignored for it unless the whole component has none (then null). Null and empty texts
-    have fingerprint zero. An empty table gives an empty result. Text never leaves its task: only ids and fingerprints
+    have fingerprint zero. Very long texts are read whole; other columns are left out. An empty table gives an empty result. Text never leaves its task: only ids and fingerprints
     are shuffled, and links are sought between distinct fingerprints.
     """
     rows = reliable(fingerprints(docs, text_col, (id_col,), k))
@@ -227,6 +206,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
+def _if_small(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; beyond them texts are shuffled to meet it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _shingle_set(text: bytes, k: int) -> np.ndarray:
     """The sorted distinct hashes of the text's word k-shingles; a text of fewer words has one, a text of none none."""
     h, row, _, _ = words_of([text])
@@ -337,7 +321,7 @@ def _other_links(fps: DataFrame, rows: DataFrame, links: DataFrame, keys: list,
     """
     words, block = [f"w{i}" for i in range(WORDS)], SIDE
     roots = connected_components(links).withColumnRenamed("node", "n")
-    known = reliable(fps.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")))
+    known = stored(fps.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")))
     sharded = known.select("n", *words, "size", "root", F.posexplode(F.array(*keys)).alias("key", "shard"))
     out = ["cell", "side", "n", "size", "root", "key", *words]
     schema = "cell long, side byte, n long, size long, root long, key int, " + ", ".join(f"{c} long" for c in words)
@@ -395,13 +379,13 @@ def _other_links(fps: DataFrame, rows: DataFrame, links: DataFrame, keys: list,
             ends = cols["n"][at]
             yield pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], ["a", "b"])
 
-    dealt = reliable(sharded.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(deal, schema + ", large boolean"))
+    dealt = stored(sharded.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(deal, schema + ", large boolean"))
     large = dealt.filter("large").drop("large").repartition("cell").sortWithinPartitions("cell").mapInArrow(thin, schema)
-    cells = reliable(dealt.filter("NOT large").drop("large").unionByName(large))
-    return cells.join(rows, "n").select(*out, "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long")
+    cells = stored(dealt.filter("NOT large").drop("large").unionByName(large))
+    return rows.join(_if_small(cells, BROADCAST_ROWS // 8), "n").select(*out, "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long")
 
 
-def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, similarity: float = 0.8, among: DataFrame | None = None) -> DataFrame:
     """(a, b): pairs of ids (BIGINT, distinct) whose texts have a Jaccard similarity of at least similarity in word k-shingles.
 
     The links keep every component whole; pairs that others join need not be among them. Candidates come first from the
@@ -409,7 +393,8 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, simil
     within the radius of each of its shards, so a group of near copies makes at most one candidate a row and shard and
     never all pairs. Every candidate is held to the exact similarity of the whole texts. That joins most near copies;
     then _other_links tries all pairs within the radius that are not joined yet. What is missed is a pair that shares no
-    shard or lies outside the radius: at the similarity itself a chance of some hundredths, closer more rarely.
+    shard or lies outside the radius: at the similarity itself a chance of some hundredths, closer more rarely. among, a
+    table of ids, limits the links to these rows, and no text is moved to tell them.
     """
     rows = small_batches(docs).select(F.col(id_col).alias("n"), text_or_empty(text_col).alias("text"))
     cols = [f"w{i}" for i in range(WORDS)]
@@ -420,7 +405,8 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, simil
             size, fp = np.array([x for x, _ in both], np.int64), np.array([x for _, x in both], np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["n", "size", *cols])
 
-    fps = reliable(rows.mapInArrow(hashed, "n long, size long, " + ", ".join(f"{c} long" for c in cols)))
+    fps = rows.mapInArrow(hashed, "n long, size long, " + ", ".join(f"{c} long" for c in cols))
+    fps = stored(fps if among is None else fps.join(among.select(F.col(among.columns[0]).alias("n")), "n", "left_semi"))
     sampled, tables, radius = _sampling(fps.count(), similarity)
     rng = np.random.default_rng(SEED)
     keys, all_masks = [], []
@@ -445,9 +431,10 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, k: int = 5, simil
             at = np.flatnonzero(best != np.arange(len(n)))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(n[at], n[best[at]])), pa.array(np.minimum(n[at], n[best[at]]))], ["a", "b"])
 
-    pairs = reliable(sharded.mapInArrow(earliest, "a long, b long").distinct())
-    firsts = rows.join(pairs.select(F.col("b").alias("n")).distinct(), "n", "left_semi").select(F.col("n").alias("b"), F.col("text").alias("first"))
-    both = pairs.join(rows.withColumnRenamed("n", "a"), "a").join(firsts, "b")
+    pairs = stored(sharded.mapInArrow(earliest, "a long, b long").distinct())
+    few = _if_small(pairs, BROADCAST_ROWS // 2)
+    firsts = rows.join(_if_small(pairs.select(F.col("b").alias("n")).distinct(), BROADCAST_ROWS), "n", "left_semi").select(F.col("n").alias("b"), F.col("text").alias("first"))
+    both = rows.withColumnRenamed("n", "a").join(few, "a").join(firsts, "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first = b"", _shingle_set(b"", k)
@@ -471,24 +458,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal texts are one group whatever their length. Groups of different texts are components of similar_links: pairs
     whose word k-shingles have a Jaccard similarity of at least similarity; texts without words are alike. Of rows equal
     in id and text one stays; a null id comes last; null and empty texts are one group. An empty table gives an empty
-    result. Copies are set aside first by a 256-bit hash of the text, pre-aggregated, so only different texts are
-    compared.
+    result. Very long texts are read whole, other columns pass through whatever their names. Copies are set aside first
+    by a 256-bit hash of the text, pre-aggregated, so only different texts are compared.
     """
-    rows = reliable(docs.withColumn("_n", F.monotonically_increasing_id()))  # row numbers must not change
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_n").alias("n"))
-    texts_of = rows.select(F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("key"), rank.alias("rank"))
+    rows = stored(docs.select(boxed(docs, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_n")))  # row numbers must not change
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("_n").alias("n"))
+    texts_of = rows.select(F.sha2(text_or_empty("text").cast("binary"), 256).alias("key"), rank.alias("rank"))
     reps = reliable(texts_of.groupBy("key").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.n").alias("_rep")))
-    different = rows.join(reps.select(F.col("_rep").alias("_n")), "_n", "left_semi").select("_n", text_col)
-    roots = reliable(connected_components(similar_links(different, "_n", text_col, k, similarity)))
+    roots = reliable(connected_components(similar_links(rows.select("_n", "text"), "_n", "text", k, similarity, reps.select("_rep"))))
     grouped = reps.join(roots, reps["_rep"] == roots["node"]).select("rank", "_rep", "root")
     first = grouped.groupBy("root").agg(F.min("rank").alias("least")).select("root", F.col("least.n").alias("_first"))
     gone = grouped.join(first, "root").filter("_rep <> _first").select("_rep")
-    kept = reps.select("_rep").join(gone, "_rep", "left_anti").select(F.col("_rep").alias("_n"))
-    return rows.join(kept, "_n", "left_semi").select(docs.columns)
+    same = rows.select("_n").join(reps.select(F.col("_rep").alias("_n")), "_n", "left_anti")
+    left_out = reliable(same.unionByName(gone.select(F.col("_rep").alias("_n"))))
+    kept = rows.join(_if_small(left_out, BROADCAST_ROWS), "_n", "left_anti")
+    return unboxed(kept, docs, {text_col: F.col("text")}, text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    from weftline.llm.common import table
-
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
