@@ -157,6 +157,22 @@ def words_of(rows: list[bytes], lower: bool = True, word: np.ndarray = _WORD) ->
     return h, np.searchsorted(ends, start, side="right"), start, end
 
 
+def word_values(rows: list[bytes], lower: bool = True, word: np.ndarray = _WORD) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the rows as one binary array, so that Arrow compares their bytes: (words, row, start, end in the joined buffer)."""
+    joined = b"\n".join(rows)
+    if lower:
+        joined = joined.translate(LOWER)
+    buf = np.frombuffer(joined, np.uint8)
+    is_word = word[buf]
+    edges = np.flatnonzero(np.diff(is_word, prepend=np.uint8(0), append=np.uint8(0)))
+    start, end = edges[0::2], edges[1::2]
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    values = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buf[is_word.view(bool)])])
+    ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) + 1)
+    return values, np.searchsorted(ends, start, side="right"), start, end
+
+
 def shingles(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words inside one row, and the index of each run's first word."""
     n = len(h) - k + 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, substrings, topk
+from weftline.llm import bpe, decontaminate, html, infill, langid, licenses, lines, lm, runs, sharding, simhash, substrings, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": html.op8_html_text,
         "op9_lm_score": lm.op9_lm_score,
         "op10_suffix_dedup": substrings.op10_suffix_dedup,
+        "op11_license_scan": licenses.op11_license_scan,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_fill_in_middle": infill.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.OP1_SQL, "op4_exact_topk": topk.OP4_SQL}
+    return {"op1_line_dedup": lines.OP1_SQL, "op4_exact_topk": topk.OP4_SQL, "op11_license_scan": licenses.OP11_SQL, "op13_fill_in_middle": infill.OP13_SQL}
