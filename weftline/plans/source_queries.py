@@ -10,7 +10,7 @@ from weftline.operators import temporal
 from weftline.plans.base import query
 from weftline.plans.graph_queries import SIMPLE
 from weftline.sources import canonical as c
-from weftline.sources import readers, sinks
+from weftline.sources import json_arrays, readers, sinks
 
 
 def lines(df, value, path, **parts):
@@ -173,17 +173,10 @@ def graph_files(spark, d, path):
     metrics = F.struct(F.col("account_id").alias("tweet_count"), (F.col("account_id") % 9).alias("followers_count"), F.lit(4).alias("following_count"))
     users = a.filter("account_id % 5 <> 2").select(F.to_json(F.struct(user("account_id").alias("id"), made.alias("created_at"), metrics.alias("public_metrics"))).alias("value"))
     texts = p.select(F.to_json(F.struct(F.concat(F.lit("t"), "tweet_id").alias("id"), F.when(F.col("post_id") % 6 == 0, "").otherwise(F.concat(F.lit("@someone post "), "post_id")).alias("text"))).alias("value"))
-    arrays(users.unionByName(texts), f"{path}/node.json")
+    json_arrays.write(users.unionByName(texts), f"{path}/node.json")
     return path
 
 
-def arrays(rows, path):
-    """Writes JSON values [value] as files that hold an array each."""
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(16)))
-    whole = dealt.groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ", "), F.lit("]")).alias("value"))  # one file, as the format has it
-    whole.write.partitionBy("bucket").text(path)
-
-
 USERS = SIMPLE + """, ac AS (SELECT account_id, label, created_ms, account_id % 7 <> 3 AS lab, account_id % 5 <> 2 AS met FROM accounts), ids AS (SELECT account_id FROM ac WHERE lab UNION SELECT src FROM reply_edges UNION SELECT dst FROM reply_edges)"""
 
 
@@ -208,8 +201,8 @@ def _(spark, d):
 @query("s10_labelled_users", "user_id:s posts:f label:i split:s", "accounts posts", "SELECT 'u' || account_id AS user_id, account_id AS posts, label, ['train', 'val', 'test'][account_id % 3 + 1] AS split FROM accounts WHERE account_id % 7 <> 3 AND account_id % 5 <> 2")
 def _(spark, d):
     path = graph_files(spark, d, new_path(spark))
-    nodes = readers.json_array(spark, f"{path}/node.json", readers.NODE).filter("id LIKE 'u%'")
-    arrays(nodes.select(F.to_json(F.struct("id", "created_at", "public_metrics")).alias("value")), f"{path}/user.json")
+    nodes = json_arrays.records(spark, f"{path}/node.json", readers.NODE).filter("id LIKE 'u%'")
+    json_arrays.write(nodes.select(F.to_json(F.struct("id", "created_at", "public_metrics")).alias("value")), f"{path}/user.json")
     return readers.labelled_users(spark, path).withColumn("posts", F.element_at("features", 1))
 
 

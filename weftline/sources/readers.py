@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scalars import days_since, has_time, id_time_ms, parsed_time, post_type
 from weftline.operators.temporal import to_undirected
+from weftline.sources import json_arrays
 
 #: Labels and columns of the statement tables (fixed values).
 STATEMENT_LABELS = ["pants-fire", "false", "barely-true", "half-true", "mostly-true", "true"]
@@ -197,11 +198,6 @@ def repost_cascades(spark: SparkSession, reposts: str, originals: str) -> tuple[
     return both.select("item_id", "text", label.alias("label")), nodes, edges
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The elements of a file that is one JSON array, a row each; rewrite large ones as JSON lines or Parquet, as a file is one task."""
-    return spark.read.schema(schema).json(path, multiLine=True)
-
-
 METRICS = "struct<tweet_count:double,followers_count:double,following_count:double,listed_count:double>"
 NODE = f"id string, created_at string, text string, public_metrics {METRICS}"
 
@@ -218,7 +214,7 @@ def user_graph(spark: SparkSession, path: str, reference: str = "2015-01-01", wi
     splits = csv("split").select(F.col("id").alias("user_id"), "split")
     rel = csv("edge")
     between = rel.filter("relation <> 'post' AND source_id LIKE 'u%' AND target_id LIKE 'u%'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    nodes = json_array(spark, f"{path}/node.json", NODE)
+    nodes = json_arrays.records(spark, f"{path}/node.json", NODE)
     m = lambda c: F.coalesce(F.col(f"public_metrics.{c}"), F.lit(0.0))
     age = days_since(parsed_time(F.col("created_at")), reference).cast("double")
     known = nodes.filter("id LIKE 'u%'").select(F.col("id").alias("user_id"), F.array(m("tweet_count"), m("followers_count"), m("following_count"), m("listed_count"), age).alias("features"))
@@ -246,7 +242,7 @@ def labelled_users(spark: SparkSession, path: str, max_users: int | None = None,
         out = rows.withColumn("features", F.array_repeat(F.lit(0.0), 5))
     else:
         m = lambda c: F.coalesce(F.col(f"public_metrics.{c}"), F.lit(0.0))
-        known = json_array(spark, f"{path}/user.json", NODE).select(F.col("id").alias("user_id"), F.array(m("tweet_count"), m("followers_count"), m("following_count"), m("listed_count"), days_since(parsed_time(F.col("created_at")), reference).cast("double")).alias("features"))
+        known = json_arrays.records(spark, f"{path}/user.json", NODE).select(F.col("id").alias("user_id"), F.array(m("tweet_count"), m("followers_count"), m("following_count"), m("listed_count"), days_since(parsed_time(F.col("created_at")), reference).cast("double")).alias("features"))
         out = rows.join(known, "user_id")
     out = out.select("user_id", "features", "label", "split")
     return out.orderBy("user_id").limit(max_users) if max_users is not None else out
@@ -259,7 +255,7 @@ def account_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     without events stay.
     """
     labels = spark.read.csv(f"{path}/label.csv", header=True).select(F.col("id").alias("account_id"), (F.col("label") == "bot").cast("int").alias("label"))
-    nodes = json_array(spark, f"{path}/node.json", NODE)
+    nodes = json_arrays.records(spark, f"{path}/node.json", NODE)
     wrote = spark.read.csv(f"{path}/edge.csv", header=True).filter("relation = 'post'").select(F.col("source_id").alias("account_id"), F.col("target_id").alias("post_id"))
     texts = nodes.filter("id LIKE 't%'").select(F.col("id").alias("post_id"), "text")
     number = F.expr("try_cast(regexp_replace(post_id, '^t', '') AS BIGINT)")
