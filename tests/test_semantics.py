@@ -34,8 +34,8 @@ def test_pronouns_count_at_word_bounds(spark):
 
 
 def test_word_and_char_grams(spark):
-    assert column(spark, text.word_grams, "Él a dió_2 x pie", None) == [["el", "dio_2", "pie", "el dio_2", "dio_2 pie"], []]
-    assert column(spark, text.char_grams, "ab c") == [[" a", "ab", "b ", " ab", "ab ", " c", "c ", " c "]]
+    assert column(spark, lambda t: text.word_grams(text.word_tokens(t)), "Él a dió_2 x pie", None) == [["el", "dio_2", "pie", "el dio_2", "dio_2 pie"], []]
+    assert column(spark, lambda t: text.char_grams(text.padded_words(t)), "ab c") == [[" a", "ab", "b ", " ab", "ab ", " c", "c ", " c "]]
 
 
 def test_negatives_on_a_dense_graph(spark):
@@ -164,3 +164,21 @@ def test_augmented_snapshots_keep_quotas(spark):
     nodes = {x for r in out for x in (r["u"], r["v"])} & set(range(60))
     assert len(nodes) <= 60 - round(0.02 * 60)
     assert math.isclose(len(out), len(pairs), rel_tol=0.1)
+
+
+def test_terms_are_linear_in_the_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"w{i % 997}" for i in range(n)))], "item_id long, text string")
+        t = time.time()
+        assert text.tf_idf(df, F.lit(True), min_df=1).count() > 900
+        return time.time() - t
+
+    seconds(1_000)
+    assert seconds(200_000) < 20  # once for each bigram would be 4 * 10^10 tokens
+
+
+def test_row_softmax_of_a_long_row(spark):
+    r = spark.range(1).select(passing.row_softmax(F.array_repeat(F.lit(3.0), 50_000)).alias("x")).select(F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("s"), F.element_at("x", 7).alias("v")).first()
+    assert r["s"] == pytest.approx(1) and r["v"] == pytest.approx(1 / 50_000)

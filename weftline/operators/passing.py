@@ -178,10 +178,10 @@ def readout_max(nodes: DataFrame) -> DataFrame:
 
 
 def row_softmax(logits: Column) -> Column:
-    """The softmax of an array, shifted by its maximum."""
-    e = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(e, lambda v: v / total)
+    """The softmax of an array, shifted by its maximum; maximum and sum are taken once a row, not once an element."""
+    shifted = F.zip_with(logits, F.array_repeat(F.array_max(logits), F.size(logits)), lambda v, top: F.exp(v - top))
+    total = F.aggregate(shifted, F.lit(0.0), lambda s, v: s + v)
+    return F.zip_with(shifted, F.array_repeat(total, F.size(logits)), lambda v, t: v / t)
 
 
 def ranked_by_hash(rows: DataFrame, by: list[str], key: str, n: int, seed: int) -> DataFrame:

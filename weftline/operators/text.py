@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import written
 from weftline.functions.scalars import ratio
 
 #: Pronouns that are counted (fixed values).
@@ -15,17 +16,20 @@ THIRD_PERSON = ["he", "him", "his", "she", "her", "hers", "they", "them", "their
 
 
 def style(items: DataFrame, text: str = "text") -> DataFrame:
-    """items + words, mean word length, shares of marks, capitals and digits of all characters, pronoun rates."""
+    """items + words, mean word length, shares of marks, capitals and digits of all characters, pronoun rates.
+
+    The text is cut into runs of word characters once; a pronoun is such a run, whatever its case.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    n, chars = F.size(words), F.length(t)
-    mark = lambda c: ratio(chars - F.length(F.translate(t, c, "")), chars)
+    cut = items.withColumns({"_t": t, "_words": F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: w != ""), "_runs": F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))})
+    t, words, n, chars = F.col("_t"), F.col("_words"), F.size("_words"), F.length("_t")
+    mark = lambda c: ratio(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit(""))), chars)
     of = lambda pattern: ratio(F.regexp_count(t, F.lit(pattern)), chars)
-    rate = lambda people: ratio(F.regexp_count(t, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?i:{'|'.join(people)})(?![\p{{L}}\p{{N}}_])")), n)
-    return items.withColumns({
+    rate = lambda people: ratio(F.size(F.filter("_runs", lambda w: w.isin(people))), n)
+    return cut.withColumns({
         "n_words": n, "mean_word": ratio(F.length(F.array_join(words, "")), n), "dots": mark("."), "questions": mark("?"), "shouts": mark("!"), "commas": mark(","),
         "capitals": of(r"\p{Lu}"), "digits": of(r"\p{Nd}"), "first_person": rate(FIRST_PERSON), "third_person": rate(THIRD_PERSON),
-    })
+    }).drop("_t", "_words", "_runs")
 
 
 def is_cjk(items: DataFrame, order: str, text: str = "text", sample: int = 200, share: float = 0.1) -> DataFrame:
@@ -49,42 +53,65 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def word_grams(text: Column, most: int = 2) -> Column:
-    """ARRAY: lower-cased, accent-free runs of two or more word characters, and runs of up to `most` of them joined by a blank."""
-    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_plain_letters())
-    one = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    grams, joined = [one], lambda n: lambda i: F.array_join(F.slice(one, i, n), " ")
+def _bare(text: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), *_plain_letters())
+
+
+def word_tokens(text: Column) -> Column:
+    """ARRAY: lower-cased, accent-free runs of two or more word characters."""
+    return F.regexp_extract_all(_bare(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
+def padded_words(text: Column) -> Column:
+    """ARRAY: lower-cased, accent-free words between blanks, padded by one blank on each side."""
+    words = F.filter(F.split(_bare(text), r"\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+
+def _runs_up_to(parts: Column, most: int, between: str) -> list[Column]:
+    """For n = 1 to most the array of all runs of n neighbours, joined; each is the one before with one more neighbour."""
+    out = [parts]
     for n in range(2, most + 1):
-        starts = F.when(F.size(one) >= n, F.sequence(F.lit(1), F.size(one) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, joined(n)))
-    return F.concat(*grams)
+        rest = F.greatest(F.size(parts) - n + 1, F.lit(0))
+        out.append(F.zip_with(F.slice(out[-1], F.lit(1), rest), F.slice(parts, F.lit(n), rest), lambda a, b: F.concat(a, F.lit(between), b)))
+    return out
+
+
+def word_grams(tokens: Column, most: int = 2) -> Column:
+    """ARRAY: the tokens and runs of up to `most` of them joined by a blank."""
+    return F.concat(*_runs_up_to(tokens, most, " "))
+
 
+def char_grams(padded: Column, least: int = 2, most: int = 3) -> Column:
+    """ARRAY: runs of 2 to 3 characters inside padded words; a padded word shorter than that is one."""
 
-def char_grams(text: Column, least: int = 2, most: int = 3) -> Column:
-    """ARRAY: runs of 2 to 3 characters inside words padded by one blank on each side; a padded word shorter than that is one."""
-    words = F.filter(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_plain_letters()), r"\s+"), lambda w: w != "")
+    def cut(chars: Column) -> Column:
+        runs = _runs_up_to(chars, most, "")
+        return F.when(F.size(chars) < least, F.array(F.array_join(chars, ""))).otherwise(F.concat(*runs[least - 1 :]))
 
-    def cut(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-        return F.concat(*[F.when(F.lit(n == least) | (F.length(padded) >= n), runs(n)).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)])
+    return F.flatten(F.transform(F.transform(padded, lambda w: F.split(w, "")), cut))
 
-    return F.flatten(F.transform(words, cut))
 
+#: Kinds of terms: how a text is cut, and what is made of the pieces.
+WORD_TERMS, CHAR_TERMS = (word_tokens, word_grams), (padded_words, char_grams)
 
-def tf_idf(items: DataFrame, train: DataFrame, max_features: int = 5000, min_df: int = 2, key: str = "item_id", text: str = "text", grams=word_grams) -> DataFrame:
-    """[key, term, weight]: the vocabulary is train's max_features most frequent terms (word_grams, or char_grams for Chinese)
-    with document frequency min_df or more; (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), rows of unit length."""
 
-    def terms(d: DataFrame) -> DataFrame:
-        return d.select(key, F.explode(grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def tf_idf(items: DataFrame, train: Column, max_features: int = 5000, min_df: int = 2, key: str = "item_id", text: str = "text", terms=WORD_TERMS) -> DataFrame:
+    """[key, term, weight]: the vocabulary is the max_features most frequent terms (words, or characters for Chinese) of the
+    items where train holds, with document frequency min_df or more; (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), rows of unit length.
 
-    n = train.count()
-    vocab = terms(train).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
+    Texts are cut once, into a column that the grams are made of in time linear in the text; term counts are written once
+    for vocabulary and weights.
+    """
+    cut, grams = terms
+    pieces = items.select(key, F.coalesce(train, F.lit(False)).alias("_train"), cut(F.col(text)).alias("_pieces"))
+    tf = written(pieces.select(key, "_train", F.explode(grams(F.col("_pieces"))).alias("term")).groupBy(key, "_train", "term").agg(F.count("*").alias("tf")))
+    n = items.filter(train).count()
+    vocab = tf.filter("_train").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
     w = (1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)
-    raw = terms(items).join(F.broadcast(vocab), "term").select(key, "term", w.alias("w"))  # max_features rows
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = tf.join(F.broadcast(vocab), "term").select(key, "term", w.alias("w"))  # max_features rows
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # max_features rows a key at most
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def vector_means(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:

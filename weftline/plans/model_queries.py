@@ -164,7 +164,7 @@ def _(spark, d):
 @query("x2_truncated_svd", "item_id:i size:i")
 def _(spark, d):
     t = c.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), "text", "conv_id")
-    w = text.tf_idf(t, t.filter("conv_id % 5 <> 0"), max_features=300)
+    w = text.tf_idf(t, F.col("conv_id") % 5 != 0, max_features=300)
     return models.truncated_svd(w.filter("item_id div 100 % 5 <> 0"), w, "item_id", 16).select("item_id", F.size("x").alias("size"))
 
 

@@ -62,13 +62,13 @@ def turns(spark, d):
 @query("x1_tf_idf", "item_id:i term:s weight:f", "", r"""w AS (SELECT conv_id * 100 + turn AS item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS ws FROM conversations),
 t AS (SELECT item_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), """ + TF_IDF)
 def _(spark, d):
-    return text.tf_idf(turns(spark, d), turns(spark, d).filter("conv_id % 5 <> 0"))
+    return text.tf_idf(turns(spark, d), F.col("conv_id") % 5 != 0)
 
 
 @query("x1_char_grams", "item_id:i term:s weight:f", "", r"""w AS (SELECT conv_id * 100 + turn AS item_id, ' ' || unnest(regexp_extract_all(strip_accents(lower(text)), '[^ \t\n\r\f\x0B]+')) || ' ' AS p FROM conversations),
 t AS (SELECT item_id, unnest(list_concat(list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) AS term FROM w), """ + TF_IDF)
 def _(spark, d):
-    return text.tf_idf(turns(spark, d), turns(spark, d).filter("conv_id % 5 <> 0"), grams=text.char_grams)
+    return text.tf_idf(turns(spark, d), F.col("conv_id") % 5 != 0, terms=text.CHAR_TERMS)
 
 
 @query("f9_is_cjk", "cjk:b", "", "SELECT sum(len(regexp_extract_all(text, '[一-鿿]'))) / (sum(length(text)) + count(*) - 1) > 0.1 AS cjk FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200)")
