@@ -34,8 +34,8 @@ def test_empty_window_counts_as_a_step(spark):
 
 
 def test_bursts(spark):
-    rows = [("a", 5 * i, i, 5) for i in range(3)] + [("b", 0, 0, 1)]
-    got = {r["account_id"]: r for r in series.bursts(spark.createDataFrame(rows, "account_id string, ts_ms long, post_id long, dt long")).collect()}
+    rows = [("a", 5 * i, i, 5, 5 if i < 2 else None) for i in range(3)] + [("b", 0, 0, 1, None)]
+    got = {r["account_id"]: r for r in series.bursts(spark.createDataFrame(rows, "account_id string, ts_ms long, post_id long, dt long, next_dt long")).collect()}
     assert (got["a"]["burstiness"], got["a"]["memory"], got["a"]["cv"]) == pytest.approx((-1, 0, 0), abs=1e-9)
     assert (got["b"]["burstiness"], got["b"]["cv"]) == (0, 0)
 
@@ -90,3 +90,39 @@ def test_attribute_groups_above_the_bound_become_rings(spark):
             ring = sorted(ids, key=lambda i: (hashlib.md5(f"party|{value}|{k}|{i}|0".encode()).hexdigest()[:16], i))
             want |= {p for a, b in zip(ring, ring[1:] + ring[:1]) for p in ((a, b), (b, a))}
     assert got == want
+
+
+def test_signed_ranks_are_exact():
+    import itertools
+
+    from weftline.operators.metrics import signed_rank_p
+
+    ranks = [1, 2.5, 2.5, 4, 5, 6, 7, 8, 9, 10]  # a tie
+    sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=10)]
+    for up in (0, 8, 10.5, 27.5, 55):
+        low = min(up, sum(ranks) - up)
+        assert signed_rank_p(ranks, up) == pytest.approx(min(1, 2 * sum(s <= low for s in sums) / 1024), abs=0)
+    assert signed_rank_p(list(range(1, 11)), 8) == pytest.approx(0.048828125, abs=1e-12)
+    assert signed_rank_p(list(range(1, 26)), 89) < 0.05 < signed_rank_p(list(range(1, 26)), 90)  # the printed 5 % point is 89
+    assert signed_rank_p(list(range(1, 51)), 434) < 0.05 < signed_rank_p(list(range(1, 51)), 435)  # 434
+    assert signed_rank_p(list(range(1, 51)), 0) == 2 / 2**50
+
+
+def test_worse_methods_do_not_clear(spark):
+    df = lambda sign: spark.createDataFrame([(sign * (0.05 + i / 1000),) for i in range(12)], "d double")
+    up, down = metrics.paired(df(1)).first(), metrics.paired(df(-1), population=True).first()
+    assert up["clears"] and up["significant"] and not down["clears"] and down["significant"]
+    assert up["sd"] == pytest.approx(down["sd"] * (12 / 11) ** 0.5)
+
+
+def test_accounts_outside_the_bins_stay(spark):
+    rows = [(1, 500 * 86_400_000 * i, i) for i in range(6)] + [(2, 1000 * i * i, 10 + i) for i in range(6)]
+    got = {r["account_id"]: r for r in series.temporal_blocks(spark.createDataFrame(rows, "account_id long, ts_ms long, post_id long")).collect()}
+    assert got[1]["gap_H_1"] == 0 and got[1]["hour_H_1"] == pytest.approx(0) and got[2]["gap_H_1"] > 0
+
+
+def test_messages_end_at_the_share_of_the_training_time(spark):
+    edges = spark.createDataFrame([(9, 9, 0), *[(i, i + 1, 100 * (i + 1)) for i in range(10)]], "src long, dst long, ts long")
+    got = temporal.link_samples(edges).filter("label = 1").collect()
+    # the first edge is a loop at 0, training ends at 800, messages at 640: the edges at 700 and 800 are training pairs
+    assert sorted((r["split"], r["u"]) for r in got) == [("test", 9), ("train", 6), ("train", 7), ("val", 8)]

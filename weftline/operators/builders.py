@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.lineage import written
 from weftline.functions.scalars import dot, ratio
+from weftline.functions.segments import quantiles
 from weftline.operators.temporal import to_undirected
 
 #: Rows of a block of vectors; a block is one row of packed doubles, and two blocks meet in one task.
@@ -192,10 +193,11 @@ def degree_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """[graphs, nodes, edges, mean_degree, max_degree, isolated, mean_nodes, median_nodes, max_nodes, mean_edges, edgeless], one row."""
     d = degree_table(nodes, edges).groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("d").alias("e"), F.max("d").alias("m"), F.count_if(F.col("d") == 0).alias("i"))
+    d = written(d)
     return d.agg(
         F.count("*").alias("graphs"), F.sum("n").alias("nodes"), F.sum("e").alias("edges"), ratio(F.sum("e"), F.sum("n")).alias("mean_degree"), F.max("m").alias("max_degree"), ratio(F.sum("i"), F.sum("n")).alias("isolated"),
-        F.avg("n").alias("mean_nodes"), F.median("n").alias("median_nodes"), F.max("n").alias("max_nodes"), F.avg("e").alias("mean_edges"), F.avg((F.col("e") == 0).cast("double")).alias("edgeless"),
-    )
+        F.avg("n").alias("mean_nodes"), F.max("n").alias("max_nodes"), F.avg("e").alias("mean_edges"), F.avg((F.col("e") == 0).cast("double")).alias("edgeless"),
+    ).join(quantiles(d, [], "n", {"median_nodes": 0.5}), how="cross")  # one row each
 
 
 def degeneracy(edges: DataFrame, features: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -211,5 +213,7 @@ def degeneracy(edges: DataFrame, features: DataFrame, labelled: DataFrame) -> Da
     near = e.join(has.select(F.col("node").alias("src"), F.lit(1).alias("f")), "src", "left").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("d"), F.count("f").alias("k"))
     at = labelled.select("node").join(near, "node", "left").na.fill(0, ["d", "k"])
     joined = labelled.select("node").join(full.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").agg(F.count("*").alias("isolated"))
-    by = at.agg(F.median("d").alias("median_degree"), F.avg((F.col("k") == 0).cast("double")).alias("zero_means"), F.median(F.when(F.col("d") > 0, F.col("k") / F.col("d"))).alias("median_featured"))
+    at = written(at)
+    middle = quantiles(at, [], "d", {"median_degree": 0.5}).join(quantiles(at.filter("d > 0").withColumn("share", F.col("k") / F.col("d")), [], "share", {"median_featured": 0.5}), how="cross")  # one row each
+    by = at.agg(F.avg((F.col("k") == 0).cast("double")).alias("zero_means")).join(middle, how="cross")
     return e.agg(F.count("*").alias("edges")).join(full.agg(F.count("*").alias("featured")), how="cross").withColumn("share", ratio(F.col("featured"), F.col("edges"))).join(joined, how="cross").join(by, how="cross")  # one row each

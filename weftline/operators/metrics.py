@@ -5,34 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.lineage import running_before, written
+from weftline.functions.lineage import ordered_index, running_before, written
 from weftline.functions.scalars import draw, ratio
+from weftline.functions.segments import stepped, within_quotas
 
 
 def stratified(rows: DataFrame, id_col: str, label: str, test: float, val: float, seed: int) -> DataFrame:
     """rows + split: within each label the lowest draws are test, then val; quotas are rounded half to even."""
-    w = Window.partitionBy(label).orderBy(draw(id_col, seed=seed), id_col)
-    n = F.count("*").over(Window.partitionBy(label))
-    t, v = F.bround(n * test), F.bround(n * val)
-    r = F.row_number().over(w)
-    return rows.withColumn("split", F.when(r <= t, "test").when(r <= t + v, "val").otherwise("train"))
+    t, v = lambda n: F.bround(n * test), lambda n: F.bround(n * val)
+    named = within_quotas(rows, [label], draw(id_col, seed=seed), id_col, {"_test": t, "_more": lambda n: t(n) + v(n)})
+    return named.withColumn("split", F.when(F.col("_test"), "test").when(F.col("_more"), "val").otherwise("train")).drop("_test", "_more")
 
 
-def grouped_split(rows: DataFrame, group: str, share: float, seed: int) -> DataFrame:
-    """rows + split by whole groups: of the groups in draw order max(1, round(n share)) are test, as many val."""
-    groups = rows.select(group).distinct()
+def grouped_split(rows: DataFrame, group: str, test: float, val: float, seed: int) -> DataFrame:
+    """rows + split by whole groups: of the groups in draw order max(1, round(n test)) are test, then max(1, round(n val)) val."""
+    groups = written(rows.select(group).distinct())
     n = groups.count()
     if n < 3:
         raise ValueError("at least three groups are needed")
-    k = max(1, round(n * share))
-    r = F.row_number().over(Window.orderBy(draw(group, seed=seed), group))  # one row a group
-    named = groups.withColumn("split", F.when(r <= k, "test").when(r <= 2 * k, "val").otherwise("train"))
+    t, v = (max(1, round(n * share)) for share in (test, val))
+    r = F.col("idx")
+    numbered = ordered_index(groups.withColumn("_draw", draw(group, seed=seed)), F.col("_draw"), F.col(group))
+    named = numbered.select(group, F.when(r < t, "test").when(r < t + v, "val").otherwise("train").alias("split"))
     return rows.join(named, group)
 
 
 def folds(rows: DataFrame, id_col: str, label: str, k: int, seed: int) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy(label).orderBy(draw(id_col, seed=seed), id_col))
-    return rows.withColumn("fold", F.pmod(r - 1, F.lit(k)))
+    """rows + fold 0 to k - 1: rows of a label are dealt round in draw order."""
+    placed = stepped(rows.withColumn("_draw", draw(id_col, seed=seed)), [label], ["_draw", id_col], number="_at")
+    return placed.withColumn("fold", F.pmod("_at", F.lit(k)).cast("int")).drop("_draw", "_at")
 
 
 def auc(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -84,29 +85,47 @@ def tpr_at(scores: DataFrame, fpr: float = 0.01) -> DataFrame:
     return roc(scores).filter((F.col("fpr") > fpr) & (f0 <= fpr)).agg(F.max(at).alias("tpr"))
 
 
-def paired(diffs: DataFrame, floor: float = 0.02) -> DataFrame:
-    """[n, mean, sd, wins, p, significant, clears]: signed-rank test of [d]; exact over all sign vectors for up to 20 nonzero
-    differences, else the normal approximation; all zero gives p = 1. Zero differences are dropped from the test."""
-    base = diffs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count_if(F.col("d") > 0).alias("wins"))
+def signed_rank_p(ranks: list[float], up: float) -> float:
+    """Two-sided p of a signed-rank sum: of all ways to sign the ranks the share whose smaller sum is no larger.
+
+    Sums of ranks are counted rank by rank; ranks are multiples of one half, as ties share their mean.
+    """
+    twice = [round(2 * r) for r in ranks]
+    ways = [1] + [0] * sum(twice)
+    top = 0
+    for r in twice:
+        top += r
+        for s in range(top, r - 1, -1):
+            ways[s] += ways[s - r]
+    low = min(round(2 * up), top - round(2 * up))
+    return min(1.0, 2 * sum(ways[: low + 1]) / (1 << len(twice)))
+
+
+#: Most differences whose signs are counted exactly; beyond, the normal approximation.
+EXACT_PAIRS = 50
+
+
+def paired(diffs: DataFrame, floor: float = 0.02, population: bool = False) -> DataFrame:
+    """[n, mean, sd, wins, p, significant, clears]: signed-rank test of [d]; exact for up to EXACT_PAIRS nonzero differences,
+    else the normal approximation; all zero gives p = 1. Zero differences are dropped from the test. clears: the mean lies
+    above the floor and p below 0.05; population: the SD's kind."""
+    sd = F.stddev_pop if population else F.stddev_samp
+    base = diffs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), sd("d").alias("sd"), F.count_if(F.col("d") > 0).alias("wins"))
     by = diffs.filter("d <> 0").groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
     ranked = written(running_before(by, {"lower": F.col("k")}, F.col("a")).withColumn("rank", F.col("lower") + (F.col("k") + 1) / 2))
     s = ranked.agg(F.sum("k").alias("m"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * F.col("k")).alias("all"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
     got = s.first()
     if not got["m"]:
         p = 1.0
-    elif got["m"] <= 20:
-        low = min(got["wp"], got["all"] - got["wp"])
-        ranks = [r["rank"] for r in ranked.select("rank", "k").collect() for _ in range(r["k"])]  # 20 at most
-        signs = diffs.sparkSession.range(1 << got["m"])
-        w = sum((F.shiftright("id", i).bitwiseAND(1) * r for i, r in enumerate(ranks)), F.lit(0.0))
-        p = min(1.0, 2 * signs.filter(w <= low + 1e-9).count() / (1 << got["m"]))
+    elif got["m"] <= EXACT_PAIRS:
+        p = signed_rank_p([r["rank"] for r in ranked.select("rank", "k").collect() for _ in range(r["k"])], got["wp"])  # EXACT_PAIRS at most
     else:
         from math import erfc, sqrt
 
         m = got["m"]
         z = (min(got["wp"], got["all"] - got["wp"]) - got["all"] / 2) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - got["ties"] / 48)
         p = erfc(abs(z) / sqrt(2))
-    return base.withColumns({"p": F.lit(p), "significant": F.lit(p < 0.05), "clears": F.abs("mean") >= floor})
+    return base.withColumns({"p": F.lit(p), "significant": F.lit(p < 0.05), "clears": (F.col("mean") > floor) & F.lit(p < 0.05)})
 
 
 def multiclass(rows: DataFrame, y: str, predicted: str) -> DataFrame:

@@ -110,13 +110,13 @@ def assembled(rows: DataFrame, names: list[str], split: str = "split") -> DataFr
 
 def sweep(snaps: DataFrame, alphas: list[float], lams: list[float]) -> DataFrame:
     """[alpha, lam, node, lne_tw] for all grid points at once: one neighbour table, one aggregate with a column an alpha."""
-    from weftline.operators.temporal import neighbours, renyi, shannon
+    from weftline.operators.temporal import neighbours, order_entropy, shannon
 
     near = written(neighbours(snaps))
     deg = near.groupBy("w", F.col("node").alias("other")).agg(F.sum(F.when(F.col("node") == F.col("other"), 2).otherwise(1)).alias("x"))
     power = lambda a: F.sum(F.col("x") * F.ln("x")) if abs(a - 1) < 1e-8 else F.sum(F.pow("x", F.lit(a)))
     sums = near.join(deg, ["w", "other"]).groupBy("w", "node").agg(F.sum("x").alias("s"), *[power(a).alias(f"a{i}") for i, a in enumerate(alphas)])
-    h = [shannon(F.col(f"a{i}"), F.col("s")) if abs(a - 1) < 1e-8 else renyi(F.col(f"a{i}"), F.col("s"), a) for i, a in enumerate(alphas)]
+    h = [shannon(F.col(f"a{i}"), F.col("s")) if abs(a - 1) < 1e-8 else order_entropy(F.col(f"a{i}"), F.col("s"), a) for i, a in enumerate(alphas)]
     long = sums.select("w", "node", F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), x.alias("h")) for a, x in zip(alphas, h)])).alias("g")).select("w", "node", "g.*")
     top = snaps.agg(F.max("w").alias("top"))
     grid = long.join(F.broadcast(top), how="cross").withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lams])))  # one row

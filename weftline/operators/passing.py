@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import dot, draw
+from weftline.functions.segments import within_quotas
 from weftline.operators.graph import _mean, affine, effective_input, scatter, scatter_softmax
 
 Matrix = list[list[float]]
@@ -186,5 +187,4 @@ def row_softmax(logits: Column) -> Column:
 
 def ranked_by_hash(rows: DataFrame, by: list[str], key: str, n: int, seed: int) -> DataFrame:
     """rows whose draw is among the n lowest of their group (ties: smaller key)."""
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(draw(key, seed=seed), key))
-    return rows.withColumn("_r", r).filter(F.col("_r") <= n).drop("_r")
+    return within_quotas(rows, by, draw(key, seed=seed), key, {"_in": lambda _: F.lit(n)}).filter("_in").drop("_in")

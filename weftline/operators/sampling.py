@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.lineage import ordered_index, written
 from weftline.functions.scalars import draw
+from weftline.functions.segments import quantiles
 
 
 def lowest_draws(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -92,8 +93,8 @@ def split_drift(rows: DataFrame, features: list[str], split: str = "split") -> D
     both = rows.filter(F.col(split).isin("train", "test"))
     long = both.select(split, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("score")) for f in features])).alias("x")).select(split, "x.*")
     area = auc(long.withColumn("label", (F.col(split) == "test").cast("int")), ["feature"])
-    medians = long.groupBy("feature").agg(F.median(F.when(F.col(split) == "train", F.col("score"))).alias("train_median"), F.median(F.when(F.col(split) == "test", F.col("score"))).alias("test_median"))
-    return area.join(medians, "feature")
+    middle = lambda part: quantiles(long.filter(F.col(split) == part), ["feature"], "score", {f"{part}_median": 0.5})
+    return area.join(middle("train"), "feature", "left").join(middle("test"), "feature", "left")
 
 
 def subsampled(rows: DataFrame, key: str, order: str, sizes: list[int], repeats: int, seed: int) -> DataFrame:

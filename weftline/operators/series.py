@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import hour_of_day, ratio
+from weftline.functions.segments import quantiles, stepped
 
 ORDERS = {"H_0": 0.0, "H_0.5": 0.5, "H_1": 1.0, "H_2": 2.0, "H_4": 4.0, "H_inf": float("inf")}
 
 
 def gaps(posts: DataFrame) -> DataFrame:
-    """[account_id, ts_ms, post_id, dt]: time since the account's previous post; zero gaps stay."""
-    w = Window.partitionBy("account_id").orderBy("ts_ms", "post_id")
-    return posts.select("account_id", "ts_ms", "post_id", (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("dt")).filter("dt IS NOT NULL")
+    """[account_id, ts_ms, post_id, dt, next_dt]: time since the account's previous post and till its next one; zero gaps stay."""
+    x = stepped(posts.select("account_id", "ts_ms", "post_id"), ["account_id"], ["ts_ms", "post_id"], {"_before": "ts_ms"}, {"_after": "ts_ms"})
+    return x.select("account_id", "ts_ms", "post_id", (F.col("ts_ms") - F.col("_before")).alias("dt"), (F.col("_after") - F.col("ts_ms")).alias("next_dt")).filter("dt IS NOT NULL")
 
 
 def bursts(gap: DataFrame) -> DataFrame:
     """[account_id, n_gaps, burstiness, cv, memory] on gaps in hours; 0 with under 2 (memory: 3) gaps or no variance."""
-    w = Window.partitionBy("account_id").orderBy("ts_ms", "post_id")
-    x = gap.withColumn("a", F.col("dt") / 3_600_000).withColumn("b", F.lead("a").over(w))
-    one = x.groupBy("account_id").agg(F.count("*").alias("n_gaps"), F.avg("a").alias("m"), F.stddev_pop("a").alias("s"))
-    pair = x.filter("b IS NOT NULL").groupBy("account_id").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
-    centred = x.filter("b IS NOT NULL").join(pair, "account_id").groupBy("account_id", "sa", "sb").agg(F.avg((F.col("a") - F.col("ma")) * (F.col("b") - F.col("mb"))).alias("cov"))
-    out = one.join(centred, "account_id", "left")
+    x = gap.select("account_id", (F.col("dt") / 3_600_000).alias("a"), (F.col("next_dt") / 3_600_000).alias("b"))
+    led = F.when(F.col("b").isNotNull(), F.col("a"))
+    out = x.groupBy("account_id").agg(F.count("*").alias("n_gaps"), F.avg("a").alias("m"), F.stddev_pop("a").alias("s"), F.stddev_pop(led).alias("sa"), F.stddev_pop("b").alias("sb"), F.covar_pop("a", "b").alias("cov"))
     many = F.col("n_gaps") >= 2
     return out.select(
         "account_id",
@@ -71,15 +69,25 @@ def spectrum(counts: DataFrame, key: str, prefix: str = "") -> DataFrame:
 
 
 def temporal_blocks(posts: DataFrame, min_events: int = 5, n_bins: int = 24) -> DataFrame:
-    """One row an account of at least max(min_events, 2) posts: count, burst, Shannon and spectrum blocks."""
+    """One row an account of at least max(min_events, 2) posts: count, burst, Shannon and spectrum blocks.
+
+    The spectrum of gaps is 0 for an account whose gaps all lie outside the bins.
+    """
     size = posts.groupBy("account_id").agg(F.count("*").alias("n")).filter(F.col("n") >= max(min_events, 2))
     kept = posts.join(size.select("account_id"), "account_id", "left_semi")
     gap = gaps(kept)
     parts = [bursts(gap).drop("n_gaps"), spectrum(log_bins(gap, "account_id", n_bins), "account_id", "gap_"), spectrum(hours(kept), "account_id", "hour_")]
     out = size.select("account_id", F.log1p("n").alias("count"))
     for p in parts:
-        out = out.join(p, "account_id")
-    return out
+        out = out.join(p, "account_id", "left")
+    return out.na.fill(0.0)
+
+
+def kept_counts(posts: DataFrame, accounts: DataFrame, min_events: int = 5) -> DataFrame:
+    """[label, kept, excluded]: accounts of at least max(min_events, 2) posts and the others, those without posts too."""
+    n = posts.groupBy("account_id").agg(F.count("*").alias("n"))
+    enough = F.coalesce(F.col("n") >= max(min_events, 2), F.lit(False))
+    return accounts.select("account_id", "label").join(n, "account_id", "left").groupBy("label").agg(F.count_if(enough).alias("kept"), F.count_if(~enough).alias("excluded"))
 
 
 def age_violations(posts: DataFrame, accounts: DataFrame, tolerance_ms: int = 0) -> DataFrame:
@@ -129,8 +137,11 @@ def cascade_times(nodes: DataFrame) -> DataFrame:
     finite = F.when(~F.isnan("delay_min") & (F.abs("delay_min") != float("inf")), F.col("delay_min"))
     span = F.max("t") - F.min("t")
     log = lambda x: F.log1p(F.greatest(x, F.lit(0.0)))
-    made = {"log_span": log(span), "log_median": log(F.percentile("t", 0.5)), "rate": F.count("*") / (span / 60 + 1), "log_p90": log(F.percentile("t", 0.9)), "first_hour": F.count_if(F.col("t") <= 60) / F.nullif(F.count("t"), F.lit(0))}
-    x = nodes.select("item_id", finite.alias("t")).groupBy("item_id").agg(F.count("t").alias("timed"), *[v.alias(k) for k, v in made.items()])
+    timed = nodes.select("item_id", finite.alias("t"))
+    parts = {"log_span": log(span), "rate": F.count("*") / (span / 60 + 1), "first_hour": F.count_if(F.col("t") <= 60) / F.nullif(F.count("t"), F.lit(0))}
+    x = timed.groupBy("item_id").agg(F.count("t").alias("timed"), *[v.alias(k) for k, v in parts.items()]).join(quantiles(timed, ["item_id"], "t", {"mid": 0.5, "p90": 0.9}), "item_id")
+    made = {"log_span": "log_span", "log_median": log(F.col("mid")), "rate": "rate", "log_p90": log(F.col("p90")), "first_hour": "first_hour"}
+    x = x.withColumns({k: v for k, v in made.items() if not isinstance(v, str)})
     return x.select("item_id", *[F.when(F.col("timed") >= 2, F.col(k)).otherwise(0.0).alias(k) for k in made])
 
 
@@ -152,15 +163,18 @@ def probabilities(counts: DataFrame, key: str) -> DataFrame:
 
 def gap_pairs(gap: DataFrame) -> DataFrame:
     """[account_id, post_id, a, b]: each gap and the account's next one."""
-    w = Window.partitionBy("account_id").orderBy("ts_ms", "post_id")
-    return gap.select("account_id", "post_id", F.col("dt").alias("a"), F.lead("dt").over(w).alias("b")).filter("b IS NOT NULL")
+    return gap.select("account_id", "post_id", F.col("dt").alias("a"), F.col("next_dt").alias("b")).filter("b IS NOT NULL")
+
 
+def gate(posts: DataFrame, accounts: DataFrame, t_min: int = 0, t_max: int = 4_102_444_800_000, most_early: float = 0.001, min_events: int = 32, least_kept: float = 0.8) -> DataFrame:
+    """[range_ok, order_ok, ages_ok, retention_ok, passes], one row: whether a set of posts is fit for the analysis.
 
-def gate(posts: DataFrame, accounts: DataFrame, t_max: int = 4_102_444_800_000, most_early: float = 0.01, min_events: int = 32, least_kept: float = 0.5) -> DataFrame:
-    """[range_ok, order_ok, ages_ok, retention_ok, passes], one row: whether a set of posts is fit for the analysis."""
-    span = posts.agg(((F.min("ts_ms") >= 0) & (F.max("ts_ms") < t_max)).alias("range_ok"))
-    order = gaps(posts).agg((F.min("dt") >= 0).alias("order_ok"))
-    ages = age_violations(posts, accounts).select((F.col("fraction") <= most_early).alias("ages_ok"))
-    kept = posts.groupBy("account_id").agg(F.count("*").alias("n")).agg((F.avg((F.col("n") >= min_events).cast("double")) >= least_kept).alias("retention_ok"))
+    All posts lie in the range, both ends included; no gap is negative; under most_early of them lie before their account;
+    and of each label's accounts least_kept or more have min_events posts.
+    """
+    span = posts.agg(((F.min("ts_ms") >= t_min) & (F.max("ts_ms") <= t_max)).alias("range_ok"))
+    order = gaps(posts).agg(F.coalesce(F.min("dt") >= 0, F.lit(True)).alias("order_ok"))
+    ages = age_violations(posts, accounts).select((F.col("fraction") < most_early).alias("ages_ok"))
+    kept = kept_counts(posts, accounts, min_events).agg((F.min(F.col("kept") / (F.col("kept") + F.col("excluded"))) >= least_kept).alias("retention_ok"))
     out = span.join(order, how="cross").join(ages, how="cross").join(kept, how="cross")  # one row each
     return out.withColumn("passes", F.col("range_ok") & F.col("order_ok") & F.col("ages_ok") & F.col("retention_ok"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.lineage import ordered_index
 from weftline.functions.scalars import ratio
+from weftline.functions.segments import quantiles
 from weftline.operators.metrics import correlation
 
 
@@ -31,13 +32,15 @@ def cascade_summary(nodes: DataFrame, depths: DataFrame) -> DataFrame:
     """[median_nodes, max_nodes, mean_depth], one row."""
     n = nodes.groupBy("item_id").agg(F.count("*").alias("n"))
     d = depths.groupBy("item_id").agg(F.max("depth").alias("depth"))
-    return n.join(d, "item_id", "left").agg(F.median("n").alias("median_nodes"), F.max("n").alias("max_nodes"), F.avg(F.coalesce("depth", F.lit(0))).alias("mean_depth"))
+    return n.join(d, "item_id", "left").agg(F.max("n").alias("max_nodes"), F.avg(F.coalesce("depth", F.lit(0))).alias("mean_depth")).join(quantiles(n, [], "n", {"median_nodes": 0.5}), how="cross")  # one row each
 
 
 def by_class(rows: DataFrame, label: str, features: list[str]) -> DataFrame:
     """[label, feature, n, mean, median, sd, lo, hi]."""
     long = rows.select(label, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select(label, "x.*")
-    return long.groupBy(label, "feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    one = long.groupBy(label, "feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).alias("l")
+    middle = quantiles(long, [label, "feature"], "v", {"median": 0.5}).alias("r")
+    return one.join(middle, F.col(f"l.{label}").eqNullSafe(F.col(f"r.{label}")) & (F.col("l.feature") == F.col("r.feature"))).select("l.*", "r.median")
 
 
 def equal_width(values: Column, bins: int, lo: Column, hi: Column) -> Column:

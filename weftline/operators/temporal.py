@@ -11,7 +11,7 @@ from weftline.functions.lineage import ordered_index, written
 from weftline.functions.scalars import draw
 
 
-def renyi(power_sum: Column, total: Column, alpha: float) -> Column:
+def order_entropy(power_sum: Column, total: Column, alpha: float) -> Column:
     """Order-alpha entropy in nats of counts c, from sum(c^alpha) and sum(c)."""
     return (F.ln(power_sum) - alpha * F.ln(total)) / (1 - alpha)
 
@@ -98,7 +98,7 @@ def local_entropy(snaps: DataFrame, alpha: float = 0.6, normalisation: str = "lo
         sums = by.agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.ln("x")).alias("a"))
         return sums.select("w", "node", shannon(F.col("a"), F.col("s")).alias("h"))
     sums = by.agg(F.sum("x").alias("s"), F.sum(F.pow("x", F.lit(alpha))).alias("a"))
-    h = renyi(F.col("a"), F.col("s"), alpha) if normalisation == "local" else F.ln("a") / (1 - alpha)
+    h = order_entropy(F.col("a"), F.col("s"), alpha) if normalisation == "local" else F.ln("a") / (1 - alpha)
     return sums.select("w", "node", h.alias("h"))
 
 
@@ -209,14 +209,15 @@ def sample_negatives(nodes: DataFrame, forbidden: DataFrame, n: int, seed: int,
 def link_samples(edges: DataFrame, train: float = 0.8, val: float = 0.1, mp_share: float = 0.8, new_only: bool = True, ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """[split, u, v, label]: supervision, val and test pairs with as many sampled negatives (times ratio).
 
-    Training edges up to mp_share of the training time pass messages; later ones are the train split's pairs. With
+    Edges up to mp_share of the time from the first edge, loops too, to the end of training pass messages; later training
+    edges are the train split's pairs. With
     new_only a split holds pairs that no earlier edge has (train: message passing; val and test: all of training; val and
     test are not held against each other). Negatives avoid all pairs of the table.
     """
-    split = written(chronological_split(edges.filter("src <> dst"), train, val))
-    span = split.filter("split = 'train'").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    part = F.when((F.col("split") == "train") & (F.col("ts") <= F.col("a") + mp_share * (F.col("b") - F.col("a"))), "messages").otherwise(F.col("split"))
-    pairs = written(split.join(F.broadcast(span), how="cross").select(part.alias("split"), F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())  # one row
+    span = cuts(edges, train, val).join(edges.agg(F.min("ts").alias("a")), how="cross")  # one row each
+    at = F.when(F.col("ts") <= F.col("cut1"), "train").when(F.col("ts") <= F.col("cut2"), "val").otherwise("test")
+    part = F.when(F.col("ts") <= F.least(F.col("cut1"), F.col("a") + mp_share * (F.col("cut1") - F.col("a"))), "messages").otherwise(at)
+    pairs = written(edges.filter("src <> dst").join(F.broadcast(span), how="cross").select(part.alias("split"), F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())  # one row
     seen = pairs.filter("split = 'messages'").select("u", "v")
     before = pairs.filter("split IN ('messages', 'train')").select("u", "v").distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

@@ -21,11 +21,11 @@ def _(spark, d):
     return metrics.stratified(c.items(spark, d).filter("label IS NOT NULL"), "item_id", "label", 0.2, 0.1, seed=11)
 
 
-@query("t5_group_split", "item_id:i split:s", "items", f"""g AS (SELECT DISTINCT "group" AS g FROM items), k AS (SELECT greatest(1, round_even(count(*) * 0.2, 0)) AS k FROM g),
+@query("t5_group_split", "item_id:i split:s", "items", f"""g AS (SELECT DISTINCT "group" AS g FROM items), k AS (SELECT greatest(1, round_even(count(*) * 0.2, 0)) AS t, greatest(1, round_even(count(*) * 0.35, 0)) AS v FROM g),
 r AS (SELECT g, row_number() OVER (ORDER BY {DRAW.format('g', 4)}, g) AS r FROM g)
-SELECT item_id, CASE WHEN r <= k THEN 'test' WHEN r <= 2 * k THEN 'val' ELSE 'train' END AS split FROM items JOIN r ON "group" = g, k""")
+SELECT item_id, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS split FROM items JOIN r ON "group" = g, k""")
 def _(spark, d):
-    return metrics.grouped_split(c.items(spark, d), "group", 0.2, seed=4)
+    return metrics.grouped_split(c.items(spark, d), "group", 0.2, 0.35, seed=4)
 
 
 @query("t6_folds", "account_id:i fold:i", "posts accounts", f"SELECT account_id, (row_number() OVER (PARTITION BY label ORDER BY {DRAW.format('account_id', 9)}, account_id) - 1) % 5 AS fold FROM accounts")
@@ -88,7 +88,7 @@ def _(spark, d):
 df AS (SELECT d FROM g WHERE d IS NOT NULL), k AS (SELECT d, (rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2) AS r FROM df WHERE d <> 0),
 s AS (SELECT list(r) AS rs, sum(r) FILTER (WHERE d > 0) AS wp, sum(r) AS al, count(*) AS m FROM k),
 t AS (SELECT least(1, 2 * count(*) / (1 << any_value(m))) AS p FROM s, range(1 << 16) z(id) WHERE id < (1 << m) AND list_sum(list_transform(rs, lambda x, i: ((id >> (i - 1)) & 1) * x)) <= least(wp, al - wp) + 1e-9)
-SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, count(*) FILTER (WHERE d > 0) AS wins, any_value(p) AS p, any_value(p) < 0.05 AS significant, abs(avg(d)) >= 0.02 AS clears FROM df, t""")
+SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, count(*) FILTER (WHERE d > 0) AS wins, any_value(p) AS p, any_value(p) < 0.05 AS significant, avg(d) > 0.02 AND any_value(p) < 0.05 AS clears FROM df, t""")
 def _(spark, d):
     """Difference of mean event values between even and odd posts, by item group: 16 pairs at most."""
     p = c.posts(spark, d).groupBy((F.col("item_id") % 16).alias("g")).agg(F.avg(F.when(F.col("post_id") % 2 == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("post_id") % 2 == 1, F.col("value"))).alias("b"))

@@ -29,9 +29,9 @@ g{name} AS (SELECT '{split}' AS split, u, v FROM (SELECT i, least(x.node, y.node
 WHERE NOT EXISTS (SELECT 1 FROM ap WHERE ap.u = p.u AND ap.v = p.v) ORDER BY i LIMIT (SELECT k FROM n{name}))"""
 
 
-@query("t3_link_samples", "split:s u:i v:i label:i", "reply_edges", """e AS (SELECT src, dst, ts FROM reply_edges WHERE src <> dst), m AS (SELECT min(ts) AS a, max(ts) AS b FROM e),
+@query("t3_link_samples", "split:s u:i v:i label:i", "reply_edges", """e AS (SELECT src, dst, ts FROM reply_edges WHERE src <> dst), m AS (SELECT min(ts) AS a, max(ts) AS b FROM reply_edges),
 s AS (SELECT src, dst, ts, CASE WHEN ts <= a + 0.8 * (b - a) THEN 'train' WHEN ts <= a + 0.9 * (b - a) THEN 'val' ELSE 'test' END AS split FROM e, m),
-t AS (SELECT min(ts) AS a, max(ts) AS b FROM s WHERE split = 'train'),
+t AS (SELECT a, a + 0.8 * (b - a) AS b FROM m),
 ps AS (SELECT DISTINCT CASE WHEN split = 'train' AND ts <= a + 0.8 * (b - a) THEN 'messages' ELSE split END AS split, least(src, dst) AS u, greatest(src, dst) AS v FROM s, t),
 nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM reply_edges UNION SELECT dst FROM reply_edges)),
 ap AS (SELECT DISTINCT u, v FROM ps),

@@ -70,11 +70,16 @@ def _(spark, d):
 
 
 @query("e13_temporal_blocks", "account_id:i count:f burstiness:f cv:f memory:f " + " ".join(f"{p}{x}" for p in ("gap_", "hour_") for x in H.split()), "posts",
-       f"{BURST}, {BINS}, {HOURS}, sg AS ({spectrum_sql('bins', 'gap_')}), sh AS ({spectrum_sql('hours', 'hour_')}), ct AS (SELECT account_id, ln(1 + count(*)) AS count FROM posts GROUP BY 1 HAVING count(*) >= 5) SELECT * FROM ct JOIN bursts USING (account_id) JOIN sg USING (account_id) JOIN sh USING (account_id)")
+       f"{BURST}, {BINS}, {HOURS}, sg AS ({spectrum_sql('bins', 'gap_')}), sh AS ({spectrum_sql('hours', 'hour_')}), ct AS (SELECT account_id, ln(1 + count(*)) AS count FROM posts GROUP BY 1 HAVING count(*) >= 5) SELECT ct.*, burstiness, cv, memory, " + ", ".join(f"coalesce({p}{x.split(':')[0]}, 0) AS {p}{x.split(':')[0]}" for p in ("gap_", "hour_") for x in H.split()) + " FROM ct JOIN bursts USING (account_id) LEFT JOIN sg USING (account_id) LEFT JOIN sh USING (account_id)")
 def _(spark, d):
     return series.temporal_blocks(c.posts(spark, d))
 
 
+@query("e13_kept_counts", "label:i kept:i excluded:i", "posts accounts", "SELECT label, count(*) FILTER (WHERE n >= 40) AS kept, count(*) FILTER (WHERE n IS NULL OR n < 40) AS excluded FROM accounts LEFT JOIN (SELECT account_id, count(*) AS n FROM posts GROUP BY 1) USING (account_id) GROUP BY label")
+def _(spark, d):
+    return series.kept_counts(c.posts(spark, d), c.accounts(spark, d), 40)
+
+
 @query("a2_event_counts", "account_id:i n:i", "posts accounts", "SELECT account_id, count(post_id) AS n FROM accounts LEFT JOIN posts USING (account_id) GROUP BY 1")
 def _(spark, d):
     n = c.posts(spark, d).groupBy("account_id").agg(F.count("*").alias("n"))

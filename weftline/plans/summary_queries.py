@@ -189,8 +189,8 @@ def _(spark, d):
     return series.gap_pairs(series.gaps(c.posts(spark, d)))
 
 
-@query("m23_gate", "range_ok:b order_ok:b ages_ok:b retention_ok:b passes:b", "posts accounts", GAPS + """, r AS (SELECT min(ts_ms) >= 0 AND max(ts_ms) < 4102444800000 AS range_ok FROM posts), o AS (SELECT min(dt) >= 0 AS order_ok FROM gp),
-a AS (SELECT avg((ts_ms < created_ms)::INTEGER) <= 0.01 AS ages_ok FROM posts JOIN accounts USING (account_id)), k AS (SELECT avg((n >= 32)::INTEGER) >= 0.5 AS retention_ok FROM (SELECT account_id, count(*) AS n FROM posts GROUP BY 1))
+@query("m23_gate", "range_ok:b order_ok:b ages_ok:b retention_ok:b passes:b", "posts accounts", GAPS + """, r AS (SELECT min(ts_ms) >= 0 AND max(ts_ms) <= 4102444800000 AS range_ok FROM posts), o AS (SELECT min(dt) >= 0 AS order_ok FROM gp),
+a AS (SELECT avg((ts_ms < created_ms)::INTEGER) < 0.001 AS ages_ok FROM posts JOIN accounts USING (account_id)), k AS (SELECT min(share) >= 0.8 AS retention_ok FROM (SELECT label, avg((n >= 32)::INTEGER) AS share FROM accounts LEFT JOIN (SELECT account_id, count(*) AS n FROM posts GROUP BY 1) USING (account_id) GROUP BY label))
 SELECT *, range_ok AND order_ok AND ages_ok AND retention_ok AS passes FROM r, o, a, k""")
 def _(spark, d):
     return series.gate(c.posts(spark, d), c.accounts(spark, d))

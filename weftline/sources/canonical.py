@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import SNOWFLAKE_EPOCH_MS
+from weftline.functions.segments import stepped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,16 +46,15 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[src, dst, ts]: each event to the event before it on the same item; can hold loops."""
-    w = Window.partitionBy("item_id").orderBy("ts_ms", "post_id")
-    p = posts(spark, sf_dir).withColumn("dst", F.lag("account_id").over(w))
+    p = stepped(posts(spark, sf_dir).select("item_id", "ts_ms", "post_id", "account_id"), ["item_id"], ["ts_ms", "post_id"], before={"dst": "account_id"})
     return p.filter("dst IS NOT NULL").select(F.col("account_id").alias("src"), "dst", F.floor(F.col("ts_ms") / 1000).alias("ts"))
 
 
 def cascade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[item_id, node, uid, delay_min, value, post_id]: the item's events in order, node 0 the source."""
-    w = Window.partitionBy("item_id").orderBy("ts_ms", "post_id")
-    p = posts(spark, sf_dir)
-    return p.select("item_id", (F.row_number().over(w) - 1).alias("node"), F.col("account_id").alias("uid"), ((F.col("ts_ms") - F.first("ts_ms").over(w)) / 60_000).alias("delay_min"), "value", "post_id")
+    p = posts(spark, sf_dir).select("item_id", "ts_ms", "post_id", "account_id", "value")
+    p = stepped(p, ["item_id"], ["ts_ms", "post_id"], number="node", first={"start": "ts_ms"})
+    return p.select("item_id", F.col("node").cast("int").alias("node"), F.col("account_id").alias("uid"), ((F.col("ts_ms") - F.col("start")) / 60_000).alias("delay_min"), "value", "post_id")
 
 
 def cascade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
