@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions.scalars import cleaned_words, days_since, parsed_time
+from weftline.functions.scalars import cleaned_words, days_since, parsed_time, permuted
 from weftline.operators import builders, graph, literature, metrics, passing, sampling, summaries, temporal, text
 from weftline.sources import readers, sinks
 
@@ -73,6 +73,32 @@ def test_walks_follow_edges(spark):
     assert [r["step"] for r in sampling.random_walks(dead, 1, 5).orderBy("step").collect()] == [0, 1]
 
 
+def test_biased_walks_have_the_weights(spark, monkeypatch):
+    """From 1 to hub 0 (neighbours 1, 2, 3, 4; 2 is beside 1): shares 1/p, 1 and twice 1/q of their sum."""
+    edges = temporal.to_undirected(spark.createDataFrame([(0, 1), (0, 2), (0, 3), (0, 4), (1, 2)], "src long, dst long"))
+    for most in (252, 0):  # rejected draws, or the race
+        monkeypatch.setattr(sampling, "MOST_TRIES", most)
+        walks = {}
+        for r in sampling.random_walks(edges, 3_000, 3, 0.5, 4.0, seed=3).filter("start = 1").collect():
+            walks.setdefault(r["walk"], {})[r["step"]] = r["node"]
+        there = [w[2] for w in walks.values() if w[1] == 0]
+        want = {1: 2.0 / 3.5, 2: 1 / 3.5, 3: 0.25 / 3.5, 4: 0.25 / 3.5}
+        assert len(there) > 1_200 and all(abs(there.count(k) / len(there) - v) < 0.05 for k, v in want.items())
+
+
+def test_a_hub_of_many_neighbours(spark):
+    edges = temporal.to_undirected(spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    r = sampling.random_walks(edges, 1, 4, 1.0, 0.5, seed=1).groupBy("step").agg(F.count("*").alias("n"), F.countDistinct("node").alias("k")).orderBy("step").collect()
+    assert [x["n"] for x in r] == [100_001] * 4 and r[1]["k"] == 2 and r[2]["k"] > 50_000
+
+
+def test_permutations(spark):
+    for n in (1, 2, 7, 1_000):
+        got = spark.range(n).select(permuted(F.col("id"), F.lit(n), F.lit("w"), seed=5).alias("x"), permuted(F.col("id"), F.lit(n), F.lit("z"), seed=5).alias("y")).collect()
+        assert sorted(r["x"] for r in got) == sorted(r["y"] for r in got) == list(range(n))
+    assert [r["x"] for r in got] != [r["y"] for r in got] and sum(r["x"] == i for i, r in enumerate(got)) < 20
+
+
 def test_layers_on_a_ring(spark):
     nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "node long, x array<double>")
     ring = temporal.to_undirected(spark.createDataFrame(RING, "src long, dst long"))

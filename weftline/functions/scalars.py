@@ -76,6 +76,23 @@ def draw(*parts: Column | str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4_294_967_296.0
 
 
+#: Rounds of the keyed permutation.
+ROUNDS = 24
+
+
+def permuted(i: Column, n: Column, *key: Column | str, seed: int, rounds: int = ROUNDS) -> Column:
+    """The place of i (0 to n - 1) in a permutation of 0 to n - 1 that key and seed choose; no list of n is made.
+
+    Swap-or-not shuffle: a round pairs i with K - i mod n for a drawn K and takes the partner if the larger of both draws so.
+    """
+
+    def step(at: Column, r: Column) -> Column:
+        other = F.pmod(F.floor(draw(*key, r, F.lit("k"), seed=seed) * n).cast("long") - at, n)
+        return F.when(draw(*key, r, F.greatest(at, other), F.lit("s"), seed=seed) < 0.5, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i.cast("long"), step)
+
+
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(empty))
 

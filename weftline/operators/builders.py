@@ -6,73 +6,29 @@ features [item_id, x ARRAY<DOUBLE>]. Built graphs are nodes [graph_id, node, x,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import written
-from weftline.functions.scalars import dot, ratio
+from weftline.functions.scalars import ratio
 from weftline.functions.segments import quantiles
+from weftline.operators.similar import nearby_pairs, nearest_pairs, similar_pairs, unit_vectors
 from weftline.operators.temporal import to_undirected
 
-#: Rows of a block of vectors; a block is one row of packed doubles, and two blocks meet in one task.
-BLOCK_ROWS = 2_048
+def threshold_graph(vectors: DataFrame, threshold: float = 0.8, max_degree: int | None = 64, recall: float | None = None) -> DataFrame:
+    """[src, dst] both ways between vectors of a cosine of at least threshold; each keeps its max_degree most similar (ties: smaller id).
 
-
-def unit_vectors(vectors: DataFrame, epsilon: float = 1e-12) -> DataFrame:
-    """[id, v]: vectors over their length plus epsilon."""
-    v = vectors.select("id", F.transform("vec", lambda x: x.cast("double")).alias("v"))
-    n = F.sqrt(dot(F.col("v"), F.col("v"))) + epsilon
-    return v.withColumn("n", n).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
-
-
-def _similar_pairs(unit: DataFrame, threshold: float, most: int | None) -> DataFrame:
-    """[src, dst, sim] of all pairs at or above the threshold: blocks of rows meet pairwise as matrix products.
-
-    A task holds two blocks; of a row's partners in a block it hands on the `most` best, which hold the global ones. The
-    blocks' pairs are the square of the vectors over BLOCK_ROWS squared, as an exact comparison of all needs.
+    With a recall below 1 pairs at the threshold are found with that probability, closer ones more surely, in time near
+    linear in the vectors; that needs a max_degree.
     """
-    n = max(1, -(-unit.count() // BLOCK_ROWS))
-    width = unit.agg(F.max(F.size("v"))).first()[0] or 0
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, i, v in zip(batch.column("b").to_pylist(), batch.column("id").to_pylist(), batch.column("v").to_pylist()):
-                held.setdefault(b, []).append((i, v))
-        for b, rows in held.items():
-            ids, m = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["b", "ids", "m"])
-
-    dealt = unit.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), F.col("id").cast("long").alias("id"), "v").repartition(n, "b")
-    blocks = written(dealt.mapInArrow(pack, "b long, ids binary, m binary"))
-    left = blocks.select(F.col("b").alias("a"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                x_id, y_id = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in ("a_ids", "ids"))
-                x, y = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(-1, width) for c in ("a_m", "m"))
-                s = np.round(x @ y.T, 9)
-                i, j = np.nonzero((s >= threshold) & (x_id[:, None] != y_id[None, :]))
-                if most is not None and len(i):
-                    order = np.lexsort((y_id[j], -s[i, j], i))
-                    i, j = i[order], j[order]
-                    keep = np.arange(len(i)) - np.searchsorted(i, i) < most
-                    i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(x_id[i]), pa.array(y_id[j]), pa.array(s[i, j])], ["src", "dst", "sim"])
-
-    met = left.join(blocks, "b").select("a_ids", "a_m", "ids", "m").repartition(n * n if n > 1 else 1)
-    return met.mapInArrow(compare, "src long, dst long, sim double")
-
-
-def threshold_graph(vectors: DataFrame, threshold: float = 0.8, max_degree: int | None = 64) -> DataFrame:
-    """[src, dst] both ways between vectors of a cosine of at least threshold; each keeps its max_degree most similar (ties: smaller id)."""
-    pairs = _similar_pairs(unit_vectors(vectors), threshold, max_degree)
+    unit = unit_vectors(vectors)
+    if recall is not None:
+        if max_degree is None:
+            raise ValueError("an approximate graph needs a max_degree")
+        return to_undirected(nearby_pairs(unit, max_degree, threshold, recall))
+    pairs = similar_pairs(unit, threshold, max_degree)
     return to_undirected(most_similar(pairs, max_degree) if max_degree is not None else pairs)
 
 
@@ -82,9 +38,13 @@ def most_similar(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_r", r).filter(F.col("_r") <= k).drop("_r")
 
 
-def knn_graph(vectors: DataFrame, k: int = 4, undirected: bool = True) -> DataFrame:
-    """[src, dst]: each vector's k most similar by cosine send to it; undirected adds the way back."""
-    near = most_similar(_similar_pairs(unit_vectors(vectors), -2.0, k), k).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+def knn_graph(vectors: DataFrame, k: int = 4, undirected: bool = True, recall: float | None = None, cosine: float = 0.8) -> DataFrame:
+    """[src, dst]: each vector's k most similar by cosine send to it; undirected adds the way back.
+
+    With a recall, approximate: a neighbour of that cosine is found with that probability.
+    """
+    unit = unit_vectors(vectors)
+    near = (nearest_pairs(unit, k) if recall is None else nearby_pairs(unit, k, cosine, recall, threshold=-2.0)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return to_undirected(near) if undirected else near
 
 

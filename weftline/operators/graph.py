@@ -182,16 +182,12 @@ def random_rings(members: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int = 4, queries: Column | None = None) -> DataFrame:
-    """[id, other, sim, r]: each query's k most similar rows by cosine, ties to the smaller id; all rows are scored.
+    """[id, other, sim, r]: each query's k most similar rows by cosine, ties to the smaller id; exact.
 
-    Queries (a condition on id; default every hundredth) are broadcast if their vectors stay under a few MB.
+    Queries are the rows where a condition on id holds (default: every hundredth); they meet the rows in blocks.
     """
-    from weftline.functions.scalars import dot
-
-    unit = vectors.select("id", F.transform("vec", lambda x: x.cast("double")).alias("v")).withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    unit = unit.select("id", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))).alias("v"))
-    q = unit.filter(queries if queries is not None else F.col("id") % 100 == 0).select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    small = q.count() < 20_000
-    pairs = unit.join(F.broadcast(q) if small else q, F.col("id") != F.col("q")).select("q", "id", F.round(dot(F.col("v"), F.col("qv")), 9).alias("sim"))
-    r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
-    return pairs.withColumn("r", r).filter(F.col("r") <= k).select(F.col("q").alias("id"), F.col("id").alias("other"), "sim", "r")
+    from weftline.operators.similar import nearest_pairs, unit_vectors
+
+    unit = written(unit_vectors(vectors, 0.0))
+    asked = unit.filter(queries if queries is not None else F.col("id") % 100 == 0)
+    return nearest_pairs(unit, k, asked).select(F.col("src").alias("id"), F.col("dst").alias("other"), "sim", "r")

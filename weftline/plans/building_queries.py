@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import new_path, written
-from weftline.operators import builders, graph, passing
+from weftline.functions.scalars import dot
+from weftline.operators import builders, graph, passing, similar
 from weftline.plans.base import query
 from weftline.plans.graph_queries import FEATS, W, feats, long, sym
 from weftline.sources import canonical as c
@@ -26,7 +27,7 @@ def vectors(spark, d):
 
 @query("j7_similar_pairs", "src:i dst:i sim:f", "", UNIT + " SELECT * FROM s WHERE sim >= 0.4")
 def _(spark, d):
-    return builders._similar_pairs(builders.unit_vectors(vectors(spark, d)), 0.4, None)
+    return similar.similar_pairs(similar.unit_vectors(vectors(spark, d)), 0.4)
 
 
 @query("g6_threshold_graph", "src:i dst:i", "", UNIT + """, k AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM s WHERE sim >= 0.3) WHERE r <= 8)
@@ -37,7 +38,7 @@ def _(spark, d):
 
 @query("w8_most_similar", "src:i dst:i sim:f", "", UNIT + " SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM s WHERE sim >= 0.3) WHERE r <= 5")
 def _(spark, d):
-    return builders.most_similar(builders._similar_pairs(builders.unit_vectors(vectors(spark, d)), 0.3, 5), 5)
+    return builders.most_similar(similar.similar_pairs(similar.unit_vectors(vectors(spark, d)), 0.3, 5), 5)
 
 
 @query("g5_knn_graph", "src:i dst:i", "", UNIT + """, k AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM s) WHERE r <= 4)
@@ -46,6 +47,19 @@ def _(spark, d):
     return builders.build("nearest", vectors=vectors(spark, d), k=4)
 
 
+@query("g6_approximate_graph", "src:i dst:i", "", """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+c AS (SELECT 10 * id + k AS id, list_transform(e, lambda x, i: x + 0.02 * k * ((id + i) % 7 - 3) * sqrt(list_inner_product(e, e)) / 8) AS e FROM v, range(4) t(k)),
+u AS (SELECT id, list_transform(e, lambda x: x / (sqrt(list_inner_product(e, e)) + 1e-12)) AS e FROM c),
+s AS (SELECT a.id AS src, b.id AS dst FROM u a JOIN u b ON a.id <> b.id AND list_inner_product(a.e, b.e) >= 0.9)
+SELECT * FROM s""")
+def _(spark, d):
+    """Each vector with three moved copies, joined by the approximate path."""
+    v = vectors(spark, d).select("id", F.transform("vec", lambda x: x.cast("double")).alias("e")).withColumn("n", F.sqrt(dot(F.col("e"), F.col("e"))) / 8)
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    moved = v.select("id", "e", "n", k).select((10 * F.col("id") + F.col("k")).alias("id"), F.transform("e", lambda x, i: x + 0.02 * F.col("k") * ((F.col("id") + i + 1) % 7 - 3) * F.col("n")).alias("vec"))
+    return builders.threshold_graph(moved, 0.9, 16, recall=0.999)
+
+
 # ---- graphs of cascades; every tenth item has no cascade
 TREE = """cn AS (SELECT item_id, node, uid, CASE WHEN node % 9 = 4 THEN NULL ELSE delay_min END AS delay_min, value FROM cascade_nodes WHERE item_id % 10 <> 3),
 ce AS (SELECT * FROM cascade_edges WHERE item_id % 10 <> 3),

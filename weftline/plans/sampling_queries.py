@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.scalars import draw
+from weftline.functions.scalars import ROUNDS, draw
 from weftline.operators import graph, passing, sampling, summaries, temporal
 from weftline.plans.base import query
 from weftline.plans.graph_queries import INTER, PAIRS, SIMPLE, daily, inter, sym
@@ -69,11 +69,15 @@ def _(spark, d):
     return sampling.split_drift(x, ["chars", "lines"])
 
 
+KEY = f"floor({DRAW.format("w || '|' || r || '|k'", 7)} * n)::BIGINT"
+
+
 @query("r2_augmented", "w:i u:i v:i", "interactions", INTER + f""", nd AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT u AS node FROM snaps UNION SELECT v FROM snaps)),
 sz AS (SELECT count(*) AS n, max(node) AS top, round_even(count(*) * 0.02, 0) AS dn, round_even(count(*) * 0.05, 0) AS an FROM nd),
 er AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY {DRAW.format("w || '|' || u || '|' || v", 6)}, u, v) AS r, count(*) OVER (PARTITION BY w) AS m FROM snaps),
 ws AS (SELECT w, count(*) AS m FROM snaps GROUP BY w),
-vc AS (SELECT w, node, idx FROM (SELECT w, node, idx, dn, row_number() OVER (PARTITION BY w ORDER BY {DRAW.format("w || '|' || node", 7)}, node) AS r FROM ws, nd, sz) WHERE r <= dn),
+pv AS (SELECT w, n, list_reduce(range(1, {ROUNDS + 1}), lambda x, r: CASE WHEN {DRAW.format("w || '|' || r || '|' || greatest(x, ((" + KEY + " - x) % n + n) % n) || '|s'", 7)} < 0.5 THEN (({KEY} - x) % n + n) % n ELSE x END, i) AS idx FROM ws, sz, range((SELECT dn FROM sz)::BIGINT) z(i)),
+vc AS (SELECT w, node, idx FROM pv JOIN nd USING (idx)),
 lf AS (SELECT w, u, v FROM er WHERE r > round_even(m * 0.02, 0) AND (w, u) NOT IN (SELECT (w, node) FROM vc) AND (w, v) NOT IN (SELECT (w, node) FROM vc)),
 tr AS (SELECT w, round_even(m * 0.05, 0) AS k, unnest(range((2 * round_even(m * 0.05, 0))::BIGINT)) AS i FROM ws),
 dr AS (SELECT w, k, i, floor({DRAW.format("w || '|' || i || '|a'", 8)} * (n + an))::BIGINT AS a, floor({DRAW.format("w || '|' || i || '|b'", 8)} * (n + an))::BIGINT AS b FROM tr, sz),
@@ -103,20 +107,23 @@ def _(spark, d):
     return passing.ranked_by_hash(n, ["label"], "account_id", 30, seed=12)
 
 
-NEAR = SIMPLE + ", ls AS (SELECT src AS node, list(dst ORDER BY dst) AS near FROM sym GROUP BY src), w0 AS (SELECT walk, node AS start, NULL::BIGINT AS last, node FROM ls, range(2) r(walk))"
-WALK = DRAW.format("start || '|' || walk || '|{i}'", 14)
+NEAR = SIMPLE + ", lk AS (SELECT src AS node, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS deg FROM sym), w0 AS (SELECT walk, node AS start, NULL::BIGINT AS last, node FROM (SELECT DISTINCT node FROM lk), range(2) r(walk))"
+WALK = "start || '|' || walk || '|{i}"
+#: Draws a step that the SQL tries; the least weight over the largest is 1/8, so all of them are rejected once in 10^14.
+TRIES = sampling.MOST_TRIES
 
 
 def _walks_sql(steps: int, p: float, q: float) -> str:
-    sql = NEAR
+    sql, top = NEAR, max(1 / p, 1.0, 1 / q)
     for i in range(1, steps):
-        r = WALK.replace("{i}", str(i))
         if i == 1 or p == q == 1:
-            sql += f", w{i} AS (SELECT walk, start, w.node AS last, near[floor({r} * len(near))::INTEGER + 1] AS node FROM w{i - 1} w JOIN ls ON ls.node = w.node)"
+            r = DRAW.format(WALK.replace("{i}", str(i)) + "'", 14)
+            sql += f", w{i} AS (SELECT walk, start, w.node AS last, dst AS node FROM w{i - 1} w JOIN lk ON lk.node = w.node WHERE k = floor({r} * deg))"
         else:
-            sql += f""", x{i} AS (SELECT walk, start, w.node AS last, a.near, list_transform(a.near, lambda x: CASE WHEN x = w.last THEN {1 / p} WHEN list_contains(b.near, x) THEN 1.0 ELSE {1 / q} END) AS ws, {r} AS r
-FROM w{i - 1} w JOIN ls a ON a.node = w.node JOIN ls b ON b.node = w.last),
-w{i} AS (SELECT walk, start, last, near[least(len(list_filter(range(1, len(ws) + 1), lambda k: list_sum(ws[1:k]) <= r * list_sum(ws))) + 1, len(near))] AS node FROM x{i})"""
+            r, taken = (DRAW.format(WALK.replace("{i}", str(i)) + f"|' || t{rest}", 14) for rest in ("", " || '|w'"))
+            sql += f""", d{i} AS (SELECT DISTINCT node, deg FROM lk), x{i} AS (SELECT walk, start, w.last, w.node, t, floor({r} * deg)::BIGINT AS k, {taken} AS u FROM w{i - 1} w JOIN d{i} USING (node), range({TRIES}) z(t)),
+y{i} AS (SELECT x.*, lk.dst AS next, CASE WHEN lk.dst = x.last THEN {1 / p} WHEN s.src IS NOT NULL THEN 1.0 ELSE {1 / q} END AS weight FROM x{i} x JOIN lk ON lk.node = x.node AND lk.k = x.k LEFT JOIN sym s ON s.src = x.last AND s.dst = lk.dst),
+w{i} AS (SELECT walk, start, arg_min(node, t) AS last, arg_min(next, t) AS node FROM y{i} WHERE u < weight / {top} GROUP BY walk, start)"""
     return sql + " " + " UNION ALL ".join(f"SELECT walk, start, {i} AS step, node FROM w{i}" for i in range(steps))
 
 
