@@ -208,3 +208,42 @@ def test_terms_are_linear_in_the_text(spark):
 def test_row_softmax_of_a_long_row(spark):
     r = spark.range(1).select(passing.row_softmax(F.array_repeat(F.lit(3.0), 50_000)).alias("x")).select(F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("s"), F.element_at("x", 7).alias("v")).first()
     assert r["s"] == pytest.approx(1) and r["v"] == pytest.approx(1 / 50_000)
+
+
+def breadth_first(edges):
+    near, out = {}, {}
+    for item, parent, child in edges:
+        near.setdefault((item, parent), set()).add(child)
+    for item in {e[0] for e in edges}:
+        level, d = {0}, 0
+        while level:
+            out |= {(item, n): d for n in level}
+            level, d = {c for n in level for c in near.get((item, n), ()) if (item, c) not in out}, d + 1
+    return out
+
+
+def test_depths_with_several_parents_cycles_and_orphans(spark):
+    rng = random.Random(8)
+    for extra in (0.0, 0.1, 0.6):
+        edges = []
+        for item in range(25):
+            n = rng.randint(1, 30)
+            for child in range(1, n):
+                edges += [(item, rng.randrange(n if rng.random() < 0.2 else child), child) for _ in range(1 + (rng.random() < extra))]
+            edges.append((item, 0, 0))
+        edges += edges[:5]
+        got = {(r["item_id"], r["node"]): r["depth"] for r in graph.cascade_depths(spark.createDataFrame(edges, "item_id int, parent int, child int")).collect()}
+        assert got == breadth_first(edges)
+
+
+def test_a_chain_of_ten_thousand(spark):
+    chain = spark.range(10_000).select(F.lit(1).alias("item_id"), F.col("id").cast("int").alias("parent"), (F.col("id") + 1).cast("int").alias("child"))
+    r = graph.cascade_depths(chain).agg(F.max("depth").alias("d"), F.count("*").alias("n"), F.count_if(F.col("depth") == F.col("node")).alias("same")).first()
+    assert (r["d"], r["n"], r["same"]) == (10_000, 10_001, 10_001)
+
+
+def test_deep_taxonomy(spark):
+    t = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, i % 3, []) for i in range(40)] + [("x", "nowhere", 0, [])], "label string, parent string, place int, refs array<string>")
+    got = {r["label"]: (r["depth"], r["path"]) for r in literature.taxonomy_paths(t).collect()}
+    assert got == {f"n{i}": (i, " > ".join(f"n{j}" for j in range(i + 1))) for i in range(40)}
+    assert literature.taxonomy_paths(t.limit(0)).count() == 0

@@ -54,16 +54,50 @@ def common_neighbours(edges: DataFrame, max_degree: int | None = None, parts: in
     return a.join(b, ["m", "part"]).filter("u < v").groupBy("u", "v").agg(F.count("*").alias("n"), F.sum(1 / F.ln("d")).alias("adamic_adar"))
 
 
+def rooted(links: DataFrame, keys: list[str]) -> DataFrame:
+    """[keys, node, root, dist]: where each node's chain of parents ends and after how many steps, from links [keys, node, parent], one a node.
+
+    Pointer doubling: in each round a node takes its pointer's pointer, so rounds grow with the logarithm of the depth. A
+    round in which no chain ends leaves only cycles, which are left out.
+    """
+    state = live = written(links.select(*keys, "node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("dist")))
+    done: list[DataFrame] = []
+    while True:
+        ahead = state.select(*keys, F.col("node").alias("root"), F.col("root").alias("next"), F.col("dist").alias("more"), F.lit(True).alias("on"))
+        step = written(live.join(ahead, [*keys, "root"], "left"))
+        done.append(step.filter("on IS NULL").select(*keys, "node", "root", "dist"))
+        if done[-1].isEmpty():
+            break
+        live = written(step.filter("on").select(*keys, "node", F.col("next").alias("root"), (F.col("dist") + F.col("more")).alias("dist")))
+        state = reduce(DataFrame.unionByName, [*done, live])
+        if live.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
 def cascade_depths(edges: DataFrame) -> DataFrame:
-    """[item_id, node, depth] of nodes reachable from node 0: frontier joins; a node seen before isn't visited again."""
-    edges = written(edges)
-    levels = [written(edges.select("item_id").distinct().select("item_id", F.lit(0).alias("node"), F.lit(0).alias("depth")))]
-    while not levels[-1].isEmpty():
-        last = levels[-1].select("item_id", F.col("node").alias("parent"))
-        step = edges.join(last, ["item_id", "parent"]).select("item_id", F.col("child").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, levels).select("item_id", "node")
-        levels.append(written(step.join(seen, ["item_id", "node"], "left_anti").withColumn("depth", F.lit(len(levels)))))
-    return reduce(DataFrame.unionByName, levels)
+    """[item_id, node, depth] of nodes reachable from node 0, by the shortest way.
+
+    Chains of nodes of one parent are followed by pointer doubling, up to node 0 or to a node of several parents. Only those
+    are visited by a frontier, over one edge a chain.
+    """
+    own = written(edges.filter("parent <> child AND child <> 0").groupBy("item_id", F.col("child").alias("node")).agg(F.countDistinct("parent").alias("n"), F.min("parent").alias("parent")))
+    zero = edges.select("item_id").distinct().select("item_id", F.lit(0).alias("node"), F.lit(0).cast("long").alias("depth"))
+    chains = written(rooted(own.filter("n = 1").select("item_id", "node", "parent"), ["item_id"]))
+    out = [zero, chains.filter("root = 0").select("item_id", "node", F.col("dist").alias("depth"))]
+    if not (several := own.filter("n > 1").select("item_id", "node")).isEmpty():
+        came = edges.filter("parent <> child").select("item_id", F.col("child").alias("node"), "parent").join(several, ["item_id", "node"])
+        led = came.join(chains.select("item_id", F.col("node").alias("parent"), "root", "dist"), ["item_id", "parent"], "left")
+        jumps = written(led.groupBy("item_id", "node", F.coalesce("root", "parent").alias("root")).agg(F.min(F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+        best = frontier = written(zero)
+        while not frontier.isEmpty():
+            reached = jumps.join(frontier.select("item_id", F.col("node").alias("root"), "depth"), ["item_id", "root"]).groupBy("item_id", "node").agg(F.min(F.col("depth") + F.col("dist")).alias("depth"))
+            before = best.select("item_id", "node", F.col("depth").alias("old"))
+            frontier = written(reached.join(before, ["item_id", "node"], "left").filter("old IS NULL OR depth < old").select("item_id", "node", "depth"))
+            best = written(best.unionByName(frontier).groupBy("item_id", "node").agg(F.min("depth").alias("depth")))
+        hubs = best.filter("node <> 0")
+        out += [hubs, chains.join(hubs.select("item_id", F.col("node").alias("root"), "depth"), ["item_id", "root"]).select("item_id", "node", (F.col("dist") + F.col("depth")).alias("depth"))]
+    return reduce(DataFrame.unionByName, out).withColumn("depth", F.col("depth").cast("int"))
 
 
 def _mean(rows: DataFrame, keys: list[str], weight: Column, total: bool = False) -> DataFrame:

@@ -123,17 +123,18 @@ def below_baseline(results: DataFrame, metric: str, baseline: Column) -> DataFra
 def taxonomy_paths(nodes: DataFrame) -> DataFrame:
     """[label, depth, path, order]: each node's labels from its root down; order sorts the tree as it is printed.
 
-    A level is a join; a node that was reached already isn't followed again, so a cycle ends.
+    Each round joins a node's path to that of its pointer, which doubles it, so rounds grow with the logarithm of the depth.
+    Nodes on a cycle, below one, or below an unknown label have no row. Labels are unique.
     """
-    step = lambda p: F.format_string("%04d", p)
-    level = written(nodes.filter("parent IS NULL").select("label", F.lit(0).alias("depth"), F.col("label").alias("path"), step(F.col("place")).alias("order")))
-    out = [level]
-    while not level.isEmpty():
-        below = nodes.join(level.select(F.col("label").alias("parent"), F.col("depth").alias("d"), F.col("path").alias("p"), F.col("order").alias("o")), "parent")
-        made = below.select("label", (F.col("d") + 1).alias("depth"), F.concat("p", F.lit(" > "), "label").alias("path"), F.concat("o", F.lit("."), step(F.col("place"))).alias("order"))
-        level = written(made.join(reduce(DataFrame.unionByName, out).select("label"), "label", "left_anti"))
-        out.append(level)
-    return reduce(DataFrame.unionByName, out)
+    place = F.format_string("%04d", F.col("place"))
+    state = live = written(nodes.select("label", F.col("parent").alias("up"), F.lit(0).alias("depth"), F.col("label").alias("path"), place.alias("order")))
+    done: list[DataFrame] = []
+    while not (ended := live.filter("up IS NULL")).isEmpty():
+        done.append(ended)
+        ahead = state.select(F.col("label").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("path").alias("p"), F.col("order").alias("o"))
+        live = written(live.join(ahead, "up").select("label", F.col("next").alias("up"), (F.col("depth") + F.col("d") + 1).alias("depth"), F.concat("p", F.lit(" > "), "path").alias("path"), F.concat("o", F.lit("."), "order").alias("order")))
+        state = reduce(DataFrame.unionByName, [*done, live])
+    return reduce(DataFrame.unionByName, done or [live]).select("label", "depth", "path", "order")
 
 
 def described(nodes: DataFrame) -> DataFrame:
