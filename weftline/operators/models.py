@@ -205,43 +205,6 @@ def explained(rows: DataFrame, share: float = 0.95) -> DataFrame:
     return rows.sparkSession.createDataFrame([(k,)], "components int")
 
 
-def singular_spectrum(rows: DataFrame, centred: bool = True) -> DataFrame:
-    """[i, sigma]: singular values of the (centred) table of x, largest first, from its Gram matrix; the table stays distributed."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    x = rows.select("x")
-    if centred:
-        mean = [r["m"] for r in x.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).orderBy("pos").collect()]  # a row an element
-        x = x.select(F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b).alias("x"))
-    matrix = RowMatrix(x.rdd.map(lambda r: Vectors.dense(r["x"])))
-    s = matrix.computeSVD(int(matrix.numCols()), computeU=False, rCond=1e-9).s.toArray()
-    return rows.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(s)], "i int, sigma double")
-
-
-def truncated_svd(train: DataFrame, rows: DataFrame, key: str, k: int = 256) -> DataFrame:
-    """[key, x]: sparse rows [key, term, weight] on the first min(k, terms - 1) right singular vectors of train, uncentred.
-
-    With under two of them rows stay as they are, in the order of their terms. The vectors, terms by k, are broadcast.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    terms = [r["term"] for r in train.select("term").distinct().orderBy("term").collect()]  # a vocabulary of max_features
-    at = {t: i for i, t in enumerate(terms)}
-    numbered = lambda df: df.join(F.broadcast(df.sparkSession.createDataFrame(list(at.items()), "term string, i int")), "term")
-    dim = min(k, len(terms) - 1)
-    packed = lambda df: numbered(df).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    if dim < 2:
-        return packed(rows).select(key, F.transform(F.sequence(F.lit(0), F.lit(max(len(terms), 1) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
-    n = len(terms)
-    v = RowMatrix(packed(train).rdd.map(lambda r: Vectors.sparse(n, r["m"]))).computeSVD(dim, computeU=False).V.toArray()
-    axes = rows.sparkSession.createDataFrame([(i, v[i].tolist()) for i in range(n)], "i int, v array<double>")
-    parts = numbered(rows).join(F.broadcast(axes), "i").select(key, F.posexplode("v").alias("j", "a"), "weight")
-    sums = parts.groupBy(key, "j").agg(F.sum(F.col("a") * F.col("weight")).alias("s"))
-    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda p: p["s"]).alias("x"))
-
-
 def node_vectors(walks: DataFrame, size: int = 128, window: int = 10, seed: int = 0, partitions: int = 8) -> DataFrame:
     """[node STRING, x]: skip-gram vectors of [walk, start, step, node]; the fit is hierarchical softmax, not negative sampling."""
     lists = walks.groupBy("walk", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", F.col("node").cast("string").alias("n")))), lambda r: r["n"]).alias("words"))  # one walk
@@ -281,12 +244,17 @@ def joined_vectors(graph: DataFrame, text: DataFrame, key: str, graph_size: int,
     return both.select(key, F.concat(*parts).alias("x"))
 
 
-FEATURES = ("degree", "pagerank", "walks", "static_entropy", "entropy")
+#: `time_weighted` is the entropy block with the walk vectors beside it.
+FEATURES = ("degree", "pagerank", "walks", "static_entropy", "entropy", "time_weighted")
 
 
 def node_features(method: str, edges: DataFrame, window_seconds: int = 2_592_000, **options) -> DataFrame:
-    """[node, x] by the named method, each element scaled to [0, 1]; a constant one is 0."""
-    from weftline.operators import graph, sampling, temporal
+    """[node, x] by the named method, each element scaled to [0, 1]; a constant one is 0.
+
+    entropy: the last window's entropy, the time-weighted one, and the last time-weighted value of the whole network, which
+    is the same for all nodes. time_weighted: these and the vectors of `walks`, zeros for a node without either.
+    """
+    from weftline.operators import graph, temporal
 
     if method not in FEATURES:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(FEATURES)}")
@@ -295,15 +263,36 @@ def node_features(method: str, edges: DataFrame, window_seconds: int = 2_592_000
     elif method == "pagerank":
         x = graph.pagerank(temporal.to_undirected(edges), **options).select("node", F.array("rank").alias("x"))
     elif method == "walks":
-        walks = sampling.random_walks(temporal.to_undirected(edges), options.pop("num_walks", 10), options.pop("length", 80))
-        x = node_vectors(walks, **options)
+        x = walk_vectors(edges, **options)
     elif method == "static_entropy":
         x = temporal.static_entropy(edges, **options).select("node", F.array("h").alias("x"))
     else:
-        x = temporal.entropy_features(temporal.snapshots(edges, window_seconds), **options).select("node", F.array("lne_last", "lne_tw").alias("x"))
+        walking = {k: options.pop(k) for k in list(options) if k in ("num_walks", "length", "p", "q", "size", "window", "seed", "partitions")}
+        x = entropy_block(edges, window_seconds, **options)
+        if method == "time_weighted":
+            both = written(walk_vectors(edges, **walking))
+            size = both.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0]
+            x = joined_vectors(x, both, "node", 3, size)
     return unit_range(written(x))
 
 
+def walk_vectors(edges: DataFrame, num_walks: int = 10, length: int = 80, p: float = 1.0, q: float = 1.0, seed: int = 0, **options) -> DataFrame:
+    """[node, x]: skip-gram vectors of walks on the undirected graph; node has the edges' type."""
+    from weftline.operators import sampling, temporal
+
+    walks = sampling.random_walks(temporal.to_undirected(edges), num_walks, length, p, q, seed)
+    return node_vectors(walks, seed=seed, **options).select(F.col("node").cast(edges.schema["src"].dataType).alias("node"), "x")
+
+
+def entropy_block(edges: DataFrame, window_seconds: int, alpha: float = 0.6, lam: float = 1.2) -> DataFrame:
+    """[node, x]: last-window entropy, time-weighted entropy, and the network's time-weighted value in its last window."""
+    from weftline.operators import temporal
+
+    snaps = written(temporal.snapshots(edges, window_seconds))
+    whole = temporal.weighted_series(temporal.global_entropy(snaps, alpha), lam).agg(F.max_by("weighted_h", "w").alias("g"))
+    return temporal.entropy_features(snaps, alpha, lam).join(F.broadcast(whole), how="cross").select("node", F.array("lne_last", "lne_tw", "g").alias("x"))  # one row
+
+
 def unit_range(rows: DataFrame) -> DataFrame:
     """[node, x] with every element scaled to [0, 1] over all rows; a constant element becomes 0."""
     long = rows.select("node", F.posexplode("x").alias("pos", "v"))

@@ -206,13 +206,21 @@ def sample_negatives(nodes: DataFrame, forbidden: DataFrame, n: int, seed: int,
     return ordered_index(kept, F.col("i")).filter(F.col("idx") < n).select("i", "u", "v")
 
 
-def link_samples(edges: DataFrame, train: float = 0.8, val: float = 0.1, mp_share: float = 0.8, new_only: bool = True, ratio: float = 1.0, seed: int = 0) -> DataFrame:
+def message_edges(edges: DataFrame, train: float = 0.8, val: float = 0.1, mp_share: float = 0.8) -> DataFrame:
+    """The edges that link_samples lets pass messages, loops too."""
+    span = cuts(edges, train, val).join(edges.agg(F.min("ts").alias("a")), how="cross")  # one row each
+    until = F.least(F.col("cut1"), F.col("a") + mp_share * (F.col("cut1") - F.col("a")))
+    return edges.join(F.broadcast(span), how="cross").filter(F.col("ts") <= until).select(edges.columns)
+
+
+def link_samples(edges: DataFrame, train: float = 0.8, val: float = 0.1, mp_share: float = 0.8, new_only: bool = True, ratio: float = 1.0, seed: int = 0, numbered: bool = False) -> DataFrame:
     """[split, u, v, label]: supervision, val and test pairs with as many sampled negatives (times ratio).
 
     Edges up to mp_share of the time from the first edge, loops too, to the end of training pass messages; later training
     edges are the train split's pairs. With
     new_only a split holds pairs that no earlier edge has (train: message passing; val and test: all of training; val and
     test are not held against each other). Negatives avoid all pairs of the table.
+    numbered: + i, a negative's place among its split's from 0 in the order of draws, null for the others.
     """
     span = cuts(edges, train, val).join(edges.agg(F.min("ts").alias("a")), how="cross")  # one row each
     at = F.when(F.col("ts") <= F.col("cut1"), "train").when(F.col("ts") <= F.col("cut2"), "val").otherwise("test")
@@ -229,7 +237,9 @@ def link_samples(edges: DataFrame, train: float = 0.8, val: float = 0.1, mp_shar
             pos = pos.join(seen if name == "train" else before, ["u", "v"], "left_anti").select("split", "u", "v")
         pos = written(pos)
         neg = sample_negatives(nodes, taken, round(ratio * pos.count()), seed + i)
-        both = pos.withColumn("label", F.lit(1)).unionByName(neg.select(F.lit(name).alias("split"), "u", "v", F.lit(0).alias("label")))
+        place = {"i": F.lit(None).cast("long")} if numbered else {}
+        neg = ordered_index(neg, F.col("i"), name="i") if numbered else neg.drop("i")
+        both = pos.withColumns({"label": F.lit(1), **place}).unionByName(neg.select(F.lit(name).alias("split"), "u", "v", F.lit(0).alias("label"), *place))
         out = both if out is None else out.unionByName(both)
     return out
 

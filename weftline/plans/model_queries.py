@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import written
 from weftline.functions.scalars import draw
-from weftline.operators import builders, models, sampling, series, temporal, text
+from weftline.operators import builders, decomposition, models, protocols, sampling, series, similar, temporal, text
 from weftline.plans.base import query
 from weftline.plans.building_queries import long_nodes, tree
 from weftline.plans.graph_queries import INTER, feats, inter, sym
+from weftline.plans.sampling_queries import RATIO_SQL
 from weftline.plans.series_queries import GAPS
 from weftline.sources import canonical as c
 
@@ -105,6 +107,62 @@ def _(spark, d):
     return models.suite("cost", {f"C={x}": (lambda x=x: models.out_of_fold(fit_rows(spark, d), "logistic", 2, cost=x)) for x in (0.1, 10.0)})
 
 
+DAY = 86_400
+
+
+@query("m17_methods", "arm:s seed:i auc:f accuracy:f f1:f precision:f recall:f")
+def _(spark, d):
+    """Five methods of node features on one link task of replies."""
+    walking = {"num_walks": 2, "length": 8, "size": 16, "window": 3}
+    methods = {"degree": {}, "pagerank": {}, "static_entropy": {}, "walks": walking, "time_weighted": walking}
+    return protocols.compare_methods(c.reply_edges(spark, d), methods, (3,), DAY, {"new_only": False})
+
+
+@query("m16_window_entropy", "window_seconds:i node:i lne_last:f lne_tw:f", "reply_edges", """g AS (SELECT unnest([43200, 86400, 604800]) AS window_seconds), t0 AS (SELECT min(ts) AS t0 FROM reply_edges),
+snaps AS (SELECT DISTINCT window_seconds, (ts - t0) // window_seconds AS w, least(src, dst) AS u, greatest(src, dst) AS v FROM reply_edges, t0, g),
+nb AS (SELECT window_seconds, w, u AS node, v AS other FROM snaps UNION ALL SELECT window_seconds, w, v, u FROM snaps WHERE u <> v),
+dg AS (SELECT window_seconds, w, node, sum(CASE WHEN node = other THEN 2 ELSE 1 END) AS deg FROM nb GROUP BY ALL),
+lne AS (SELECT nb.window_seconds, nb.w, nb.node, (ln(sum(pow(d.deg, 0.6))) - 0.6 * ln(sum(d.deg))) / 0.4 AS h FROM nb JOIN dg d ON nb.window_seconds = d.window_seconds AND nb.w = d.w AND nb.other = d.node GROUP BY ALL),
+t AS (SELECT window_seconds, max(w) AS top FROM snaps GROUP BY 1)
+SELECT window_seconds, node, sum(CASE WHEN w = top THEN h ELSE 0 END) AS lne_last, sum(exp(-1.2 * (top - w)) * h) AS lne_tw FROM lne JOIN t USING (window_seconds) GROUP BY 1, 2""")
+def _(spark, d):
+    return protocols.window_entropy(c.reply_edges(spark, d), [DAY // 2, DAY, 7 * DAY])
+
+
+@query("m16_ratio_samples", "ratio:f split:s u:i v:i label:i", "interactions", RATIO_SQL)
+def _(spark, d):
+    return protocols.ratio_samples(c.interactions(spark, d), [0.25, 1.0], seed=21, new_only=False)
+
+
+@query("m16_window_sweep", "arm:s metric:s mean:f sd:f lo:f hi:f")
+def _(spark, d):
+    return protocols.window_sweep(c.reply_edges(spark, d), [DAY, 7 * DAY], (3,), {"new_only": False})
+
+
+@query("m16_ratio_sweep", "arm:s metric:s mean:f sd:f lo:f hi:f")
+def _(spark, d):
+    return protocols.ratio_sweep(c.reply_edges(spark, d), [0.5, 1.0], feats(spark, d), (3,), {"new_only": False})
+
+
+@query("m18_ablation_metrics", "arm:s seed:i auc:f accuracy:f f1:f precision:f recall:f loss:f")
+def _(spark, d):
+    return protocols.block_ablation(rows(spark, d), ["count", "value"], k=3, seeds=(2,))
+
+
+@query("m18_single_blocks", "arm:s seed:i auc:f accuracy:f f1:f precision:f recall:f loss:f")
+def _(spark, d):
+    return protocols.block_ablation(rows(spark, d), ["count", "value"], k=3, seeds=(2,), only=True)
+
+
+@query("m19_node_suites", "suite:s variant:s seed:i auc:f accuracy:f f1:f precision:f recall:f")
+def _(spark, d):
+    """Accounts with features, joined by replies or by the items they share; every ninth has no label."""
+    a = c.accounts(spark, d).select(F.col("account_id").alias("node"), F.when(F.col("account_id") % 9 != 4, F.col("label")).alias("label"), (F.col("account_id") % 6).alias("part"))
+    x = fit_rows(spark, d).select(F.col("id").alias("node"), "x")
+    near = similar.nearest_pairs(similar.unit_vectors(x.select(F.col("node").alias("id"), F.col("x").alias("vec"))), 4).select("src", "dst")
+    return protocols.node_suites(a.join(x, "node"), {"replies": written(sym(spark, d)), "nearest": written(temporal.to_undirected(near))}, "part", (1,))
+
+
 @query("m20_tidy", "run_id:s mean:f top:f", "posts", "SELECT event_type AS run_id, round(avg(value), 4) AS mean, round(max(value), 4) AS top FROM posts GROUP BY 1")
 def _(spark, d):
     by = c.posts(spark, d).groupBy(F.col("event_type").alias("run_id")).agg(F.avg("value").alias("mean"), F.max("value").alias("top"))
@@ -158,14 +216,14 @@ def _(spark, d):
 def _(spark, d):
     from weftline.operators.passing import random_projection
 
-    return models.singular_spectrum(random_projection(feats(spark, d), sym(spark, d), 4, seed=3))
+    return decomposition.singular_spectrum(random_projection(feats(spark, d), sym(spark, d), 4, seed=3))
 
 
-@query("x2_truncated_svd", "item_id:i size:i")
+@query("x2_truncated_svd", "item_id:i pos:i v:f")
 def _(spark, d):
     t = c.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), "text", "conv_id")
     w = text.tf_idf(t, F.col("conv_id") % 5 != 0, max_features=300)
-    return models.truncated_svd(w.filter("item_id div 100 % 5 <> 0"), w, "item_id", 16).select("item_id", F.size("x").alias("size"))
+    return long_nodes(decomposition.truncated_svd(w.filter("item_id div 100 % 5 <> 0"), w, "item_id", 16))
 
 
 @query("x5_token_means", "post:i pos:i v:f", "", "SELECT vec_id // 4 AS post, pos, coalesce(avg(v) FILTER (WHERE vec_id % 4 <> 3 AND vec_id // 4 % 9 <> 5), 0) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2")
@@ -193,10 +251,10 @@ def _(spark, d):
     return x.select("doc_id", F.element_at("vec", 1).alias("chars"), F.element_at("vec", 2).alias("blanks"))
 
 
-@query("x8_node_vectors", "node:s size:i")
+@query("x8_node_vectors", "node:s pos:i v:f")
 def _(spark, d):
     walks = sampling.random_walks(sym(spark, d), 2, 8, seed=14)
-    return models.node_vectors(walks, 16, 3).select("node", F.size("x").alias("size"))
+    return long_nodes(models.node_vectors(walks, 16, 3))
 
 
 @query("x9_joined_vectors", "node:i pos:i v:f", "posts", "f AS (SELECT account_id AS node, [avg(value), max(value)] AS g FROM posts GROUP BY 1), e AS (SELECT vec_id AS node, embedding[1:3] AS t FROM embeddings), b AS (SELECT node, coalesce(g, [0, 0]) || coalesce(list_transform(t, lambda x: x::DOUBLE), [0, 0, 0]) AS x FROM f FULL JOIN e USING (node)) SELECT node, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM b")
@@ -206,8 +264,8 @@ def _(spark, d):
     return long_nodes(models.joined_vectors(g, t, "node", 2, 3))
 
 
-@query("x10_entropy_block", "node:i pos:i v:f", "interactions", INTER + """, t AS (SELECT max(w) AS top FROM snaps), fe AS (SELECT node, [sum(CASE WHEN w = top THEN h ELSE 0 END), sum(exp(-1.2 * (top - w)) * h)] AS x FROM lne, t GROUP BY node),
-fl AS (SELECT node, unnest(x) AS v, unnest([1, 2]) AS pos FROM fe) SELECT node, pos, coalesce((v - min(v) OVER (PARTITION BY pos)) / nullif(max(v) OVER (PARTITION BY pos) - min(v) OVER (PARTITION BY pos), 0), 0) AS v FROM fl""")
+@query("x10_entropy_block", "node:i pos:i v:f", "interactions", INTER + """, t AS (SELECT max(w) AS top FROM snaps), fe AS (SELECT node, [sum(CASE WHEN w = top THEN h ELSE 0 END), sum(exp(-1.2 * (top - w)) * h), 1] AS x FROM lne, t GROUP BY node),
+fl AS (SELECT node, unnest(x) AS v, unnest([1, 2, 3]) AS pos FROM fe) SELECT node, pos, coalesce((v - min(v) OVER (PARTITION BY pos)) / nullif(max(v) OVER (PARTITION BY pos) - min(v) OVER (PARTITION BY pos), 0), 0) AS v FROM fl""")
 def _(spark, d):
     return long_nodes(models.node_features("entropy", c.interactions(spark, d)))
 

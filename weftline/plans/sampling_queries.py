@@ -25,18 +25,28 @@ def _negatives(name: str, split: str, seed: int) -> str:
     a, b = (f"floor({DRAW.format(f'i || ' + chr(39) + f'|{x}' + chr(39), seed)} * size)::BIGINT" for x in "ab")
     return f"""n{name} AS (SELECT count(*) AS k, (SELECT count(*) FROM nodes) AS size FROM pos WHERE split = '{split}'),
 d{name} AS (SELECT i, {a} AS a, {b} AS b FROM n{name}, range(200 * (SELECT k FROM n{name})) r(i)),
-g{name} AS (SELECT '{split}' AS split, u, v FROM (SELECT i, least(x.node, y.node) AS u, greatest(x.node, y.node) AS v FROM d{name} JOIN nodes x ON a = x.idx JOIN nodes y ON b = y.idx WHERE a <> b) p
+g{name} AS (SELECT '{split}' AS split, u, v, row_number() OVER (ORDER BY i) - 1 AS place, (SELECT k FROM n{name}) AS k FROM (SELECT i, least(x.node, y.node) AS u, greatest(x.node, y.node) AS v FROM d{name} JOIN nodes x ON a = x.idx JOIN nodes y ON b = y.idx WHERE a <> b) p
 WHERE NOT EXISTS (SELECT 1 FROM ap WHERE ap.u = p.u AND ap.v = p.v) ORDER BY i LIMIT (SELECT k FROM n{name}))"""
 
 
-@query("t3_link_samples", "split:s u:i v:i label:i", "reply_edges", """e AS (SELECT src, dst, ts FROM reply_edges WHERE src <> dst), m AS (SELECT min(ts) AS a, max(ts) AS b FROM reply_edges),
+def _samples(edges: str, new_only: bool, seed: int) -> str:
+    """CTEs of the positive pairs `pos` and of each split's negatives."""
+    fresh = "SELECT * FROM ps WHERE split = 'train' AND (u, v) NOT IN (SELECT (u, v) FROM ps WHERE split = 'messages') UNION ALL SELECT * FROM ps WHERE split IN ('val', 'test') AND (u, v) NOT IN (SELECT (u, v) FROM ps WHERE split IN ('messages', 'train'))"
+    return f"""e AS (SELECT src, dst, ts FROM {edges} WHERE src <> dst), m AS (SELECT min(ts) AS a, max(ts) AS b FROM {edges}),
 s AS (SELECT src, dst, ts, CASE WHEN ts <= a + 0.8 * (b - a) THEN 'train' WHEN ts <= a + 0.9 * (b - a) THEN 'val' ELSE 'test' END AS split FROM e, m),
 t AS (SELECT a, a + 0.8 * (b - a) AS b FROM m),
 ps AS (SELECT DISTINCT CASE WHEN split = 'train' AND ts <= a + 0.8 * (b - a) THEN 'messages' ELSE split END AS split, least(src, dst) AS u, greatest(src, dst) AS v FROM s, t),
-nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM reply_edges UNION SELECT dst FROM reply_edges)),
+nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges})),
 ap AS (SELECT DISTINCT u, v FROM ps),
-pos AS (SELECT * FROM ps WHERE split = 'train' AND (u, v) NOT IN (SELECT (u, v) FROM ps WHERE split = 'messages') UNION ALL SELECT * FROM ps WHERE split IN ('val', 'test') AND (u, v) NOT IN (SELECT (u, v) FROM ps WHERE split IN ('messages', 'train'))),
-""" + ", ".join(_negatives(x, x, 21 + i) for i, x in enumerate(("train", "val", "test"))) + " SELECT split, u, v, 1 AS label FROM pos UNION ALL SELECT split, u, v, 0 FROM gtrain UNION ALL SELECT split, u, v, 0 FROM gval UNION ALL SELECT split, u, v, 0 FROM gtest")
+pos AS ({fresh if new_only else "SELECT * FROM ps WHERE split <> 'messages'"}),
+""" + ", ".join(_negatives(x, x, seed + i) for i, x in enumerate(("train", "val", "test")))
+
+
+RATIO_SQL = _samples("interactions", False, 21) + """, gs AS (SELECT * FROM gtrain UNION ALL SELECT * FROM gval UNION ALL SELECT * FROM gtest)
+SELECT ratio, split, u, v, 1 AS label FROM pos, (SELECT unnest([0.25, 1.0]::DOUBLE[]) AS ratio) UNION ALL SELECT ratio, split, u, v, 0 FROM gs, (SELECT unnest([0.25, 1.0]::DOUBLE[]) AS ratio) WHERE place < round_even(ratio * k, 0)"""
+
+
+@query("t3_link_samples", "split:s u:i v:i label:i", "reply_edges", _samples("reply_edges", True, 21) + " SELECT split, u, v, 1 AS label FROM pos UNION ALL SELECT split, u, v, 0 FROM gtrain UNION ALL SELECT split, u, v, 0 FROM gval UNION ALL SELECT split, u, v, 0 FROM gtest")
 def _(spark, d):
     return temporal.link_samples(c.reply_edges(spark, d), seed=21)
 
