@@ -13,6 +13,8 @@ from weftline.functions.lineage import written
 
 #: Columns up to which the whole Gram matrix is made in one pass; more columns of the range than asked for; rounds; residual.
 WHOLE, OVERSAMPLE, ROUNDS, RESIDUAL = 1_024, 10, 60, 1e-9
+#: Blocks of the range that the driver holds, and their products: columns of the table by BLOCKS (k + OVERSAMPLE) each.
+BLOCKS = 4
 #: Products of a batch that are held at once.
 AT_ONCE = 4_000_000
 
@@ -72,20 +74,32 @@ def gram_times(rows: DataFrame, q: np.ndarray, mean: np.ndarray | None = None) -
 def axes(rows: DataFrame, n: int, k: int, seed: int = 0, mean: np.ndarray | None = None, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray]:
     """(singular values, n by k right singular vectors) of the k largest; each vector's largest element is positive.
 
-    Up to `whole` columns one pass gives the Gram matrix. Beyond, a random block of k + OVERSAMPLE columns is multiplied by
-    A'A and made orthogonal again, a pass a round, until the wanted vectors' residuals are small.
+    Up to `whole` columns one pass gives the Gram matrix. Beyond, a range finder: a random block of k + OVERSAMPLE columns is
+    multiplied by A'A, and each round adds what the best vectors' images have outside the range so far (a pass over A),
+    until their residuals are small; after BLOCKS blocks it starts anew from the best vectors.
     """
     l = n if n <= whole else min(n, k + OVERSAMPLE)
-    q = np.eye(n) if l == n else np.linalg.qr(np.random.default_rng(seed).standard_normal((n, l)))[0]
-    for _ in range(1 if l == n else ROUNDS):
-        z = gram_times(rows, q, mean)
-        t = q.T @ z
+    basis = np.eye(n) if l == n else np.linalg.qr(np.random.default_rng(seed).standard_normal((n, l)))[0]
+    products = gram_times(rows, basis, mean)
+    for _ in range(ROUNDS):
+        t = basis.T @ products
         values, turn = np.linalg.eigh((t + t.T) / 2)
-        order = np.argsort(-values)[:k]
-        values, vectors = np.maximum(values[order], 0), q @ turn[:, order]
-        if l < n and np.linalg.norm(z @ turn[:, order] - vectors * values, axis=0).max() <= RESIDUAL * max(values[0], 1e-300):
+        order = np.argsort(-values)[:l]
+        values, vectors, images = values[order], basis @ turn[:, order], products @ turn[:, order]
+        rest = images - vectors * values
+        if l == n or np.linalg.norm(rest[:, :k], axis=0).max() <= RESIDUAL * max(values[k - 1], 1e-12 * values[0]):
             break
-        q = np.linalg.qr(z)[0] if l < n else q
+        if basis.shape[1] + l > min(n, BLOCKS * l):
+            basis, products = vectors, images
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        new, size = np.linalg.qr(rest)
+        new = new[:, np.abs(np.diag(size)) > 1e-13 * max(values[0], 1e-300)]
+        if not new.shape[1]:
+            break
+        new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+        basis, products = np.hstack([basis, new]), np.hstack([products, gram_times(rows, new, mean)])
+    values, vectors = np.maximum(values[:k], 0), vectors[:, :k]
     sign = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
     return np.sqrt(values), vectors * np.where(sign == 0, 1, sign)
 
