@@ -14,6 +14,8 @@ from weftline.llm.common import reliable, table
 
 #: Queries of one block; their vectors and score bounds are all that is ever broadcast.
 QUERY_BLOCK = 65_536
+#: Bytes of a block's vectors, which reach the driver and are broadcast.
+QUERY_BYTES = 64 << 20
 #: Bins into which each round splits the range that holds a query's kth score: so many of all queries, each some.
 ALL_BINS, LEAST_BINS, MOST_BINS = 4_000_000, 64, 1_024
 #: Scores are 64-bit; the histograms' range ends here, and what lies beyond counts in its outermost bins.
@@ -122,7 +124,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """[query_id, rank, vec_id, score]: each query's k highest integer inner products, ties to the smaller vec_id.
 
     Both frames hold vec_id BIGINT and q ARRAY<BIGINT> (see quantised). A candidate with the query's id is left out.
-    Queries go in blocks of QUERY_BLOCK; each block is broadcast, scores all candidates once a round, and narrows the
+    Queries go in blocks of QUERY_BLOCK rows and QUERY_BYTES at most; each block is broadcast, scores all candidates once a round, and narrows the
     range of every query's kth score many-fold from global histograms until it is one integer. Only rows at or above it
     leave the tasks. Scores must fit 64 bits. Equal query ids count once (the smallest vector). Empty inputs give an empty result.
     """
@@ -133,17 +135,21 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return spark.createDataFrame([], schema)
     one = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     n = one.count()
-    n_blocks = -(-n * 5 // (4 * QUERY_BLOCK)) if n > QUERY_BLOCK else min(n, 1)  # hashed, so filled to four fifths
+    longest = one.agg(F.max(F.size("q"))).first()[0] or 1
+    limit = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, longest))))
+    n_blocks = -(-n * 5 // (4 * limit)) if n > limit else min(n, 1)  # hashed, so filled to four fifths
     parts = []
     if n_blocks:
         blocks = reliable(one.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))))
         for b in range(n_blocks):
-            rows = sorted((r["vec_id"], r["q"]) for r in blocks.filter(F.col("_block") == b).select("vec_id", "q").collect())
-            if not rows:
+            rows = blocks.filter(F.col("_block") == b).select("vec_id", "q").toArrow().combine_chunks().sort_by("vec_id")
+            if not rows.num_rows:
                 continue
-            width = max(len(q) for _, q in rows)
-            ids = np.array([v for v, _ in rows], np.int64)
-            q = np.array([x + [0] * (width - len(x)) for _, x in rows], np.int64).reshape(len(rows), width)
+            ids, lists = rows.column("vec_id").to_numpy(), rows.column("q").combine_chunks()
+            size = np.diff(lists.offsets.to_numpy())
+            width = int(size.max())
+            q = np.zeros((len(ids), width), np.int64)
+            q[np.arange(width)[None, :] < size[:, None]] = lists.flatten().to_numpy()
             most = int(top[0]) * int(np.abs(q).max(initial=0)) * width
             part = _block(candidates, ids, q, k, (-min(most, FAR), min(most, FAR)))
             parts.append(reliable(part) if n_blocks > 1 else part)
