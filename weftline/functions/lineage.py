@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared spark.checkpoint.dir; a local folder is set only where none is (tests)."""
+    """The session's shared spark.checkpoint.dir. Without one a local session gets a local folder; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import ROUNDS, draw
-from weftline.operators import graph, passing, sampling, summaries, temporal
+from weftline.operators import graph, passing, protocols, sampling, summaries, temporal
 from weftline.plans.base import query
 from weftline.plans.graph_queries import INTER, PAIRS, SIMPLE, daily, inter, sym
 from weftline.sources import canonical as c
@@ -200,6 +200,13 @@ def _(spark, d):
     return summaries.key_nodes(temporal.entropy_features(inter(spark, d)), 20)
 
 
+@query("w5_split_pairs", "u:i v:i score:f side:s place:i", "reply_edges", PAIRS + """, k AS (SELECT u, v, (u * 37 + v * 11) % 101 / 100.0 AS score FROM pairs)
+SELECT u, v, score, CASE WHEN score >= 0.5 THEN 'linked' ELSE 'unlinked' END AS side, row_number() OVER (ORDER BY score DESC, u, v) - 1 AS place FROM k""")
+def _(spark, d):
+    p = temporal.undirected_pairs(c.reply_edges(spark, d)).withColumn("score", (F.col("u") * 37 + F.col("v") * 11) % 101 / 100)
+    return protocols.split_predictions(p, 0.5)
+
+
 @query("w9_hubs_and_keys", "node:i", "interactions", TW + ", dg AS (SELECT node, sum(deg) AS deg FROM (SELECT w, node, sum(CASE WHEN node = other THEN 2 ELSE 1 END) AS deg FROM nb GROUP BY 1, 2) GROUP BY 1 ORDER BY deg DESC, node LIMIT 15) SELECT node FROM dg UNION SELECT node FROM ky")
 def _(spark, d):
     snaps = inter(spark, d)

@@ -112,16 +112,18 @@ def _(spark, d):
 def thread_files(spark, d, path):
     """event/kind/thread folders of every item; every fourth structure is empty, so replied-to ids count.
 
-    The format has a file a tweet, so a thread is given its item's first eight nodes.
+    A file holds up to a hundred reactions of its thread.
     """
     k, n = F.col("item_id"), F.col("node")
-    x = cascades(spark, d).filter("node < 8")
-    tid = lambda v: (k * 1000 + v).cast("string")
+    x = cascades(spark, d)
+    tid = lambda v: ((k + 1) * 10_000_000 + v).cast("string")
     made = F.date_format(F.timestamp_seconds(F.lit(1_400_000_000) + n * 90), "MMM dd HH:mm:ss '+0000' yyyy")
     user = F.struct((n * 3).alias("followers_count"), n.alias("friends_count"), F.lit(7).alias("statuses_count"), (n % 2 == 0).alias("verified"), F.concat(F.lit("u"), "uid").alias("id_str"))
     tweet = F.to_json(F.struct(tid(n).alias("id_str"), F.concat(F.lit("tweet "), n).alias("text"), F.concat(F.lit("Mon "), made).alias("created_at"), F.when(n > 0, tid(F.col("parent"))).alias("in_reply_to_status_id_str"), user.alias("user")))
     place = dict(event=F.when(k % 2 == 0, "event-a").otherwise("event-b"), kind=F.when(k % 3 == 0, "rumours").otherwise("non-rumours"), thread=k.cast("string"))
-    lines(x, tweet, path, **place, folder=F.when(n == 0, "source-tweets").otherwise("reactions"), name=F.concat(tid(n), F.lit(".json")))
+    files = x.select("item_id", F.when(n == 0, "source-tweets").otherwise("reactions").alias("folder"), F.concat(F.lit("part"), F.floor(n / 100), F.lit(".json")).alias("name"), tweet.alias("tweet"))
+    arrays = files.groupBy("item_id", "folder", "name").agg(F.concat(F.lit("["), F.array_join(F.collect_list("tweet"), ", "), F.lit("]")).alias("tweets"))  # a hundred tweets
+    lines(arrays, F.col("tweets"), path, **place, folder=F.col("folder"), name=F.col("name"))
     items = x.select("item_id").distinct()
     chain = F.concat(F.lit('{"'), tid(F.lit(0)), F.lit('": {"'), tid(F.lit(1)), F.lit('": {"'), tid(F.lit(2)), F.lit('": []}, "'), tid(F.lit(3)), F.lit('": [], "999": []}}'))
     lines(items, F.when(k % 4 == 1, F.lit("[]")).otherwise(chain), path + "/structure", **place, folder=F.lit("thread"), name=F.lit("structure.json"))
@@ -137,7 +139,7 @@ def _(spark, d):
 
 
 @query("s6_thread_nodes", "item_id:s node:i uid:s delay_min:f followers:f parent:i", "cascade_nodes cascade_edges", """SELECT n.item_id, n.node, 'u' || n.uid AS uid, n.node * 1.5 AS delay_min, ln(1 + 3 * n.node) AS followers,
-CASE WHEN n.node = 0 THEN NULL WHEN n.item_id % 4 = 1 THEN e.parent WHEN n.node IN (1, 3) THEN 0 WHEN n.node = 2 THEN 1 END AS parent FROM cascade_nodes n LEFT JOIN cascade_edges e ON e.item_id = n.item_id AND e.child = n.node WHERE n.node < 8""")
+CASE WHEN n.node = 0 THEN NULL WHEN n.item_id % 4 = 1 THEN e.parent WHEN n.node IN (1, 3) THEN 0 WHEN n.node = 2 THEN 1 END AS parent FROM cascade_nodes n LEFT JOIN cascade_edges e ON e.item_id = n.item_id AND e.child = n.node""")
 def _(spark, d):
     _, nodes, edges = readers.threads(spark, thread_files(spark, d, new_path(spark)))
     return nodes.join(edges.withColumnRenamed("child", "node"), ["item_id", "node"], "left").withColumn("followers", F.element_at("profile", 1))

@@ -132,7 +132,8 @@ def _profile(user: Column) -> Column:
 def threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items [item_id, event, kind, text, label], nodes [item_id, node, uid, delay_min, profile, tid], edges [item_id, parent, child]).
 
-    From event/kind/thread/{source-tweets,reactions}/*.json with structure.json and annotation.json. Nodes are the source
+    From event/kind/thread/{source-tweets,reactions}/*.json with structure.json and annotation.json; a file of tweets holds
+    one tweet or an array of them. Nodes are the source
     tweet, then the reactions by id; delays are minutes after the source. Edges come from the nested keys of structure.json
     or, where these give none, from the replied-to ids. The label is the veracity of the annotation.
     """
@@ -141,7 +142,7 @@ def threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
     place = r"([^/=]+)/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/=]+)/(?:(?:[^/=]+=)?(source-tweets|reactions|thread)/)?(?:[^/=]+=)?([^/=]+)\.json(?:/part-[^/]*)?$"
     part = lambda i: F.regexp_extract("file", place, i)
     files = lenient_json(spark, path).filter("text IS NOT NULL").select(*[part(i).alias(c) for i, c in enumerate(["event", "kind", "item_id", "folder", "name"], 1)], "text")
-    tweets = files.filter("folder IN ('source-tweets', 'reactions')").select("event", "kind", "item_id", "folder", F.from_json("text", TWEET).alias("t")).filter("t.id_str IS NOT NULL")
+    tweets = files.filter("folder IN ('source-tweets', 'reactions')").select("event", "kind", "item_id", "folder", F.explode(F.from_json("text", f"array<{TWEET}>")).alias("t")).filter("t.id_str IS NOT NULL")
     tweets = tweets.select("event", "kind", "item_id", (F.col("folder") == "source-tweets").alias("source"), "t.*").dropDuplicates(["item_id", "id_str"])
     time = F.unix_seconds(parsed_time(F.col("created_at")))
     start = tweets.filter("source").groupBy("item_id").agg(F.min(time).alias("t0"), F.min("event").alias("event"), F.min("kind").alias("kind"), F.min_by("text", "id_str").alias("text"))
