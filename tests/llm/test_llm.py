@@ -98,6 +98,26 @@ def test_sharding(spark, docs, odd):
     assert sharding.shard_by_size(odd.filter("false"), F.lit(1), F.col("text"), [F.col("doc_id")], n_shards=2).count() == 0
 
 
+def test_even_shards_at_every_level(spark, monkeypatch):
+    rng = random.Random(6)
+    sizes = {f"g{i:04d}": int(rng.paretovariate(1.1) * 20) for i in range(3_000)}
+    sizes["g0000"] = sum(sizes.values()) // 6
+    df = spark.createDataFrame([(g, s - s // 2) for g, s in sizes.items()] + [(g, s // 2) for g, s in sizes.items()], "g string, n long").repartition(5)
+    spread = {}
+    for items in (10_000, 300):  # on the driver at once, or in levels of ranges
+        monkeypatch.setattr(sharding, "DRIVER_ITEMS", items)
+        monkeypatch.setattr(sharding, "RANGE_ITEMS", 100)
+        monkeypatch.setattr(sharding, "RANGE_BINS", 20)
+        got = sharding.shard_by_size(df, F.col("n"), F.col("g"), [F.col("g"), F.col("n")], n_shards=5).collect()
+        shard, load = {}, [0] * 5
+        for r in got:
+            assert shard.setdefault(r["g"], r["shard"]) == r["shard"]
+            load[r["shard"]] += r["n"]
+        assert len(got) == 6_000 and sum(load) == sum(sizes.values())
+        spread[items] = max(load) / (sum(load) / 5)
+    assert spread[10_000] < 1.001 and spread[300] < 1.02
+
+
 def test_top_k_ties_nulls_and_few(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [-1.0, 2.0]), (None, [1.0, 1.0]), (50, [0.5, 0.5])]
     c = topk.quantised(spark.createDataFrame(rows, "vec_id long, v array<float>"), "vec_id", "v")

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import boxed, reliable, table, text_or_empty, unboxed, whole_groups
 
-#: Small groups share this many hashed bundles; a group above total / BUNDLES bytes is an item of its own. So the
-#: driver packs at most 2 * BUNDLES items, whatever the table's size.
-BUNDLES = 16_384
+#: Items that the driver packs at most, whatever the table's size; groups that one task packs, and the bins it packs them into.
+DRIVER_ITEMS, RANGE_ITEMS, RANGE_BINS = 16_384, 4_096, 256
 #: Sub-buckets of each shard in which slots are counted, so that no task numbers a whole shard.
 SLOT_BUCKETS = 512
 #: Groups that one task packs into shards of a fixed capacity, and rows into which a group is multiplied for the join.
@@ -168,24 +167,45 @@ def _fixed_capacity(groups: DataFrame, capacity: int) -> DataFrame:
     return packed.join(F.broadcast(starts), "_range").select("_group", (F.col("_first") + F.col("_bin")).cast("int").alias("shard"))  # a row for RANGE_GROUPS groups
 
 
-def _even(groups: DataFrame, total: int, n_shards: int) -> DataFrame:
-    """[_group, shard]: n_shards shards of about equal bytes. Small groups share hashed bundles, so at most 2 * BUNDLES items are packed on the driver."""
-    spark, heavy_from = groups.sparkSession, max(1, total // BUNDLES)
-    bundled = groups.withColumn("_bundle", F.pmod(F.xxhash64("_group"), F.lit(BUNDLES)).cast("int"))
-    items = bundled.groupBy("_bundle", F.when(F.col("bytes") >= heavy_from, F.col("_group")).alias("heavy")).agg(F.sum("bytes").alias("bytes")).collect()
-    packed = best_fit_decreasing([((r["_bundle"], r["heavy"] or ""), r["bytes"]) for r in items], -(-total // n_shards), n_shards)
-    placed = spark.createDataFrame([(b, h, s) for (b, h), s in packed.bin_of.items()], "_bundle int, _heavy string, shard int")
-    big = placed.filter("_heavy <> ''").select(F.col("_heavy").alias("_group"), F.col("shard").alias("_own"))
-    small = placed.filter("_heavy = ''").select("_bundle", F.col("shard").alias("_shared"))
-    both = bundled.join(F.broadcast(big), "_group", "left").join(F.broadcast(small), "_bundle", "left")  # both of at most BUNDLES rows
-    return both.select("_group", F.coalesce("_own", "_shared").alias("shard"))
+def _packed_evenly(bins: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_group, _bin, bytes): best-fit decreasing of each range's groups into so many bins of about equal bytes."""
+    for held in whole_groups(batches, "_range", 1):
+        ranges, keys, sizes = np.asarray(held.column("_range")), held.column("_group").to_pylist(), held.column("bytes").to_pylist()
+        for r in np.unique(ranges):
+            at = np.flatnonzero(ranges == r).tolist()
+            capacity = -(-sum(sizes[i] for i in at) // bins)
+            bin_of = best_fit_decreasing([(keys[i], sizes[i]) for i in at], capacity, bins).bin_of
+            size = {keys[i]: sizes[i] for i in at}
+            yield pa.RecordBatch.from_arrays([pa.array(list(bin_of), pa.string()), pa.array([f"{r}/{b}" for b in bin_of.values()], pa.string()), pa.array([size[k] for k in bin_of], pa.int64())], ["_group", "_bin", "bytes"])
+
+
+def _even(groups: DataFrame, n_shards: int) -> DataFrame:
+    """[_group, shard]: n_shards shards of about equal bytes.
+
+    Up to DRIVER_ITEMS groups are packed on the driver. More are dealt by hash over ranges of about RANGE_ITEMS groups, and
+    each range is packed by its real sizes into RANGE_BINS bins in one task; the bins are the groups of the next level, and
+    so on: real sizes decide at every table size, and no task or driver holds more than so many items.
+    A group larger than its range's share has a bin of its own.
+    """
+    level, levels = reliable(groups), []
+    while (n := level.count()) > DRIVER_ITEMS:
+        ranges = -(-n // RANGE_ITEMS)
+        dealt = level.withColumn("_range", F.pmod(F.xxhash64("_group"), F.lit(ranges))).select("_range", "_group", "bytes")
+        packed = reliable(dealt.repartition("_range").sortWithinPartitions("_range").mapInArrow(partial(_packed_evenly, RANGE_BINS), "_group string, _bin string, bytes long"))
+        levels.append(packed.select("_group", "_bin"))
+        level = packed.groupBy(F.col("_bin").alias("_group")).agg(F.sum("bytes").alias("bytes"))
+    items = [(r["_group"], r["bytes"]) for r in level.collect()]
+    packed = best_fit_decreasing(items, -(-sum(size for _, size in items) // n_shards), n_shards)
+    placed = groups.sparkSession.createDataFrame(list(packed.bin_of.items()), "_group string, shard int")  # DRIVER_ITEMS rows
+    for below in reversed(levels):
+        placed = below.join(F.broadcast(placed.withColumnRenamed("_group", "_bin")) if below is levels[-1] else placed.withColumnRenamed("_group", "_bin"), "_bin").select("_group", "shard")
+    return placed
 
 
 def shard_by_size(docs: DataFrame, size: Column, group: Column, order: list[Column], n_shards: int | None = None, capacity: int | None = None) -> DataFrame:
     """docs' columns + shard INT, slot BIGINT (gapless from 0 in each shard).
 
-    Rows of one group stay together. Give n_shards (about equal bytes, an item being a large group or a bundle of small
-    ones) or a fixed capacity (no shard is above it but one that holds a single larger group). order breaks ties of slots;
+    Rows of one group stay together. Give n_shards (about equal bytes) or a fixed capacity (no shard is above it but one that holds a single larger group). order breaks ties of slots;
     rows equal in all of it may swap slots. A null group is a group, a null size counts as none; an empty table gives an
     empty result. Input columns named shard or slot are replaced, other names never clash. Texts need not be carried: the
     rows are written once, narrow if docs is; group sizes are pre-aggregated; slots come from counts of SLOT_BUCKETS
@@ -194,8 +214,7 @@ def shard_by_size(docs: DataFrame, size: Column, group: Column, order: list[Colu
     sub = F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)).cast("int")
     rows = reliable(docs.select(boxed(docs), F.coalesce(size.cast("long"), F.lit(0)).alias("_size"), F.coalesce(F.sha2(group.cast("string"), 256), F.lit("")).alias("_group"), sub.alias("_sub"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_order")))
     groups = rows.groupBy("_group").agg(F.sum("_size").alias("bytes"))
-    total = rows.agg(F.sum("_size")).first()[0] or 0
-    placed = reliable(_fixed_capacity(groups, capacity) if capacity else _even(groups, total, n_shards or 1))
+    placed = reliable(_fixed_capacity(groups, capacity) if capacity else _even(groups, n_shards or 1))
     salt = F.pmod(F.xxhash64("_sub"), F.lit(SALT))
     salted = placed.select("_group", "shard", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")).alias("_salt"))
     placed_rows = rows.withColumn("_salt", salt).join(salted, ["_group", "_salt"]).drop("_group", "_salt", "_size")
