@@ -126,3 +126,12 @@ def test_messages_end_at_the_share_of_the_training_time(spark):
     got = temporal.link_samples(edges).filter("label = 1").collect()
     # the first edge is a loop at 0, training ends at 800, messages at 640: the edges at 700 and 800 are training pairs
     assert sorted((r["split"], r["u"]) for r in got) == [("test", 9), ("train", 6), ("train", 7), ("val", 8)]
+
+
+def test_common_neighbours_of_given_pairs(spark):
+    star = [(0, i) for i in range(1, 30)] + [(1, 2), (2, 3)]
+    e = temporal.to_undirected(spark.createDataFrame(star, "src long, dst long"))
+    every = {(r["u"], r["v"]): (r["n"], round(r["adamic_adar"], 9)) for r in graph.common_neighbours(e).collect()}
+    asked = [(1, 3), (0, 2), (5, 6), (0, 9), (1, 1000)]
+    got = {(r["u"], r["v"]): (r["n"], round(r["adamic_adar"], 9)) for r in graph.common_neighbours_of(spark.createDataFrame(asked, "u long, v long"), e).collect()}
+    assert got == {p: every.get(p, (0, 0.0)) for p in asked}

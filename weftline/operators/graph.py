@@ -225,3 +225,22 @@ def nearest(vectors: DataFrame, k: int = 4, queries: Column | None = None) -> Da
     unit = written(unit_vectors(vectors, 0.0))
     asked = unit.filter(queries if queries is not None else F.col("id") % 100 == 0)
     return nearest_pairs(unit, k, asked).select(F.col("src").alias("id"), F.col("dst").alias("other"), "sim", "r")
+
+
+def common_neighbours_of(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """[u, v, n, adamic_adar] of given pairs on a symmetric simple graph; 0 for pairs without a shared neighbour of degree over 1.
+
+    Each pair follows the links of its end of fewer neighbours and looks the other one up by (node, neighbour), so the work
+    is the sum of the smaller degrees and a hub's links are only read by pairs of hubs.
+    """
+    deg = written(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")))
+    of = lambda end: deg.select(F.col("node").alias(end), F.col("d").alias(f"d_{end}"))
+    wanted = written(pairs.select("u", "v").distinct())
+    sized = wanted.join(of("u"), "u").join(of("v"), "v")
+    less = F.col("d_u") <= F.col("d_v")
+    asked = sized.select("u", "v", F.when(less, F.col("u")).otherwise(F.col("v")).alias("near"), F.when(less, F.col("v")).otherwise(F.col("u")).alias("far"))
+    links = edges.select(F.col("src").alias("near"), F.col("dst").alias("m"))
+    back = edges.select(F.col("src").alias("far"), F.col("dst").alias("m"))
+    shared = asked.join(links, "near").join(back, ["far", "m"]).join(deg.filter("d > 1").withColumnRenamed("node", "m"), "m")
+    got = shared.groupBy("u", "v").agg(F.count("*").alias("n"), F.sum(1 / F.ln("d")).alias("adamic_adar"))
+    return wanted.join(got, ["u", "v"], "left").na.fill(0, ["n"]).na.fill(0.0, ["adamic_adar"])

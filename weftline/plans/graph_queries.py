@@ -150,17 +150,18 @@ def _(spark, d):
     return a.select("node", F.array_join("others", ",").alias("others"))
 
 
-def _pagerank_sql(n: int) -> str:
-    head = """e AS MATERIALIZED (SELECT DISTINCT src, dst FROM reply_edges),
+def pagerank_sql(n: int, edges: str = "reply_edges") -> str:
+    """CTEs up to r{n}, the ranks after n rounds."""
+    head = f"""e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {edges}),
 nodes AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM nodes),
 outs AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY src), r0 AS (SELECT node, 1.0 / n AS rank FROM nodes, n)"""
     for i in range(n):
         head += f""", r{i + 1} AS MATERIALIZED (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM outs)) / n) AS rank
 FROM n, nodes LEFT JOIN (SELECT e.dst, sum(r.rank / o.k) AS got FROM e JOIN r{i} r ON e.src = r.node JOIN outs o ON e.src = o.src GROUP BY e.dst) g ON nodes.node = g.dst)"""
-    return head + f" SELECT node, 1000 * rank AS rank_milli FROM r{n}"
+    return head
 
 
-@query("g4_pagerank", "node:i rank_milli:f", "reply_edges", _pagerank_sql(20))
+@query("g4_pagerank", "node:i rank_milli:f", "reply_edges", pagerank_sql(20) + " SELECT node, 1000 * rank AS rank_milli FROM r20")
 def _(spark, d):
     return graph.pagerank(c.reply_edges(spark, d), tolerance=1e-14).select("node", (1000 * F.col("rank")).alias("rank_milli"))
 
@@ -172,6 +173,14 @@ def _(spark, d):
     return graph.common_neighbours(sym(spark, d))
 
 
+@query("g12_given_pairs", "u:i v:i n:i adamic_adar:f", "reply_edges", SIMPLE + """, deg AS (SELECT dst, count(*) AS d FROM sym GROUP BY dst), wanted AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM sym WHERE (src + dst) % 7 = 0),
+got AS (SELECT u, v, count(*) AS n, sum(1 / ln(d)) AS aa FROM wanted JOIN sym a ON a.src = u JOIN sym b ON b.src = v AND b.dst = a.dst JOIN deg ON deg.dst = a.dst AND d > 1 GROUP BY 1, 2)
+SELECT u, v, coalesce(n, 0) AS n, coalesce(aa, 0) AS adamic_adar FROM wanted LEFT JOIN got USING (u, v)""")
+def _(spark, d):
+    e = sym(spark, d)
+    return graph.common_neighbours_of(e.filter("src < dst AND (src + dst) % 7 = 0").select(F.col("src").alias("u"), F.col("dst").alias("v")), e)
+
+
 @query("g13_cascade_depth", "item_id:i node:i depth:i", "cascade_edges", """SELECT * FROM (WITH RECURSIVE t(item_id, node, depth) AS (
 SELECT DISTINCT item_id, 0, 0 FROM cascade_edges UNION ALL SELECT e.item_id, e.child, t.depth + 1 FROM t JOIN cascade_edges e ON e.item_id = t.item_id AND e.parent = t.node) SELECT * FROM t)""")
 def _(spark, d):

@@ -9,7 +9,7 @@ from weftline.functions.scalars import draw
 from weftline.operators import builders, decomposition, models, protocols, sampling, series, similar, temporal, text
 from weftline.plans.base import query
 from weftline.plans.building_queries import long_nodes, tree
-from weftline.plans.graph_queries import INTER, feats, inter, sym
+from weftline.plans.graph_queries import INTER, SIMPLE, feats, inter, pagerank_sql, sym
 from weftline.plans.sampling_queries import RATIO_SQL
 from weftline.plans.series_queries import GAPS
 from weftline.sources import canonical as c
@@ -273,3 +273,17 @@ def _(spark, d):
 @query("x10_degree", "node:i pos:i v:f", "reply_edges", "sy AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM reply_edges UNION ALL SELECT dst, src FROM reply_edges) WHERE src <> dst), dg AS (SELECT dst AS node, count(*) AS k FROM sy GROUP BY 1) SELECT node, 1 AS pos, coalesce((k - min(k) OVER ()) / nullif(max(k) OVER () - min(k) OVER (), 0), 0) AS v FROM dg")
 def _(spark, d):
     return long_nodes(models.node_features("degree", c.reply_edges(spark, d)))
+
+
+SCALED = " SELECT node, 1 AS pos, coalesce((k - min(k) OVER ()) / nullif(max(k) OVER () - min(k) OVER (), 0), 0) AS v FROM dg"
+
+
+@query("x10_static_entropy", "node:i pos:i v:f", "reply_edges", SIMPLE + """, deg AS (SELECT src AS node, count(*) AS deg FROM sym GROUP BY src),
+dg AS (SELECT s.src AS node, (ln(sum(pow(d.deg, 0.6))) - 0.6 * ln(sum(d.deg))) / 0.4 AS k FROM sym s JOIN deg d ON s.dst = d.node GROUP BY s.src)""" + SCALED)
+def _(spark, d):
+    return long_nodes(models.node_features("static_entropy", c.reply_edges(spark, d)))
+
+
+@query("x10_pagerank", "node:i pos:i v:f", "reply_edges", SIMPLE + ", " + pagerank_sql(40, "sym") + ", dg AS (SELECT node, rank AS k FROM r40)" + SCALED)
+def _(spark, d):
+    return long_nodes(models.node_features("pagerank", c.reply_edges(spark, d), tolerance=1e-14))
