@@ -135,3 +135,13 @@ def test_common_neighbours_of_given_pairs(spark):
     asked = [(1, 3), (0, 2), (5, 6), (0, 9), (1, 1000)]
     got = {(r["u"], r["v"]): (r["n"], round(r["adamic_adar"], 9)) for r in graph.common_neighbours_of(spark.createDataFrame(asked, "u long, v long"), e).collect()}
     assert got == {p: every.get(p, (0, 0.0)) for p in asked}
+
+
+def test_cascade_times_of_a_hot_item(spark, monkeypatch):
+    rows = [("hot", float(i * i % 1_000)) for i in range(700)] + [(f"i{k % 9}", float(k)) for k in range(60)] + [("hot", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "item_id string, delay_min double").repartition(4)
+    want = sorted(map(tuple, series.cascade_times(df).collect()))
+    monkeypatch.setattr(series, "HOT_ROWS", 50)
+    monkeypatch.setattr(series.quantiles, "__defaults__", (50, 16, 30))
+    got = sorted(map(tuple, series.cascade_times(df).collect()))
+    assert [g[0] for g in got] == [w[0] for w in want] and all(g[1:] == pytest.approx(w[1:]) for g, w in zip(got, want))

@@ -222,7 +222,7 @@ def nearest(vectors: DataFrame, k: int = 4, queries: Column | None = None) -> Da
     """
     from weftline.operators.similar import nearest_pairs, unit_vectors
 
-    unit = written(unit_vectors(vectors, 0.0))
+    unit = unit_vectors(vectors, 0.0)
     asked = unit.filter(queries if queries is not None else F.col("id") % 100 == 0)
     return nearest_pairs(unit, k, asked).select(F.col("src").alias("id"), F.col("dst").alias("other"), "sim", "r")
 

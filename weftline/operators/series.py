@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import hour_of_day, ratio
-from weftline.functions.segments import quantiles, stepped
+from weftline.functions.segments import HOT_ROWS, hot_keys, quantiles, stepped
 
 ORDERS = {"H_0": 0.0, "H_0.5": 0.5, "H_1": 1.0, "H_2": 2.0, "H_4": 4.0, "H_inf": float("inf")}
 
@@ -139,7 +139,11 @@ def cascade_times(nodes: DataFrame) -> DataFrame:
     log = lambda x: F.log1p(F.greatest(x, F.lit(0.0)))
     timed = nodes.select("item_id", finite.alias("t"))
     parts = {"log_span": log(span), "rate": F.count("*") / (span / 60 + 1), "first_hour": F.count_if(F.col("t") <= 60) / F.nullif(F.count("t"), F.lit(0))}
-    x = timed.groupBy("item_id").agg(F.count("t").alias("timed"), *[v.alias(k) for k, v in parts.items()]).join(quantiles(timed, ["item_id"], "t", {"mid": 0.5, "p90": 0.9}), "item_id")
+    shares = {"mid": 0.5, "p90": 0.9}
+    hot = hot_keys(timed, ["item_id"], HOT_ROWS)  # without one the quantiles are part of the same aggregate
+    own = [F.percentile("t", q).alias(name) for name, q in shares.items()] if hot is None else []
+    x = timed.groupBy("item_id").agg(F.count("t").alias("timed"), *[v.alias(k) for k, v in parts.items()], *own)
+    x = x if hot is None else x.join(quantiles(timed, ["item_id"], "t", shares), "item_id")
     made = {"log_span": "log_span", "log_median": log(F.col("mid")), "rate": "rate", "log_p90": log(F.col("p90")), "first_hour": "first_hour"}
     x = x.withColumns({k: v for k, v in made.items() if not isinstance(v, str)})
     return x.select("item_id", *[F.when(F.col("timed") >= 2, F.col(k)).otherwise(0.0).alias(k) for k in made])

@@ -134,10 +134,10 @@ def _meeting(left: DataFrame, right: DataFrame, width: int, same: bool, closest:
     return found.select("a", "b")
 
 
-def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int, threshold: float, most: int | None, both: bool) -> DataFrame:
+def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int, threshold: float, most: int | None, both: bool, n: int | None = None) -> DataFrame:
     """[block, src, dst, sim] of all pairs of vectors in the block pairs [a, b] at or above the threshold; of a row's partners in
     a block the `most` best, which hold the global ones. both: rows of b look at those of a, too."""
-    n = pairs.count()
+    n = pairs.count() if n is None else n
     own = left.select(F.col("b").alias("a"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
     met = pairs.join(own, "a").join(right.select("b", "ids", "m"), "b").repartition(max(1, min(n, 20_000)))
 
@@ -200,13 +200,13 @@ def nearest_pairs(unit: DataFrame, k: int, queries: DataFrame | None = None) ->
         return unit.sparkSession.createDataFrame([], "src long, dst long, sim double, r int")
     b = blocks(unit, n, width)
     same = queries is None
-    left = b if same else blocks(queries, queries.count(), width)
+    left = b if same else blocks(queries, queries.count() if n > BLOCK_ROWS else n, width)
     if not same and n <= BLOCK_ROWS:  # one right block
         only = left.select(F.col("b").alias("a")).join(F.broadcast(b.select("b").limit(1)), how="cross")
-        return best_of(_compared(only, left, b, width, -2.0, k, both=False).select("src", "dst", "sim"), k)
+        return best_of(_compared(only, left, b, width, -2.0, k, both=False, n=1).select("src", "dst", "sim"), k)
     first = b.select(F.col("b").alias("a"), "b") if same else _meeting(_floored(left, -2), _floored(b, -2), width, same=False, closest=True)
     if n <= BLOCK_ROWS and same:
-        return best_of(_compared(first, left, b, width, -2.0, k, both=False).select("src", "dst", "sim"), k)
+        return best_of(_compared(first, left, b, width, -2.0, k, both=False, n=1).select("src", "dst", "sim"), k)
     seen = _compared(first, left, b, width, -2.0, k, both=False)
     worst = seen.groupBy("block", "src").agg(F.count("*").alias("n"), F.min("sim").alias("s")).groupBy(F.col("block").alias("b")).agg(F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(-2.0)).alias("floor"))
     floors = left.select("b", "c", "r").join(worst, "b", "left").na.fill(-2.0, ["floor"])
