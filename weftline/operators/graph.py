@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from weftline.functions.lineage import written
+from weftline.functions.lineage import ordered_index, written
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -197,22 +202,51 @@ def attribute_pairs(attributes: DataFrame, max_group: int = 200, seed: int = 0)
 def random_rings(members: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
     """[src, dst]: in each round the members [attr, value, item_id] of a group in an md5 order, each to the next, the last to the first.
 
-    The order is a range sort of all groups and rounds, so a large group is spread over tasks.
+    The order is one range sort of all groups and rounds, so a large group is spread over tasks. Edges are made as sorted
+    rows stream by and only both ends of a ring's stretch in a partition are kept to close it: rows are shuffled and
+    written once, as numbers of groups and rounds and two ids.
     """
+    groups = written(ordered_index(members.select("attr", "value").distinct(), F.col("attr"), F.col("value"), name="g"))
     digest = F.md5(F.concat_ws("|", "attr", "value", F.col("round").cast("string"), F.col("item_id").cast("string"), F.lit(str(seed))).cast("binary"))
-    dealt = members.select("attr", "value", "item_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("h", F.substring(digest, 1, 16))
-    ring, order = ["attr", "value", "round"], ["attr", "value", "round", "h", "item_id"]
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = written(dealt.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
-    row = F.struct(*order)
-    heads = parts.groupBy("_p").agg(F.min(row).alias("head"))
-    heads = heads.select("_p", F.lead("head").over(Window.orderBy("_p")).alias("head"))  # one row a partition
-    following = F.coalesce(F.lead(row).over(Window.partitionBy("_p").orderBy(*order)), F.col("head"))
-    steps = written(parts.join(F.broadcast(heads), "_p").select(*ring, F.col("item_id").alias("src"), following.alias("to")))
-    same = F.coalesce((F.col("to.attr") == F.col("attr")) & (F.col("to.value") == F.col("value")) & (F.col("to.round") == F.col("round")), F.lit(False))
-    firsts = parts.groupBy(*ring).agg(F.min_by("item_id", F.struct("h", "item_id")).alias("dst"))
-    ends = steps.filter(~same).join(firsts, ring).select("src", "dst")
-    return steps.filter(same).select("src", F.col("to.item_id").alias("dst")).unionByName(ends)
+    named = members.alias("l").join(groups.alias("r"), F.col("l.attr").eqNullSafe(F.col("r.attr")) & F.col("l.value").eqNullSafe(F.col("r.value"))).select("l.attr", "l.value", "l.item_id", "r.g")
+    dealt = named.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select("g", "round", F.substring(digest, 1, 16).alias("h"), "item_id")
+    n, order = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["g", "round", "h", "item_id"]
+    kind = members.schema["item_id"].dataType
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ring, first, last = TaskContext.get().partitionId(), None, None, None
+        for batch in batches:
+            g, r = (np.asarray(batch.column(c)) for c in ("g", "round"))
+            items = batch.column("item_id")
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(r) != 0)) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                own = items.slice(a, b - a)
+                if ring == (g[a], r[a]):
+                    own = pa.concat_arrays([last, own])
+                else:
+                    if ring is not None:
+                        yield ends(part, ring, first, last)
+                    ring, first = (g[a], r[a]), own.slice(0, 1)
+                last = own.slice(len(own) - 1)
+                yield rows(part, None, None, own.slice(0, len(own) - 1), own.slice(1))
+        if ring is not None:
+            yield ends(part, ring, first, last)
+
+    def rows(part: int, g, r, src: pa.Array, dst: pa.Array) -> pa.RecordBatch:
+        k = len(src)
+        return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array([g] * k, pa.int64()), pa.array([r] * k, pa.int32()), src, dst], ["part", "g", "round", "src", "dst"])
+
+    def ends(part: int, ring: tuple, first: pa.Array, last: pa.Array) -> pa.RecordBatch:
+        return rows(part, int(ring[0]), int(ring[1]), last, first)
+
+    schema = StructType([StructField("part", IntegerType()), StructField("g", LongType()), StructField("round", IntegerType()), StructField("src", kind), StructField("dst", kind)])
+    made = written(dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(link, schema))
+    stretch = made.filter("g IS NOT NULL").select("part", "g", "round", F.col("src").alias("last"), F.col("dst").alias("first"))
+    along = Window.partitionBy("g", "round").orderBy("part")  # a ring's stretches
+    closed = stretch.withColumn("dst", F.coalesce(F.lead("first").over(along), F.first("first").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return made.filter("g IS NULL").select("src", "dst").unionByName(closed.select(F.col("last").alias("src"), "dst"))
 
 
 def nearest(vectors: DataFrame, k: int = 4, queries: Column | None = None) -> DataFrame:
