@@ -189,3 +189,43 @@ def test_piece_tables_and_sentinels():
     for bad in (("<P>", "<P>", "<M>"), ("<<", "b", "c"), ("ab", "b", "c"), ("", "b", "c")):
         with pytest.raises(ValueError):
             infill.marks_of(bad)
+
+
+def plain_coverage(item, text, least=5):
+    """Greedy string tiling word by word: the longest run that both still have free is marked, until none of `least` words is left."""
+    free_i, free_t, covered = [True] * len(item), [True] * len(text), 0
+    places = {}
+    for j, w in enumerate(text):
+        places.setdefault(w, []).append(j)
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in places.get(item[i], ()):
+                if i and j and free_i[i - 1] and free_t[j - 1] and item[i - 1] == text[j - 1]:
+                    continue  # not the first word of its run
+                k = 0
+                while i + k < len(item) and j + k < len(text) and free_i[i + k] and free_t[j + k] and item[i + k] == text[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < min(least, len(item)) or not k:
+            return covered / max(1, len(item))
+        free_i[i : i + k], free_t[j : j + k] = [False] * k, [False] * k
+        covered += k
+
+
+def test_decontamination_finds_nothing_else(spark):
+    from weftline.llm import decontaminate
+
+    tok = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())
+    read = lambda name: {r[0]: tok(r[1]) for r in spark.read.parquet(f"{SMALL}/{name}.parquet").select(*(("doc_id", "text") if name == "documents" else ("item_id", "text"))).collect()}
+    docs, items = read("documents"), read("benchmark")
+    seeds = {}
+    for i, w in items.items():
+        for at in range(max(1, len(w) - 4)):
+            seeds.setdefault(tuple(w[at : at + 5]), set()).add(i)
+    near = {(d, i) for d, w in docs.items() for at in range(max(1, len(w) - 4)) for i in seeds.get(tuple(w[at : at + 5]), ())}
+    want = {(d, i) for d, i in near if plain_coverage(items[i], docs[d]) >= 0.8}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op6_decontamination(spark, SMALL).collect()}
+    assert got == want and want
