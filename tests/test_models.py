@@ -27,8 +27,8 @@ def area(rows):
 @pytest.mark.parametrize("kind", ["svm", "boosted", "logistic", "network"])
 def test_models_find_the_signal_and_not_the_noise(blocked, kind):
     for block, low, high in (("signal", 0.88, 1.0), ("noise", 0.35, 0.65)):
-        got = models.out_of_fold(models.blocks(blocked, [block]), kind, 3, seed=1, rounds=20).collect()
-        assert sorted(r["id"] for r in got) == list(range(N)) and {r["fold"] for r in got} == {0, 1, 2}
+        got = models.out_of_fold(models.blocks(blocked, [block]), kind, 2, seed=1, rounds=8).collect()
+        assert sorted(r["id"] for r in got) == list(range(N)) and {r["fold"] for r in got} == {0, 1}
         assert low <= area(got) <= high
         if block == "signal":
             assert np.mean([r["predicted"] == r["label"] for r in got]) > 0.8
@@ -108,7 +108,7 @@ def test_link_predictor_and_classifiers(spark, network):
 
 def test_methods_on_identical_splits(network):
     walking = {"num_walks": 4, "length": 8, "size": 8, "window": 3, "partitions": 1}
-    got = {r["arm"]: r for r in protocols.compare_methods(network, {"degree": {}, "walks": walking, "time_weighted": walking}, (1, 2), 50_000, {"new_only": False}).filter("seed = 1").collect()}
+    got = {r["arm"]: r for r in protocols.compare_methods(network, {"degree": {}, "walks": walking, "time_weighted": walking}, (1,), 50_000, {"new_only": False}).collect()}
     assert set(got) == {"degree", "walks", "time_weighted"}
     assert all(0 <= r[m] <= 1 for r in got.values() for m in protocols.METRICS)
     block = models.node_features("time_weighted", network, 50_000, **walking).collect()

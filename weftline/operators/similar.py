@@ -169,7 +169,7 @@ def _floored(b: DataFrame, floor: float) -> DataFrame:
     return b.select("b", "c", "r", F.lit(float(floor)).alias("floor"))
 
 
-def similar_pairs(unit: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+def similar_pairs(unit: DataFrame, threshold: float, most: int | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """[src, dst, sim] of all pairs of different ids, both ways, of a cosine at or above the threshold; exact.
 
     With `most`, of each row so many of the best at least. A pair of blocks is compared once, and not at all if no two of its
@@ -178,7 +178,7 @@ def similar_pairs(unit: DataFrame, threshold: float, most: int | None = None) ->
     n, width = sizes(unit)
     if not n:
         return unit.sparkSession.createDataFrame([], "src long, dst long, sim double")
-    b = blocks(unit, n, width)
+    b = blocks(unit, n, width, rows)
     pairs = _meeting(_floored(b, threshold), _floored(b, threshold), width, same=True)
     return _compared(pairs, b, b, width, threshold, most, both=True).select("src", "dst", "sim")
 
@@ -189,7 +189,7 @@ def best_of(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("r", r).filter(F.col("r") <= k)
 
 
-def nearest_pairs(unit: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+def nearest_pairs(unit: DataFrame, k: int, queries: DataFrame | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """[src, dst, sim, r]: the k most similar others of each row, or of each row of queries [id, v]; exact, ties to the smaller id.
 
     A first round compares each block with the nearest one (itself, if all rows ask): the least k-th best cosine of its rows is the
@@ -198,14 +198,14 @@ def nearest_pairs(unit: DataFrame, k: int, queries: DataFrame | None = None) ->
     n, width = sizes(unit)
     if not n:
         return unit.sparkSession.createDataFrame([], "src long, dst long, sim double, r int")
-    b = blocks(unit, n, width)
+    b, one_block = blocks(unit, n, width, rows), n <= rows
     same = queries is None
-    left = b if same else blocks(queries, queries.count() if n > BLOCK_ROWS else n, width)
-    if not same and n <= BLOCK_ROWS:  # one right block
+    left = b if same else blocks(queries, n if one_block else queries.count(), width, rows)
+    if not same and one_block:
         only = left.select(F.col("b").alias("a")).join(F.broadcast(b.select("b").limit(1)), how="cross")
         return best_of(_compared(only, left, b, width, -2.0, k, both=False, n=1).select("src", "dst", "sim"), k)
     first = b.select(F.col("b").alias("a"), "b") if same else _meeting(_floored(left, -2), _floored(b, -2), width, same=False, closest=True)
-    if n <= BLOCK_ROWS and same:
+    if same and one_block:
         return best_of(_compared(first, left, b, width, -2.0, k, both=False, n=1).select("src", "dst", "sim"), k)
     seen = _compared(first, left, b, width, -2.0, k, both=False)
     worst = seen.groupBy("block", "src").agg(F.count("*").alias("n"), F.min("sim").alias("s")).groupBy(F.col("block").alias("b")).agg(F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(-2.0)).alias("floor"))
