@@ -229,3 +229,30 @@ def test_decontamination_finds_nothing_else(spark):
     want = {(d, i) for d, i in near if plain_coverage(items[i], docs[d]) >= 0.8}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op6_decontamination(spark, SMALL).collect()}
     assert got == want and want
+
+
+def test_clashing_columns_and_empty_pages(spark):
+    from weftline.llm import decontaminate, html, simhash, topk
+
+    names = "component_id string, fingerprint string, item_id string, coverage string, n_tiles string, shard long, _in string, id string"
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(i, text, *["c"] * 5, 7, "b", "d") for i in range(3)], f"doc_id long, text string, {names}").repartition(2)
+    assert [r["component_id"] for r in simhash.near_duplicates(df).collect()] == [0, 0, 0]
+    bench = spark.createDataFrame([(1, text, 9)], "item_id long, text string, doc_id long")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()) == [(0, 1), (1, 1), (2, 1)]
+    assert decontaminate.clean(df, bench).count() == 0 and decontaminate.clean(df, bench).columns == df.columns
+    v = spark.createDataFrame([(i, [1.0 * i], i, "r", 3) for i in range(4)], "vec_id long, v array<double>, score long, rank string, query_id int")
+    got = topk.exact_top_k(topk.quantised(v, "vec_id", "v"), topk.quantised(v.filter("vec_id = 1"), "vec_id", "v"), 2).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 3, 3 * 65536), (1, 2, 2, 2 * 65536)]
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_lm_scores_a_very_long_text(spark):
+    from weftline.llm import lm
+
+    rows = [(i, f"the cat sat on mat {i}") for i in range(20)] + [(99, "the cat " * 150_000), (100, "x" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    model, vocab = lm.fit(df)
+    got = {r["doc_id"]: r for r in lm.score(df, model, vocab).collect()}
+    assert got[99]["n_tokens"] == 300_001 and got[100]["n_tokens"] == 2
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
