@@ -28,6 +28,12 @@ def test_dates(spark):
     assert column(spark, lambda t: days_since(parsed_time(t), "2015-01-01"), "2014-12-31 12:00:00", "2013-01-01 00:00:00", "2016-01-01 00:00:00", "bad") == [0, 730, 0, 0]
 
 
+def test_ages_keep_parts_of_a_second(spark):
+    ms = [1705708800000 - 5 * 86_400_000 + x for x in (-1, 0, 1, 500, 1_000)]  # five days before the reference
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(ms)], "i int, ms long").orderBy("i")
+    assert [r[0] for r in rows.select(days_since(F.timestamp_millis("ms"), "2024-01-20")).collect()] == [5, 5, 4, 4, 4]
+
+
 def test_pronouns_count_at_word_bounds(spark):
     r = text.style(spark.createDataFrame([("I like me, you and HERS. éme theirs",)], "text string")).first()
     assert r["n_words"] == 8 and r["first_person"] == pytest.approx(2 / 8) and r["third_person"] == pytest.approx(1 / 8)
