@@ -145,3 +145,15 @@ def test_cascade_times_of_a_hot_item(spark, monkeypatch):
     monkeypatch.setattr(series.quantiles, "__defaults__", (50, 16, 30))
     got = sorted(map(tuple, series.cascade_times(df).collect()))
     assert [g[0] for g in got] == [w[0] for w in want] and all(g[1:] == pytest.approx(w[1:]) for g, w in zip(got, want))
+
+
+def test_a_task_holds_few_rows_of_a_large_graph(spark, monkeypatch):
+    from weftline.operators import builders
+
+    monkeypatch.setattr(builders, "EDGE_ROWS", 100, raising=False)
+    nodes = spark.range(4_000).select(F.lit(1).alias("item_id"), F.col("id").cast("int").alias("node"), F.col("id").alias("uid"), F.lit(0.0).alias("delay_min"), F.array(F.lit(1.0)).alias("profile"))
+    edges = nodes.filter("node > 0").select("item_id", F.floor(F.col("node") / 2).cast("int").alias("parent"), F.col("node").alias("child"))
+    made = builders.propagation_graph(nodes, edges, nodes.select("item_id", F.array(F.lit(0.5)).alias("x")).distinct())[1]
+    at = made.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.sum("count")).first()
+    assert at[0] <= 600 and at[1] == made.distinct().count() == 2 * (2 * 3_999 - 1)  # 1 hangs below the root already
+    assert made.filter("src = dst").isEmpty()
