@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.lineage import ordered_index, written
-from weftline.functions.scalars import draw, permuted
+from weftline.functions.lineage import counted, ordered_index, written
+from weftline.functions.scalars import draw, permutation_keys, permuted
 from weftline.functions.segments import quantiles, stepped, within_quotas
 
 
@@ -82,7 +82,8 @@ def augment(snaps: DataFrame, add: float = 0.05, delete: float = 0.02, seed: int
     Of a window's edges those of the lowest draws go; of all nodes the first ones of a permutation that the window chooses go
     with their edges; quotas are rounded half to even. Then new nodes come, numbered after the largest, and edges between
     two draws over old and new nodes; a draw of a node that went is drawn over, in twice as many tries as edges; loops are
-    left out. Isolated nodes have no row. Work is the edges, the victims and the tries: no window is crossed with all nodes.
+    left out. Isolated nodes have no row. Work is the edges, the victims and the tries, dealt over tasks: no window is crossed
+    with all nodes.
     """
     snaps = written(snaps)
     nodes = written(ordered_index(snaps.select(F.col("u").alias("node")).union(snaps.select("v")).distinct(), F.col("node")))
@@ -91,11 +92,11 @@ def augment(snaps: DataFrame, add: float = 0.05, delete: float = 0.02, seed: int
     sizes = written(snaps.groupBy("w").agg(F.count("*").alias("m")))
     edges = within_quotas(snaps.select("w", "u", "v", F.struct("u", "v").alias("e")), ["w"], draw("w", "u", "v", seed=seed), "e", {"gone": lambda m: F.bround(m * delete)})
     left = edges.filter(~F.col("gone")).select("w", "u", "v")
-    places = sizes.select("w", F.explode(F.sequence(F.lit(0), F.lit(gone_n - 1))).alias("i")) if gone_n else sizes.select("w", F.lit(0).alias("i")).limit(0)
-    victims = written(places.select("w", permuted(F.col("i"), F.lit(n), "w", seed=seed + 1).alias("idx")).join(nodes, "idx").select("w", "node", "idx"))
+    places = counted(sizes.select("w", permutation_keys(F.lit(n), "w", seed=seed + 1).alias("keys")), F.lit(gone_n), "i")
+    victims = written(places.select("w", permuted(F.col("i"), F.lit(n), "w", seed=seed + 1, keys=F.col("keys")).alias("idx")).join(nodes, "idx").select("w", "node", "idx"))
     for end in ("u", "v"):
         left = left.join(victims.select("w", F.col("node").alias(end)), ["w", end], "left_anti")
-    tries = sizes.withColumn("k", F.bround(F.col("m") * add).cast("int")).filter("k > 0").select("w", "k", F.explode(F.sequence(F.lit(0), 2 * F.col("k") - 1)).alias("i"))
+    tries = counted(sizes.select("w", F.bround(F.col("m") * add).cast("int").alias("k")), 2 * F.col("k"), "i")
     pool = n + new_n
     drawn = tries.select("w", "k", "i", *[F.floor(draw("w", "i", F.lit(x), seed=seed + 2) * pool).cast("long").alias(x) for x in "ab"])
     for end in "ab":
