@@ -1,9 +1,11 @@
 """Steps whose cost must grow with the input: work dealt over tasks, tables worked out once, bounded pieces."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import counted
 from weftline.functions.scalars import permutation_keys, permuted
+from weftline.operators import models, temporal
 
 
 def test_counted_rows_come_from_several_tasks(spark):
@@ -18,3 +20,11 @@ def test_permutation_by_given_keys_is_the_same(spark):
     keys = x.select("id", "w", permutation_keys(F.lit(97), "w", seed=3).alias("keys"))
     places = [r[0] for r in keys.select(permuted(F.col("id"), F.lit(97), "w", seed=3, keys=F.col("keys"))).collect()]
     assert places == [r[0] for r in x.select(permuted(F.col("id"), F.lit(97), "w", seed=3)).collect()] and sorted(places) == list(range(97))
+
+
+def test_entropy_block_works_out_entropies_once(spark, monkeypatch):
+    calls, real = [], temporal.local_entropy
+    monkeypatch.setattr(temporal, "local_entropy", lambda *a, **k: calls.append(a) or real(*a, **k))
+    edges = spark.createDataFrame([(1, 2, 0), (2, 3, 5), (1, 2, 40), (4, 4, 41)], "src long, dst long, ts long")
+    got = {r["node"]: r["x"] for r in models.entropy_block(edges, 10).collect()}
+    assert len(calls) == 1 and set(got) == {1, 2, 3, 4} and got[4][0] == pytest.approx(0) and got[2][1] > got[1][1]

@@ -288,9 +288,9 @@ def entropy_block(edges: DataFrame, window_seconds: int, alpha: float = 0.6, lam
     """[node, x]: last-window entropy, time-weighted entropy, and the network's time-weighted value in its last window."""
     from weftline.operators import temporal
 
-    snaps = written(temporal.snapshots(edges, window_seconds))
-    whole = temporal.weighted_series(temporal.global_entropy(snaps, alpha), lam).agg(F.max_by("weighted_h", "w").alias("g"))
-    return temporal.entropy_features(snaps, alpha, lam).join(F.broadcast(whole), how="cross").select("node", F.array("lne_last", "lne_tw", "g").alias("x"))  # one row
+    local = written(temporal.local_entropy(temporal.snapshots(edges, window_seconds), alpha))
+    whole = temporal.weighted_series(temporal.summed_entropy(local), lam).agg(F.max_by("weighted_h", "w").alias("g"))
+    return temporal.weighted_entropy(local, lam).join(F.broadcast(whole), how="cross").select("node", F.array("lne_last", "lne_tw", "g").alias("x"))  # one row
 
 
 def unit_range(rows: DataFrame) -> DataFrame:
