@@ -1,11 +1,14 @@
 """Steps whose cost must grow with the input: work dealt over tasks, tables worked out once, bounded pieces."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import counted
 from weftline.functions.scalars import permutation_keys, permuted
-from weftline.operators import models, temporal
+from weftline.operators import graph, models, temporal
 
 
 def test_counted_rows_come_from_several_tasks(spark):
@@ -28,3 +31,25 @@ def test_entropy_block_works_out_entropies_once(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2, 0), (2, 3, 5), (1, 2, 40), (4, 4, 41)], "src long, dst long, ts long")
     got = {r["node"]: r["x"] for r in models.entropy_block(edges, 10).collect()}
     assert len(calls) == 1 and set(got) == {1, 2, 3, 4} and got[4][0] == pytest.approx(0) and got[2][1] > got[1][1]
+
+
+def test_common_neighbours_shuffle_no_pairs(spark, monkeypatch):
+    rnd = random.Random(4)
+    pairs = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(250)} | {(0, i) for i in range(1, 60)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for u in near:
+        for v in near:
+            if u < v and (both := near[u] & near[v]):
+                want[u, v] = (len(both), pytest.approx(sum(1 / math.log(len(near[m])) for m in both)))
+    for rows, make in ((2_000_000, int), (50, int), (5, int), (50, lambda i: f"n{i:02}")):
+        monkeypatch.setattr(graph, "MEET_ROWS", rows)
+        e = temporal.to_undirected(spark.createDataFrame([(make(a), make(b)) for a, b in pairs], "src long, dst long" if make is int else "src string, dst string"))
+        found = graph.common_neighbours(e, blocks=3)
+        got = found.collect()
+        assert len(got) == len(want) and {(r["u"], r["v"]): (r["n"], r["adamic_adar"]) for r in got} == {(make(a), make(b)): x for (a, b), x in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [u#" not in plan  # pairs are not grouped, so not shuffled
