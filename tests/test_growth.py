@@ -6,9 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from weftline.functions.lineage import counted
 from weftline.functions.scalars import permutation_keys, permuted
 from weftline.operators import graph, models, temporal
+from weftline.plans import source_queries
+from weftline.sources import readers
 
 
 def test_counted_rows_come_from_several_tasks(spark):
@@ -53,3 +56,23 @@ def test_common_neighbours_shuffle_no_pairs(spark, monkeypatch):
         assert len(got) == len(want) and {(r["u"], r["v"]): (r["n"], r["adamic_adar"]) for r in got} == {(make(a), make(b)): x for (a, b), x in want.items()}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [u#" not in plan  # pairs are not grouped, so not shuffled
+
+
+def test_lenient_json_passes_on_bounded_pieces(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"f{i:02}.json").write_text('[{"a": {"b": [%d, "%s"]}}]' % (i, "x" * 1_000) if i % 5 else "{broken")
+    monkeypatch.setattr(readers, "HELD_FILES", 3)
+    got = readers.lenient_json(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and sum(r["text"] is None for r in got) == 8
+    assert [r["file"][-8:] for r in readers.lenient_json(spark, str(tmp_path), "f3[0-9]").collect() if r["text"] is None] == ["f30.json", "f35.json"]
+
+
+def test_files_of_a_thread_are_parsed_once(spark, tmp_path, monkeypatch):
+    calls, real = [], readers.lenient_json
+    monkeypatch.setattr(readers, "lenient_json", lambda s, p, names="": calls.append(names) or real(s, p, names))
+    path = source_queries.thread_files(spark, SMALL, str(tmp_path / "t"))
+    items, nodes, edges = readers.threads(spark, path)
+    assert sorted(calls) == ["annotation", "source-tweets|reactions", "structure"]
+    for df in (nodes, edges):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert items.count() == len({r["item_id"] for r in nodes.select("item_id").distinct().collect()})

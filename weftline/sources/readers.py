@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import written
 from weftline.functions.scalars import days_since, has_time, id_time_ms, parsed_time, post_type
 from weftline.operators.temporal import to_undirected
 from weftline.sources import json_arrays
@@ -40,26 +41,48 @@ def message_list(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.col("f")[0].alias("src"), F.col("f")[1].alias("dst"), F.expr("try_cast(f[2] AS BIGINT)").alias("ts")).filter("ts IS NOT NULL")
 
 
-def lenient_json(spark: SparkSession, path: str) -> DataFrame:
-    """[file, text]: whole files decoded as UTF-8, else as GB18030, else null; text is null too if it is no JSON."""
+#: Decoded text and files that a task holds before it passes them on.
+HELD_CHARS, HELD_FILES = 4_000_000, 1_000
+
+
+def lenient_json(spark: SparkSession, path: str, names: str = "") -> DataFrame:
+    """[file, text]: whole files decoded as UTF-8, else as GB18030, else null; text is null too if it is no JSON.
+
+    names: a pattern of the paths that are wanted; others are not read.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: list[str] = []
+        held: list[str | None] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(held, pa.string())], ["file", "text"])
+            files.clear()
+            held.clear()
+            return out
+
         for batch in batches:
-            out = []
-            for blob in batch.column("content").to_pylist():
+            for i, blob in enumerate(batch.column("content")):
                 found = None
                 for codec in ("utf-8", "gb18030"):
                     try:
-                        found = blob.decode(codec)
-                        json.loads(found)
+                        found = str(blob.as_buffer(), codec)
+                        json.loads(found, object_pairs_hook=lambda _: None)  # only checked: no object is kept
                         break
                     except (UnicodeDecodeError, ValueError):
                         found = None
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], ["file", "text"])
+                held.append(found)
+                files.append(batch.column("path")[i].as_py())
+                size += len(found or "")
+                if size >= HELD_CHARS or len(held) >= HELD_FILES:
+                    yield rows()
+                    size = 0
+        if held:
+            yield rows()
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(decode, "file string, text string")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("_metadata.file_path").rlike(names)).select("path", "content")
+    return found.mapInArrow(decode, "file string, text string")
 
 
 def _reposts(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +116,21 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
 _TREE_LINE = r"^\['([^']*)', '([^']*)', '([^']*)'\]->\['([^']*)', '([^']*)', '([^']*)'\]$"
 
 
+def _tree_labels(spark: SparkSession, path: str) -> DataFrame:
+    return _lines(spark, f"{path}/label.txt").filter("value LIKE '%:%'").select(F.substring_index(F.trim("value"), ":", 1).alias("label"), F.regexp_extract(F.trim("value"), "^[^:]*:(.*)$", 1).alias("item_id"))
+
+
+def _tree_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").text(f"{path}/tree", wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("item_id"), "value")
+
+
+def tree_items(spark: SparkSession, path: str) -> DataFrame:
+    """The items of tweet_trees, without its nodes and edges."""
+    texts = _lines(spark, f"{path}/source_tweets.txt").filter(F.col("value").contains("\t")).select(F.substring_index("value", "\t", 1).alias("item_id"), F.regexp_extract("value", r"(?s)^[^\t]*\t(.*)$", 1).alias("text"))
+    has_tree = _tree_files(spark, path).select("item_id").distinct()
+    return _tree_labels(spark, path).join(has_tree, "item_id", "left_semi").join(texts, "item_id", "left").select("item_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+
+
 def tweet_trees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items [item_id, text, label], nodes [item_id, node, uid, tid, delay_min], edges [item_id, parent, child]).
 
@@ -100,23 +138,20 @@ def tweet_trees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     mention in file order (parent before child) gives user, delay and number. A ROOT line only makes its child; loops are
     left out; labels without a tree file are left out; a missing text is empty.
     """
-    labels = _lines(spark, f"{path}/label.txt").filter("value LIKE '%:%'").select(F.substring_index(F.trim("value"), ":", 1).alias("label"), F.regexp_extract(F.trim("value"), "^[^:]*:(.*)$", 1).alias("item_id"))
-    texts = _lines(spark, f"{path}/source_tweets.txt").filter(F.col("value").contains("\t")).select(F.substring_index("value", "\t", 1).alias("item_id"), F.regexp_extract("value", r"(?s)^[^\t]*\t(.*)$", 1).alias("text"))
-    whole = spark.read.option("recursiveFileLookup", "true").text(f"{path}/tree", wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("item_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    labels = _tree_labels(spark, path)
+    whole = _tree_files(spark, path).select("item_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     part = lambda i: F.regexp_extract(F.trim("value"), _TREE_LINE, i)
     rows = whole.filter(F.trim("value").rlike(_TREE_LINE)).select("item_id", "line", *[part(i).alias(c) for i, c in enumerate(["pu", "pt", "pd", "cu", "ct", "cd"], 1)])
-    rows = rows.join(labels.select("item_id").distinct(), "item_id", "left_semi")
+    rows = written(rows.join(labels.select("item_id").distinct(), "item_id", "left_semi"))
     mention = lambda u, t, d, side: F.struct(F.col(u).alias("uid"), F.col(t).alias("tid"), F.col(d).cast("double").alias("delay_min"), F.lit(side).alias("side"))
     both = F.when(F.col("pu") == "ROOT", F.array(mention("cu", "ct", "cd", 1))).otherwise(F.array(mention("pu", "pt", "pd", 0), mention("cu", "ct", "cd", 1)))
     said = rows.select("item_id", "line", F.explode(both).alias("m")).select("item_id", "line", "m.*")
     first = said.groupBy("item_id", "tid").agg(F.min_by(F.struct("uid", "delay_min", "line", "side"), F.struct("line", "side")).alias("f")).select("item_id", "tid", "f.*")
     number = F.row_number().over(Window.partitionBy("item_id").orderBy("line", "side")) - 1  # one file
-    nodes = first.withColumn("node", number).select("item_id", "node", "uid", "tid", "delay_min")
+    nodes = written(first.withColumn("node", number).select("item_id", "node", "uid", "tid", "delay_min"))
     at = nodes.select("item_id", "tid", "node")
     edges = rows.filter("pu <> 'ROOT' AND pt <> ct").join(at.withColumnsRenamed({"tid": "pt", "node": "parent"}), ["item_id", "pt"]).join(at.withColumnsRenamed({"tid": "ct", "node": "child"}), ["item_id", "ct"])
-    has_tree = whole.select("item_id").distinct()
-    items = labels.join(has_tree, "item_id", "left_semi").join(texts, "item_id", "left").select("item_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    return items, nodes, edges.select("item_id", "parent", "child")
+    return tree_items(spark, path), nodes, edges.select("item_id", "parent", "child")
 
 
 USER = "struct<followers_count:double,friends_count:double,statuses_count:double,listed_count:double,verified:boolean,description:string,id_str:string>"
@@ -129,6 +164,35 @@ def _profile(user: Column) -> Column:
     return profile_block(*[user[c] for c in ("followers_count", "friends_count", "statuses_count", "listed_count", "verified", "description")])
 
 
+def _thread_files(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """[event, kind, item_id, folder, name, text] of the files whose path has names in it."""
+    place = r"([^/=]+)/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/=]+)/(?:(?:[^/=]+=)?(source-tweets|reactions|thread)/)?(?:[^/=]+=)?([^/=]+)\.json(?:/part-[^/]*)?$"
+    part = lambda i: F.regexp_extract("file", place, i)
+    files = lenient_json(spark, path, names).filter("text IS NOT NULL")
+    return files.select(*[part(i).alias(c) for i, c in enumerate(["event", "kind", "item_id", "folder", "name"], 1)], "text")
+
+
+def _tweets(spark: SparkSession, path: str) -> DataFrame:
+    """[event, kind, item_id, source] and the fields of TWEET, written: every table of threads reads them, and files are parsed once."""
+    tweets = _thread_files(spark, path, "source-tweets|reactions").filter("folder IN ('source-tweets', 'reactions')").select("event", "kind", "item_id", "folder", F.explode(F.from_json("text", f"array<{TWEET}>")).alias("t")).filter("t.id_str IS NOT NULL")
+    tweets = tweets.select("event", "kind", "item_id", (F.col("folder") == "source-tweets").alias("source"), "t.*").dropDuplicates(["item_id", "id_str"])
+    return written(tweets.withColumn("time", F.unix_seconds(parsed_time(F.col("created_at")))))
+
+
+def _starts(tweets: DataFrame) -> DataFrame:
+    return tweets.filter("source").groupBy("item_id").agg(F.min("time").alias("t0"), F.min("event").alias("event"), F.min("kind").alias("kind"), F.min_by("text", "id_str").alias("text"))
+
+
+def thread_items(spark: SparkSession, path: str, tweets: DataFrame | None = None) -> DataFrame:
+    """The items of threads, without its nodes and edges."""
+    from weftline.operators.summaries import veracity
+
+    notes = _thread_files(spark, path, "annotation").filter("name = 'annotation'").select("item_id", F.from_json("text", "map<string,string>").alias("a"))
+    whole = lambda k: F.expr(f"try_cast(a['{k}'] AS INT)")
+    label = notes.select("item_id", veracity(whole("misinformation"), whole("true")).alias("label"))
+    return _starts(_tweets(spark, path) if tweets is None else tweets).join(label, "item_id", "left").select("item_id", "event", "kind", "text", "label")
+
+
 def threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items [item_id, event, kind, text, label], nodes [item_id, node, uid, delay_min, profile, tid], edges [item_id, parent, child]).
 
@@ -137,17 +201,10 @@ def threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
     tweet, then the reactions by id; delays are minutes after the source. Edges come from the nested keys of structure.json
     or, where these give none, from the replied-to ids. The label is the veracity of the annotation.
     """
-    from weftline.operators.summaries import veracity
-
-    place = r"([^/=]+)/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/=]+)/(?:(?:[^/=]+=)?(source-tweets|reactions|thread)/)?(?:[^/=]+=)?([^/=]+)\.json(?:/part-[^/]*)?$"
-    part = lambda i: F.regexp_extract("file", place, i)
-    files = lenient_json(spark, path).filter("text IS NOT NULL").select(*[part(i).alias(c) for i, c in enumerate(["event", "kind", "item_id", "folder", "name"], 1)], "text")
-    tweets = files.filter("folder IN ('source-tweets', 'reactions')").select("event", "kind", "item_id", "folder", F.explode(F.from_json("text", f"array<{TWEET}>")).alias("t")).filter("t.id_str IS NOT NULL")
-    tweets = tweets.select("event", "kind", "item_id", (F.col("folder") == "source-tweets").alias("source"), "t.*").dropDuplicates(["item_id", "id_str"])
-    time = F.unix_seconds(parsed_time(F.col("created_at")))
-    start = tweets.filter("source").groupBy("item_id").agg(F.min(time).alias("t0"), F.min("event").alias("event"), F.min("kind").alias("kind"), F.min_by("text", "id_str").alias("text"))
+    tweets = _tweets(spark, path)
+    start = _starts(tweets)
     number = F.row_number().over(Window.partitionBy("item_id").orderBy(~F.col("source"), "id_str")) - 1  # one thread
-    nodes = tweets.join(start.select("item_id", "t0"), "item_id").select("item_id", number.alias("node"), F.col("user.id_str").alias("uid"), ((time - F.col("t0")) / 60).alias("delay_min"), _profile(F.col("user")).alias("profile"), F.col("id_str").alias("tid"), F.col("in_reply_to_status_id_str").alias("reply_to"))
+    nodes = written(tweets.join(start.select("item_id", "t0"), "item_id").select("item_id", number.alias("node"), F.col("user.id_str").alias("uid"), ((F.col("time") - F.col("t0")) / 60).alias("delay_min"), _profile(F.col("user")).alias("profile"), F.col("id_str").alias("tid"), F.col("in_reply_to_status_id_str").alias("reply_to")))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,16 +218,12 @@ def threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
                         todo.append((k, v))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], ["item_id", "pt", "ct"])
 
-    nested = files.filter("name = 'structure'").select("item_id", "text").mapInArrow(walk, "item_id string, pt string, ct string")
+    nested = written(_thread_files(spark, path, "structure").filter("name = 'structure'").select("item_id", "text").mapInArrow(walk, "item_id string, pt string, ct string"))
     at = nodes.select("item_id", "tid", "node")
     placed = lambda e: e.join(at.withColumnsRenamed({"tid": "pt", "node": "parent"}), ["item_id", "pt"]).join(at.withColumnsRenamed({"tid": "ct", "node": "child"}), ["item_id", "ct"]).filter("parent <> child").select("item_id", "parent", "child").distinct()
     tree = placed(nested)
     replies = placed(nodes.select("item_id", F.col("reply_to").alias("pt"), F.col("tid").alias("ct"))).join(tree.select("item_id").distinct(), "item_id", "left_anti")
-    notes = files.filter("name = 'annotation'").select("item_id", F.from_json("text", "map<string,string>").alias("a"))
-    whole = lambda k: F.expr(f"try_cast(a['{k}'] AS INT)")
-    label = notes.select("item_id", veracity(whole("misinformation"), whole("true")).alias("label"))
-    items = start.join(label, "item_id", "left").select("item_id", "event", "kind", "text", "label")
-    return items, nodes.drop("reply_to"), tree.unionByName(replies)
+    return thread_items(spark, path, tweets), nodes.drop("reply_to"), tree.unionByName(replies)
 
 
 def repost_cascades(spark: SparkSession, reposts: str, originals: str) -> tuple[DataFrame, DataFrame, DataFrame]:
