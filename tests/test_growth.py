@@ -76,3 +76,12 @@ def test_files_of_a_thread_are_parsed_once(spark, tmp_path, monkeypatch):
     for df in (nodes, edges):
         assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert items.count() == len({r["item_id"] for r in nodes.select("item_id").distinct().collect()})
+
+
+def test_rings_are_cut_into_slices(spark, monkeypatch):
+    members = spark.range(300).select(F.lit("a").alias("attr"), (F.col("id") % 2).cast("string").alias("value"), F.col("id").alias("item_id"))
+    whole = {tuple(r) for r in graph.random_rings(members, 3).collect()}
+    monkeypatch.setattr(graph, "RING_ROWS", 20)
+    cut = [tuple(r) for r in graph.random_rings(members, 3).collect()]
+    assert len(cut) == 900 and set(cut) == whole
+    assert {tuple(r) for r in graph.attribute_pairs(members, 100).collect()} == {p for a, b in graph.random_rings(members, 100).collect() for p in ((a, b), (b, a))}
