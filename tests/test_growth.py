@@ -85,3 +85,17 @@ def test_rings_are_cut_into_slices(spark, monkeypatch):
     cut = [tuple(r) for r in graph.random_rings(members, 3).collect()]
     assert len(cut) == 900 and set(cut) == whole
     assert {tuple(r) for r in graph.attribute_pairs(members, 100).collect()} == {p for a, b in graph.random_rings(members, 100).collect() for p in ((a, b), (b, a))}
+
+
+def test_graph_means_carry_no_vectors_on_edges(spark, monkeypatch):
+    monkeypatch.setattr(models, "EDGE_ROWS", 10)
+    rnd = random.Random(2)
+    x = {(g, i): [rnd.random(), rnd.random()] for g in range(3) for i in range(12)}
+    edges = {(g, *rnd.sample(range(13), 2)) for g in range(3) for _ in range(40)}  # node 12 has no row
+    got = models.graph_means(spark.createDataFrame([(g, i, v) for (g, i), v in x.items()], "graph_id long, node int, x array<double>"), spark.createDataFrame(list(edges), "graph_id long, src int, dst int"))
+    for r in got.collect():
+        near = {}
+        for a, b in [(a, b) for g, a, b in edges if g == r["graph_id"] and a < 12] + [(i, i) for i in range(12)]:
+            near.setdefault(b, []).append(x[r["graph_id"], a])
+        means = [[sum(v[k] for v in vs) / len(vs) for k in (0, 1)] for vs in near.values()]
+        assert r["x"] == pytest.approx([sum(m[k] for m in means) / len(means) for k in (0, 1)])
