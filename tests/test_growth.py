@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from weftline.functions.lineage import counted
 from weftline.functions.scalars import permutation_keys, permuted
-from weftline.operators import graph, models, temporal
+from weftline.operators import graph, models, protocols, temporal
 from weftline.plans import source_queries
 from weftline.sources import readers
 
@@ -99,3 +99,36 @@ def test_graph_means_carry_no_vectors_on_edges(spark, monkeypatch):
             near.setdefault(b, []).append(x[r["graph_id"], a])
         means = [[sum(v[k] for v in vs) / len(vs) for k in (0, 1)] for vs in near.values()]
         assert r["x"] == pytest.approx([sum(m[k] for m in means) / len(means) for k in (0, 1)])
+
+
+def counting(edges):
+    """edges, and a count of the rows that are worked out."""
+    seen = edges.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return edges.mapInArrow(run, edges.schema), seen
+
+
+def test_link_tasks_read_their_edges_few_times(spark):
+    rnd = random.Random(3)
+    e = spark.createDataFrame([(*rnd.sample(range(40), 2), 60 * i) for i in range(400)], "src long, dst long, ts long")
+    counted_edges, seen = counting(e)
+    temporal.link_samples(counted_edges, new_only=False).count()
+    assert seen.value <= 3 * 400
+    counted_edges, seen = counting(e)
+    protocols.window_sweep(counted_edges, [3600], (1,), {"new_only": False}).count()
+    assert seen.value == 400
+
+
+def test_methods_share_their_walks(spark, monkeypatch):
+    calls, real = [], models.walk_vectors
+    monkeypatch.setattr(models, "walk_vectors", lambda *a, **k: calls.append(k) or real(*a, **k))
+    e = spark.createDataFrame([(i % 7, (i * 3 + 1) % 8, 60 * i) for i in range(60)], "src long, dst long, ts long")
+    walking, walked = {"num_walks": 1, "length": 3, "size": 2, "window": 2, "partitions": 1}, {}
+    for method in ("walks", "time_weighted"):
+        assert models.node_features(method, e, 3600, walked=walked, **walking).count() == 8
+    assert len(calls) == 1

@@ -267,29 +267,38 @@ def joined_vectors(graph: DataFrame, text: DataFrame, key: str, graph_size: int,
 FEATURES = ("degree", "pagerank", "walks", "static_entropy", "entropy", "time_weighted")
 
 
-def node_features(method: str, edges: DataFrame, window_seconds: int = 2_592_000, **options) -> DataFrame:
+def node_features(method: str, edges: DataFrame, window_seconds: int = 2_592_000, walked: dict[tuple, DataFrame] | None = None, **options) -> DataFrame:
     """[node, x] by the named method, each element scaled to [0, 1]; a constant one is 0.
 
     entropy: the last window's entropy, the time-weighted one, and the last time-weighted value of the whole network, which
-    is the same for all nodes. time_weighted: these and the vectors of `walks`, zeros for a node without either.
+    is the same for all nodes. time_weighted: these and the vectors of `walks`, zeros for a node without either. walked: walk
+    vectors of the same edges by options, which calls share.
     """
     from weftline.operators import graph, temporal
 
     if method not in FEATURES:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(FEATURES)}")
+    walked = {} if walked is None else walked
+
+    def vectors(**walking) -> DataFrame:
+        named = tuple(sorted(walking.items()))
+        if named not in walked:
+            walked[named] = written(walk_vectors(edges, **walking))
+        return walked[named]
+
     if method == "degree":
         x = temporal.to_undirected(edges).groupBy(F.col("dst").alias("node")).agg(F.array(F.count("*").cast("double")).alias("x"))
     elif method == "pagerank":
         x = graph.pagerank(temporal.to_undirected(edges), **options).select("node", F.array("rank").alias("x"))
     elif method == "walks":
-        x = walk_vectors(edges, **options)
+        x = vectors(**options)
     elif method == "static_entropy":
         x = temporal.static_entropy(edges, **options).select("node", F.array("h").alias("x"))
     else:
         walking = {k: options.pop(k) for k in list(options) if k in ("num_walks", "length", "p", "q", "size", "window", "seed", "partitions")}
         x = entropy_block(edges, window_seconds, **options)
         if method == "time_weighted":
-            both = written(walk_vectors(edges, **walking))
+            both = vectors(**walking)
             size = both.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0]
             x = joined_vectors(x, both, "node", 3, size)
     return unit_range(written(x))

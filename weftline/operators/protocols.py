@@ -19,7 +19,7 @@ METRICS = ("auc", "accuracy", "f1", "precision", "recall")
 
 
 def link_task(edges: DataFrame, seed: int, **options) -> tuple[DataFrame, DataFrame]:
-    """(pairs, message edges), both written; options are those of temporal.link_samples."""
+    """(pairs, message edges), both written; options are those of temporal.link_samples. edges should be written too."""
     shares = {k: v for k, v in options.items() if k in ("train", "val", "mp_share")}
     return written(temporal.link_samples(edges, seed=seed, **options)), written(temporal.message_edges(edges, **shares))
 
@@ -43,11 +43,13 @@ def compare_methods(edges: DataFrame, methods: dict[str, dict] | None = None, se
     """[arm, seed, auc, accuracy, f1, precision, recall] of every method's features on the same link task; methods maps names of
     models.FEATURES to their options."""
     parts = []
-    nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    edges = written(edges.select("src", "dst", "ts"))
+    nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     for seed in seeds:
         pairs, messages = link_task(edges, seed, **(task or {}))
+        walked: dict[tuple, DataFrame] = {}
         for method, own in (methods or {m: {} for m in models.FEATURES}).items():
-            x = written(spread_over(nodes, models.node_features(method, messages, window_seconds, **own)))
+            x = written(spread_over(nodes, models.node_features(method, messages, window_seconds, walked=walked, **own)))
             parts.append(written(named(link_scores(pairs, x, **options), method, seed)))
     return models.compared(reduce(DataFrame.unionByName, parts))
 
@@ -80,7 +82,8 @@ def ratio_samples(edges: DataFrame, ratios: list[float], seed: int = 0, **option
 def window_sweep(edges: DataFrame, windows: list[int], seeds: tuple[int, ...] = (0,), task: dict | None = None, **options) -> DataFrame:
     """[arm, metric, mean, sd, lo, hi, values]: the link task by the entropy features of each window length; the pairs stay the same."""
     parts = []
-    nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    edges = written(edges.select("src", "dst", "ts"))
+    nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     for seed in seeds:
         pairs, messages = link_task(edges, seed, **(task or {}))
         every = written(window_entropy(messages, windows))
