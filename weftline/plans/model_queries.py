@@ -158,7 +158,7 @@ def _(spark, d):
 def _(spark, d):
     """Accounts with features, joined by replies or by the items they share; every ninth has no label."""
     a = c.accounts(spark, d).select(F.col("account_id").alias("node"), F.when(F.col("account_id") % 9 != 4, F.col("label")).alias("label"), (F.col("account_id") % 6).alias("part"))
-    x = fit_rows(spark, d).select(F.col("id").alias("node"), "x")
+    x = written(fit_rows(spark, d).select(F.col("id").alias("node"), "x"))
     near = similar.nearest_pairs(similar.unit_vectors(x.select(F.col("node").alias("id"), F.col("x").alias("vec"))), 4).select("src", "dst")
     return protocols.node_suites(a.join(x, "node"), {"replies": written(sym(spark, d)), "nearest": written(temporal.to_undirected(near))}, "part", (1,))
 
