@@ -70,3 +70,15 @@ def test_within_quotas(rows, limit):
     want = rows.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy(coarse, "id"))}).select("id", *[(F.col("r") <= q(F.col("n"))).alias(k) for k, q in quotas.items()])
     got = segments.within_quotas(rows, ["key"], coarse, "id", quotas, limit, 8, 20)
     assert sorted(got.select("id", *quotas).collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("limit", [50, 10**6])
+def test_quotas_of_columns_that_are_named_as_the_cut_is(spark, limit):
+    """Hot windows of edges [w, u, v], as augment() has them: v, and the other names of the cut, are the rows' own, too."""
+    x = spark.range(300).select((F.col("id") % 2).alias("w"), (F.col("id") % 7).alias("u"), "id", *[(F.col("id") * 3).alias(c) for c in ("v", "below", "quota", "name")])
+    rows = x.withColumn("e", F.struct("u", "v"))
+    coarse = F.floor(draw("w", "id", seed=3) * 20) / 20
+    w = Window.partitionBy("w")
+    want = rows.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy(coarse, "e"))}).select("w", "u", "v", (F.col("r") <= F.bround(F.col("n") * 0.3)).alias("gone"))
+    got = segments.within_quotas(rows, ["w"], coarse, "e", {"gone": lambda m: F.bround(m * 0.3)}, limit, 8, 20)
+    assert sorted(got.select("w", "u", "v", "gone").collect()) == sorted(want.collect())
