@@ -90,8 +90,8 @@ def augment(snaps: DataFrame, add: float = 0.05, delete: float = 0.02, seed: int
     n, top = nodes.agg(F.count("*"), F.max("node")).first()
     gone_n, new_n = round(delete * n), round(add * n)
     sizes = written(snaps.groupBy("w").agg(F.count("*").alias("m")))
-    edges = within_quotas(snaps.select("w", "u", "v", F.struct("u", "v").alias("e")), ["w"], draw("w", "u", "v", seed=seed), "e", {"gone": lambda m: F.bround(m * delete)})
-    left = edges.filter(~F.col("gone")).select("w", "u", "v")
+    edges = within_quotas(snaps.select("w", F.struct("u", "v").alias("e")), ["w"], draw("w", "e.u", "e.v", seed=seed), "e", {"gone": lambda m: F.bround(m * delete)})
+    left = edges.filter(~F.col("gone")).select("w", "e.u", "e.v")
     places = counted(sizes.select("w", permutation_keys(F.lit(n), "w", seed=seed + 1).alias("keys")), F.lit(gone_n), "i")
     victims = written(places.select("w", permuted(F.col("i"), F.lit(n), "w", seed=seed + 1, keys=F.col("keys")).alias("idx")).join(nodes, "idx").select("w", "node", "idx"))
     for end in ("u", "v"):
